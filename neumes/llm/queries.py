@@ -7,6 +7,8 @@ from .common import table
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .quality import quality_scores
+from .secrets import BASE_RULES, MORE_RULES, secret_scan, span_text
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,14 +25,52 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan(table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in BASE_RULES]
+    count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long")
+    base = F.filter("findings", lambda x: x["kind"].isin(kinds))
+    return out.select("doc_id", *(count(k).alias(f"n_{k}") for k in kinds), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("findings")).alias("spans"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_secret_scan": op5_secret_scan,
+    "op8_quality": op8_quality,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+
+def _secret_sql() -> str:
+    """Spans from the pieces between matches: a match begins after all pieces and matches before it."""
+    one = """
+  SELECT doc_id, {place} AS place, '{kind}' AS kind, s AS start, s + length(m) AS stop FROM (
+    SELECT doc_id, unnest(ms) AS m, unnest(gs) AS g,
+           unnest(list_transform(range(1, len(ms) + 1), lambda i: coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))) AS s
+    FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {group}) AS gs, string_split_regex(t, '{pattern}') AS ps FROM d))
+  WHERE length(g) >= {least}"""
+    parts = [one.format(place=i, kind=r.kind, pattern=r.pattern.replace("'", "''"), group=r.group, least=r.least) for i, r in enumerate(BASE_RULES + MORE_RULES)]
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+a AS (
+  SELECT doc_id, count_if(place = 0) AS n0, count_if(place = 1) AS n1, count_if(place = 2) AS n2,
+         string_agg(concat_ws(':', kind, start::BIGINT, stop::BIGINT), ',' ORDER BY start, place) FILTER (place < {len(BASE_RULES)}) AS base,
+         string_agg(concat_ws(':', kind, start::BIGINT, stop::BIGINT), ',' ORDER BY start, place) AS spans
+  FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (doc_id)"""
+
+
 ORACLES = {
     "op1_line_dedup": rf"""
 WITH l AS (
@@ -76,4 +116,5 @@ r AS (
          count(*) OVER (PARTITION BY text_sha256) AS group_size
   FROM d)
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, text_sha256 FROM r""",
+    "op5_secret_scan": _secret_sql(),
 }
