@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_encode
 from .common import table
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
@@ -25,6 +26,17 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan(table(spark, sf_dir, "documents"))
     kinds = [r.kind for r in BASE_RULES]
@@ -41,6 +53,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_bpe": op4_bpe,
     "op5_secret_scan": op5_secret_scan,
     "op8_quality": op8_quality,
 }
