@@ -8,6 +8,7 @@ from .common import table
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .near_dedup import near_dedup
 from .quality import quality_scores
 from .secrets import BASE_RULES, MORE_RULES, secret_scan, span_text
 
@@ -45,6 +46,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(count(k).alias(f"n_{k}") for k in kinds), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("findings")).alias("spans"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_bpe": op4_bpe,
     "op5_secret_scan": op5_secret_scan,
+    "op7_near_dedup": op7_near_dedup,
     "op8_quality": op8_quality,
 }
 
