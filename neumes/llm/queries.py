@@ -11,6 +11,7 @@ from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .quality import quality_scores
 from .secrets import BASE_RULES, MORE_RULES, secret_scan, span_text
+from .toxicity import toxicity_scores
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(count(k).alias(f"n_{k}") for k in kinds), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("findings")).alias("spans"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_bpe": op4_bpe,
     "op5_secret_scan": op5_secret_scan,
+    "op6_toxicity": op6_toxicity,
     "op7_near_dedup": op7_near_dedup,
     "op8_quality": op8_quality,
 }
