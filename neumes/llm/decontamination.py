@@ -134,6 +134,22 @@ def hits(block: Block, tokens: dict):
     return run
 
 
+def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, window: int, shingle: int, block_words: int):
+    """The items in blocks of bounded size, and how many blocks there are."""
+    items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[text_col].cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    # a text of n characters has at most (n + 1) / 2 words; equal items share a block
+    total = items.agg(F.coalesce(F.sum((F.char_length("text") + 1) / 2), F.lit(0.0))).first()[0]
+    count = max(1, -(-int(total) // block_words))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(count)))
+    return count, (Block([(r.item, r.text.encode()) for r in items.where(F.col("block") == i).select("item", "text").collect()], window, shingle) for i in range(count))
+
+
+def tokens_of(block: Block, rows: DataFrame) -> dict:
+    """The block's prefix tokens, rarest by the documents of the corpus that hold them."""
+    counted = rows.mapInArrow(shingle_frequencies(block), "n int, k long, docs long").groupBy("n", "k").agg(F.sum("docs").alias("docs")).collect()  # at most a row for each shingle of the block
+    return prefixes(block, {(r.n, r.k): r.docs for r in counted})
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3, block_words: int = 200_000) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, spans, items, n_items, contaminated.
 
@@ -147,20 +163,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = id_and_text(docs, id_col, text_col).withColumn("row_id", F.lit(0).cast("long"))
-    items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    # a text of n characters has at most (n + 1) / 2 words; equal items share a block
-    items = items.withColumn("most", (F.char_length("text") + 1) / 2)
-    total = items.agg(F.coalesce(F.sum("most"), F.lit(0.0))).first()[0]
-    blocks = max(1, -(-int(total) // block_words))
-    items = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
+    blocks, made = blocks_of(benchmark, item_col, item_text_col, window, shingle, block_words)
     schema = "doc_id long, row_id long, n_words long, spans array<long>, items array<string>"
     if blocks > 1:
         rows = written(rows.withColumn("row_id", F.monotonically_increasing_id()), "documents")
-    found = []
-    for i in range(blocks):
-        block = Block([(r.item, r.text.encode()) for r in items.where(F.col("block") == i).select("item", "text").collect()], window, shingle)
-        counted = rows.mapInArrow(shingle_frequencies(block), "n int, k long, docs long").groupBy("n", "k").agg(F.sum("docs").alias("docs")).collect()  # at most a row for each shingle of the block
-        found.append(rows.mapInArrow(hits(block, prefixes(block, {(r.n, r.k): r.docs for r in counted})), schema))
+    found = [rows.mapInArrow(hits(block, tokens_of(block, rows)), schema) for block in made]
     if blocks == 1:
         out = found[0]
     else:
@@ -180,3 +187,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         out = out.withColumn("spans", F.flatten(F.transform(F.aggregate("spans", start, merge), lambda p: F.array(p["s"], p["e"]))))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda x, y: y - x)  # ends minus starts, as the signs alternate
     return out.withColumn("n_hit", F.coalesce(n_hit, F.lit(0).cast("long"))).select("doc_id", "n_words", "n_hit", "spans", "items", F.size("items").cast("long").alias("n_items"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3, block_words: int = 200_000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no window of any item; judged where they are read."""
+    bounded_batches(docs.sparkSession)
+    rows = id_and_text(docs, id_col, text_col)
+    out = docs
+    for block in blocks_of(benchmark, item_col, item_text_col, window, shingle, block_words)[1]:
+        judge = hits(block, tokens_of(block, rows))
+
+        def clean(texts: pa.Array, judge=judge) -> pa.Array:
+            none = pa.nulls(len(texts), pa.int64())
+            batch = pa.record_batch({"doc_id": none, "text": texts, "row_id": none})
+            return pa.array([not s for out in judge([batch]) for s in out.column("spans").to_pylist()], pa.bool_())
+
+        out = out.where(F.arrow_udf(clean, "boolean")(docs[text_col].cast("string")))
+    return out

@@ -91,3 +91,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("doc_id", "keep_id", "group_size", (F.col("place") == 1).alias("kept"), sha, "n_chars")
     )
     return settled.select(result).unionAll(others.select(result))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one of each group of equal texts.
+
+    Rows that repeat a doc_id, or have none, are told apart by their text as well.
+    """
+    result = exact_dedup(docs, id_col, text_col, **options)
+    known = docs.groupBy(id_col).agg(F.count("*").alias("rows")).where((F.col("rows") > 1) | F.col(id_col).isNull())
+    if known.isEmpty():
+        away = result.where(~F.col("kept")).select(F.col("doc_id").alias("__away"))
+        return docs.join(away, docs[id_col] == away["__away"], "left_anti")
+    stay = result.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__stays"))
+    bare = F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), "[\\x20\\x09-\\x0D]+", "")
+    marked = docs.withColumn("__sha", F.sha2(bare, 256)).withColumn("__chars", F.char_length(F.coalesce(docs[text_col], F.lit(""))))
+    held = marked.join(stay, marked[id_col].eqNullSafe(stay["__id"]) & (marked["__sha"] == stay["__stays"]), "left_semi")
+    order = Window.partitionBy("__sha", id_col).orderBy(F.desc("__chars"))
+    return held.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__sha", "__chars", "__place")

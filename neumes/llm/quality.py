@@ -164,3 +164,9 @@ def score_column(model: Discriminant, text: Column) -> Column:
         return pa.array(model.scores(all_statistics(utf8(texts))))
 
     return score(text)
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **fit) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more; scored where they are read."""
+    model, _ = fit_quality(docs, labels, id_col, text_col, **fit)
+    return docs.where(score_column(model, docs[text_col].cast("string")) >= threshold)

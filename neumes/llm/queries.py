@@ -7,11 +7,13 @@ from .bpe import bpe_encode
 from .common import table
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .license_scan import TEMPLATES, license_scan, template_bigrams
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .quality import quality_scores
 from .secrets import BASE_RULES, MORE_RULES, secret_scan, span_text
 from .toxicity import toxicity_scores
+from .url_filter import url_filter
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +61,33 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The dated list of op9: kind, pattern, action and the day from which it holds.
+DATED_LIST = (
+    ("domain", "ads-track.example.com", "block", "2023-12-01"),
+    ("domain", "ads-track.example.com", "allow", "2024-05-01"),
+    ("domain", "ads-track.example.com", "block", "2024-07-15"),
+    ("domain", "casino-win.example.com", "block", "2024-01-01"),
+    ("domain", "cheap-pills.example.com", "block", "2024-02-15"),
+    ("prefix", "www.cheap-pills.example.com/de", "allow", "2024-06-01"),
+    ("domain", "free-bets.example.com", "block", "2024-03-01"),
+    ("domain", "free-bets.example.com", "none", "2024-09-01"),
+    ("domain", "tionsh.example.net", "block", "2024-10-01"),
+    ("prefix", "tionsh.example.net/en", "block", "2024-04-01"),
+)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` has no fetch time; page_id modulo 366, as days from 2024-01-01, stands for it."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(pmod(page_id, 366) as int))").alias("fetched"))
+    entries = spark.createDataFrame(DATED_LIST, "kind string, pattern string, action string, listed string")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return url_filter(pages, entries).select("page_id", "host", day("fetched"), "blocked", "pattern", day("listed"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -68,6 +97,8 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_near_dedup": op7_near_dedup,
     "op8_quality": op8_quality,
+    "op9_url_filter": op9_url_filter,
+    "op10_license_scan": op10_license_scan,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,6 +127,51 @@ SELECT d.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS
 FROM d LEFT JOIN a USING (doc_id)"""
 
 
+def _list_sql() -> str:
+    entries = ", ".join(f"('{k}', '{p}', '{a}', DATE '{d}')" for k, p, a, d in DATED_LIST)
+    return rf"""
+WITH e AS (SELECT * FROM (VALUES {entries}) AS t(kind, pattern, action, since)),
+i AS (SELECT *, lead(since) OVER (PARTITION BY kind, pattern ORDER BY since) AS until FROM e),
+c AS (
+  SELECT page_id, DATE '2024-01-01' + (page_id % 366)::INTEGER AS fetched,
+         regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.+$', '') AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '') AS parts
+  FROM pages),
+k AS (
+  SELECT page_id, 'domain' AS kind, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda n: array_to_string(string_split(host, '.')[n:], '.'))) AS pattern FROM c
+  UNION ALL
+  SELECT page_id, 'prefix', unnest(list_transform(range(1, len(parts) + 1), lambda n: host || '/' || array_to_string(parts[:n], '/'))) FROM c),
+m AS (
+  SELECT k.page_id, i.* FROM k JOIN c USING (page_id) JOIN i ON i.kind = k.kind AND i.pattern = k.pattern
+  WHERE i.action <> 'none' AND i.since <= c.fetched AND (i.until IS NULL OR c.fetched < i.until)),
+b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, kind DESC, action DESC) = 1)
+SELECT c.page_id, host, strftime(c.fetched, '%Y-%m-%d') AS fetched, coalesce(b.action = 'block', false) AS blocked,
+       b.pattern, strftime(b.since, '%Y-%m-%d') AS listed
+FROM c LEFT JOIN b USING (page_id)"""
+
+
+def _license_sql(threshold: float = 0.8) -> str:
+    sets = [(n, template_bigrams(t)) for n in TEMPLATES for t in TEMPLATES[n]]
+    values = ", ".join(f"('{n}', [{', '.join(repr(x) for x in s)}])" for n, s in sets)
+    return rf"""
+WITH t AS (SELECT * FROM (VALUES {values}) AS v(name, grams)),
+l AS (SELECT doc_id, list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9
+]+', ' ', 'g'), chr(10)), lambda x: trim(x)) AS ls FROM documents),
+a AS (SELECT doc_id, unnest(CASE WHEN len(ls) > 1 THEN list_append(ls, trim(array_to_string(list_filter(ls, lambda x: x <> ''), ' '))) ELSE ls END) AS u FROM l),
+u AS (SELECT doc_id, row_number() OVER () AS unit, string_split(u, ' ') AS w FROM a WHERE u <> ''),
+g AS (SELECT doc_id, unit, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS grams FROM u),
+d AS (
+  SELECT g.doc_id, unit, name, 2.0::DOUBLE * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
+  FROM g, t WHERE len(g.grams) BETWEEN len(t.grams) / 3 AND len(t.grams) * 3),
+f AS (SELECT * FROM d WHERE dice >= {threshold}),
+s AS (SELECT doc_id, count(DISTINCT unit) AS n_matched, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, max(dice) AS best_dice,
+             arg_min(name, (-dice, name)) AS best_license FROM f GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_units FROM u GROUP BY doc_id)
+SELECT doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_matched, 0)::BIGINT AS n_matched, coalesce(licenses, '') AS licenses,
+       best_license, best_dice
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
 ORACLES = {
     "op1_line_dedup": rf"""
 WITH l AS (
@@ -142,4 +218,6 @@ r AS (
   FROM d)
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, text_sha256 FROM r""",
     "op5_secret_scan": _secret_sql(),
+    "op9_url_filter": _list_sql(),
+    "op10_license_scan": _license_sql(),
 }
