@@ -41,6 +41,7 @@ class Words:
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.apart = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+        self.marks = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
         # the byte alphabet: visible characters stand for themselves, other bytes for code points from 256 on
         visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in visible]
@@ -52,10 +53,12 @@ class Words:
                 return [chunk.lower()]
             if chunk.isprintable() and "<|" not in chunk:
                 return self.ascii.findall(chunk.lower())
-        elif chunk.isalpha() and "Σ" not in chunk:  # the final form of that letter depends on its place in lower()
-            word = unicodedata.normalize("NFC", chunk).lower()
-            if word.isalpha():
-                return [word.encode().decode("latin-1").translate(self.bytes)]
+        elif "Σ" not in chunk:  # the final form of that letter depends on its place in lower()
+            core = chunk.rstrip(self.marks)
+            word = unicodedata.normalize("NFC", core).lower()
+            if core.isalpha() and word.isalpha():
+                word = word.encode().decode("latin-1").translate(self.bytes)
+                return [word, chunk[len(core) :]] if len(core) < len(chunk) else [word]
         if not self.apart:
             return self.plain(chunk)
         out = []
@@ -84,17 +87,23 @@ class Split:
         chunks = pc.ascii_split_whitespace(texts)
         coded = chunks.flatten().dictionary_encode()
         self.doc_offsets = offsets(chunks)
-        number: dict[str, int] = {}
-        flat, lengths = [], []
-        for chunk in coded.dictionary.to_pylist():
+        chunks = coded.dictionary
+        plain = pc.ascii_is_alpha(chunks).to_numpy(zero_copy_only=False)  # such a chunk is one word
+        lengths = np.ones(len(chunks), np.int64)
+        other, others = [], np.flatnonzero(~plain)
+        for i, chunk in zip(others.tolist(), chunks.filter(pa.array(~plain)).to_pylist()):
             found = splitter.split(chunk) if chunk else ()
-            lengths.append(len(found))
-            for w in found:
-                flat.append(number.setdefault(w, len(number)))
-        self.words = list(number)
+            lengths[i] = len(found)
+            other += found
+        self.chunk_offsets = np.concatenate([[0], np.cumsum(lengths)])
+        words = pa.concat_arrays([pc.ascii_lower(chunks.filter(pa.array(plain))), pa.array(other, pa.string())]).dictionary_encode()
+        self.words = words.dictionary
+        numbers = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        one = int(plain.sum())
+        places = np.repeat(plain, lengths)
+        self.chunk_words = np.empty(len(numbers), np.int64)
+        self.chunk_words[places], self.chunk_words[~places] = numbers[:one], numbers[one:]
         self.chunk = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.chunk_words = np.array(flat, np.int64)
-        self.chunk_offsets = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))]).astype(np.int64)
 
     def counts(self) -> np.ndarray:
         by_chunk = np.bincount(self.chunk, minlength=len(self.chunk_offsets) - 1)
@@ -131,7 +140,7 @@ def split_counts(tokenizer):
         for batch in batches:
             split = batch.column(2)[0].as_py() if batch.num_rows else split
             found = Split(batch.column(1), splitter)
-            for w, n in zip(found.words, found.counts().tolist()):
+            for w, n in zip(found.words.to_pylist(), found.counts().tolist()):
                 total[w] = total.get(w, 0) + n
             if len(total) > 1_000_000:  # bounded; the sums are the same
                 yield rows(split, total)
@@ -159,9 +168,10 @@ def rare(hot):
     """Rows (split, word) of words that are not broadcast."""
 
     def run(batches):
-        words = hot.value["word"]
+        words = frozenset(hot.value["word"].to_pylist())
         for batch in batches:
-            yield batch.select(["split", "word"]).filter(pc.invert(pc.is_in(batch.column("word"), value_set=words)))
+            away = np.fromiter((w not in words for w in batch.column("word").to_pylist()), bool, batch.num_rows)
+            yield batch.select(["split", "word"]).filter(pa.array(away))
 
     return run
 
@@ -172,7 +182,7 @@ def blobs(batches):
         if not batch.num_rows:
             continue
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
             out.write_batch(batch)
         yield pa.record_batch({"split": pa.array([batch.column(2)[0].as_py()], pa.int32()), "kind": pa.array([1], pa.int32()), "word": pa.nulls(1, pa.string()), "ids": pa.nulls(1, pa.list_(pa.int32())), "blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
@@ -204,11 +214,11 @@ def positioned(tokenizer, hot):
 
     def documents(docs, splitter, common, common_offsets, common_ids, own, pieces):
         found = Split(docs.column(1), splitter)
-        at = pc.index_in(pa.array(found.words, pa.string()), value_set=common)
+        at = pc.index_in(found.words, value_set=common)
         missing = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
         at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
         # a word is missing here only if the input's splits have changed since they were counted
-        extra = [own.get(w) or splitter.encode(w) for w in (found.words[i] for i in missing)]
+        extra = [own.get(w) or splitter.encode(w) for w in found.words.take(pa.array(missing)).to_pylist()]
         at[missing] = len(common_offsets) - 1 + np.arange(len(missing))
         begins = np.concatenate([common_offsets, common_offsets[-1] + np.cumsum(np.array([len(x) for x in extra], np.int64))]).astype(np.int64)
         values = np.concatenate([common_ids, np.array([i for x in extra for i in x], common_ids.dtype)])
@@ -236,7 +246,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     ``docs`` are not read. The tokenizer's file is read on the driver only.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 8192)
+    bounded_batches(spark, 8192, 8 << 20)
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = spark.sparkContext.broadcast(f.read())
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("split"))
