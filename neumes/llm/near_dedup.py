@@ -6,14 +6,17 @@
    permutations make all coordinates.
 2. Documents with equal sets form a class, held by its smallest doc_id; only
    class holders go on.
-3. ``bands`` bands of ``rows`` coordinates give buckets. In a bucket every member
-   is paired with the smallest one, so pairs grow with members, not their square.
+3. ``bands`` bands of ``rows`` coordinates give buckets. Every member is paired
+   with the smallest of the first members of its buckets, so pairs grow with
+   members, not their square.
 4. Pairs are verified on full sets, which stream past the set of their centre; a
    centre with many partners is dealt to several tasks.
-5. Links give components. Buckets that still hold several components have their
-   other pairs between components tested too, small buckets at once, large ones
-   around further centres and then in growing blocks, until no pair of a bucket
-   is left that could join two components.
+5. Links give components. In buckets that still hold several components, members
+   are left out that cannot match any other: a set shares at most those of its
+   shingles that some other member holds. The others, chained by their buckets to
+   families, are compared all with all, exactly, in blocks: block pairs are dealt
+   to tasks, which count intersections with matrices and give only links that
+   join two components. No pair of a bucket that could do so is left out.
 
 At the default 32 bands of 4 rows two documents at the threshold of 0.75 share no
 bucket with a chance of 6e-6; of a larger similarity, with less.
@@ -160,11 +163,9 @@ def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(p) + len(q) - both)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, per_task: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, per_task: int) -> DataFrame:
     """The pairs (x, y) whose full sets are similar enough, written."""
     spark = pairs.sparkSession
-    needed = pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    sets = written(docs.join(needed, "doc_id", "left_semi").mapInArrow(set_rows(size), "doc_id long, items binary"), "sets")
     salts = pairs.groupBy("x").agg(F.ceil(F.count("*") / per_task).alias("salts"))
     dealt = pairs.join(salts, "x").select("x", F.pmod(F.xxhash64("y"), F.col("salts")).alias("salt"), "y")
     partners = dealt.join(sets, dealt.y == sets.doc_id).select("x", "salt", F.lit(1).alias("kind"), "y", "items")
@@ -173,6 +174,123 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, per_tas
     return written(together.mapInArrow(linked(percent), "x long, y long").distinct(), "links")
 
 
+def items_of(batches):
+    """Rows (item, doc_id) of sets."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+        yield pa.record_batch({"item": np.concatenate([*sets, np.empty(0, np.int64)]), "doc_id": ids})
+
+
+def shareable(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(member, n, cap): the size of a member's set, and how many of its shingles some other member holds too."""
+    own = sets.join(members.select(F.col("member").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    unique = own.mapInArrow(items_of, "item long, doc_id long").groupBy("item").agg(F.count("*").alias("holders"), F.min("doc_id").alias("doc_id")).where("holders = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
+    sizes = own.groupBy("doc_id").agg(F.min(F.octet_length("items") / 8).cast("long").alias("n"), F.max(F.octet_length("items") / 8).cast("long").alias("most"))
+    return sizes.join(unique, "doc_id", "left").select(F.col("doc_id").alias("member"), "n", F.when(F.col("n") == F.col("most"), F.col("n") - F.coalesce("own", F.lit(0))).otherwise(F.col("most")).alias("cap"))
+
+
+def possible(n, cap, other_n, other_cap, percent: int) -> "F.Column":
+    """Whether sets of these sizes, with so many shingles that others hold, can be similar enough."""
+    both = F.least(cap, other_cap)
+    return 100 * both >= percent * (n + F.greatest(other_n, both) - both)
+
+
+def common_counts(sets: list[np.ndarray], dense: int = 16, columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of some hundred sets, exactly.
+
+    Items of few sets are counted pair by pair, the others by products of 0/1 matrices.
+    """
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    items, at, held = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)
+    order = np.argsort(at, kind="stable")
+    owner, held_by = owner[order], np.repeat(held, held)
+    out = np.zeros((m, m), np.int64)
+    for h in range(1, dense + 1):  # an item's owners stand side by side
+        group = owner[held_by == h].reshape(-1, h)
+        for i in range(h):
+            for j in range(h):
+                out += np.bincount(group[:, i] * m + group[:, j], minlength=m * m).reshape(m, m)
+    many = held_by > dense
+    column, owner = np.unique(at[order][many], return_inverse=True)[1], owner[many]
+    for first in range(0, int(column.max()) + 1 if len(column) else 0, columns):
+        part = (column >= first) & (column < first + columns)
+        table = np.zeros((m, columns), np.float32)
+        table[owner[part], column[part] - first] = 1
+        out += (table @ table.T).astype(np.int64)
+    return out
+
+
+def joining(percent: int):
+    """Rows (family, p, q, member, block, component, items) sorted by the first three; links that join components.
+
+    Each key holds two blocks of a family, or one with itself. Of its links, one is
+    given for each two components that it joins.
+    """
+
+    def run(batches):
+        key, rows = None, []
+
+        def links():
+            sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+            n = np.array([len(x) for x in sets])
+            both = common_counts(sets)
+            near = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+            block, component = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+            near &= component[:, None] != component[None, :]
+            if key[1] != key[2]:
+                near &= block[:, None] != block[None, :]
+            root = {c: c for c in component.tolist()}
+
+            def top(c):
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            found = []
+            for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))):
+                a, b = top(rows[i][2]), top(rows[j][2])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    found.append((rows[i][0], rows[j][0]))
+            return pa.record_batch({"x": pa.array([x for x, _ in found], pa.int64()), "y": pa.array([y for _, y in found], pa.int64())})
+
+        for batch in batches:
+            family, p, q, member, block, component = (batch.column(i).to_pylist() for i in range(6))
+            for i, items in enumerate(batch.column(6).to_pylist()):
+                if (family[i], p[i], q[i]) != key:
+                    if rows:
+                        yield links()
+                    key, rows = (family[i], p[i], q[i]), []
+                rows.append((member[i], block[i], component[i], items))
+        if rows:
+            yield links()
+
+    return run
+
+
+def within_families(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links that join components among members that buckets chain together, written.
+
+    A family is cut into blocks of about ``block`` members, and each pair of blocks is
+    one task's work, so no task holds more than two blocks and no pair is shipped.
+    """
+    spark = rows.sparkSession
+    firsts = rows.groupBy("bucket").agg(F.min("member").alias("first"))
+    chained = rows.join(firsts, "bucket").where("member > first").select(F.col("first").alias("x"), F.col("member").alias("y")).distinct()
+    family = components(chained, None).select(F.col("doc_id").alias("member"), F.col("component").alias("family"))
+    members = rows.select("member", "component").distinct().join(family, "member")
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    dealt = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    keyed = dealt.withColumn("other", other).select("family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "member", "block", "component")
+    full = keyed.join(sets, F.col("member") == F.col("doc_id")).select("family", "p", "q", "member", "block", "component", "items")
+    together = full.repartition(shuffle_partitions(spark), "family", "p", "q").sortWithinPartitions("family", "p", "q")
+    return written(together.mapInArrow(joining(percent), "x long, y long"), "joins")
+
+
 def components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(doc_id, component) of all linked documents: the smallest doc_id that each one reaches.
 
@@ -195,7 +313,7 @@ def components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
             return now
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, small: int = 32, per_task: int = 256) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, block: int = 512, per_task: int = 256) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Words are runs of anything but [\\x20\\x09-\\x0D], with A-Z lower-cased. A set
@@ -221,26 +339,39 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return rows.join(centres, "bucket").where("member > centre").select(F.col("centre").alias("x"), F.col("member").alias("y"), "bucket")
 
     starred = written(star(members), "starred")
-    links = verified(starred.select("x", "y").distinct(), texts, size, percent, per_task)
+    needed = starred.select(F.col("x").alias("doc_id")).unionAll(starred.select(F.col("y").alias("doc_id"))).distinct()
+    sets = written(texts.join(needed, "doc_id", "left_semi").mapInArrow(set_rows(size), "doc_id long, items binary"), "sets")
+    # first one centre for each member: most members of a large group are linked by then
+    links = verified(starred.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), sets, percent, per_task)
     labels = components(links, None)
-    # what is not the centre of its bucket is still to be paired with the others of another component
-    open_rows = starred.select("bucket", F.col("y").alias("member"))
-    while True:
-        marked = open_rows.join(labels, F.col("member") == F.col("doc_id"), "left").select("bucket", "member", F.coalesce("component", "member").alias("component"))
-        sizes = marked.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket", "members")
-        marked = written(marked.join(sizes, "bucket"), "open")
-        if marked.isEmpty():
-            break
-        little = marked.where(F.col("members") <= small)
-        other = little.select("bucket", F.col("member").alias("y"), F.col("component").alias("other"))
-        pairs = little.join(other, "bucket").where("member < y AND component <> other").select(F.col("member").alias("x"), "y")
-        again = written(star(marked.where(F.col("members") > small).select("bucket", "member")), "starred")
-        found = verified(pairs.unionAll(again.select("x", "y")).distinct(), texts, size, percent, per_task)
-        links = links.unionAll(found)
-        labels = components(links, labels)
-        open_rows = again.select("bucket", F.col("y").alias("member"))
-        small *= 4
+
+    def still_open(rows: DataFrame, caps: DataFrame | None) -> DataFrame:
+        """Rows (bucket, member, component) of buckets with several components, without those that can match no other."""
+        rows = rows.join(labels, F.col("member") == F.col("doc_id"), "left").select("bucket", "member", F.coalesce("component", "member").alias("component"), *(() if caps is None else ("n", "cap")))
+        for _ in range(1 if caps is None else 2):
+            bounds = () if caps is None else (F.min("n").alias("least"), F.max("cap").alias("most"))
+            sizes = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), *bounds).where("low < high")
+            rows = rows.join(sizes, "bucket")
+            if caps is not None:
+                rows = rows.where(possible(F.col("n"), F.col("cap"), F.col("least"), F.col("most"), percent))
+            rows = rows.drop("low", "high", "least", "most")
+        return written(rows, "open")
+
+    # members of a bucket are still to be paired with those of another component
+    rest = still_open(starred.select("bucket", F.col("y").alias("member")).unionAll(starred.select("bucket", F.col("x").alias("member")).distinct()), None)
+    if not rest.isEmpty():
+        caps = written(shareable(sets, rest), "shareable")
+        rest = still_open(rest.select("bucket", "member").join(caps, "member"), caps)
+    if not rest.isEmpty():
+        found = within_families(rest.select("bucket", "member", "component"), sets, percent, block)
+        labels = components(links.unionAll(found), labels)
     holders = classes.select("a", "b", "holder").join(labels, F.col("holder") == F.col("doc_id"), "left").select("a", "b", F.coalesce("component", "holder").alias("component_id"))
     own = signs.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "a", "b").join(holders, ["a", "b"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = signs.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return own.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: the smallest doc_id of each component."""
+    away = near_dedup(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__away")).distinct()
+    return docs.join(away, docs[id_col] == away["__away"], "left_anti")

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from neumes.llm.near_dedup import near_dedup, signatures
+from neumes.llm.near_dedup import common_counts, near_dedup, signatures
 
 
 def brute(rows):
@@ -57,8 +57,8 @@ def test_equals_brute_force(spark):
     rows = list(enumerate(texts))
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, bucket int")
     want = brute(rows)
-    for small, per_task in ((32, 256), (2, 3)):  # also with rounds of centres and dealt partners
-        got = {r.doc_id: r for r in near_dedup(docs, small=small, per_task=per_task).collect()}
+    for block, per_task in ((512, 256), (5, 3)):  # also with families of many blocks and dealt partners
+        got = {r.doc_id: r for r in near_dedup(docs, block=block, per_task=per_task).collect()}
         assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
         assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
@@ -79,3 +79,11 @@ def test_coordinates_agree_as_often_as_the_sets():
         s = signatures([p, q], 128)
         shared.append((s[0] == s[1]).mean())
     assert abs(np.mean(shared) - 0.75) < 0.02 and np.std(shared) < 0.07
+
+
+def test_common_counts_are_exact():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 200, rng.integers(0, 150)).astype(np.uint64)) for _ in range(40)] + [np.unique(rng.integers(0, 10**6, 50).astype(np.uint64)) for _ in range(20)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    for dense, columns in ((16, 4096), (2, 7)):
+        assert (common_counts(sets, dense, columns) == want).all()
