@@ -18,11 +18,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, id_and_text, utf8, written
 
+SPANS = "array<struct<start:long,end:long>>"
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -126,9 +127,9 @@ def hits(block: Block, tokens: dict):
                         merged[-1][1] = max(end, merged[-1][1])
                     else:
                         merged.append([start, end])
-                out.append((doc_id, row_id, len(numbers), [x for s in merged for x in s], sorted(items)))
+                out.append((doc_id, row_id, len(numbers), [{"start": s, "end": e} for s, e in merged], sorted(items)))
             columns = list(zip(*out)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()))
             yield pa.record_batch(dict(zip(("doc_id", "row_id", "n_words", "spans", "items"), (pa.array(c, k) for c, k in zip(columns, kinds)))))
 
     return run
@@ -153,7 +154,7 @@ def tokens_of(block: Block, rows: DataFrame) -> dict:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3, block_words: int = 200_000) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, spans, items, n_items, contaminated.
 
-    ``spans``: starts and ends (exclusive) of the hit runs of words, in turn;
+    ``spans``: start and end (exclusive) of each run of hit words;
     ``items``: ids, as sorted strings, of the items with a window in the document.
     Null texts have no words; items without words have no window, items without
     id are left out. Rows that repeat a document are each judged; repeated items
@@ -164,29 +165,42 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bounded_batches(spark)
     rows = id_and_text(docs, id_col, text_col).withColumn("row_id", F.lit(0).cast("long"))
     blocks, made = blocks_of(benchmark, item_col, item_text_col, window, shingle, block_words)
-    schema = "doc_id long, row_id long, n_words long, spans array<long>, items array<string>"
+    schema = f"doc_id long, row_id long, n_words long, spans {SPANS}, items array<string>"
     if blocks > 1:
         rows = written(rows.withColumn("row_id", F.monotonically_increasing_id()), "documents")
     found = [rows.mapInArrow(hits(block, tokens_of(block, rows)), schema) for block in made]
-    if blocks == 1:
-        out = found[0]
-    else:
-        all_found = found[0]
+    out = found[0]
+    if blocks > 1:
         for other in found[1:]:
-            all_found = all_found.unionAll(other.where(F.size("spans") > 0))
-        pairs = F.transform(F.sequence(F.lit(0), F.size("spans") / 2 - 1), lambda i: F.struct(F.get("spans", (2 * i).cast("int")).alias("s"), F.get("spans", (2 * i + 1).cast("int")).alias("e")))
-        all_found = all_found.withColumn("spans", F.when(F.size("spans") > 0, pairs).otherwise(F.array().cast("array<struct<s:long,e:long>>")))
-        out = all_found.groupBy("doc_id", "row_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        start = F.array().cast("array<struct<s:long,e:long>>")
-        last = lambda x: F.element_at(x, -1)
+            out = out.unionAll(other.where(F.size("spans") > 0))
+        every = F.array_sort(F.flatten(F.collect_list("spans")))
+        out = out.groupBy("doc_id", "row_id").agg(F.max("n_words").alias("n_words"), every.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        out = out.withColumn("spans", joined_spans(F.col("spans")))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.withColumn("n_hit", n_hit).select("doc_id", "n_words", "n_hit", "spans", "items", F.size("items").cast("long").alias("n_items"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def joined_spans(spans: Column) -> Column:
+    """Sorted spans, those that touch or overlap as one."""
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        before = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(s["start"] <= last["end"], F.concat(before, F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast(SPANS), add)
 
-        def merge(x, y):
-            joined = F.concat(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), F.array(F.struct(last(x)["s"].alias("s"), F.greatest(last(x)["e"], y["e"]).alias("e"))))
-            return F.when((F.size(x) > 0) & (y["s"] <= F.try_element_at(x, F.lit(-1))["e"]), joined).otherwise(F.concat(x, F.array(y)))
 
-        out = out.withColumn("spans", F.flatten(F.transform(F.aggregate("spans", start, merge), lambda p: F.array(p["s"], p["e"]))))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda x, y: y - x)  # ends minus starts, as the signs alternate
-    return out.withColumn("n_hit", F.coalesce(n_hit, F.lit(0).cast("long"))).select("doc_id", "n_words", "n_hit", "spans", "items", F.size("items").cast("long").alias("n_items"), (F.col("n_hit") > 0).alias("contaminated"))
+def is_clean(judge):
+    """A function of a text column: whether no text run of it is hit."""
+
+    def clean(texts: pa.Array) -> pa.Array:
+        none = pa.nulls(len(texts), pa.int64())
+        batch = pa.record_batch({"doc_id": none, "text": texts, "row_id": none})
+        return pa.array([not s for out in judge([batch]) for s in out.column("spans").to_pylist()], pa.bool_())
+
+    return clean
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3, block_words: int = 200_000) -> DataFrame:
@@ -195,12 +209,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     rows = id_and_text(docs, id_col, text_col)
     out = docs
     for block in blocks_of(benchmark, item_col, item_text_col, window, shingle, block_words)[1]:
-        judge = hits(block, tokens_of(block, rows))
-
-        def clean(texts: pa.Array, judge=judge) -> pa.Array:
-            none = pa.nulls(len(texts), pa.int64())
-            batch = pa.record_batch({"doc_id": none, "text": texts, "row_id": none})
-            return pa.array([not s for out in judge([batch]) for s in out.column("spans").to_pylist()], pa.bool_())
-
-        out = out.where(F.arrow_udf(clean, "boolean")(docs[text_col].cast("string")))
+        clean = F.arrow_udf(is_clean(hits(block, tokens_of(block, rows))), "boolean")
+        out = out.where(clean(docs[text_col].cast("string")))
     return out
