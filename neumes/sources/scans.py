@@ -112,13 +112,13 @@ def missing_pairs(files: DataFrame, texts: DataFrame) -> DataFrame:
 
 def notation(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(page_id, text, path) of notation files, one row per file."""
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path)
+    texts = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path, wholetext=True)
     return texts.select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.[^./]*$", 1).alias("page_id"), F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
 
 
 def predictions(spark: SparkSession, path: str, models: list[str]) -> DataFrame:
     """(page, gt, <model>...) of files named <page>__<gt or model>.kern."""
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*__*.kern").text(path)
+    texts = spark.read.option("pathGlobFilter", "*__*.kern").text(path, wholetext=True)
     name = F.col("_metadata.file_path")
     rows = texts.select(F.regexp_extract(name, r"([^/]+)__[A-Za-z0-9]+\.kern$", 1).alias("page"), F.regexp_extract(name, r"__([A-Za-z0-9]+)\.kern$", 1).alias("role"), "value")
     return rows.groupBy("page").pivot("role", ["gt", *models]).agg(F.first("value"))
