@@ -107,3 +107,33 @@ def detokenize(tokens: Column, marker: str = MARKER) -> Column:
 
 def without_bar_numbers(token: Column) -> Column:
     return F.regexp_replace(token, r"(?<==)\d+", "")
+
+
+def token_lines(tokens: Column) -> Column:
+    """Tokens cut after each <n>."""
+    ends = F.filter(F.transform(tokens, lambda t, i: F.when(t == LINE_END, i + 1)), lambda i: i.isNotNull())
+    edges = F.array_distinct(F.concat(F.array(F.lit(0)), ends, F.array(F.size(tokens))))
+    return F.when(F.size(tokens) > 0, F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda k: F.slice(tokens, F.get(edges, k - 1) + 1, F.get(edges, k) - F.get(edges, k - 1)))).otherwise(F.array().cast("array<array<string>>"))
+
+
+def music_part(tokens: Column) -> Column:
+    """Tokens up to the last line with one that begins with a digit or a bar; all if there is none."""
+    hits = F.transform(token_lines(tokens), lambda line: F.exists(line, lambda t: t.rlike("^[0-9=]")))
+    after = F.array_position(F.reverse(hits), True)
+    kept = F.when(after > 0, F.size(hits) - after + 1).otherwise(F.size(hits)).cast("int")
+    return F.flatten(F.slice(token_lines(tokens), F.lit(1), kept))
+
+
+def stacked_tokens(systems: Column, n: Column) -> Column:
+    """Token sequences (<bos> ... <eos>) as one: later ones from their first bar, only the n-th with what follows its music.
+
+    Where there are fewer than n sequences, none counts as the last.
+    """
+    inner = F.transform(systems, lambda s: F.slice(s, F.lit(2), F.greatest(F.size(s) - 2, F.lit(0))))
+
+    def part(s: Column, i: Column) -> Column:
+        bar = F.array_position(F.transform(s, lambda t: t.startswith("=")), True)
+        body = F.when(i > 0, F.slice(s, F.greatest(bar, F.lit(1)).cast("int"), F.size(s))).otherwise(s)
+        return F.concat(F.when(i > 0, F.array(F.lit(SYSTEM_END))).otherwise(strings()), F.when(i == n - 1, body).otherwise(music_part(body)))
+
+    return F.concat(F.array(F.lit("<bos>")), F.flatten(F.transform(inner, part)), F.array(F.lit("<eos>")))

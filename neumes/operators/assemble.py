@@ -155,3 +155,23 @@ def scaled_counts(plan: DataFrame, count: str, total: int) -> DataFrame:
 
 def no_lines() -> Column:
     return strings()
+
+
+def split_composition(split: str, stacked: DataFrame, singles: DataFrame, real_pages: DataFrame, synthetic_pages: DataFrame, most: int) -> DataFrame:
+    """(img, gt, n) of a split of (img, gt[, n]) tables.
+
+    Training has stacks of 2 to ``most``, single systems as 1, and full pages, real
+    and synthetic, as ``most``; validation has stacks below ``most``, single systems
+    and real pages; a test split has real pages only.
+    """
+    page = lambda d, n: d.select("img", "gt", F.lit(n).alias("n"))
+    if split == "test":
+        return page(real_pages, most)
+    stacks = stacked.where(F.col("n").between(2, most if split == "train" else most - 1)).select("img", "gt", "n")
+    out = stacks.unionByName(page(singles, 1)).unionByName(page(real_pages, most))
+    return out.unionByName(page(synthetic_pages, most)) if split == "train" else out
+
+
+def capped_width(width: Column, height: Column, target: int, most: int = 1000) -> Column:
+    """Width at the target height, rounded up, at most ``most``."""
+    return F.least(F.ceil(width * target / height), F.lit(most)).cast("int")

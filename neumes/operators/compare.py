@@ -108,3 +108,27 @@ def dataset_diff(left: DataFrame, right: DataFrame, keys: list[str], columns: li
     differ = F.array_compact(F.array(*(F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), F.lit(c)) for c in columns)))
     status = F.when(F.col("_ia").isNull(), "right_only").when(F.col("_ib").isNull(), "left_only").when(F.size(differ) > 0, "different")
     return both.select(*keys, status.alias("status"), F.when(F.col("_ia").isNotNull() & F.col("_ib").isNotNull(), differ).otherwise(F.array().cast("array<string>")).alias("differing")).where("status IS NOT NULL")
+
+
+def positional_diff(left: DataFrame, right: DataFrame, by: list[str], order: str, shown: int = 10) -> DataFrame:
+    """The first differences of two splits (n, text, width, height), compared row by row within each group.
+
+    Rows of another n are not compared further; sizes of an unread image are null.
+    Also told is how many rows each group has on either side.
+    """
+    w = Window.partitionBy(*by).orderBy(order)
+    side = lambda d, p: d.select(*by, (F.row_number().over(w) - 1).alias("row"), *(F.col(c).alias(f"{p}_{c}") for c in ("n", "text", "width", "height")))
+    both = side(left, "l").join(side(right, "r"), [*by, "row"])
+    same = lambda c: F.col(f"l_{c}").eqNullSafe(F.col(f"r_{c}"))
+    unread = F.col("l_width").isNull() | F.col("r_width").isNull()
+    n = F.when(~same("n"), F.array(F.lit("n"))).otherwise(F.array_compact(F.array(F.when(~same("text"), F.lit("text")), F.when(unread, F.lit("unreadable")).when(~(same("width") & same("height")), F.lit("shape")))))
+    found = both.select(*by, "row", F.explode(n).alias("kind"))
+    place = F.row_number().over(Window.partitionBy(*by, "kind").orderBy("row"))
+    return found.withColumns({"place": place, "mismatches": F.count("*").over(Window.partitionBy(*by, "kind"))}).where(F.col("place") <= shown).drop("place")
+
+
+def size_mismatches(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Groups with other numbers of rows on either side."""
+    count = lambda d, name: d.groupBy(*by).agg(F.count("*").alias(name))
+    both = count(left, "left_rows").join(count(right, "right_rows"), by, "full").fillna(0, ["left_rows", "right_rows"])
+    return both.where("left_rows <> right_rows")

@@ -134,3 +134,26 @@ def bucket_means(values: DataFrame, n_col: str, metric_cols: list[str], by: list
     """Means by the number of systems, ``cap`` and more together; rows without a number are left out."""
     rows = values.where(F.col(n_col).isNotNull()).withColumn("bucket", F.least(F.col(n_col), F.lit(cap)))
     return rows.groupBy(*by, "bucket").agg(F.count("*").alias("units"), *(F.avg(m).alias(f"mean_{m}") for m in metric_cols))
+
+
+def page_records(pairs: DataFrame, keys: list[str], pred: str = "pred_text", truth: str = "gt_text", missing: float | None = 100.0) -> DataFrame:
+    """(keys, metric, value): cer, ser and ler of the page and of its kern spine, chord_ser and root_ser, in percent.
+
+    Where a chord spine is missing or empty, chord rates are ``missing``; null
+    leaves them out of means.
+    """
+    from .notation import chord_tokens, first_spine_text, spines
+
+    rows = pairs.select(*keys, F.col(pred).alias("_p"), F.col(truth).alias("_t"))
+    rows = rows.withColumns({"_pk": first_spine_text(F.col("_p")), "_tk": first_spine_text(F.col("_t"))})
+    whole, kern = with_text_errors(rows, "_p", "_t"), with_text_errors(rows, "_pk", "_tk")
+    wide = lambda d, prefix: d.select(*keys, *(rate(F.col(f"{k}_errors"), F.col(f"{k}_total")).alias(f"{prefix}{k}") for k in KINDS))
+    side = lambda c, name: spines(rows.select(F.struct(*keys).alias("_id"), c), "_id", c).where("spine = '**mxhm'").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "\n").alias(name)).select(*(F.col(f"page_id.{k}").alias(k) for k in keys), name)
+    chords = rows.select(*keys).join(side("_p", "_pc"), keys, "left").join(side("_t", "_tc"), keys, "left")
+    tokens = lambda c: chord_tokens(F.coalesce(c, F.lit("")))
+    scored = page_chord_metrics(chords.withColumns({"_pt": tokens("_pc"), "_tt": tokens("_tc")}), "_pt", "_tt")
+    there = (F.size("_pt") > 0) & (F.size("_tt") > 0)
+    value = lambda c: F.when(there | F.lit(missing is not None), F.when(F.size("_tt") > 0, F.col(c)).otherwise(F.lit(missing)))
+    scored = scored.select(*keys, value("chord_ser").alias("chord_ser"), value("root_ser").alias("root_ser"))
+    out = wide(whole, "").join(wide(kern, "kern_"), keys).join(scored, keys)
+    return out.unpivot(keys, [c for c in out.columns if c not in keys], "metric", "value")

@@ -102,3 +102,73 @@ def split_music_tail(lines: Column) -> Column:
 def columns_round_trip(rows: DataFrame, columns: list[str], id_col: str) -> DataFrame:
     """A two-column (or wider) notation line from columns of a row."""
     return rows.select(F.col(id_col), F.concat_ws("\t", *(F.col(c).cast("string") for c in columns)).alias("line"))
+
+
+def clean_lines(text: Column) -> Column:
+    """Lines without the start and end marks before them."""
+    return F.transform(F.split(strip(text), "\n", -1), lambda x: F.regexp_replace(F.regexp_replace(x, r"^<bos>\s*", ""), r"^<eos>\s*", ""))
+
+
+def header_place(lines: Column, spine: str) -> Column:
+    """Place of a spine (from 1) in the first header line; 0 if it is not there."""
+    head = F.get(F.filter(lines, lambda x: x.startswith("**")), F.lit(0))
+    return F.coalesce(F.array_position(F.transform(F.split(head, "\t", -1), strip), spine), F.lit(0)).cast("int")
+
+
+def spine_tokens(text: Column, spine: str = "**kern") -> Column:
+    """Tokens of a spine of the first header line, without interpretations, comment lines, bars and empty fields."""
+    lines = clean_lines(text)
+    rows = F.filter(lines, lambda x: (strip(x) != "") & ~strip(x).rlike("^[*!]"))
+    fields = F.transform(rows, lambda x: strip(F.get(F.split(x, "\t", -1), header_place(lines, spine) - 1)))
+    return F.when(header_place(lines, spine) > 0, F.filter(fields, lambda f: f.isNotNull() & (f != "") & ~f.startswith("="))).otherwise(strings())
+
+
+def token_streams(texts: DataFrame, id_col: str = "page_id", text_col: str = "text", marker: str = "!!linebreak") -> DataFrame:
+    """(page_id, level, position, token, distance) of chord and kern tokens, with the distance to the nearest system break.
+
+    Dots, bars and comment fields are no tokens; a break after the last token counts.
+    """
+    from .forensics import boundary_distance
+
+    rows = texts.select(F.col(id_col).alias("page_id"), clean_lines(F.col(text_col)).alias("lines"))
+    rows = rows.select("page_id", header_place(F.col("lines"), "**kern").alias("kern"), header_place(F.col("lines"), "**mxhm").alias("chord"), F.posexplode("lines").alias("line_no", "line"))
+    rows = rows.withColumn("is_break", strip(F.col("line")).startswith(marker)).where((strip(F.col("line")) != "") & ~strip(F.col("line")).startswith("*"))
+    # without a header the first field is the kern field
+    levels = F.array(F.struct(F.lit("kern").alias("level"), F.greatest("kern", F.lit(1)).alias("at")), F.struct(F.lit("chord").alias("level"), F.col("chord").alias("at")))
+    flat = rows.select("page_id", "line_no", "line", "is_break", F.inline(levels)).where("at > 0")
+    token = strip(F.get(F.split("line", "\t", -1), F.col("at") - 1))
+    flat = flat.withColumn("token", F.when(~F.col("is_break"), token))
+    real = F.coalesce((F.col("token") != "") & ~F.col("token").rlike("^[=!]") & ((F.col("level") == "kern") | (F.col("token") != ".")), F.lit(False))
+    return boundary_distance(flat.where(F.col("is_break") | real), ["page_id", "level"], "line_no", F.col("is_break")).select("page_id", "level", "position", "token", "distance")
+
+
+def without_dots(text: Column) -> Column:
+    """Every dot deleted, and lines that are blank without it."""
+    return F.array_join(F.filter(F.split(F.replace(text, F.lit("."), F.lit("")), "\n", -1), lambda x: strip(x) != ""), "\n")
+
+
+def paired_systems(pred: Column, truth: Column, marker: str = MARKER) -> Column:
+    """ARRAY<STRUCT<pred, truth>> of the systems that both texts have."""
+    a, b = (F.split(x, rf"\Q{marker}\E", -1) for x in (pred, truth))
+    n = F.least(F.size(a), F.size(b))
+    return F.arrays_zip(F.slice(a, F.lit(1), n).alias("pred"), F.slice(b, F.lit(1), n).alias("truth"))
+
+
+def music_fields(text: Column) -> Column:
+    """STRUCT<first, second, joined> of the fields of lines of two fields or more, but for the first line."""
+    rows = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.when(i > 0, F.split(F.regexp_replace(x, r"\s+$", ""), "\t", -1))), lambda f: F.size(f) > 1)
+    second = F.transform(rows, lambda f: F.get(f, F.lit(1)))
+    return F.struct(F.transform(rows, lambda f: F.get(f, F.lit(0))).alias("first"), second.alias("second"), F.array_join(second, " ").alias("joined"))
+
+
+def music_symbols(text: Column) -> Column:
+    """ARRAY of lines: first field, <t>, and the characters of the second one up to a ``<``, which stands for <b>."""
+
+    def symbols(line: Column) -> Column:
+        fields = F.split(line, "\t", -1)
+        chars = F.filter(F.split(F.get(fields, F.lit(1)), "", -1), lambda c: c != "")
+        end = F.array_position(chars, "<")
+        part = F.when(end > 0, F.concat(F.slice(chars, F.lit(1), F.greatest(end - 1, F.lit(0)).cast("int")), F.array(F.lit("<b>")))).otherwise(chars)
+        return F.when(F.size(fields) > 1, F.concat(F.array(F.get(fields, F.lit(0)), F.lit("<t>")), part)).otherwise(strings())
+
+    return F.transform(F.split(text, "\n", -1), symbols)

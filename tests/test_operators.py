@@ -186,3 +186,47 @@ def test_vocabulary(spark):
     assert {r.i: r.padded for r in vocabulary.batches(ids, "i", 2).collect()} == {1: [2, 1, 2], 2: [0, 0, 0]}
     noisy = ids.select(vocabulary.with_noise(F.col("ids"), F.col("i"), 3, 1.0).alias("x")).collect()
     assert all(len(r.x) in (1, 3) for r in noisy)
+
+
+def test_streams_and_small_extractors(spark):
+    page = spark.createDataFrame([(1, PAGE)], "page_id long, text string")
+    pick = lambda c: page.select(c.alias("x")).first().x
+    assert pick(notation.spine_tokens(F.col("text"))) == ["4c", "4d", "2e", "4.f", "8g", "2r"]
+    assert pick(notation.chord_tokens(F.lit("*\nC:7\n.\n!x\n=1\n"))) == ["C:7", "."] and pick(notation.chord_tokens(F.lit("C:7\n.\n!x"), False)) == ["C:7", "!x"]
+    assert pick(notation.without_dots(F.lit("4.c\t.\n.\nx"))) == "4c\t\nx"
+    assert [tuple(x) for x in pick(notation.paired_systems(F.lit("a!!linebreak:originalb"), F.lit("c")))] == [("a", "c")]
+    assert tuple(pick(notation.music_fields(F.lit("h\tx\na\tb \nc")))) == (["a"], ["b"], "b")
+    assert pick(notation.music_symbols(F.lit("a\tbc<d\nx"))) == [["a", "<t>", "b", "c", "<b>"], []]
+    assert pick(notation.last_fields(F.lit("a\tb\n*\t*\nx"))) == ["b"] and pick(notation.first_spine_text(F.lit("x\ty\n**k\t**kern\n1\t2\n3"))) == "x\n**kern\n2\n3"
+    rows = notation.token_streams(page).orderBy("level", "position").collect()
+    assert [(r.level, r.token, r.distance) for r in rows] == [("chord", "C:maj7", 1), ("chord", "G:7", 0), ("chord", "D-:min7", 0), ("kern", "4c", 2), ("kern", "4d", 1), ("kern", "2e", 0), ("kern", "4.f", 0), ("kern", "8g", 1), ("kern", "2r", 2)]
+
+
+def test_stacked_tokens(spark):
+    from neumes.functions.tokens import music_part, stacked_tokens
+
+    s = ["<bos>", "**kern", "<n>", "=1", "<n>", "4c", "<n>", "*-", "<n>", "<eos>"]
+    rows = spark.createDataFrame([([s, s],)], "s array<array<string>>")
+    two = rows.select(stacked_tokens(F.col("s"), F.lit(2)).alias("x"), stacked_tokens(F.col("s"), F.lit(3)).alias("y"), music_part(F.lit([]).cast("array<string>")).alias("z")).first()
+    assert two.x == s[:7] + ["<linebreak>"] + s[3:] and two.y == s[:7] + ["<linebreak>"] + s[3:7] + ["<eos>"] and two.z == []
+
+
+def test_page_records(spark):
+    rows = spark.createDataFrame([("a", "m", PAGE, PAGE), ("b", "m", "**kern\n4c", "**kern\n4d")], "page string, model string, pred_text string, gt_text string")
+    got = {(r.page, r.metric): r.value for r in metrics.page_records(rows, ["page", "model"]).collect()}
+    assert len(got) == 16 and all(got["a", m] == 0 for m in ("cer", "ser", "ler", "kern_cer", "kern_ser", "kern_ler", "chord_ser", "root_ser"))
+    assert got["b", "ler"] == 50 and got["b", "chord_ser"] == 100
+    none = {(r.page, r.metric): r.value for r in metrics.page_records(rows, ["page", "model"], missing=None).collect()}
+    assert none["b", "root_ser"] is None and none["a", "root_ser"] == 0
+
+
+def test_positional_diff_and_composition(spark):
+    schema = "split string, o int, n int, text string, width int, height int"
+    left = spark.createDataFrame([("t", 1, 1, "a", 5, 5), ("t", 2, 2, "b", 5, 5), ("t", 3, 3, "c", None, None), ("t", 4, 1, "d", 1, 1)], schema)
+    right = spark.createDataFrame([("t", 1, 1, "x", 5, 6), ("t", 2, 1, "y", 5, 5), ("t", 3, 3, "c", 5, 5)], schema)
+    assert sorted((r.row, r.kind) for r in compare.positional_diff(left, right, ["split"], "o").collect()) == [(0, "shape"), (0, "text"), (1, "n"), (2, "unreadable")]
+    assert compare.size_mismatches(left, right, ["split"]).first().right_rows == 3
+    t = lambda *rows: spark.createDataFrame(rows, "img string, gt string, n int")
+    args = (t(("s", "s", 2), ("s9", "s9", 9)), t(("i", "i", 0)), t(("r", "r", 0)), t(("y", "y", 0)), 9)
+    counts = {s: sorted((r.img, r.n) for r in assemble.split_composition(s, *args).collect()) for s in ("train", "val", "test")}
+    assert counts == {"train": [("i", 1), ("r", 9), ("s", 2), ("s9", 9), ("y", 9)], "val": [("i", 1), ("r", 9), ("s", 2)], "test": [("r", 9)]}
