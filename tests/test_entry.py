@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
@@ -23,9 +24,13 @@ def duck():
 
 
 def rows(frame):
-    frame = frame[sorted(frame.columns)]
+    frame = frame[sorted(frame.columns)].reset_index(drop=True)
     for c in frame.columns:
-        frame[c] = [None if v is None or v != v else round(float(v), 5) if isinstance(v, float) else str(v) for v in frame[c].astype(object)]
+        values = frame[c].astype(object)
+        if pd.api.types.is_numeric_dtype(frame[c].dtype) and not pd.api.types.is_bool_dtype(frame[c].dtype):  # integers with nulls may come as floats
+            frame[c] = pd.Series([None if pd.isna(v) else round(float(v), 5) for v in values], dtype=object)
+        else:
+            frame[c] = pd.Series([None if pd.isna(v) else str(v) for v in values], dtype=object)
     return sorted(map(str, frame.itertuples(index=False, name=None)))
 
 
