@@ -1,5 +1,6 @@
 """What the operators share: intermediate tables, input columns, bounded batches."""
 
+import ctypes
 import tempfile
 import uuid
 
@@ -12,16 +13,19 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """A folder of this application below the one that driver and executors share.
 
-    It is read from spark.checkpoint.dir; only where that is unset (tests in
-    local mode) a temporary folder takes its place.
+    The latter is read from spark.checkpoint.dir; only where that is unset (tests in
+    local mode) a temporary folder takes its place. The application's folder goes
+    when its JVM ends in order.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.neumes.shared", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="neumes-")
-        spark.conf.set("spark.neumes.shared", found)
-    return found.rstrip("/")
+    context = spark.sparkContext
+    top = context.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/neumes-{context.applicationId}")
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return path.toString()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,6 +52,21 @@ def utf8(column: pa.Array) -> list:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def lean(run):
+    """``run`` over batches, with freed memory given back at its end: idle workers stay small."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
