@@ -44,8 +44,11 @@ class Block:
             for i in range(max(1, len(w) - window + 1) if w else 0):
                 self.windows.setdefault(w[i : i + window], set()).add(item)
         #: the shingles of each window with their places, by length: a window of few words is its own shingle
-        self.lengths = sorted({min(shingle, len(w)) for w in self.windows})
-        self.known = {n: np.unique(np.array([self.code(np.array(w))[i] for w in self.windows if min(shingle, len(w)) == n for i in range(len(w) - n + 1)], np.int64)) for n in self.lengths}
+        codes: dict[int, list] = {}
+        for w in self.windows:
+            codes.setdefault(min(shingle, len(w)), []).append(self.code(np.array(w)))
+        self.lengths = sorted(codes)
+        self.known = {n: np.unique(np.concatenate(found)) for n, found in codes.items()}
 
     def code(self, numbers: np.ndarray, n: int | None = None) -> np.ndarray:
         """An exact number for each shingle of n words; -1 where a word is not of the items."""
