@@ -76,7 +76,7 @@ def test_unseen_expressions_tell_nothing_and_marked_words_do():
     docs0, docs1 = np.full(40, 3), np.array([40])
     contexts, words = np.zeros(41, int), np.arange(2, 43)
     n0, n1 = np.concatenate([docs0, [0]]), np.concatenate([docs0, docs1])
-    m = Model.fit(contexts, words, [n0, n1], np.zeros(60, bool), np.ones(60), 4)
+    m = Model.fit(contexts, words, [n0, n1], np.zeros(60, bool), np.ones(60), 4, 3.0)
     gaps = m.gaps(np.array([2, 42, 55]), np.array([0, 1, 2, 3, 3]))
     assert gaps[1] > 0.02 and abs(gaps[0]) < gaps[1] and gaps[2] == gaps[3] == 0
     assert discounts(np.array([1] * 50 + [2] * 20 + [3] * 5 + [4] * 3)).tolist() == sorted(discounts(np.array([1] * 50 + [2] * 20 + [3] * 5 + [4] * 3)).tolist())
