@@ -56,7 +56,7 @@ def frequent(digests: DataFrame, counters: int) -> DataFrame:
     return level
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 256) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 4096) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_chars.
 
     Texts are equal when identical without the white space [\\x20\\x09-\\x0D];
