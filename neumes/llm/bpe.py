@@ -142,7 +142,7 @@ def split_counts(tokenizer):
             found = Split(batch.column(1), splitter)
             for w, n in zip(found.words.to_pylist(), found.counts().tolist()):
                 total[w] = total.get(w, 0) + n
-            if len(total) > 300_000:  # bounded; the sums are the same
+            if len(total) > 600_000:  # bounded; the sums are the same
                 yield rows(split, total)
                 total = {}
         if total:
@@ -182,7 +182,7 @@ def blobs(batches):
         if not batch.num_rows:
             continue
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
             out.write_batch(batch)
         yield pa.record_batch({"split": pa.array([batch.column(2)[0].as_py()], pa.int32()), "kind": pa.array([1], pa.int32()), "word": pa.nulls(1, pa.string()), "ids": pa.nulls(1, pa.list_(pa.int32())), "blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
