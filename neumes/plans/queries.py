@@ -33,8 +33,8 @@ def ascii_text(c: Column) -> Column:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page, model, pred_text, gt_text): documents and two fixed corruptions of them, the measured text being a parameter of length."""
-    gt = F.substring(ascii_text(F.coalesce("text", F.lit(""))), 1, 200)
+    """(page, model, pred_text, gt_text): whole documents and two fixed corruptions of them."""
+    gt = ascii_text(F.coalesce("text", F.lit("")))
     rows = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), gt.alias("gt_text"))
     corrupt = F.array(F.struct(F.lit("light").alias("model"), F.replace(F.col("gt_text"), F.lit("th"), F.lit("t")).alias("pred_text")), F.struct(F.lit("heavy").alias("model"), F.replace(F.replace(F.col("gt_text"), F.lit("e"), F.lit("")), F.lit("\n"), F.lit(" ")).alias("pred_text")))
     return rows.select("page", "gt_text", F.inline(corrupt)).select("page", "model", "pred_text", "gt_text")
