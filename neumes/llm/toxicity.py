@@ -9,11 +9,11 @@ by modified Kneser-Ney; expressions that are rare, or that are dealt to both
 classes as chance would deal them (within ``beyond`` standard deviations), lose
 theirs altogether. What is taken off goes, with one weight for both classes, to
 shared backoff counts: in how many classes the expression occurs, and below that,
-in how many slices of the whole corpus the word occurs. The score is a logistic function, fitted on training rows kept out
+in how many texts of the whole corpus the word occurs. The score is a logistic function, fitted on training rows kept out
 of the counts, of the difference of the log-likelihoods per expression.
 
 The class counts come from a bounded sample of labelled rows; the lowest shared
-counts from every text.
+counts from every text and every word, in a written table that grows with the corpus.
 """
 
 from dataclasses import dataclass
@@ -21,17 +21,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold_of, id_and_text, utf8, written
+from .common import bounded_batches, fold_of, id_and_text, written
 
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: Number 0 stands before the first word, 1 for a word outside the vocabulary.
 START, OTHER, OWN = 0, 1, 2
-#: The discount of the shared counts, and the slices of the corpus that they count.
-SHARED, SLICES = 0.75, 62
+#: The discount of the shared counts.
+SHARED = 0.75
 #: Expressions without a difference that lengthen each text.
 NEUTRAL = 100
 
@@ -83,9 +82,9 @@ class Model:
     shift: float = 0.0
 
     @classmethod
-    def fit(cls, contexts, words, counts, frequent, slices, rare: int, beyond: float) -> "Model":
-        """Parallel arrays of expressions with their counts by class; slices: how many hold each word."""
-        size = len(slices)
+    def fit(cls, contexts, words, counts, frequent, texts, rare: int, beyond: float) -> "Model":
+        """Parallel arrays of expressions with their counts by class; texts: how many of the corpus hold each word."""
+        size = len(texts)
         n = [np.asarray(c, np.int64) for c in counts]
         both = n[0] + n[1]
         share = n[1].sum() / max(1, both.sum())
@@ -96,7 +95,7 @@ class Model:
         weight = np.bincount(contexts, off[0] + off[1], size) / np.maximum(total[0] + total[1], 1)
         held = (n[0] > 0).astype(float) + (n[1] > 0)
         of_context = np.maximum(np.bincount(contexts, held, size), 1)
-        base = (slices + 1.0) / (slices + 1.0).sum()
+        base = (texts + 1.0) / (texts + 1.0).sum()
         shared = (held - SHARED) / of_context[contexts] + np.bincount(contexts, np.full(len(held), SHARED), size)[contexts] / of_context[contexts] * base[words]
         p = [(c - d) / np.maximum(t[contexts], 1) + weight[contexts] * shared for c, d, t in zip(n, off, total)]
         ratio = np.log(p[1]) - np.log(p[0]) if len(contexts) else np.empty(0)
@@ -166,20 +165,29 @@ def expressions(vocabulary, frequent: np.ndarray):
     return run
 
 
-def word_slices(vocabulary):
-    """Rows (word, slices): bits of the slices of the corpus in which this task met each word of the vocabulary."""
+def text_counts(batches):
+    """Rows (word, texts) of texts (text): how many of a batch hold each of their words."""
+    for batch in batches:
+        number: dict[str, int] = {}
+        stream, ends = word_stream(batch.column(0), lambda w: number.setdefault(w, len(number)))
+        docs = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        held = np.unique(docs * max(1, len(number)) + stream) % max(1, len(number))
+        yield pa.record_batch({"word": pa.array(list(number), pa.string()), "texts": np.bincount(held, minlength=len(number)).astype(np.int64)})
 
-    def run(batches):
-        number = vocabulary.value
-        met = np.zeros(len(number) + OWN, np.int64)
-        for batch in batches:
-            stream, ends = word_stream(batch.column(0), lambda w: number.get(w, OTHER))
-            bits = np.array([1 << (xxhash.xxh3_64_intdigest(t) % SLICES) for t in utf8(batch.column(0))], np.int64)
-            np.bitwise_or.at(met, stream, np.repeat(bits, np.diff(ends)))
-        at = np.flatnonzero(met)
-        yield pa.record_batch({"word": at.astype(np.int64), "slices": met[at]})
 
-    return run
+def shared_counts(texts: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
+    """Texts of the whole corpus that hold each word of the vocabulary; all words outside it stand at OTHER.
+
+    The counts of all words are a written table; only those of the vocabulary, which
+    are joined to it, and two sums come to the driver.
+    """
+    counts = written(texts.select("text").mapInArrow(text_counts, "word string, texts long").groupBy("word").agg(F.sum("texts").alias("texts")), "corpus_words")
+    wanted = texts.sparkSession.createDataFrame(pa.table({"word": pa.array(list(vocabulary), pa.string()), "number": pa.array(list(vocabulary.values()), pa.int64())}))
+    found = counts.join(wanted, "word").select("number", "texts").toArrow()  # at most a row for each word of the sample
+    out = np.zeros(len(vocabulary) + OWN)
+    out[found["number"].to_numpy()] = found["texts"].to_numpy()
+    out[OTHER] = (counts.agg(F.sum("texts")).first()[0] or 0) - out.sum()
+    return out
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, most_rows: int, most_words: int) -> tuple[DataFrame, np.ndarray]:
@@ -227,17 +235,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     for r in words.orderBy(F.desc("n"), "word").toArrow().to_pylist():  # at most 2 x most_words rows
         vocabulary[r["word"]] = len(vocabulary) + OWN
     sent = spark.sparkContext.broadcast(vocabulary)
-    slices = np.zeros(len(vocabulary) + OWN)
-    met = texts.select("text").mapInArrow(word_slices(sent), "word long, slices long").groupBy("word").agg(F.bit_count(F.bit_or("slices")).alias("slices")).toArrow()  # at most a row for each word of the sample
-    slices[met["word"].to_numpy()] = met["slices"].to_numpy()
+    held = shared_counts(texts, vocabulary)
     fitted = sample.where("part = 0").select("text", "y").toArrow().combine_chunks()  # a quarter of the bounded sample
     models = []
     for most in contexts:
-        frequent = np.zeros(len(slices), bool)
+        frequent = np.zeros(len(held), bool)
         frequent[OWN : OWN + most] = True
         found = counted.mapInArrow(expressions(sent, frequent), "context long, word long, n0 long, n1 long").groupBy("context", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # at most a row for each word of the sample
         parts = [found[c].to_numpy() for c in ("context", "word", "n0", "n1")]
-        models += [Model.fit(parts[0], parts[1], parts[2:], frequent, slices, r, beyond) for r in rare]
+        models += [Model.fit(parts[0], parts[1], parts[2:], frequent, held, r, beyond) for r in rare]
     model = models[int(np.argmin([calibrate(m, fitted, vocabulary, sizes) for m in models]))]
     kept = spark.sparkContext.broadcast(model)
 

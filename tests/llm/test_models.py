@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from neumes.llm.quality import NAMES, Discriminant, drop_low_quality, quality_scores, statistics
-from neumes.llm.toxicity import Model, discounts, in_context, logistic, toxicity_scores
+from neumes.llm.toxicity import Model, discounts, in_context, logistic, shared_counts, toxicity_scores
 
 SF = "/root/testdata/sf0.1"
 
@@ -106,3 +106,10 @@ def test_toxicity_on_rows_with_marked_words(spark):
     out = toxicity_scores(spark.createDataFrame(rows, "doc_id long, text string"), labels).join(labels, "doc_id").collect()
     assert area(out, "toxic") > 0.97
     assert np.mean([r.toxic for r in out if r.predicted]) > 0.95
+
+
+def test_shared_counts_are_of_all_texts_and_words(spark):
+    """Counts beyond some dozens, and of words outside the sample."""
+    rows = [(i, "Common word%d, common" % (i % 150)) for i in range(300)] + [(300, None)]
+    got = shared_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), {"common": 2, "word7": 3, "absent": 4})
+    assert got.tolist() == [0, 298, 300, 2, 0]
