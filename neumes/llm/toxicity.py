@@ -5,9 +5,9 @@ earlier one of a few very frequent words, which tells much about language and
 nothing about the topic, or nothing at all (of a few numbers of such words, and of
 the bounds below, those that fit the rows kept out best are taken). An expression
 (context and word) counts once for each training document. Counts are discounted
-by modified Kneser-Ney; expressions that are rare, or that are dealt to both
-classes as chance would deal them (within ``beyond`` standard deviations), lose
-theirs altogether. What is taken off goes, with one weight for both classes, to
+by modified Kneser-Ney, and each expression has some counts in advance, dealt as
+the classes are, which draw rare ones to no difference but leave none without
+its own. What is taken off goes, with one weight for both classes, to
 shared backoff counts: in how many classes the expression occurs, and below that,
 in how many texts of the whole corpus the word occurs. The score is a logistic function, fitted on training rows kept out
 of the counts, of the difference of the log-likelihoods per expression.
@@ -82,22 +82,24 @@ class Model:
     shift: float = 0.0
 
     @classmethod
-    def fit(cls, contexts, words, counts, frequent, texts, rare: int, beyond: float) -> "Model":
-        """Parallel arrays of expressions with their counts by class; texts: how many of the corpus hold each word."""
+    def fit(cls, contexts, words, counts, frequent, texts, alone: float, inside: float) -> "Model":
+        """Parallel arrays of expressions with their counts by class; texts: how many of the corpus hold each word.
+
+        ``alone`` and ``inside``: counts that each expression without and with a context has in advance.
+        """
         size = len(texts)
         n = [np.asarray(c, np.int64) for c in counts]
         both = n[0] + n[1]
-        share = n[1].sum() / max(1, both.sum())
-        spread = np.sqrt(np.maximum(both * share * (1 - share), 1e-9))
-        few = (both < rare) | (np.abs(n[1] - both * share) < beyond * spread)
-        off = [np.where(few, c, discounts(c)[np.minimum(c, 3)]) for c in n]
+        prior = np.where(contexts == START, alone, inside)
+        ahead = [prior * c.sum() / max(1, both.sum()) for c in n]
+        off = [discounts(c)[np.minimum(c, 3)] for c in n]
         total = [np.bincount(contexts, c, size) for c in n]
         weight = np.bincount(contexts, off[0] + off[1], size) / np.maximum(total[0] + total[1], 1)
         held = (n[0] > 0).astype(float) + (n[1] > 0)
         of_context = np.maximum(np.bincount(contexts, held, size), 1)
         base = (texts + 1.0) / (texts + 1.0).sum()
         shared = (held - SHARED) / of_context[contexts] + np.bincount(contexts, np.full(len(held), SHARED), size)[contexts] / of_context[contexts] * base[words]
-        p = [(c - d) / np.maximum(t[contexts], 1) + weight[contexts] * shared for c, d, t in zip(n, off, total)]
+        p = [(c - d + e) / np.maximum(t[contexts], 1) + weight[contexts] * shared for c, d, e, t in zip(n, off, ahead, total)]
         ratio = np.log(p[1]) - np.log(p[0]) if len(contexts) else np.empty(0)
         keys = contexts * size + words
         order = np.argsort(keys)
@@ -214,7 +216,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, most_rows:
     return written(sample, "sample"), np.array([sizes.get(0, 0), sizes.get(1, 0)], float)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, most_rows: int = 4000, most_words: int = 8_000_000, contexts: tuple[int, ...] = (0, 2), rare: tuple[int, ...] = (2, 4), beyond: float = 4.0) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, most_rows: int = 4000, most_words: int = 8_000_000, contexts: tuple[int, ...] = (0, 2), alone: tuple[float, ...] = (2.0, 8.0), inside: float = 8.0) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Learns from rows of ``labels`` with label 0 or 1 whose crc32(doc_id) mod 3 is
@@ -243,7 +245,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         frequent[OWN : OWN + most] = True
         found = counted.mapInArrow(expressions(sent, frequent), "context long, word long, n0 long, n1 long").groupBy("context", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # at most a row for each word of the sample
         parts = [found[c].to_numpy() for c in ("context", "word", "n0", "n1")]
-        models += [Model.fit(parts[0], parts[1], parts[2:], frequent, held, r, beyond) for r in rare]
+        models += [Model.fit(parts[0], parts[1], parts[2:], frequent, held, a, inside) for a in alone]
     model = models[int(np.argmin([calibrate(m, fitted, vocabulary, sizes) for m in models]))]
     kept = spark.sparkContext.broadcast(model)
 

@@ -113,3 +113,13 @@ def test_shared_counts_are_of_all_texts_and_words(spark):
     rows = [(i, "Common word%d, common" % (i % 150)) for i in range(300)] + [(300, None)]
     got = shared_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), {"common": 2, "word7": 3, "absent": 4})
     assert got.tolist() == [0, 298, 300, 2, 0]
+
+
+def test_rare_expressions_keep_their_difference():
+    """A word of two to fifteen documents of one class counts, and the more for each of them."""
+    n1 = np.concatenate([[2, 5, 15], np.full(3000, 3)])
+    n0 = np.concatenate([[0, 0, 0], np.full(3000, 3)])
+    words = np.arange(2, 3005)
+    m = Model.fit(np.zeros(3003, int), words, [n0, n1], np.zeros(3010, bool), np.ones(3010), 4, 3.0)
+    gaps = m.gaps(np.array([2, 3, 4, 9]), np.arange(5))
+    assert 0.001 < gaps[0] < gaps[1] < gaps[2] and abs(gaps[3]) < gaps[0]
