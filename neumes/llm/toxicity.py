@@ -1,9 +1,7 @@
 """Toxicity by two class-conditional Kneser-Ney models with shared backoff counts.
 
-Each class has a model of words in context; the context of a word is the nearest
-earlier one of a few very frequent words, which tells much about language and
-nothing about the topic, or nothing at all (of a few numbers of such words, and of
-the bounds below, those that fit the rows kept out best are taken). An expression
+Each class has a model of words after the preceding word, backed off to one of
+words alone (of a few priors those that fit the rows kept out best are taken). An expression
 (context and word) counts once for each training document. Counts are discounted
 by modified Kneser-Ney, and each expression has some counts in advance, dealt as
 the classes are, which draw rare ones to no difference but leave none without
@@ -16,6 +14,7 @@ The class counts come from a bounded sample of labelled rows; the lowest shared
 counts from every text and every word, in a written table that grows with the corpus.
 """
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,7 +70,8 @@ def discounts(counts: np.ndarray) -> np.ndarray:
 class Model:
     """The difference of both log-likelihoods, ``ratio``, for the sorted ``keys`` (context * size + word).
 
-    All other expressions have it 0: what they cost is the shared backoff alone.
+    All other expressions have that of their word, ``backoff``, if there is one, or else
+    0: what they cost is the shared backoff alone.
     """
 
     size: int
@@ -80,9 +80,10 @@ class Model:
     ratio: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
+    backoff: np.ndarray | None = None
 
     @classmethod
-    def fit(cls, contexts, words, counts, frequent, texts, alone: float, inside: float) -> "Model":
+    def fit(cls, contexts, words, counts, frequent, texts, alone: float, inside: float = 0.0) -> "Model":
         """Parallel arrays of expressions with their counts by class; texts: how many of the corpus hold each word.
 
         ``alone`` and ``inside``: counts that each expression without and with a context has in advance.
@@ -101,11 +102,39 @@ class Model:
         shared = (held - SHARED) / of_context[contexts] + np.bincount(contexts, np.full(len(held), SHARED), size)[contexts] / of_context[contexts] * base[words]
         p = [(c - d + e) / np.maximum(t[contexts], 1) + weight[contexts] * shared for c, d, e, t in zip(n, off, ahead, total)]
         ratio = np.log(p[1]) - np.log(p[0]) if len(contexts) else np.empty(0)
-        keys = contexts * size + words
+        keys = contexts.astype(np.int64) * size + words
         order = np.argsort(keys)
         order = order[ratio[order] != 0]
         return cls(size, frequent, keys[order], ratio[order])
 
+    def deepened(self, contexts, words, counts, frequent: np.ndarray, inside: float) -> "Model":
+        """This model of words, with expressions in context backed off to it.
+
+        What is discounted from an expression, and ``inside`` counts in advance, go to
+        both classes as this model deals the word; an unseen expression is its word.
+        """
+        sums = [max(1, int(c.sum())) for c in counts]
+        taken = [discounts(c) for c in counts]
+        of_word = self.of_words()
+        ratio = np.empty(len(words), np.float32)
+        for i in range(0, len(words), 1 << 16):  # small temporary arrays
+            n = [c[i : i + (1 << 16)].astype(np.int64) for c in counts]
+            odds = np.exp(of_word[words[i : i + (1 << 16)]]) * sums[1] / sums[0]
+            off = [t[np.minimum(c, 3)] for t, c in zip(taken, n)]
+            ahead = off[0] + off[1] + inside
+            ratio[i : i + (1 << 16)] = np.log((n[1] - off[1] + ahead * odds / (1 + odds)) / (n[0] - off[0] + ahead / (1 + odds))) - np.log(sums[1] / sums[0])
+        keys = contexts.astype(np.int64) * self.size + words
+        if np.any(keys[1:] < keys[:-1]):
+            order = np.argsort(keys)
+            keys, ratio = keys[order], ratio[order]
+        return Model(self.size, frequent, keys, ratio, backoff=of_word)
+
+    def of_words(self) -> np.ndarray:
+        """The difference of each word without context."""
+        out = np.zeros(self.size)
+        out[self.keys[self.keys < self.size]] = self.ratio[self.keys < self.size]
+        return out
+
     def gaps(self, stream: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Difference of the log-likelihoods per distinct expression, for each text.
 
@@ -116,10 +145,10 @@ class Model:
         docs = np.repeat(np.arange(texts), np.diff(ends))
         # of some thousand texts and a million words, such numbers stay far below 2^63
         docs, keys = np.divmod(np.unique((docs * self.size + in_context(stream, ends, self.frequent)) * self.size + stream), self.size * self.size)
-        found = np.zeros(len(keys))
+        found = np.zeros(len(keys)) if self.backoff is None else self.backoff[keys % self.size]
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            found = np.where(self.keys[at] == keys, self.ratio[at], 0.0)
+            found = np.where(self.keys[at] == keys, self.ratio[at], found)
         return np.bincount(docs, found, texts) / (np.bincount(docs, minlength=texts) + NEUTRAL)
 
     def scores(self, gaps: np.ndarray) -> np.ndarray:
@@ -216,7 +245,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, most_rows:
     return written(sample, "sample"), np.array([sizes.get(0, 0), sizes.get(1, 0)], float)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, most_rows: int = 4000, most_words: int = 8_000_000, contexts: tuple[int, ...] = (0, 2), alone: tuple[float, ...] = (2.0, 8.0), inside: float = 8.0) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, most_rows: int = 4000, most_words: int = 8_000_000, alone: tuple[float, ...] = (2.0, 8.0, 32.0), inside: tuple[float, ...] = (8.0, 64.0)) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Learns from rows of ``labels`` with label 0 or 1 whose crc32(doc_id) mod 3 is
@@ -239,14 +268,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     sent = spark.sparkContext.broadcast(vocabulary)
     held = shared_counts(texts, vocabulary)
     fitted = sample.where("part = 0").select("text", "y").toArrow().combine_chunks()  # a quarter of the bounded sample
-    models = []
-    for most in contexts:
-        frequent = np.zeros(len(held), bool)
-        frequent[OWN : OWN + most] = True
-        found = counted.mapInArrow(expressions(sent, frequent), "context long, word long, n0 long, n1 long").groupBy("context", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # at most a row for each word of the sample
-        parts = [found[c].to_numpy() for c in ("context", "word", "n0", "n1")]
-        models += [Model.fit(parts[0], parts[1], parts[2:], frequent, held, a, inside) for a in alone]
-    model = models[int(np.argmin([calibrate(m, fitted, vocabulary, sizes) for m in models]))]
+    parts = []
+    for each in (False, True):  # words alone, and words after the preceding one
+        frequent = np.full(len(held), each)
+        found = counted.mapInArrow(expressions(sent, frequent), "context long, word long, n0 long, n1 long").groupBy("context", "word").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1")).select(F.col("context").cast("int").alias("context"), F.col("word").cast("int").alias("word"), "n0", "n1").orderBy("context", "word").toArrow()  # at most a row for each word of the sample
+        context, word, *n = (found[c].to_numpy() for c in ("context", "word", "n0", "n1"))
+        del found
+        parts.append((context, word, n, frequent))
+    model, least = None, np.inf
+    for a, i in itertools.product(alone, inside):  # one besides the best is held at a time
+        other = Model.fit(*parts[0], held, a).deepened(*parts[1], i)
+        loss = calibrate(other, fitted, vocabulary, sizes)
+        if model is None or loss < least:
+            model, least = other, loss
+    del parts, other
     kept = spark.sparkContext.broadcast(model)
 
     def score(batches):

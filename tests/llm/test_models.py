@@ -123,3 +123,12 @@ def test_rare_expressions_keep_their_difference():
     m = Model.fit(np.zeros(3003, int), words, [n0, n1], np.zeros(3010, bool), np.ones(3010), 4, 3.0)
     gaps = m.gaps(np.array([2, 3, 4, 9]), np.arange(5))
     assert 0.001 < gaps[0] < gaps[1] < gaps[2] and abs(gaps[3]) < gaps[0]
+
+
+def test_expressions_of_ordinary_words_count_beyond_their_words():
+    """Two words that both classes use alike, in one order in texts of one class only."""
+    none, every = np.zeros(10, bool), np.ones(10, bool)
+    word = Model.fit(np.zeros(2, int), np.array([2, 3]), [np.array([50, 50])] * 2, none, np.ones(10), 4.0)
+    pairs = word.deepened(np.array([2, 3]), np.array([3, 2]), [np.array([2, 40]), np.array([40, 2])], every, 8.0)
+    forth, back, unseen = pairs.gaps(np.array([2, 3, 3, 2, 3, 3]), np.array([0, 2, 4, 6]))
+    assert forth > 0.01 > -0.01 > back and abs(unseen) < 1e-9
