@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_and_text, lean, shuffle_partitions, written
+from .common import bounded, id_and_text, lean, shuffle_partitions, written
 
 #: Longer words are never broadcast; this and ``hot_words`` bound what is.
 HOT_BYTES = 32
@@ -246,12 +246,11 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     ``docs`` are not read. The tokenizer's file is read on the driver only.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 4096, 4 << 20)
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = spark.sparkContext.broadcast(f.read())
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("split"))
-    counts = written(rows.mapInArrow(lean(split_counts(tokenizer)), "split int, word string, n long"), "split-words")
-    words = written(counts.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(lean(encoded(tokenizer)), "word string, n long, ids array<int>"), "words")
+    counts = written(rows.mapInArrow(lean(bounded(split_counts(tokenizer), size=4 << 20)), "split int, word string, n long"), "split-words")
+    words = written(counts.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(lean(bounded(encoded(tokenizer))), "word string, n long, ids array<int>"), "words")
     level = F.floor(F.log2("n") * 8).cast("int")
     short = F.octet_length("word") <= HOT_BYTES
     least = None
@@ -263,8 +262,8 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         least = r.level
     common = words.where(short & (level >= (least if least is not None else 1 << 30))).select("word", "ids").toArrow().combine_chunks()
     hot = spark.sparkContext.broadcast({c: (common[c].chunk(0) if common[c].num_chunks else pa.array([], common[c].type)) for c in ("word", "ids")})
-    own = counts.mapInArrow(lean(rare(hot)), "split int, word string").join(words.select("word", "ids"), "word")
+    own = counts.mapInArrow(lean(bounded(rare(hot))), "split int, word string").join(words.select("word", "ids"), "word")
     columns = "split int, kind int, word string, ids array<int>, blob binary"
     answers = own.select("split", F.lit(0).alias("kind"), "word", "ids", F.lit(None).cast("binary").alias("blob"))
-    together = answers.unionAll(rows.mapInArrow(lean(blobs), columns)).repartition(shuffle_partitions(spark), "split").sortWithinPartitions("split", "kind")
-    return together.mapInArrow(lean(positioned(tokenizer, hot)), "doc_id long, n_tokens long, ids binary, decoded string")
+    together = answers.unionAll(rows.mapInArrow(lean(bounded(blobs, size=4 << 20)), columns)).repartition(shuffle_partitions(spark), "split").sortWithinPartitions("split", "kind")
+    return together.mapInArrow(lean(bounded(positioned(tokenizer, hot), size=4 << 20)), "doc_id long, n_tokens long, ids binary, decoded string")

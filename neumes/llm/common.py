@@ -4,23 +4,27 @@ import ctypes
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The white space of the contracts: space and the code points 9 to 13.
-SPACE = " \t\n\x0b\x0c\r"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application below the one that driver and executors share.
 
-    The latter is read from spark.checkpoint.dir; only where that is unset (tests in
-    local mode) a temporary folder takes its place. The application's folder goes
+    The latter is read from spark.checkpoint.dir. Where that is unset, a temporary
+    folder takes its place in local mode, as in tests; on a cluster that is an error,
+    as each executor would write to a disk of its own. The application's folder goes
     when its JVM ends in order.
     """
     context = spark.sparkContext
-    top = context.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    top = context.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = tempfile.gettempdir()
     path = context._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/neumes-{context.applicationId}")
     files = path.getFileSystem(context._jsc.hadoopConfiguration())
     files.mkdirs(path)
@@ -36,10 +40,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 4096, size: int = 16 << 20) -> None:
-    """Bounds the Arrow batches that Python code sees, in rows and in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def pieces(batch: pa.RecordBatch, rows: int, size: int):
+    """Slices of a batch with at most so many rows and, but for single larger rows, bytes of text."""
+    texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+    if batch.num_rows <= rows and (not texts or batch.nbytes <= size):
+        yield batch
+        return
+    ends = np.zeros(batch.num_rows, np.int64)
+    for c in texts:
+        ends += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(ends)
+    begin = 0
+    while begin < batch.num_rows:
+        fits = int(np.searchsorted(ends, size + (int(ends[begin - 1]) if begin else 0), "right"))
+        end = min(begin + rows, max(begin + 1, fits))
+        yield batch.slice(begin, end - begin)
+        begin = min(end, batch.num_rows)
+
+
+def bounded(run, rows: int = 4096, size: int = 16 << 20):
+    """``run`` over batches of bounded rows and bytes, whatever the session's settings, which stay as they are."""
+
+    def wrapped(batches):
+        return run(piece for batch in batches for piece in pieces(batch, rows, size))
+
+    return wrapped
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

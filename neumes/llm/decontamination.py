@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_and_text, utf8, written
+from .common import bounded, id_and_text, utf8, written
 
 SPANS = "array<struct<start:long,end:long>>"
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -150,7 +150,7 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, window: int, s
 
 def tokens_of(block: Block, rows: DataFrame) -> dict:
     """The block's prefix tokens, rarest by the documents of the corpus that hold them."""
-    counted = rows.mapInArrow(shingle_frequencies(block), "n int, k long, docs long").groupBy("n", "k").agg(F.sum("docs").alias("docs")).collect()  # at most a row for each shingle of the block
+    counted = rows.mapInArrow(bounded(shingle_frequencies(block)), "n int, k long, docs long").groupBy("n", "k").agg(F.sum("docs").alias("docs")).collect()  # at most a row for each shingle of the block
     return prefixes(block, {(r.n, r.k): r.docs for r in counted})
 
 
@@ -164,14 +164,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     count once. An empty table gives no rows, an empty benchmark no hits. Other
     columns are not read.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
     rows = id_and_text(docs, id_col, text_col).withColumn("row_id", F.lit(0).cast("long"))
     blocks, made = blocks_of(benchmark, item_col, item_text_col, window, shingle, block_words)
     schema = f"doc_id long, row_id long, n_words long, spans {SPANS}, items array<string>"
     if blocks > 1:
         rows = written(rows.withColumn("row_id", F.monotonically_increasing_id()), "documents")
-    found = [rows.mapInArrow(hits(block, tokens_of(block, rows)), schema) for block in made]
+    found = [rows.mapInArrow(bounded(hits(block, tokens_of(block, rows))), schema) for block in made]
     out = found[0]
     if blocks > 1:
         for other in found[1:]:
@@ -208,7 +206,6 @@ def is_clean(judge):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3, block_words: int = 200_000) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no window of any item; judged where they are read."""
-    bounded_batches(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
     out = docs
     for block in blocks_of(benchmark, item_col, item_text_col, window, shingle, block_words)[1]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, bounded_batches, id_and_text, written
+from .common import id_and_text, written
 
 
 def misra_gries(pairs, counters: int) -> dict:
@@ -66,7 +66,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are ranked as they come, and exactly one row of each group is kept. An
     empty table gives no rows. Other columns of ``docs`` are not read.
     """
-    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")
     digests = written(

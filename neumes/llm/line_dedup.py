@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_and_text, shuffle_partitions, utf8, written
+from .common import bounded, id_and_text, shuffle_partitions, utf8, written
 from .perfect_hash import LineIndex
 
 
@@ -141,9 +141,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives no rows. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     rows = id_and_text(docs, id_col, text_col)
-    lines = rows.mapInArrow(count_lines(least), "a long, b long, n long, first long, last long")
+    lines = rows.mapInArrow(bounded(count_lines(least)), "a long, b long, n long, first long, last long")
     repeated = written(
         lines.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")).where("first < last").drop("last"),
         "repeated-lines",
@@ -158,11 +157,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = "shard int, kind int, index binary, a long, b long, doc_id long"
     index = written(repeated.select(shard, "a", "b", "n", "first").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(build_shards, schema), "line-index")
     drops = (
-        index.unionAll(rows.mapInArrow(probes(least, shards, set(hot)), schema))
+        index.unionAll(rows.mapInArrow(bounded(probes(least, shards, set(hot))), schema))
         .repartition(shards, "shard")
         .sortWithinPartitions("shard", "kind")
         .mapInArrow(answer, "doc_id long, line binary")
         .groupBy("doc_id")
         .agg(F.collect_set("line").alias("drop"))  # at most a document's own lines
     )
-    return rows.join(drops, "doc_id", "left").select("doc_id", "text", "drop").mapInArrow(cut(least, hot), "doc_id long, text string, n_lines long, n_dropped long")
+    return rows.join(drops, "doc_id", "left").select("doc_id", "text", "drop").mapInArrow(bounded(cut(least, hot)), "doc_id long, text string, n_lines long, n_dropped long")

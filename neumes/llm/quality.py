@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold_of, id_and_text, utf8, written
+from .common import bounded, fold_of, id_and_text, utf8, written
 
 #: Code points below 128 by kind: 1 upper, 2 lower, 3 digit, 4 space, 5 sentence marks, 6 other marks; bytes of longer characters count as lower.
 KINDS = np.array([1 if 65 <= c <= 90 else 2 if 97 <= c <= 122 or c >= 128 else 3 if 48 <= c <= 57 else 4 if c in b" \t\n\r\x0b\x0c" else 5 if c in b".,;:'\"?-()" else 6 for c in range(256)], np.uint8)
@@ -126,8 +126,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     Learns from rows of ``labels`` with label 0 or 1 whose crc32(doc_id) mod 3 is
     not 1; a doc_id labelled more than once counts with its largest label.
     """
-    bounded_batches(docs.sparkSession)
-    stats = written(id_and_text(docs, id_col, text_col).mapInArrow(statistics_rows, "doc_id long, x array<double>"), "statistics")
+    stats = written(id_and_text(docs, id_col, text_col).mapInArrow(bounded(statistics_rows), "doc_id long, x array<double>"), "statistics")
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("long").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(fold_of(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("y").alias("y"))
     sums = stats.join(known, "doc_id").select("x", "y").mapInArrow(class_sums, "c long, place long, value double").groupBy("c", "place").agg(F.sum("value").alias("value")).collect()
     d = len(NAMES)

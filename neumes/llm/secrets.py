@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_and_text, utf8
+from .common import bounded, id_and_text, utf8
 
 ALL = ("all",)
 #: More alternatives than this end a literal: the query stays small.
@@ -208,9 +208,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     findings. Repeated rows are each scanned. An empty table gives no rows. Other
     columns of ``docs`` are not read.
     """
-    bounded_batches(docs.sparkSession)
     schema = "doc_id long, findings array<struct<kind:string,start:long,end:long,value:string>>"
-    return id_and_text(docs, id_col, text_col).mapInArrow(findings(rules), schema)
+    return id_and_text(docs, id_col, text_col).mapInArrow(bounded(findings(rules), size=4 << 20), schema)
 
 
 def span_text(found) -> "F.Column":

@@ -1,11 +1,10 @@
 import zlib
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from neumes.llm.quality import NAMES, Discriminant, drop_low_quality, quality_scores, statistics
-from neumes.llm.toxicity import Model, discounts, in_context, logistic, shared_counts, toxicity_scores
+from neumes.llm.toxicity import toxicity_scores
 
 SF = "/root/testdata/sf0.1"
 
@@ -61,74 +60,7 @@ def test_labels_are_learnt_from_training_rows_only(spark):
     """Held-out labels may be anything."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    odd = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
-    a, b = ({r.doc_id: r.score for r in quality_scores(docs, x).collect()} for x in (labels, odd))
-    assert a == b
-
-
-def test_contexts():
-    stream, ends = np.array([2, 5, 3, 6, 7, 2, 8]), np.array([0, 4, 4, 7])
-    frequent = np.isin(np.arange(9), [2, 3])
-    assert in_context(stream, ends, frequent).tolist() == [0, 2, 2, 3, 0, 0, 2]
-
-
-def test_unseen_expressions_tell_nothing_and_marked_words_do():
-    docs0, docs1 = np.full(40, 3), np.array([40])
-    contexts, words = np.zeros(41, int), np.arange(2, 43)
-    n0, n1 = np.concatenate([docs0, [0]]), np.concatenate([docs0, docs1])
-    m = Model.fit(contexts, words, [n0, n1], np.zeros(60, bool), np.ones(60), 4, 3.0)
-    gaps = m.gaps(np.array([2, 42, 55]), np.array([0, 1, 2, 3, 3]))
-    assert gaps[1] > 0.02 and abs(gaps[0]) < gaps[1] and gaps[2] == gaps[3] == 0
-    assert discounts(np.array([1] * 50 + [2] * 20 + [3] * 5 + [4] * 3)).tolist() == sorted(discounts(np.array([1] * 50 + [2] * 20 + [3] * 5 + [4] * 3)).tolist())
-
-
-def test_logistic_recovers_a_line():
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=20_000)
-    y = (rng.random(20_000) < 1 / (1 + np.exp(-(2 * x - 1)))).astype(float)
-    assert logistic(x, y, np.ones_like(x)) == pytest.approx((2, -1), abs=0.12)
-
-
-def test_toxicity_on_rows_with_marked_words(spark):
-    """A corpus of random words in which label 1 goes with a few of them; labels of a third of the rows are held out."""
-    rng = np.random.default_rng(5)
-    words = np.array(["the", "of", "and", "la"] + [f"w{i}" for i in range(3000)])
-    odds = 1 / np.arange(1, len(words) + 1)
-    rows, labels = [], []
-    for i in range(1800):
-        t = list(rng.choice(words, size=rng.integers(20, 200), p=odds / odds.sum()))
-        toxic = i % 4 == 0
-        for _ in range(rng.integers(2, 6) if toxic else 0):
-            t.insert(rng.integers(len(t)), rng.choice(["Grumble!", "fizzle", "blargh"]))
-        rows.append((i, " ".join(t)))
-        labels.append((i, int(toxic)))
-    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
-    out = toxicity_scores(spark.createDataFrame(rows, "doc_id long, text string"), labels).join(labels, "doc_id").collect()
-    assert area(out, "toxic") > 0.97
-    assert np.mean([r.toxic for r in out if r.predicted]) > 0.95
-
-
-def test_shared_counts_are_of_all_texts_and_words(spark):
-    """Counts beyond some dozens, and of words outside the sample."""
-    rows = [(i, "Common word%d, common" % (i % 150)) for i in range(300)] + [(300, None)]
-    got = shared_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), {"common": 2, "word7": 3, "absent": 4})
-    assert got.tolist() == [0, 298, 300, 2, 0]
-
-
-def test_rare_expressions_keep_their_difference():
-    """A word of two to fifteen documents of one class counts, and the more for each of them."""
-    n1 = np.concatenate([[2, 5, 15], np.full(3000, 3)])
-    n0 = np.concatenate([[0, 0, 0], np.full(3000, 3)])
-    words = np.arange(2, 3005)
-    m = Model.fit(np.zeros(3003, int), words, [n0, n1], np.zeros(3010, bool), np.ones(3010), 4, 3.0)
-    gaps = m.gaps(np.array([2, 3, 4, 9]), np.arange(5))
-    assert 0.001 < gaps[0] < gaps[1] < gaps[2] and abs(gaps[3]) < gaps[0]
-
-
-def test_expressions_of_ordinary_words_count_beyond_their_words():
-    """Two words that both classes use alike, in one order in texts of one class only."""
-    none, every = np.zeros(10, bool), np.ones(10, bool)
-    word = Model.fit(np.zeros(2, int), np.array([2, 3]), [np.array([50, 50])] * 2, none, np.ones(10), 4.0)
-    pairs = word.deepened(np.array([2, 3]), np.array([3, 2]), [np.array([2, 40]), np.array([40, 2])], every, 8.0)
-    forth, back, unseen = pairs.gaps(np.array([2, 3, 3, 2, 3, 3]), np.array([0, 2, 4, 6]))
-    assert forth > 0.01 > -0.01 > back and abs(unseen) < 1e-9
+    odd = labels.withColumns({c: F.when(held, 1 - F.col(c)).otherwise(F.col(c)) for c in ("quality", "toxic")})
+    for score in (quality_scores, toxicity_scores):
+        a, b = ({r.doc_id: r.score for r in score(docs, x).collect()} for x in (labels, odd))
+        assert a == b
