@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,10 +69,32 @@ def bounded(run, rows: int = 4096, size: int = 16 << 20):
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns that an operator reads; other columns, whatever their names, don't matter."""
+    """Only the two columns that an operator reads; other columns, whatever their names, don't matter.
+
+    Ids are whole numbers of 64 bits, or text of such; other ids raise an error.
+    """
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def word_hashes(texts: pa.Array, table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's words begin and end.
+
+    ``table`` maps each byte of UTF-8 to one of a word, or to a blank between words; null has no words.
+    """
+    texts = pc.fill_null(texts, "")
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    data = bytes(memoryview(texts.buffers()[2])[at[0] : at[-1]]) if at[-1] > at[0] else b""
+    plain = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer((at - at[0]).astype(np.int32)), pa.py_buffer(data.translate(table))])
+    split = pc.ascii_split_whitespace(plain)
+    coded = split.flatten().dictionary_encode()
+    names = coded.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64)
+    stream = hashes[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.empty(0, np.uint64)
+    real = np.array([w != b"" for w in names], bool)[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.empty(0, bool)
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return stream[real], np.concatenate([[0], np.cumsum(real)])[ends]
+
+
 def utf8(column: pa.Array) -> list:
     """The texts of an Arrow column as UTF-8 bytes; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

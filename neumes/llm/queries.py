@@ -7,7 +7,7 @@ from .bpe import bpe_encode
 from .common import table
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
-from .license_scan import TEMPLATES, license_scan, template_bigrams
+from .license_scan import license_scan, normal_words, standard_templates
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .quality import quality_scores
@@ -151,25 +151,26 @@ FROM c LEFT JOIN b USING (page_id)"""
 
 
 def _license_sql(threshold: float = 0.8) -> str:
-    sets = [(n, template_bigrams(t)) for n in TEMPLATES for t in TEMPLATES[n]]
-    values = ", ".join(f"('{n}', [{', '.join(repr(x) for x in s)}])" for n, s in sets)
+    """Without any pruning: all bigrams of all documents against all templates."""
+    known = standard_templates()
+    values = ", ".join(f"({i}, '{n}', '{' '.join(normal_words(t))}')" for i, (n, t) in enumerate((n, t) for n in sorted(known) for t in known[n]))
     return rf"""
-WITH t AS (SELECT * FROM (VALUES {values}) AS v(name, grams)),
-l AS (SELECT doc_id, list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9
-]+', ' ', 'g'), chr(10)), lambda x: trim(x)) AS ls FROM documents),
-a AS (SELECT doc_id, unnest(CASE WHEN len(ls) > 1 THEN list_append(ls, trim(array_to_string(list_filter(ls, lambda x: x <> ''), ' '))) ELSE ls END) AS u FROM l),
-u AS (SELECT doc_id, row_number() OVER () AS unit, string_split(u, ' ') AS w FROM a WHERE u <> ''),
-g AS (SELECT doc_id, unit, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS grams FROM u),
-d AS (
-  SELECT g.doc_id, unit, name, 2.0::DOUBLE * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
-  FROM g, t WHERE len(g.grams) BETWEEN len(t.grams) / 3 AND len(t.grams) * 3),
-f AS (SELECT * FROM d WHERE dice >= {threshold}),
-s AS (SELECT doc_id, count(DISTINCT unit) AS n_matched, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, max(dice) AS best_dice,
-             arg_min(name, (-dice, name)) AS best_license FROM f GROUP BY doc_id),
-n AS (SELECT doc_id, count(*) AS n_units FROM u GROUP BY doc_id)
-SELECT doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_matched, 0)::BIGINT AS n_matched, coalesce(licenses, '') AS licenses,
-       best_license, best_dice
-FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)"""
+WITH t AS (SELECT template, name, string_split(words, ' ') AS w FROM (VALUES {values}) AS v(template, name, words)),
+p AS (SELECT template, gram, min(i) - 1 AS place FROM (SELECT template, i, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT template, w, unnest(range(1, len(w))) AS i FROM t)) GROUP BY ALL),
+g AS (SELECT template, list(gram) AS grams FROM p GROUP BY template),
+d AS (SELECT row_number() OVER () AS id, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
+h AS (SELECT id, i, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM d)),
+v AS (SELECT id, template, i - 1 - place AS start, count(*) AS votes FROM h JOIN p USING (gram) GROUP BY ALL),
+b AS (SELECT id, template, start FROM v QUALIFY row_number() OVER (PARTITION BY id, template ORDER BY votes DESC, start) = 1),
+n AS (
+  SELECT id, name, grams, greatest(start, 0) AS lo, least(start + len(t.w), len(d.w)) AS hi,
+         list_distinct(list_transform(range(greatest(start, 0) + 1, least(start + len(t.w), len(d.w))), lambda i: d.w[i] || ' ' || d.w[i + 1])) AS own
+  FROM b JOIN t USING (template) JOIN g USING (template) JOIN d USING (id)),
+s AS (SELECT *, 2.0::DOUBLE * len(list_intersect(own, grams)) / (len(own) + len(grams)) AS dice FROM n),
+f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dice DESC, name, lo, hi) AS place FROM s WHERE dice >= {threshold}),
+r AS (SELECT id, count(*) AS n_matched, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM f GROUP BY id)
+SELECT doc_id, coalesce(n_matched, 0)::BIGINT AS n_matched, coalesce(licenses, '') AS licenses, f.name AS best_license, f.dice AS best_dice, f.lo::BIGINT AS best_start, f.hi::BIGINT AS best_end
+FROM d LEFT JOIN r USING (id) LEFT JOIN f ON f.id = d.id AND f.place = 1"""
 
 
 ORACLES = {

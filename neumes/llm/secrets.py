@@ -3,12 +3,14 @@
 For each rule a Boolean query over trigrams is derived from the parse of its
 regular expression: literal alternatives become OR over AND of their trigrams,
 parts that follow each other are joined by AND, and everything else asks for
-nothing. Every segment of documents (an Arrow batch) gets an inverted index of
-the trigrams that some query names; postings are intersected and united as the
-query says, and the expression runs over the candidates alone. A rule whose
-expression has no mandatory trigram runs over all documents.
-
-The index holds lower-cased trigrams, so that one serves rules of either case.
+nothing. Every segment of documents (a batch) gets an inverted index of the
+trigrams that some query names, made in one pass over its bytes; postings are
+intersected and united as the query says, and the expression runs over the
+candidates alone. A rule whose expression has no mandatory trigram runs over all
+documents.
+
+Texts and expressions are bytes in UTF-8. The index holds trigrams of bytes with A-Z
+lower-cased, so that one serves rules of either case.
 """
 
 import re
@@ -50,7 +52,7 @@ MORE_RULES = (
 )
 
 
-def trigrams(text: str):
+def trigrams(text: bytes):
     parts = [text[i : i + 3] for i in range(len(text) - 2)]
     return ("and", tuple(dict.fromkeys(parts))) if parts else ALL
 
@@ -71,18 +73,17 @@ def either(*queries):
 
 def derived(pattern: str):
     """The query that every text with a match of the pattern satisfies."""
-    parsed = re._parser.parse(pattern)
-    query = ALL
+    parsed = re._parser.parse(pattern.encode())
 
-    def strings(node) -> set[str] | None:
+    def strings(node) -> set[bytes] | None:
         """All strings of a node, lower-cased, if they are few."""
         kind, value = str(node[0]), node[1]
         if kind == "LITERAL":
-            return {chr(value).lower()}
+            return {bytes([value]).lower()}
         if kind == "IN":
             if any(str(k) != "LITERAL" for k, _ in value):
                 return None
-            return {chr(v).lower() for _, v in value}
+            return {bytes([v]).lower() for _, v in value}
         if kind == "SUBPATTERN":
             return sequence(value[3])
         if kind == "BRANCH":
@@ -92,17 +93,17 @@ def derived(pattern: str):
             one = sequence(value[2])
             if one is None:
                 return None
-            out, power = ({""} if value[0] == 0 else set()), {""}
+            out, power = ({b""} if value[0] == 0 else set()), {b""}
             for n in range(1, value[1] + 1):
                 power = {a + b for a in power for b in one}
                 if len(power) > ALTERNATIVES:
                     return None
                 out |= power if n >= value[0] else set()
             return out
-        return {""} if kind == "AT" else None
+        return {b""} if kind == "AT" else None
 
-    def sequence(nodes) -> set[str] | None:
-        out = {""}
+    def sequence(nodes) -> set[bytes] | None:
+        out = {b""}
         for node in nodes:
             found = strings(node)
             if found is None or len(out) * len(found) > ALTERNATIVES:
@@ -122,44 +123,59 @@ def derived(pattern: str):
         return ALL
 
     def walk(nodes):
-        query, now = ALL, {""}
+        query, now = ALL, {b""}
         for node in nodes:
             found = strings(node)
             if found is not None and len(now) * len(found) <= ALTERNATIVES:
                 now = {a + b for a in now for b in found}
                 continue
             query = both(query, either(*map(trigrams, sorted(now))))
-            now = {""} if found is None else found
+            now = {b""} if found is None else found
             if found is None:
                 query = both(query, inside(node))
         return both(query, either(*map(trigrams, sorted(now))))
 
-    query = walk(parsed)
-    return query
+    return walk(parsed)
 
 
-def named(query) -> set[str]:
-    return {query} if isinstance(query, str) else set().union(*(named(q) for q in query[1])) if query != ALL else set()
+def named(query) -> set[bytes]:
+    return {query} if isinstance(query, bytes) else set().union(*(named(q) for q in query[1])) if query != ALL else set()
 
 
-class Segment:
-    """An inverted index of some documents: postings are sorted places."""
+class Trigrams:
+    """The trigrams that some query names, numbered from 1; 0 for all others."""
 
-    def __init__(self, texts: list[bytes]):
-        self.texts = [t.lower() for t in texts]
-        self.postings: dict[str, np.ndarray] = {}
+    def __init__(self, queries):
+        self.number = {t: i for i, t in enumerate(sorted(set().union(*map(named, queries))), 1)}
+        self.table = np.zeros(1 << 24, np.uint16 if len(self.number) > 255 else np.uint8)
+        for t, i in self.number.items():
+            self.table[int.from_bytes(t, "big")] = i
 
-    def posting(self, trigram: str) -> np.ndarray:
-        if trigram not in self.postings:
-            t = trigram.encode()
-            self.postings[trigram] = np.flatnonzero(np.fromiter((t in x for x in self.texts), bool, len(self.texts)))
-        return self.postings[trigram]
+
+class Segment:
+    """An inverted index of some documents: the sorted places of those that hold each named trigram."""
+
+    def __init__(self, texts: list[bytes], trigrams: Trigrams):
+        self.size, self.number = len(texts), trigrams.number
+        ends = np.cumsum([len(t) for t in texts]) if texts else np.empty(0, np.int64)
+        at = np.frombuffer(b"".join(texts).lower(), np.uint8).astype(np.uint32)
+        found = trigrams.table[at[:-2] << 16 | at[1:-1] << 8 | at[2:]] if len(at) > 2 else trigrams.table[:0]
+        at = np.flatnonzero(found)
+        place = np.searchsorted(ends, at, "right")
+        inside = at + 2 < ends[place] if len(ends) else np.empty(0, bool)  # no trigram of two documents
+        keys = np.unique(found[at[inside]].astype(np.int64) * max(1, self.size) + place[inside])
+        number, place = np.divmod(keys, max(1, self.size))
+        edges = np.searchsorted(number, np.arange(len(self.number) + 2))
+        self.postings = [place[b:e] for b, e in zip(edges, edges[1:])]
+
+    def posting(self, trigram: bytes) -> np.ndarray:
+        return self.postings[self.number[trigram]]
 
     def candidates(self, query) -> np.ndarray:
-        if isinstance(query, str):
+        if isinstance(query, bytes):
             return self.posting(query)
         if query == ALL:
-            return np.arange(len(self.texts))
+            return np.arange(self.size)
         out = self.candidates(query[1][0])
         for q in query[1][1:]:
             if query[0] == "and" and not len(out):
@@ -173,9 +189,10 @@ def findings(rules: tuple[Rule, ...]):
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
 
     def run(batches):
+        trigrams = Trigrams([query for query, _ in plans])
         for batch in batches:
             texts = utf8(batch.column(1))
-            segment = Segment(texts)
+            segment = Segment(texts, trigrams)
             out: list[list] = [[] for _ in texts]
             for place, (rule, (query, pattern)) in enumerate(zip(rules, plans)):
                 for i in segment.candidates(query).tolist():
@@ -204,8 +221,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, findings (kind, start, end, value) by start, then in the order of the rules.
 
     Matches are leftmost and non-overlapping within a rule; starts and ends count
-    code points, end exclusive. Null counts as empty, and such documents have no
-    findings. Repeated rows are each scanned. An empty table gives no rows. Other
+    code points, end exclusive. Expressions are matched in bytes: classes and case
+    folding know ASCII only. Null counts as empty, and such documents have no findings. Repeated rows are each scanned. An empty table gives no rows. Other
     columns of ``docs`` are not read.
     """
     schema = "doc_id long, findings array<struct<kind:string,start:long,end:long,value:string>>"
