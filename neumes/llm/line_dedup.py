@@ -2,14 +2,15 @@
 
 1. Documents give the 128-bit hashes of their line keys, combined within a batch
    and then by an ordinary aggregation: documents, smallest and largest doc_id.
-2. Keys of two documents or more are dealt to shards. Each shard becomes a
-   minimal perfect hash that indexes arrays of fingerprints, counts and first
-   documents. A shard holds about ``shard_lines`` keys, whatever the input.
-3. Hashes of all lines travel to their shard and probe its arrays; keys unknown
-   to a shard fail its fingerprints. No line text is shuffled.
+2. All distinct keys are dealt to shards. Each shard becomes a minimal perfect hash
+   that indexes arrays of fingerprints, counts of documents and first documents. A
+   shard holds about ``shard_lines`` keys, whatever the input.
+3. Hashes of all lines travel to their shard and probe its arrays: a line goes where
+   the count is 2 or more and the first document is another.
 4. Lines that more than 1/(4 shards) of the probes would ask for number less than
    4 x shards; these few are broadcast and answered where the document is.
-5. The hashes to drop go back to their documents, which are cut there.
+5. The hashes to drop go back to their documents by doc_id, which are cut there. That
+   is the one shuffle of whole texts; lines by themselves never travel.
 """
 
 import numpy as np
@@ -104,8 +105,8 @@ def answer(batches):
             if index is None or not len(rows):
                 continue
             a, b, ids = (batch.column(i).take(pa.array(rows)).to_numpy() for i in (3, 4, 5))
-            held, _, first = index.probe(a.view(np.uint64), b.view(np.uint64))
-            drop = held & (first != ids)
+            held, count, first = index.probe(a.view(np.uint64), b.view(np.uint64))
+            drop = held & (count >= 2) & (first != ids)
             lines = np.stack([a[drop], b[drop]], axis=1)
             yield pa.record_batch({"doc_id": ids[drop], "line": pa.array([x.tobytes() for x in lines], pa.binary())})
 
@@ -143,19 +144,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     rows = id_and_text(docs, id_col, text_col)
     lines = rows.mapInArrow(bounded(count_lines(least)), "a long, b long, n long, first long, last long")
-    repeated = written(
-        lines.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")).where("first < last").drop("last"),
-        "repeated-lines",
-    )
-    keys, asked = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # rows that repeat a doc_id are one document
+    documents = F.when(F.col("first") < F.col("last"), F.col("n")).otherwise(1).alias("n")
+    counted = written(lines.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")).select("a", "b", documents, "first"), "line-counts")
+    keys, asked = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(shuffle_partitions(spark), -(-keys // shard_lines))
     often = max(1000, asked // (4 * shards))
     # fewer than 4 x shards rows, as each has more than 1/(4 shards) of all
-    hot = {np.array([r.a, r.b], np.int64).tobytes(): r.first for r in repeated.where(F.col("n") > often).select("a", "b", F.col("first").alias("first")).collect()}
+    hot = {np.array([r.a, r.b], np.int64).tobytes(): r.first for r in counted.where(F.col("n") > often).select("a", "b", F.col("first").alias("first")).collect()}
     # the remainder of an unsigned number, as numpy takes it
     shard = F.pmod(F.pmod(F.shiftrightunsigned("a", 1), F.lit(shards)) * 2 + F.col("a").bitwiseAND(1), F.lit(shards)).cast("int").alias("shard")
     schema = "shard int, kind int, index binary, a long, b long, doc_id long"
-    index = written(repeated.select(shard, "a", "b", "n", "first").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(build_shards, schema), "line-index")
+    index = written(counted.select(shard, "a", "b", "n", "first").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(build_shards, schema), "line-index")
     drops = (
         index.unionAll(rows.mapInArrow(bounded(probes(least, shards, set(hot))), schema))
         .repartition(shards, "shard")

@@ -88,3 +88,31 @@ def test_drop_copies_keeps_one_row_of_each_group(spark):
     assert sorted(r.doc_id for r in exact.drop_copies(plain).collect()) == [1, 3]
     mixed = spark.createDataFrame([(None, "ab"), (None, "c"), (5, "a b"), (5, "a b"), (5, "d"), (None, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text or "") for r in exact.drop_copies(mixed).collect()) == [(0, ""), (0, "c"), (5, "a b"), (5, "d")]
+    clashing = spark.createDataFrame([(1, "a b", "s1", 1, 2, 3), (1, "ab", "s2", 1, 2, 3), (2, "c", "s3", 1, 2, 3)], "doc_id long, text string, __sha string, __chars int, row int, kept int")
+    kept = exact.drop_copies(clashing)
+    assert kept.columns == clashing.columns and sorted(r["__sha"] for r in kept.collect()) == ["s1", "s3"]
+    assert exact.drop_copies(clashing.where("doc_id = 2").unionAll(clashing.where("__sha = 's1'"))).columns == clashing.columns
+
+
+def test_index_decides_by_its_counts(spark):
+    """All distinct lines are indexed; one of a single document has a count of 1 and stays."""
+    from neumes.llm.line_dedup import halves
+
+    import xxhash
+
+    a, b = halves([xxhash.xxh3_128_digest(k) for k in (b"a line of one", b"a line of two")])
+    index = LineIndex.build(a, b, np.array([1, 2]), np.array([4, 4]))
+    held, count, first = index.probe(a, b)
+    assert held.all() and count.tolist() == [1, 2] and first.tolist() == [4, 4]
+    rows = [(9, "only in this document\nin both of them"), (4, "in both of them")]
+    got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {9: (1, "only in this document"), 4: (0, "in both of them")}
+
+
+def test_ids_are_whole_numbers(spark):
+    """Ids of documents that are text raise an error; numbers in text are read as such."""
+    import pytest
+
+    assert exact.exact_dedup(spark.createDataFrame([("12", "a")], "doc_id string, text string")).first().doc_id == 12
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        exact.exact_dedup(spark.createDataFrame([("urn:x", "a")], "doc_id string, text string")).collect()
