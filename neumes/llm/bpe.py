@@ -6,11 +6,15 @@
 3. Words at least as frequent as a threshold, at most ``hot_words`` of them and
    short, are broadcast. The other words, rare by choice of the threshold, are
    joined to the splits that hold them.
-4. Documents travel as compressed blobs to the rare words of their split, and ids
-   are put back by position with whole arrays.
-5. Decoding joins each id to its piece in the vocabulary.
+4. Documents travel as compressed blobs to the rare words of their split, one task for
+   each split, and ids are put back by position with whole arrays.
+5. Decoding joins each id to its piece: the vocabulary, a table of bounded size, is held
+   by every task and joined by position.
+
+The splitting of texts into words is that of ``SUPPORTED``; other tokenizers are refused.
 """
 
+import json
 import re
 import unicodedata
 
@@ -20,10 +24,36 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, id_and_text, lean, shuffle_partitions, written
+from .common import bounded, id_and_text, lean, written
 
 #: Longer words are never broadcast; this and ``hot_words`` bound what is.
 HOT_BYTES = 32
+#: The parts of a tokenizer's file that ``Words`` and ``decoded`` stand for.
+SUPPORTED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+
+
+def supported(tokenizer_json: str) -> str:
+    """The file's content; raises where its model, splitting or decoding is another than this module's."""
+    parts = json.loads(tokenizer_json)
+    other = [k for k, v in SUPPORTED.items() if parts.get(k) != v]
+    model = parts.get("model") or {}
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("unk_token"):
+        other.append("model")
+    if any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in parts.get("added_tokens") or ()):
+        other.append("added_tokens")
+    if other:
+        raise ValueError(f"this tokenizer is not supported: its {', '.join(other)} differ from what is built here")
+    return tokenizer_json
 
 
 class Words:
@@ -243,11 +273,12 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     Equal to the tokenizer's encoding without special tokens of its own, and to its
     decoding with them kept. Null counts as empty: no ids, and decoded is empty.
     Repeated rows are each encoded. An empty table gives no rows. Other columns of
-    ``docs`` are not read. The tokenizer's file is read on the driver only.
+    ``docs`` are not read. The tokenizer's file is read on the driver only; one that
+    splits or decodes otherwise than ``SUPPORTED`` raises an error.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
-        tokenizer = spark.sparkContext.broadcast(f.read())
+        tokenizer = spark.sparkContext.broadcast(supported(f.read()))
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("split"))
     counts = written(rows.mapInArrow(lean(bounded(split_counts(tokenizer), size=4 << 20)), "split int, word string, n long"), "split-words")
     words = written(counts.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(lean(bounded(encoded(tokenizer))), "word string, n long, ids array<int>"), "words")
@@ -265,5 +296,6 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     own = counts.mapInArrow(lean(bounded(rare(hot))), "split int, word string").join(words.select("word", "ids"), "word")
     columns = "split int, kind int, word string, ids array<int>, blob binary"
     answers = own.select("split", F.lit(0).alias("kind"), "word", "ids", F.lit(None).cast("binary").alias("blob"))
-    together = answers.unionAll(rows.mapInArrow(lean(bounded(blobs, size=4 << 20)), columns)).repartition(shuffle_partitions(spark), "split").sortWithinPartitions("split", "kind")
+    # a task for each split, as large as the split: hashing whole splits would give some tasks several
+    together = answers.unionAll(rows.mapInArrow(lean(bounded(blobs, size=4 << 20)), columns)).repartitionById(max(1, rows.rdd.getNumPartitions()), "split").sortWithinPartitions("split", "kind")
     return together.mapInArrow(lean(bounded(positioned(tokenizer, hot), size=4 << 20)), "doc_id long, n_tokens long, ids binary, decoded string")

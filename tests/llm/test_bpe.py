@@ -58,3 +58,10 @@ def test_whole_table_against_the_library(spark):
         ids = t.encode(r.text or "", add_special_tokens=False).ids
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest()
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_other_tokenizers_are_refused(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="normalizer, pre_tokenizer, decoder"):
+        bpe_encode(spark.createDataFrame([(1, "a")], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"))
