@@ -100,14 +100,22 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(np.sign(gap) * self.width * np.log1p(np.abs(gap) / self.width), -700, 700)))
 
 
+def as_lists(x: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))
+
+
 def statistics_rows(batches):
     for batch in batches:
-        x = all_statistics(utf8(batch.column(1)))
-        yield pa.record_batch({"doc_id": batch.column(0), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))})
+        yield pa.record_batch({"doc_id": batch.column(0), "x": as_lists(all_statistics(utf8(batch.column(1))))})
+
+
+def labelled_statistics(batches):
+    for batch in batches:
+        yield pa.record_batch({"x": as_lists(all_statistics(utf8(batch.column(0)))), "y": batch.column(1)})
 
 
 def class_sums(batches):
-    """Rows (class, place, value): count, sums and products of what this task has read."""
+    """Rows (class, place, value) of rows (x, y): count, sums and products of what this task has read."""
     d = len(NAMES)
     total = np.zeros((2, 1 + d + d * d))
     for batch in batches:
@@ -120,23 +128,28 @@ def class_sums(batches):
     yield pa.record_batch({"c": c, "place": place, "value": total.ravel()})
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", alpha: float = 0.1, beta: float = 0.02, width: float = 8.0) -> tuple[Discriminant, DataFrame]:
-    """The model and the written statistics of all documents (doc_id, x).
+def training_labels(labels: DataFrame, label_col: str) -> DataFrame:
+    """(doc_id, y) of rows with label 0 or 1 whose crc32(doc_id) mod 3 is not 1; of a doc_id labelled more than once the largest label."""
+    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("long").alias("y"))
+    return known.where("doc_id IS NOT NULL AND y IN (0, 1)").where(fold_of(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("y").alias("y"))
 
-    Learns from rows of ``labels`` with label 0 or 1 whose crc32(doc_id) mod 3 is
-    not 1; a doc_id labelled more than once counts with its largest label.
-    """
-    stats = written(id_and_text(docs, id_col, text_col).mapInArrow(bounded(statistics_rows), "doc_id long, x array<double>"), "statistics")
-    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("long").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(fold_of(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("y").alias("y"))
-    sums = stats.join(known, "doc_id").select("x", "y").mapInArrow(class_sums, "c long, place long, value double").groupBy("c", "place").agg(F.sum("value").alias("value")).collect()
+
+def fit_quality(labelled: DataFrame, alpha: float = 0.1, beta: float = 0.02, width: float = 8.0) -> Discriminant:
+    """The model of all labelled rows (x, y)."""
+    sums = labelled.select("x", "y").mapInArrow(class_sums, "c long, place long, value double").groupBy("c", "place").agg(F.sum("value").alias("value")).collect()
     d = len(NAMES)
     total = np.zeros((2, 1 + d + d * d))
     for r in sums:
         total[r.c, r.place] = r.value
-    return Discriminant.fit(total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(2, d, d), alpha, beta, width), stats
+    return Discriminant.fit(total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(2, d, d), alpha, beta, width)
+
+
+def with_statistics(texts: DataFrame) -> DataFrame:
+    """(doc_id, x) of (doc_id, text)."""
+    return texts.mapInArrow(bounded(statistics_rows), "doc_id long, x array<double>")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **fit) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, **fit) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Null counts as empty; the empty text has a score like any other. Where a class
@@ -144,7 +157,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Rows without doc_id are scored and not held out; repeated rows are each
     scored. An empty table gives no rows. Other columns are not read.
     """
-    model, stats = fit_quality(docs, labels, id_col, text_col, **fit)
+    stats = written(with_statistics(id_and_text(docs, id_col, text_col)), "statistics")
+    model = fit_quality(stats.join(training_labels(labels, label_col), "doc_id"), **fit)
 
     def score(batches):
         for batch in batches:
@@ -165,7 +179,17 @@ def score_column(model: Discriminant, text: Column) -> Column:
     return score(text)
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **fit) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score ``threshold`` or more; scored where they are read."""
-    model, _ = fit_quality(docs, labels, id_col, text_col, **fit)
-    return docs.where(score_column(model, docs[text_col].cast("string")) >= threshold)
+def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, most_broadcast: int = 1_000_000, **fit) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more; scored where they are read.
+
+    The model learns from all labelled rows. Up to ``most_broadcast`` labels, which are
+    counted, are sent to the texts, and statistics are made of labelled texts only;
+    beyond that, statistics of all texts are joined to the labels.
+    """
+    texts, known = id_and_text(docs, id_col, text_col), training_labels(labels, label_col)
+    if known.limit(most_broadcast + 1).count() <= most_broadcast:
+        held = texts.join(F.broadcast(known), "doc_id")
+        labelled = held.select("text", "y").mapInArrow(bounded(labelled_statistics), "x array<double>, y long")
+    else:
+        labelled = with_statistics(texts).join(known, "doc_id")
+    return docs.where(score_column(fit_quality(labelled, **fit), docs[text_col].cast("string")) >= threshold)

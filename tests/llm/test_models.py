@@ -43,8 +43,9 @@ def test_quality_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     clean = [r for r in rows if r.held_out and r.quality == 1]
     assert np.mean([r.predicted for r in clean]) > 0.98
-    kept = {r.doc_id for r in drop_low_quality(docs, labels).select("doc_id").collect()}
-    assert kept == {r.doc_id for r in quality_scores(docs, labels).where("predicted = 1").collect()}
+    for most in (1_000_000, 0):  # labels sent to the texts, and joined to statistics of all
+        kept = {r.doc_id for r in drop_low_quality(docs, labels, most_broadcast=most).select("doc_id").collect()}
+        assert kept == {r.doc_id for r in rows if r.predicted} | {r.doc_id for r in quality_scores(docs, labels).join(labels, "doc_id", "left_anti").where("predicted = 1").collect()}
 
 
 def test_models_without_labels_or_rows(spark):
