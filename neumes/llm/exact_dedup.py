@@ -9,7 +9,7 @@
 """
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, written
@@ -38,8 +38,9 @@ def frequent(digests: DataFrame, counters: int) -> DataFrame:
 
     def summary(batches):
         def pairs():
-            for b in batches:
-                yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            for b in batches:  # each distinct digest of a batch once
+                found = pa.table({"digest": b.column(0), "least": b.column(1)}).group_by("digest").aggregate([("least", "sum")])
+                yield from zip(found["digest"].to_pylist(), found["least_sum"].to_pylist())
 
         held = misra_gries(pairs(), counters)
         yield pa.record_batch({"digest": pa.array(list(held), pa.binary()), "least": pa.array(list(held.values()), pa.int64())})
@@ -56,6 +57,10 @@ def frequent(digests: DataFrame, counters: int) -> DataFrame:
     return level
 
 
+def bare(text: Column) -> Column:
+    return F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 4096) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_chars.
 
@@ -67,9 +72,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives no rows. Other columns of ``docs`` are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    bare = F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")
     digests = written(
-        id_and_text(docs, id_col, text_col).select("doc_id", F.char_length(text).cast("long").alias("n_chars"), F.unhex(F.sha2(bare, 256)).alias("digest"), F.monotonically_increasing_id().alias("row_id")),
+        id_and_text(docs, id_col, text_col).select("doc_id", F.char_length(text).cast("long").alias("n_chars"), F.unhex(F.sha2(bare(text), 256)).alias("digest"), F.monotonically_increasing_id().alias("row_id")),
         "digests",
     )
     # the winner is the least of these in the order of its fields
@@ -95,16 +99,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay: one of each group of equal texts.
 
-    Rows that repeat a doc_id, or have none, are told apart by their text as well.
+    Rows that repeat a doc_id, or have none, are told apart by their text as well; of
+    rows equal in both the one with the longest original text stays.
     """
     result = exact_dedup(docs, id_col, text_col, **options)
     known = docs.groupBy(id_col).agg(F.count("*").alias("rows")).where((F.col("rows") > 1) | F.col(id_col).isNull())
+    # rows travel whole, in one column, so that no name can clash
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("body"))
     if known.isEmpty():
-        away = result.where(~F.col("kept")).select(F.col("doc_id").alias("__away"))
-        return docs.join(away, docs[id_col] == away["__away"], "left_anti")
-    stay = result.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__stays"))
-    bare = F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), "[\\x20\\x09-\\x0D]+", "")
-    marked = docs.withColumn("__sha", F.sha2(bare, 256)).withColumn("__chars", F.char_length(F.coalesce(docs[text_col], F.lit(""))))
-    held = marked.join(stay, marked[id_col].eqNullSafe(stay["__id"]) & (marked["__sha"] == stay["__stays"]), "left_semi")
-    order = Window.partitionBy("__sha", id_col).orderBy(F.desc("__chars"))
-    return held.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__sha", "__chars", "__place")
+        return rows.join(result.where(~F.col("kept")).select(F.col("doc_id").alias("id")), "id", "left_anti").select("row.*")
+    stay = result.where("kept").select(F.col("doc_id").alias("stays"), F.col("text_sha256").alias("digest"))
+    marked = rows.withColumn("sha", F.sha2(bare(F.col("body")), 256)).withColumn("chars", F.char_length("body"))
+    held = marked.join(stay, F.col("id").eqNullSafe(F.col("stays")) & (F.col("sha") == F.col("digest")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("sha", "id").orderBy(F.desc("chars")))
+    return held.withColumn("place", place).where("place = 1").select("row.*")
