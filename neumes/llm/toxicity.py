@@ -284,7 +284,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, most_rows:
 
 def shared_counts(texts: DataFrame) -> DataFrame:
     """(word, texts): in how many texts each word of the corpus occurs, written."""
-    return written(texts.select("text").mapInArrow(bounded(text_counts), "word long, texts long").groupBy("word").agg(F.sum("texts").alias("texts")), "corpus-words")
+    return written(texts.select("text").mapInArrow(bounded(text_counts, size=4 << 20), "word long, texts long").groupBy("word").agg(F.sum("texts").alias("texts")), "corpus-words")
 
 
 def fit(counted: DataFrame, corpus: DataFrame, word_prior: float = 1e-3, prior: float = 1e-6, ahead: float = 20.0) -> Model:
@@ -293,7 +293,7 @@ def fit(counted: DataFrame, corpus: DataFrame, word_prior: float = 1e-3, prior:
     ``word_prior`` and ``prior``: how likely a word, and a word after a certain other one,
     differs between the classes, before anything is counted.
     """
-    counts = written(counted.mapInArrow(bounded(expressions), "history long, word long, n0 long, n1 long").groupBy("history", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "expressions")
+    counts = written(counted.mapInArrow(bounded(expressions, size=4 << 20), "history long, word long, n0 long, n1 long").groupBy("history", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "expressions")
     alone = written(counts.where("history IS NULL").drop("history").join(corpus, "word", "left").select("word", "n0", "n1", F.coalesce("texts", F.lit(0)).alias("texts")), "words")
     level = level_of(alone)
     taken = lambda c, off: F.coalesce(F.sum(discount(c, off)), F.lit(0.0))
@@ -344,7 +344,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         for batch in batches:
             yield pa.record_batch({"doc_id": batch.column(0), "score": model.scores(model.gaps(batch.column(1)))})
 
-    out = texts.mapInArrow(bounded(score), "doc_id long, score double")
+    out = texts.mapInArrow(bounded(score, size=4 << 20), "doc_id long, score double")
     return out.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
