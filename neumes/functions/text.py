@@ -73,12 +73,36 @@ def symbol_string(text: Column) -> Column:
     return F.replace(text, F.lit(" "), F.lit(""))
 
 
+def char_distance(left: Column, right: Column) -> Column:
+    """Levenshtein's distance of the symbols of two texts, within a band where one is known.
+
+    Texts of as many words are at most as far apart as their words one by one and all
+    their break symbols. If that equals the difference of their lengths it is the
+    distance; else it bounds how far from the diagonal the table is filled.
+    """
+    words = lambda x: F.filter(symbol_tokens(x), lambda w: ~w.isin("", BREAK, TAB))
+    side = lambda x: F.struct(symbol_string(x).alias("text"), words(x).alias("words"), F.size(F.filter(symbol_tokens(x), lambda w: w.isin(BREAK, TAB))).alias("breaks"))
+
+    def bounded_by(a: Column, b: Column, most: Column) -> Column:
+        apart = F.abs(F.length(a["text"]) - F.length(b["text"]))
+        return F.when(most == apart, most).otherwise(F.call_function("levenshtein", a["text"], b["text"], most))
+
+    def measured(a: Column, b: Column) -> Column:
+        each = F.aggregate(F.zip_with(a["words"], b["words"], lambda p, q: F.when(p == q, 0).otherwise(F.levenshtein(p, q))), F.lit(0), lambda n, d: n + d)
+        most = F.when(F.size(a["words"]) == F.size(b["words"]), each + a["breaks"] + b["breaks"]).otherwise(F.greatest(F.length(a["text"]), F.length(b["text"])))
+        return let(most.cast("int"), lambda m: bounded_by(a, b, m))
+
+    return let(side(left), lambda a: let(side(right), lambda b: measured(a, b)))
+
+
 def text_distance(left: Column, right: Column, kind: str) -> tuple[Column, Column]:
     """(distance, symbols of ``right``) by kind: cer, ser or ler."""
     if kind == "cer":  # characters need no numbering
-        return F.levenshtein(symbol_string(left), symbol_string(right)).cast("int"), F.length(symbol_string(right))
-    tokens = {"ser": symbol_tokens, "ler": line_tokens}[kind]
-    return edit_distance(tokens(left), tokens(right)), F.size(tokens(right))
+        errors, total = char_distance(left, right).cast("int"), F.length(symbol_string(right))
+    else:
+        tokens = {"ser": symbol_tokens, "ler": line_tokens}[kind]
+        errors, total = edit_distance(tokens(left), tokens(right)), F.size(tokens(right))
+    return F.when(left == right, 0).otherwise(errors), total  # equal texts are not compared symbol by symbol
 
 
 def rate(errors: Column, total: Column, empty: float | None = None) -> Column:

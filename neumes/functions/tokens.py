@@ -36,28 +36,33 @@ def split_note(field: Column) -> Column:
 
 
 def split_pitch(text: Column) -> Column:
-    """Letter and accidental; a flat loses the prefix of its letter."""
-    letter = F.substring(text, 1, 1)
-    return (
-        F.when(F.contains(text, F.lit("#")), F.array(F.concat(F.lit(PITCH), F.replace(text, F.lit("#"), F.lit(""))), F.lit("#")))
-        .when(F.contains(text, F.lit("-")), F.array(F.replace(text, F.lit("-"), F.lit("")), F.lit("b")))
-        .otherwise(F.array(F.concat(F.lit(PITCH), F.when(letter.isNotNull(), text))))
-    )
+    """What stands before the first sign, and the sign; before a flat without the prefix of pitches."""
+    before = lambda sign: F.substring_index(text, sign, 1)
+    sharp, flat = F.array(F.concat(F.lit(PITCH), before("#")), F.lit("#")), F.array(before("-"), F.lit("b"))
+    return F.when(F.contains(text, F.lit("#")), sharp).when(F.contains(text, F.lit("-")), flat).otherwise(F.array(F.concat(F.lit(PITCH), text)))
+
+
+def split_extension(text: Column) -> Column:
+    """A sharp or a flat, wherever it stands, and the rest."""
+    apart = lambda sign: F.array(F.lit(sign), F.concat(F.lit(EXTENSION), F.replace(text, F.lit(sign), F.lit(""))))
+    return F.when(F.contains(text, F.lit("#")), apart("#")).when(F.contains(text, F.lit("b")), apart("b")).otherwise(F.array(F.concat(F.lit(EXTENSION), text)))
 
 
 def split_chord(field: Column) -> Column:
-    """Root, colon, type, extensions in brackets and bass of a chord."""
-    parts = F.split(field, ":", 2)
-    root = F.get(F.split(F.get(parts, F.lit(0)), "/", -1), F.lit(0))
-    kind = F.coalesce(F.get(F.split(F.get(parts, F.lit(1)), "/", -1), F.lit(0)), F.lit("none"))
-    name = F.get(F.split(kind, r"\(", -1), F.lit(0))
-    inside = F.regexp_extract(kind, r"\(([^)]*)\)", 1)
-    sign = lambda x: F.substring(x, 1, 1)
-    one = lambda x: F.when(sign(x).isin("#", "b"), F.array(sign(x), F.concat(F.lit(EXTENSION), F.substring(x, 2, 1 << 30)))).otherwise(F.array(F.concat(F.lit(EXTENSION), x)))
-    listed = F.flatten(F.transform(F.split(inside, ",", -1), lambda x, i: F.concat(F.when(i > 0, F.array(F.lit(","))).otherwise(strings()), one(x))))
+    """Root, colon, type, extensions in brackets and bass of a chord.
+
+    The root is all before the first colon, the type what stands between it and the
+    next colon or slash (none without a colon), the bass what follows the first slash
+    up to another.
+    """
+    sides = F.split(field, ":", -1)
+    kind = F.coalesce(F.substring_index(F.get(sides, F.lit(1)), "/", 1), F.lit("none"))
+    inside = F.regexp_extract(kind, r"\(([^()]*)", 1)
+    listed = joined(F.transform(F.split(inside, ",", -1), split_extension), ",")
     brackets = F.when(F.contains(kind, F.lit("(")), F.concat(F.array(F.lit("(")), listed, F.array(F.lit(")")))).otherwise(strings())
-    bass = F.when(F.contains(field, F.lit("/")), F.concat(F.array(F.lit("/")), split_pitch(F.element_at(F.split(field, "/", -1), -1)))).otherwise(strings())
-    whole = F.concat(split_pitch(root), F.array(F.lit(":"), name), brackets, bass)
+    bass = F.get(F.split(field, "/", -1), F.lit(1))
+    below = F.when(bass.isNotNull() & (bass != "none"), F.concat(F.array(F.lit("/")), split_pitch(bass))).otherwise(strings())
+    whole = F.concat(split_pitch(F.get(sides, F.lit(0))), F.array(F.lit(":"), F.substring_index(kind, "(", 1)), brackets, below)
     return F.when(field.isin(*ATOMS), F.array(field)).otherwise(whole)
 
 

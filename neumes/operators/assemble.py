@@ -1,5 +1,7 @@
 """Pages from systems: prefixes, stacks, concatenations, manifests."""
 
+from math import log1p
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,40 +98,89 @@ def scaled_size(width: Column, height: Column, target: Column) -> Column:
 def width_pool(items: DataFrame, id_col: str, width: str, tolerance: float, by: tuple[str, ...] = ()) -> DataFrame:
     """(id, other): items whose width differs by at most ``tolerance`` times the first one's, itself included.
 
-    Positive widths meet in buckets of their logarithm, so that only near ones are
-    compared; others, whose tolerance is measured against 1, meet in one bucket each.
+    Items meet in buckets, so that only near ones are compared: of the logarithm above 1,
+    and of ``tolerance`` below, where it is measured against 1. All pairs are the result;
+    ``pool_sizes`` counts them without making them.
     """
-    from math import log1p
-
     step = log1p(tolerance)
-    size = F.greatest(F.col(width), F.lit(1.0))
-    bucket = F.floor(F.log(size) / step)
-    a = items.select(*by, F.col(id_col), F.col(width).alias("_w"), F.explode(F.array(bucket - 2, bucket - 1, bucket, bucket + 1)).alias("_k"))
-    b = items.select(*by, F.col(id_col).alias("other"), F.col(width).alias("_v"), bucket.alias("_k"))
+    w = F.col(width)
+    bucket = F.when(w > 1.0, F.floor(F.log(F.greatest(w, F.lit(1.0))) / step)).otherwise(F.floor((w - 1.0) / tolerance))
+    a = items.select(*by, F.col(id_col), w.alias("_w"), F.explode(F.array(bucket - 2, bucket - 1, bucket, bucket + 1)).alias("_k"))
+    b = items.select(*by, F.col(id_col).alias("other"), w.alias("_v"), bucket.alias("_k"))
     near = a.join(b, [*by, "_k"]).where(F.abs(F.col("_v") - F.col("_w")) <= tolerance * F.greatest(F.col("_w"), F.lit(1.0)))
     return near.select(*by, id_col, "other")
 
 
-def pool_stats(pools: DataFrame, id_col: str, few: int = 5) -> DataFrame:
+def pool_sizes(items: DataFrame, id_col: str, width: str, tolerance: float, parts: int = 256) -> DataFrame:
+    """(id, pool): how many items each one's pool has, by running counts over sorted widths.
+
+    Distinct widths are counted up to both ends of their bands. Widths are dealt to
+    ``parts`` ranges, each is counted by itself, and the ranges' sums are put before it.
+    """
+    widths = items.where(F.col(width).isNotNull()).groupBy(F.col(width).cast("double").alias("_w")).agg(F.count("*").alias("_c"))
+    cuts = widths.approxQuantile("_w", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []  # at most ``parts`` numbers
+    part = lambda x: F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>"), lambda c: c <= x))
+    # at each place first the counts below it, then its own widths, then the counts up to it
+    reach = tolerance * F.greatest(F.col("_w"), F.lit(1.0))
+    asked = F.array(*(F.struct(x.alias("at"), F.lit(k).alias("kind"), c.alias("n")) for x, k, c in ((F.col("_w") - reach, 0, F.lit(0)), (F.col("_w"), 1, F.col("_c")), (F.col("_w") + reach, 2, F.lit(0)))))
+    places = widths.select("_w", F.inline(asked)).withColumn("part", part(F.col("at")))
+    before = places.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each part
+    running = F.sum("n").over(Window.partitionBy("part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = places.withColumn("upto", running).where("kind <> 1").join(F.broadcast(before), "part")
+    sizes = counted.groupBy("_w").agg(F.sum(F.when(F.col("kind") == 2, F.col("upto") + F.col("before")).otherwise(-F.col("upto") - F.col("before"))).alias("pool"))
+    return items.join(sizes, items[width].cast("double") == sizes["_w"]).select(id_col, "pool")
+
+
+def pool_stats(sizes: DataFrame, few: int = 5, size: str = "pool") -> DataFrame:
     """Smallest, median, mean and largest pool, and the share of pools below ``few``, in percent."""
-    sizes = pools.groupBy(id_col).agg(F.count("*").alias("n"))
-    return sizes.agg(F.min("n").alias("smallest"), F.median("n").alias("median"), F.avg("n").alias("mean"), F.max("n").alias("largest"), (100.0 * F.count_if(F.col("n") < few) / F.count("*")).alias("below"))
+    n = F.col(size)
+    return sizes.agg(F.min(n).alias("smallest"), F.median(n).alias("median"), F.avg(n).alias("mean"), F.max(n).alias("largest"), (100.0 * F.count_if(n < few) / F.count("*")).alias("below"))
 
 
 def stack_plan(pools: DataFrame, id_col: str, ns: list[int], samples: int, seed: int) -> DataFrame:
     """(n, sample, members): stacks of n items, an anchor and n - 1 draws from its pool, by hashes.
 
-    A pool of fewer than n items is drawn from all the same; the pools are arrays
-    of the items near in width.
+    Anchors are the first ``samples`` items in hash order, and again from the first where
+    there are fewer; only their pools, arrays of the items near in width, are gathered. A
+    pool of fewer than n items is drawn from all the same.
     """
-    members = pools.groupBy(id_col).agg(F.array_sort(F.collect_list("other")).alias("pool"))
-    place = F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), id_col))
-    anchors = members.withColumn("_i", place).withColumn("_all", F.count("*").over(Window.partitionBy()))
-    plan = anchors.select("*", F.explode(F.array(*map(F.lit, ns))).alias("n")).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    plan = plan.where(F.pmod(F.col("sample"), F.col("_all")) == F.col("_i") - 1)
-    draw = lambda k: F.get("pool", F.pmod(F.xxhash64(F.col(id_col), "n", "sample", k, F.lit(seed)), F.size("pool")).cast("int"))
+    order = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
+    first = pools.select(id_col).distinct().orderBy(order, id_col).limit(samples)  # at most ``samples`` rows from here on
+    place = F.row_number().over(Window.orderBy(order, id_col))
+    anchors = first.withColumns({"_i": place, "_all": F.count("*").over(Window.partitionBy())})
+    members = pools.join(F.broadcast(anchors), id_col).groupBy(id_col, "_i", "_all").agg(F.array_sort(F.collect_list("other")).alias("pool"))
+    plan = members.select("*", F.explode(F.array(*map(F.lit, ns))).alias("n")).withColumn("sample", F.explode(F.sequence(F.col("_i") - 1, F.lit(samples - 1), F.col("_all"))))
+    # draws by md5, which other engines have too
+    number = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.col("n").cast("string"), F.col("sample").cast("string"), k.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    draw = lambda k: F.get("pool", F.pmod(number(k), F.size("pool")).cast("int"))
     drawn = F.when(F.col("n") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))), draw)).otherwise(F.array().cast("array<long>"))
-    return plan.select("n", "sample", F.concat(F.array(F.col(id_col)), drawn).alias("members"))
+    return plan.select("n", F.col("sample").cast("int").alias("sample"), F.concat(F.array(F.col(id_col).cast("long")), drawn).alias("members"))
+
+
+def split_plan(split: str, fold: int, real: DataFrame, synthetic: DataFrame | None, id_col: str, max_n: int, n_real: int, n_synthetic: int, seed: int = 42) -> DataFrame:
+    """(position, stem, img, gt, n, members, is_synthetic): the stacked samples of a split for n = 2 to ``max_n``.
+
+    ``real`` and ``synthetic`` are pools (id, other). Of each n the real samples come
+    before the synthetic ones; position is the order of the split file.
+    """
+    ns = list(range(2, max_n + 1))
+    parts = [(real, n_real, False, "stacked")] + ([(synthetic, n_synthetic, True, "syn_stacked")] if synthetic is not None and n_synthetic > 0 else [])
+    out = None
+    for pools, samples, made, prefix in parts:
+        before = F.lit(n_real if made else 0)
+        rows = stack_plan(pools, id_col, ns, samples, seed)
+        stem = F.format_string(f"{prefix}_{split}_{fold}_n%d_%05d", "n", "sample")
+        position = (F.col("n") - 2) * (n_real + (n_synthetic if len(parts) > 1 else 0)) + before + F.col("sample")
+        rows = rows.select(position.cast("long").alias("position"), stem.alias("stem"), "n", "members", F.lit(made).alias("is_synthetic"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("position", "stem", F.concat(F.lit("jazzmus_stacked/jpg/"), "stem", F.lit(".jpg")).alias("img"), F.concat(F.lit("jazzmus_stacked/gt/"), "stem", F.lit(".txt")).alias("gt"), "n", "members", "is_synthetic")
+
+
+def size_stats(images: DataFrame, width: str = "width", height: str = "height", headroom: float = 1.1) -> DataFrame:
+    """Average, largest and smallest width, largest height, and both maxima with headroom, cut to whole numbers."""
+    w, h = F.col(width), F.col(height)
+    most = lambda c: (F.max(c) * headroom).cast("int")
+    return images.agg(F.avg(w).alias("mean_width"), F.max(w).alias("max_width"), F.min(w).alias("min_width"), F.max(h).alias("max_height"), most(w).alias("width_limit"), most(h).alias("height_limit"))
 
 
 def manifest(samples: DataFrame, parts: list[str]) -> DataFrame:
@@ -153,10 +204,6 @@ def scaled_counts(plan: DataFrame, count: str, total: int) -> DataFrame:
     return plan.withColumn("scaled", k).withColumns({"real": F.floor(F.col("scaled") / 2).cast("int"), "synthetic": F.col("scaled") - F.floor(F.col("scaled") / 2).cast("int")})
 
 
-def no_lines() -> Column:
-    return strings()
-
-
 def split_composition(split: str, stacked: DataFrame, singles: DataFrame, real_pages: DataFrame, synthetic_pages: DataFrame, most: int) -> DataFrame:
     """(img, gt, n) of a split of (img, gt[, n]) tables.
 

@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 BOX = "page_id long, box_id long, x1 int, y1 int, x2 int, y2 int"
 
 
-def iou_pairs(boxes: DataFrame, page: str, box: str, low: str, high: str, least: float) -> DataFrame:
-    """(page, box, other, iou) of boxes of a page whose vertical extents overlap by ``least`` of their hull."""
-    a = boxes.select(F.col(page), F.col(box), F.col(low).alias("_l"), F.col(high).alias("_h"))
-    b = boxes.select(F.col(page).alias("_page"), F.col(box).alias("other"), F.col(low).alias("_m"), F.col(high).alias("_i"))
+def iou_pairs(boxes: DataFrame, page: str, box: str, low: str, high: str, least: float, width: float | None = None) -> DataFrame:
+    """(page, box, other, iou) of boxes of a page whose vertical extents overlap by ``least`` of their hull.
+
+    With ``width``, boxes of a page meet only in buckets of that height.
+    """
+    put = lambda d, l, h, name: d if width is None else d.withColumn(name, F.explode(F.sequence(F.floor(F.col(l) / width), F.floor(F.col(h) / width))))
+    a = put(boxes.select(F.col(page), F.col(box), F.col(low).alias("_l"), F.col(high).alias("_h")), "_l", "_h", "_a")
+    b = put(boxes.select(F.col(page).alias("_page"), F.col(box).alias("other"), F.col(low).alias("_m"), F.col(high).alias("_i")), "_m", "_i", "_b")
     both = F.greatest(F.lit(0.0), F.least("_h", "_i") - F.greatest("_l", "_m"))
     hull = F.greatest("_h", "_i") - F.least("_l", "_m")
-    met = a.join(b, (F.col(page) == F.col("_page")) & (F.col(box) < F.col("other")) & (F.col("_l") < F.col("_i")) & (F.col("_m") < F.col("_h")))
+    on = (F.col(page) == F.col("_page")) & (F.col(box) < F.col("other")) & (F.col("_l") < F.col("_i")) & (F.col("_m") < F.col("_h"))
+    if width is None:
+        met = a.join(b, on)
+    else:
+        met = a.join(b, on & (F.col("_a") == F.col("_b"))).where(F.floor(F.greatest("_l", "_m") / width) == F.col("_a"))
     return met.withColumn("iou", F.try_divide(both, hull)).where(F.col("iou") >= least).select(page, box, "other", "iou")
 
 
@@ -93,3 +101,16 @@ def page_skew(angles: DataFrame, page: str, angle: str, most: float = 15.0, leas
     """(page, skew): median of the plausible line angles; 0 where it is too small to matter."""
     m = F.median(F.when(F.abs(F.col(angle)) <= most, F.col(angle)))
     return angles.groupBy(page).agg(m.alias("_m")).select(page, F.when(F.abs("_m") < least, 0.0).otherwise(F.coalesce("_m", F.lit(0.0))).alias("skew"))
+
+
+def segment_staves(detections: DataFrame, wanted: str = "staff", least: float = 0.6) -> DataFrame:
+    """(page_id, box_id, x1, y1, x2, y2, y_center, system_no, crop_top, crop_bottom) of the systems of each page.
+
+    Of (page_id, box_id, class, x1, y1, x2, y2, image_height): boxes of the wanted class
+    without duplicates, in the order of their centres, with the rows to crop. Gaps are
+    filled by ``interpolate_gaps``, which works on positions.
+    """
+    found = staves(detections, wanted).select("page_id", "box_id", "y_center", "image_height", "x1", "y1", "x2", "y2")
+    kept = merge_duplicates(found, least).join(found.select("page_id", "box_id", "y_center", "image_height"), ["page_id", "box_id"])
+    ordered = kept.withColumn("system_no", F.row_number().over(Window.partitionBy("page_id").orderBy("y_center", "box_id")))
+    return boundaries(ordered, "page_id", "system_no", "y1", "y2", "image_height").drop("image_height")

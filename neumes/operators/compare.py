@@ -89,6 +89,22 @@ def significance(values: DataFrame, unit: str, base: str, models: list[str]) ->
     return holm(tests, "p_raw", [], keys).withColumn("sig", stars(F.col("p_adj"))).drop("n_ranked", "tie_term", "w_minus")
 
 
+def with_overall_metrics(table: DataFrame, predictions: DataFrame, models: dict[str, str], page: str = "page", truth: str = "gt") -> DataFrame:
+    """``table`` with <name>_cer, _ser and _ler of whole texts; pages without all of their texts have nulls.
+
+    ``models``: names by the column of ``predictions`` that holds a model's text.
+    """
+    from .metrics import KINDS, rate, with_text_errors
+
+    rows = predictions.where(F.col(truth).isNotNull())
+    columns = []
+    for column, name in models.items():
+        rows = with_text_errors(rows.where(F.col(column).isNotNull()), column, truth)
+        rows = rows.withColumns({f"{name}_{k}": rate(F.col(f"{k}_errors"), F.col(f"{k}_total")) for k in KINDS})
+        columns += [f"{name}_{k}" for k in KINDS]
+    return table.join(rows.select(page, *columns), page, "left")
+
+
 def common_units(values: DataFrame, unit: str, model: str) -> DataFrame:
     """Units that every model of the table has."""
     models = values.select(model).distinct()
@@ -96,6 +112,22 @@ def common_units(values: DataFrame, unit: str, model: str) -> DataFrame:
     return each.join(F.broadcast(models.agg(F.count("*").alias("models"))), "models").select(unit)
 
 
+def with_columns_of(table: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``table`` with the columns of another one by key; rows without a match keep theirs, with nulls."""
+    return table.join(other, keys, "left")
+
+
+def key_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(op, key): keys of either side (union), of both (intersect) and of the left alone (except), each once."""
+    a, b = left.select(key), right.select(key)
+    sets = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.join(b, key, "left_anti").distinct()}
+    out = None
+    for name, keys in sets.items():
+        part = keys.select(F.lit(name).alias("op"), key)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def missing_units(left: DataFrame, right: DataFrame, unit: str) -> DataFrame:
     return left.select(unit).distinct().join(right, unit, "left_anti")
 

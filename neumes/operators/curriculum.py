@@ -28,11 +28,25 @@ def hash_order(id_col: Column, seed: int | str) -> Column:
     return F.md5(F.concat_ws(":", id_col.cast("string"), F.lit(str(seed))))
 
 
-def hash_sample(rows: DataFrame, by: list[str], id_col: str, share: float, seed: int | str) -> DataFrame:
-    """Of each group max(1, round(share * size)) rows in hash order, halves to even."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumns({"_r": F.row_number().over(w.orderBy(hash_order(F.col(id_col), seed), id_col)), "_n": F.count("*").over(w)})
-    return ranked.where(F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_n") * share, 0))).drop("_r", "_n")
+def hash_sample(rows: DataFrame, by: list[str], id_col: str, share: float, seed: int | str, digits: int = 4) -> DataFrame:
+    """Of each group max(1, round(share * size)) rows in hash order, halves to even.
+
+    Hashes are counted by their first ``digits`` (16 ** digits buckets): all rows below
+    the bucket in which a group's sample ends stay, and only that bucket is ranked. No
+    group, however large, is sorted in one task.
+    """
+    hashed = rows.withColumn("_h", hash_order(F.col(id_col), seed)).withColumn("_b", F.substring("_h", 1, digits))
+    group = Window.partitionBy(*by)
+    sizes = hashed.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    so_far = F.sum("_c").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = sizes.withColumns({"_to": so_far, "_n": F.sum("_c").over(group)}).withColumn("_k", F.greatest(F.lit(1), F.bround(F.col("_n") * share, 0)))
+    ends = ends.where("_to >= _k AND _to - _c < _k").select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by)), F.col("_b").alias("_last"), (F.col("_k") - F.col("_to") + F.col("_c")).alias("_left"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    within = hashed.join(ends, same).where("_b <= _last")
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", id_col))
+    return within.withColumn("_r", place).where("_b < _last OR _r <= _left").select(*rows.columns)
 
 
 def epoch(eligible: DataFrame, stage: int, share: float, id_col: str, seed: int | str, train: bool = True) -> DataFrame:

@@ -90,6 +90,64 @@ def extremes(pages: DataFrame, delta: str, tie: str, k: int) -> DataFrame:
 
 
 def hotspots(positions: DataFrame, keys: list[str]) -> DataFrame:
-    """Positions with a flag by model: B! and R! where that model alone is wrong, BR! where both are."""
+    """Positions with a flag for each model that is wrong: B! and R!."""
     b, r = F.col("baseline_label") != "correct", F.col("replay_label") != "correct"
-    return positions.withColumn("flag", F.when(b & r, "BR!").when(b, "B!").when(r, "R!").otherwise("")).select(*keys, "gt_index", "gt_token", "baseline_pred", "replay_pred", "flag")
+    return positions.withColumn("flag", F.concat_ws(" ", F.when(b, "B!"), F.when(r, "R!"))).select(*keys, "gt_index", "gt_token", "baseline_pred", "replay_pred", "flag")
+
+
+def page_streams(texts: DataFrame, page: str, truth: str, models: dict[str, str]) -> DataFrame:
+    """(page, level, truth, <model>...) token arrays of chords and notes; dots are no chords."""
+    from .notation import chord_column, chord_tokens, spine_tokens
+
+    sides = {"truth": truth, **models}
+    chords = lambda c: F.filter(chord_tokens(chord_column(F.col(c))), lambda t: t != ".")
+    level = lambda name, tokens: F.struct(F.lit(name).alias("level"), *(tokens(c).alias(n) for n, c in sides.items()))
+    return texts.select(F.col(page).alias("page"), F.inline(F.array(level("chord", chords), level("kern", lambda c: spine_tokens(F.col(c))))))
+
+
+def process_pages(texts: DataFrame, page: str = "page", truth: str = "gt_text", models: dict[str, str] | None = None, near: int = 2) -> DataFrame:
+    """Positions of all pages: (page, level, gt_index, gt_token, lb_dist, near_lb, <model>_label, <model>_pred, outcome).
+
+    ``models``: columns of texts by name (baseline and replay), both aligned with the
+    truth at two levels, with the distance of each token to the nearest system break.
+    """
+    from .notation import token_streams
+
+    models = models or {"baseline": "baseline_text", "replay": "replay_text"}
+    streams = page_streams(texts, page, truth, models)
+    keys = ["page", "level"]
+    tokens = token_streams(texts.select(F.col(page).alias("page_id"), F.col(truth).alias("text"))).select(F.col("page_id").alias("page"), "level", F.col("position").cast("int").alias("gt_index"), F.col("token").alias("gt_token"), F.col("distance").alias("lb_dist"))
+    sides = [position_labels(streams.where(F.col("level") == level), keys, model, "truth", level) for model in models for level in ("chord", "kern")]
+    both = [sides[0].unionByName(sides[1]), sides[2].unionByName(sides[3])]
+    out = two_model_positions(*both, tokens, keys)
+    for n in ("baseline", "replay"):
+        out = out.withColumn(f"{n}_pred", F.coalesce(f"{n}_pred", F.lit("")))
+    return out.withColumn("near_lb", F.col("lb_dist") <= near)
+
+
+def model_labels(positions: DataFrame) -> DataFrame:
+    """(level, model, gt_index, gt_token, label, pred_token): positions of two models one below the other."""
+    one = lambda n: F.struct(F.lit(n).alias("model"), F.col(f"{n}_label").alias("label"), F.col(f"{n}_pred").alias("pred_token"))
+    return positions.select("page", "level", "gt_index", "gt_token", F.inline(F.array(one("baseline"), one("replay"))))
+
+
+def shared_errors(positions: DataFrame) -> DataFrame:
+    """(level, positions, both_wrong, same_pred, divergent_pred) of tokens that both models miss."""
+    wrong = F.col("outcome") == "both_wrong"
+    same = F.col("baseline_pred") == F.col("replay_pred")
+    return positions.groupBy("level").agg(F.count("*").alias("positions"), F.count_if(wrong).alias("both_wrong"), F.count_if(wrong & same).alias("same_pred"), F.count_if(wrong & ~same).alias("divergent_pred"))
+
+
+def win_report(positions: DataFrame, winner: str, cap: int = 7) -> DataFrame:
+    """(level, bucket, n, errors, error_rate, only, only_rate): the loser's errors by distance to a break, ``cap`` and more together."""
+    loser = {"replay": "baseline", "baseline": "replay"}[winner]
+    wrong, only = F.col(f"{loser}_label") != "correct", F.col("outcome") == f"only_{loser}_wrong"
+    rows = positions.withColumn("bucket", F.least("lb_dist", F.lit(cap)).cast("long"))
+    share = lambda c: 100.0 * F.count_if(c) / F.count("*")
+    return rows.groupBy("level", "bucket").agg(F.count("*").alias("n"), F.count_if(wrong).alias("errors"), share(wrong).alias("error_rate"), F.count_if(only).alias("only"), share(only).alias("only_rate"))
+
+
+def error_types(positions: DataFrame, winner: str) -> DataFrame:
+    """(level, label, count) of the loser's errors where the winner is right."""
+    loser = {"replay": "baseline", "baseline": "replay"}[winner]
+    return positions.where(F.col("outcome") == f"only_{loser}_wrong").groupBy("level", F.col(f"{loser}_label").alias("label")).agg(F.count("*").alias("count"))

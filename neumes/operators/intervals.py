@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chords import VOCABULARIES, parse_chord
-from ..functions.text import rate
+from ..functions.text import let, rate
 
 
 def spans(rows: DataFrame, key: str, order: str, label: Column, duration: Column, sustain: str = ".") -> DataFrame:
@@ -21,30 +21,28 @@ def spans(rows: DataFrame, key: str, order: str, label: Column, duration: Column
     return held.agg(F.max(F.when(F.col("label") != sustain, F.col("label"))).alias("label"), F.min("start").alias("start_beat"), F.sum("d").alias("duration"))
 
 
-def overlaps(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+OTHER = ("span_no", "label", "start_beat", "duration")
+
+
+def overlaps(left: DataFrame, right: DataFrame, key: str, width: float | None = None) -> DataFrame:
     """Pairs of spans of one key that overlap, with their common duration.
 
-    Keys are joined as equal, so that spans meet only within a key; ``left`` and
-    ``right`` have (key, span_no, label, start_beat, duration).
+    ``left`` and ``right`` have (key, span_no, label, start_beat, duration). Spans meet
+    within a key and, with ``width``, only in buckets of so many beats, so that a key
+    with very many spans does not compare all with all.
     """
-    r = right.select(F.col(key).alias("_key"), *(F.col(c).alias(f"other_{c}") for c in ("span_no", "label", "start_beat", "duration")))
+    r = right.select(F.col(key).alias("_key"), *(F.col(c).alias(f"other_{c}") for c in OTHER))
     end, other_end = F.col("start_beat") + F.col("duration"), F.col("other_start_beat") + F.col("other_duration")
     on = (F.col(key) == F.col("_key")) & (F.col("start_beat") < other_end) & (F.col("other_start_beat") < end)
-    common = F.greatest(F.lit(0.0), F.least(end, other_end) - F.greatest("start_beat", "other_start_beat"))
-    return left.join(r, on, how).drop("_key").withColumn("overlap", F.coalesce(common, F.lit(0.0)))
-
-
-def bucketed_overlaps(left: DataFrame, right: DataFrame, key: str, width: float) -> DataFrame:
-    """As ``overlaps``, for keys with very many spans: spans meet only in buckets of ``width`` beats."""
-    put = lambda d: d.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start_beat") / width), F.floor((F.col("start_beat") + F.col("duration")) / width))))
-    r = put(right).select(F.col(key).alias("_key"), F.col("_bucket").alias("_other"), *(F.col(c).alias(f"other_{c}") for c in ("span_no", "label", "start_beat", "duration")))
-    end, other_end = F.col("start_beat") + F.col("duration"), F.col("other_start_beat") + F.col("other_duration")
-    met = put(left).join(r, (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_other")) & (F.col("start_beat") < other_end) & (F.col("other_start_beat") < end))
-    begin = F.greatest("start_beat", "other_start_beat")
-    return met.where(F.floor(begin / width) == F.col("_bucket")).drop("_key", "_bucket", "_other").withColumn("overlap", F.least(end, other_end) - begin)
+    begin, over = F.greatest("start_beat", "other_start_beat"), F.least(end, other_end)
+    if width is None:
+        return left.join(r, on).drop("_key").withColumn("overlap", over - begin)
+    put = lambda d, low, high, name: d.withColumn(name, F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+    met = put(left, F.col("start_beat"), end, "_bucket").join(put(r, F.col("other_start_beat"), other_end, "_other"), on & (F.col("_bucket") == F.col("_other")))
+    return met.where(F.floor(begin / width) == F.col("_bucket")).drop("_key", "_bucket", "_other").withColumn("overlap", over - begin)
 
 
-def symbol_recall(truth: DataFrame, pred: DataFrame, key: str, mapping=lambda c: c) -> DataFrame:
+def symbol_recall(truth: DataFrame, pred: DataFrame, key: str, mapping=lambda c: c, width: float | None = None) -> DataFrame:
     """(key, csr, compared, total, excluded): share of the truth's duration whose label agrees, in percent.
 
     Spans of the truth whose mapped label is null are left out and counted; null
@@ -52,38 +50,39 @@ def symbol_recall(truth: DataFrame, pred: DataFrame, key: str, mapping=lambda c:
     """
     mapped = truth.withColumn("mapped", mapping(F.col("label")))
     totals = mapped.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("mapped").isNotNull(), F.col("duration"))), F.lit(0.0)).alias("total"), F.count_if(F.col("mapped").isNull()).alias("excluded"))
-    met = overlaps(mapped.where("mapped IS NOT NULL"), pred, key).withColumn("other", mapping(F.col("other_label")))
+    met = overlaps(mapped.where("mapped IS NOT NULL"), pred, key, width).withColumn("other", mapping(F.col("other_label")))
     equal = met.groupBy(key).agg(F.sum(F.when(F.col("mapped") == F.col("other"), F.col("overlap")).otherwise(0.0)).alias("compared"), F.count_if(F.col("other").isNull()).alias("unmapped_pred"))
     out = totals.join(equal, key, "left").withColumns({"compared": F.coalesce("compared", F.lit(0.0)), "unmapped_pred": F.coalesce("unmapped_pred", F.lit(0))})
     return out.withColumn("csr", rate(F.col("compared"), F.col("total"), 0))
 
 
-def vocabulary_recalls(truth: DataFrame, pred: DataFrame, key: str) -> DataFrame:
+def vocabulary_recalls(truth: DataFrame, pred: DataFrame, key: str, width: float | None = None) -> DataFrame:
     """(key, vocabulary, csr) for each chord vocabulary; spans are joined once."""
-    labels = lambda c: F.array(*(F.struct(F.lit(n).alias("v"), f(parse_chord(c)).alias("x")) for n, f in VOCABULARIES.items()))
+    labels = lambda c: let(parse_chord(c), lambda p: F.array(*(F.struct(F.lit(n).alias("v"), f(p).alias("x")) for n, f in VOCABULARIES.items())))
     flat = truth.select(key, "duration", F.inline(labels(F.col("label"))))
     totals = flat.groupBy(key, "v").agg(F.coalesce(F.sum(F.when(F.col("x").isNotNull(), F.col("duration"))), F.lit(0.0)).alias("total"))
-    met = overlaps(truth, pred, key).select(key, "overlap", labels(F.col("label")).alias("a"), labels(F.col("other_label")).alias("b"))
+    met = overlaps(truth, pred, key, width).select(key, "overlap", labels(F.col("label")).alias("a"), labels(F.col("other_label")).alias("b"))
     pairs = met.select(key, "overlap", F.inline(F.zip_with("a", "b", lambda a, b: F.struct(a["v"].alias("v"), (a["x"] == b["x"]).alias("same")))))
     equal = pairs.groupBy(key, "v").agg(F.sum(F.when(F.col("same"), F.col("overlap")).otherwise(0.0)).alias("compared"))
     out = totals.join(equal, [key, "v"], "left")
     return out.select(key, F.col("v").alias("vocabulary"), rate(F.coalesce("compared", F.lit(0.0)), F.col("total"), 0).alias("csr"))
 
 
-def directional_hamming(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def directional_hamming(left: DataFrame, right: DataFrame, key: str, width: float | None = None) -> DataFrame:
     """(key, hamming, duration): of each left span, what its largest single overlap leaves uncovered, summed."""
-    best = overlaps(left, right, key, "left").groupBy(key, "span_no").agg(F.max("duration").alias("duration"), F.max("overlap").alias("best"))
-    return best.groupBy(key).agg(F.sum(F.col("duration") - F.col("best")).alias("hamming"), F.sum("duration").alias("duration"))
+    best = overlaps(left, right, key, width).groupBy(key, "span_no").agg(F.max("overlap").alias("best"))
+    rest = F.col("duration") - F.coalesce("best", F.lit(0.0))
+    return left.join(best, [key, "span_no"], "left").groupBy(key).agg(F.sum(rest).alias("hamming"), F.sum("duration").alias("duration"))
 
 
-def segmentation_quality(truth: DataFrame, pred: DataFrame, key: str) -> DataFrame:
+def segmentation_quality(truth: DataFrame, pred: DataFrame, key: str, width: float | None = None) -> DataFrame:
     """(key, over, under, quality): 100 * max(0, 1 - the larger Hamming distance / duration).
 
     The duration is the truth's, else the prediction's; where both are empty the
     quality is 1.
     """
-    over = directional_hamming(truth, pred, key).select(key, F.col("hamming").alias("over"), F.col("duration").alias("d1"))
-    under = directional_hamming(pred, truth, key).select(key, F.col("hamming").alias("under"), F.col("duration").alias("d2"))
+    over = directional_hamming(truth, pred, key, width).select(key, F.col("hamming").alias("over"), F.col("duration").alias("d1"))
+    under = directional_hamming(pred, truth, key, width).select(key, F.col("hamming").alias("under"), F.col("duration").alias("d2"))
     both = over.join(under, key, "full").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("over", "under", "d1", "d2")})
     total = F.when(F.col("d1") > 0, F.col("d1")).otherwise(F.col("d2"))
     share = F.greatest(F.lit(0.0), 1.0 - F.try_divide(F.greatest("over", "under"), total)) * 100.0

@@ -18,6 +18,17 @@ def with_text_errors(pairs: DataFrame, pred: str = "pred_text", truth: str = "gt
     return pairs.withColumns(columns)
 
 
+def paired_lines(texts: DataFrame, keys: list[str], pred: str = "pred_text", truth: str = "gt_text") -> DataFrame:
+    """(keys, line_no, pred, truth): lines of both texts by number; where one side has fewer, the other's line meets an empty one.
+
+    Long texts are so measured whole at a cost that is square in a line only.
+    """
+    lines = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), "\n", -1)
+    both = F.arrays_zip(lines(pred).alias("pred"), lines(truth).alias("truth"))
+    rows = texts.select(*keys, F.posexplode(both).alias("line_no", "z"))
+    return rows.select(*keys, "line_no", F.coalesce("z.pred", F.lit("")).alias(pred), F.coalesce("z.truth", F.lit("")).alias(truth))
+
+
 def with_token_errors(pairs: DataFrame, pred: str, truth: str, name: str) -> DataFrame:
     """Adds <name>_errors and <name>_total for two token arrays."""
     return pairs.withColumns({f"{name}_errors": edit_distance(F.col(pred), F.col(truth)), f"{name}_total": F.size(truth)})
@@ -45,6 +56,34 @@ def spine_rates(errors: DataFrame, spine: str = "spine", kinds=KINDS) -> DataFra
     return sums.select(F.when(F.col("all") == 1, "OVERALL").otherwise(F.col(spine)).alias(spine), *(rate(F.col(f"{k}_errors"), F.col(f"{k}_total"), 100).alias(k) for k in kinds))
 
 
+def spine_report(texts: DataFrame, keys: list[str], pred: str = "pred_text", truth: str = "gt_text", kinds=KINDS) -> DataFrame:
+    """(keys, spine, <kind>...): rates of each spine that the truth has, and, as OVERALL, of the whole texts.
+
+    A spine that the prediction lacks counts as empty.
+    """
+    from .notation import spines
+
+    def side(column: str, name: str) -> DataFrame:
+        found = spines(texts.select(F.struct(*keys).alias("_id"), F.col(column).alias("_x")), "_id", "_x")
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "\n")
+        return found.groupBy("page_id", "spine").agg(joined.alias(name)).select(*(F.col(f"page_id.{k}").alias(k) for k in keys), "spine", name)
+
+    pairs = side(truth, "_t").where("_t <> ''").join(side(pred, "_p"), [*keys, "spine"], "left").withColumn("_p", F.coalesce("_p", F.lit("")))
+    whole = texts.select(*keys, F.lit("OVERALL").alias("spine"), F.col(truth).alias("_t"), F.col(pred).alias("_p"))
+    rows = with_text_errors(pairs.select(*keys, "spine", "_t", "_p").unionByName(whole), "_p", "_t", kinds)
+    return rows.select(*keys, "spine", *(rate(F.col(f"{k}_errors"), F.col(f"{k}_total"), 100).alias(k) for k in kinds))
+
+
+def model_evaluation(predictions: DataFrame, kinds=KINDS) -> DataFrame:
+    """(model, pages, failed, <kind>_micro, <kind>_macro) of (page, model, pred_text, gt_text, error).
+
+    Pages whose run failed keep their row, with the error, and are counted but not measured.
+    """
+    ok = F.col("error").isNull() & F.col("pred_text").isNotNull()
+    measured = micro_macro(with_text_errors(predictions.where(ok), kinds=kinds), ["model"], kinds).drop("units")
+    return predictions.groupBy("model").agg(F.count("*").alias("pages"), F.count_if(~ok).alias("failed")).join(measured, "model", "left")
+
+
 def roots(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: parse_chord(t)["root"])
 
@@ -103,6 +142,19 @@ def count_analysis(pairs: DataFrame, pred: str, truth: str, shown: int = 20) ->
     return pairs.withColumns({"n_pred": F.size(pred), "n_truth": F.size(truth), "difference": F.size(pred) - F.size(truth), "same_count": F.size(pred) == F.size(truth), "pred_roots": first(pred), "truth_roots": first(truth)})
 
 
+def chord_metric_bundle(pairs: DataFrame, pred: str, truth: str, id_col: str = "page") -> DataFrame:
+    """All chord scores of each page, one row: counts, four root scores, quality, extension and full-chord scores."""
+    rows = count_analysis(root_scores(pairs, pred, truth), pred, truth).withColumnRenamed(id_col, "page")
+    places = position_pairs(pairs, pred, truth, id_col)
+    parts = [part_accuracy(places, p, ["page"]).select("page", F.col("accuracy").alias(f"{p}_accuracy"), F.col("compared").alias(f"{p}_compared")) for p in ("quality", "extension")]
+    real = lambda c: F.size(F.array_compact(roots(F.col(c))))
+    full = full_chord_scores(places, pairs.select(F.col(id_col).alias("page"), real(pred).alias("n_pred"), real(truth).alias("n_truth")), ["page"]).select("page", *(F.col(c).alias(f"full_{c}") for c in ("matches", "precision", "recall", "f1")))
+    out = rows.join(full, "page", "left")
+    for p in parts:
+        out = out.join(p, "page", "left")
+    return out.fillna(0.0, ["quality_accuracy", "extension_accuracy"]).fillna(0, ["quality_compared", "extension_compared"])
+
+
 def page_chord_metrics(pairs: DataFrame, pred: str, truth: str) -> DataFrame:
     """Adds three alignments (with dots, of chords, of roots) with their rates; a rate is 100 where there is no truth."""
     rows = pairs

@@ -51,6 +51,16 @@ def chord_tokens(column_text: Column, dots: bool = True) -> Column:
     return F.filter(kept, lambda x: (x != "") & ~x.rlike(skip) & (F.lit(dots) | (x != ".")))
 
 
+def chord_column(text: Column, spine: str = "**mxhm") -> Column:
+    """Data fields of a spine, lines joined; empty without its header. As ``spines``, in one column."""
+    lines = F.transform(F.split(strip(text), "\n", -1), lambda x: F.regexp_replace(x, r"^<bos>\s*", ""))
+    heads = F.filter(F.transform(lines, lambda x: F.when(x.startswith("**"), F.array_position(F.transform(F.split(x, "\t", -1), strip), spine))), lambda i: i > 0)
+    at = (F.get(heads, F.lit(0)) - 1).cast("int")
+    data = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^<eos>\s*", "")), lambda x: ~x.rlike("^[*=!]"))
+    fields = F.filter(F.transform(data, lambda x: F.get(F.split(x, "\t", -1), at)), lambda x: x.isNotNull())
+    return F.when(F.size(heads) > 0, F.array_join(fields, "\n")).otherwise(F.lit(""))
+
+
 def last_fields(text: Column) -> Column:
     """Last field of lines of two fields or more, but for interpretations, bars and comments."""
     fields = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.split(x, "\t", -1)), lambda f: F.size(f) >= 2)
@@ -99,11 +109,6 @@ def split_music_tail(lines: Column) -> Column:
     return F.struct(F.slice(lines, F.lit(1), last).alias("music"), F.slice(lines, last + 1, F.size(lines)).alias("tail"))
 
 
-def columns_round_trip(rows: DataFrame, columns: list[str], id_col: str) -> DataFrame:
-    """A two-column (or wider) notation line from columns of a row."""
-    return rows.select(F.col(id_col), F.concat_ws("\t", *(F.col(c).cast("string") for c in columns)).alias("line"))
-
-
 def clean_lines(text: Column) -> Column:
     """Lines without the start and end marks before them."""
     return F.transform(F.split(strip(text), "\n", -1), lambda x: F.regexp_replace(F.regexp_replace(x, r"^<bos>\s*", ""), r"^<eos>\s*", ""))

@@ -1,19 +1,20 @@
 """The queries of ``queries`` in DuckDB's SQL."""
 
-#: Text as measured: letters, digits, blanks and line breaks of ASCII.
-_ASCII = "regexp_replace({}, '[^A-Za-z0-9 \\n]', '', 'g')"
-_DOC = _ASCII.format("coalesce(text, '')")
+from . import sql
 
-_PRED = f"""
-g AS (SELECT doc_id AS page, {_DOC}[:200] AS gt FROM documents),
+_PRED = """
+g AS (SELECT doc_id AS page, unnest(string_split(coalesce(text, ''), chr(10))) AS gt FROM documents),
 p AS (
   SELECT page, gt, 'light' AS model, replace(gt, 'th', 't') AS pred FROM g
-  UNION ALL SELECT page, gt, 'heavy', replace(replace(gt, 'e', ''), chr(10), ' ') FROM g)"""
+  UNION ALL SELECT page, gt, 'heavy', replace(replace(gt, 'e', ''), ', ', ',' || chr(9)) FROM g)"""
 
 
-def _chars(x: str) -> str:
-    """One byte for each symbol: blanks vanish, a line break is one symbol."""
-    return f"translate({x}, chr(10) || ' ', chr(1))"
+def _line_errors(kinds: tuple[str, ...]) -> str:
+    """(page, model, <kind>_d, <kind>_n): errors and symbols of each document and model, summed over its lines."""
+    lists = "".join(f", {sql.SYMBOLS[k]('pred')} AS {k}_p, {sql.SYMBOLS[k]('gt')} AS {k}_t" for k in kinds)
+    shared = "".join(f", {sql.common(f'{k}_p', f'{k}_t')} AS {k}_c" for k in kinds)
+    sums = ", ".join(f"sum({sql.distance(f'{k}_p', f'{k}_t', f'{k}_c')}) AS {k}_d, sum(len({k}_t)) AS {k}_n" for k in kinds)
+    return f"{_PRED}, w AS (SELECT *{lists} FROM p), v AS (SELECT *{shared} FROM w), m AS (SELECT page, model, {sums} FROM v GROUP BY page, model)"
 
 
 _EVENTS = """
@@ -52,7 +53,7 @@ pool AS (
 
 _PAGES = """
 r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
-pg AS (SELECT *, max(n) OVER (PARTITION BY o_custkey) AS page_max FROM r WHERE n <= 9)"""
+pg AS (SELECT *, max(n) OVER (PARTITION BY o_custkey) AS page_max FROM r)"""
 
 _HALVES = """
 h AS (
@@ -63,7 +64,7 @@ d AS (SELECT *, base - other AS d FROM h WHERE base IS NOT NULL AND other IS NOT
 _RANKS = """
 k AS (SELECT *, rank() OVER (PARTITION BY o_orderpriority ORDER BY abs(d)) + (count(*) OVER (PARTITION BY o_orderpriority, abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0)"""
 
-_WORDS = "string_split_regex(" + _ASCII.format("text") + ", '[ \\n]+')"
+_WORDS = "string_split_regex(text, '[ \\n]+')"
 
 _STATE = """
 e AS (SELECT user_id::VARCHAR AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, round(value, 2) AS v FROM events),
@@ -80,27 +81,38 @@ m AS (
   FROM m JOIN e ON e.run_id = m.run_id AND e.epoch = m.epoch + 1)"""
 
 def _model_rates() -> str:
-    """Break symbols and words of a text, numbered within the pair, as one byte each: up to 200 characters have few enough."""
-    text = {"ser": "string_split(replace({}, chr(10), ' <b> '), ' ')", "ler": "string_split({}, chr(10))"}
-    columns = "".join(f", {text[k].format('pred')} AS {k}_p, {text[k].format('gt')} AS {k}_t" for k in text)
-    number = "list_aggregate(list_transform({k}_{s}, lambda x: chr((1 + list_position(list_distinct(list_concat({k}_p, {k}_t)), x))::INTEGER)), 'string_agg', '')"
-    parts = [f"levenshtein({_chars('pred')}, {_chars('gt')}) AS cer_d, length({_chars('gt')}) AS cer_n"]
-    parts += [f"levenshtein({number.format(k=k, s='p')}, {number.format(k=k, s='t')}) AS {k}_d, len({k}_t) AS {k}_n" for k in text]
-    rates = ", ".join(f"round(100.0 * sum({k}_d) / sum({k}_n), 6)::DOUBLE AS {k}_micro, round(avg(CASE WHEN {k}_n > 0 THEN 100.0::DOUBLE * {k}_d / {k}_n END), 6) AS {k}_macro" for k in ("cer", "ser", "ler"))
-    return f"WITH {_PRED}, w AS (SELECT *{columns} FROM p), m AS (SELECT model, {', '.join(parts)} FROM w) SELECT model, count(*) AS units, {rates} FROM m GROUP BY model"
+    rates = ", ".join(f"round(100.0 * sum({k}_d) / sum({k}_n), 6)::DOUBLE AS {k}_micro, round(avg(CASE WHEN {k}_n > 0 THEN 100.0::DOUBLE * {k}_d / {k}_n END), 6) AS {k}_macro" for k in sql.SYMBOLS)
+    return f"WITH {_line_errors(tuple(sql.SYMBOLS))} SELECT model, count(*) AS units, {rates} FROM m GROUP BY model"
+
+
+def _significance() -> str:
+    """One-sided p-values: by all sign patterns up to 50 pairs without ties, else by the normal limit."""
+    z = "(w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0)"
+    return f"""
+WITH {_HALVES}, {_RANKS},
+k2 AS (SELECT o_orderpriority, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus FROM k GROUP BY 1),
+te AS (SELECT o_orderpriority, sum(c::DOUBLE ** 3 - c) AS ties FROM (SELECT o_orderpriority, abs(d) AS a, count(*) AS c FROM d WHERE d <> 0 GROUP BY ALL) GROUP BY 1),
+st AS (SELECT o_orderpriority AS metric, count(*) AS n, count_if(d > 0)::BIGINT AS wins, count_if(d = 0)::BIGINT AS ties, count_if(d < 0)::BIGINT AS losses FROM d GROUP BY 1),
+pv AS (SELECT o_orderpriority AS metric, CASE WHEN n <= 50 AND ties = 0 THEN {sql.signed_rank_tail('n', 'w_plus')} ELSE {sql.normal_tail(z)} END AS p_raw FROM k2 JOIN te USING (o_orderpriority)),
+i AS (SELECT *, row_number() OVER (ORDER BY p_raw, metric) AS i, count(*) OVER () AS m FROM st JOIN pv USING (metric)),
+a AS (SELECT *, least(1.0, max(p_raw * (m - i + 1)) OVER (ORDER BY p_raw, metric ROWS UNBOUNDED PRECEDING)) AS p_adj FROM i)
+SELECT metric, 'other' AS model, n, wins, ties, losses, round(p_raw, 6)::DOUBLE AS p_raw, round(p_adj, 6)::DOUBLE AS p_adj, CASE WHEN p_adj < .001 THEN '***' WHEN p_adj < .01 THEN '**' WHEN p_adj < .05 THEN '*' ELSE '' END AS sig FROM a"""
 
 
 ORACLES = {
     "model_error_rates": _model_rates(),
     "scan_project_filter": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 6) AS net FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R'",
-    "char_error_rate": f"WITH {_PRED} SELECT page AS doc_id, levenshtein({_chars('pred')}, {_chars('gt')})::BIGINT AS errors, length({_chars('gt')})::BIGINT AS symbols FROM p WHERE model = 'light'",
+    "char_error_rate": f"WITH {_line_errors(('cer',))} SELECT page AS doc_id, cer_d::BIGINT AS errors, cer_n::BIGINT AS symbols FROM m WHERE model = 'light'",
     "line_error_rate": f"""
-WITH l AS (SELECT doc_id, string_split({_DOC}, chr(10)) AS ls FROM documents),
-k AS (SELECT doc_id, ls, list_filter(ls, lambda x: NOT starts_with(x, 'The')) AS ks FROM l)
-SELECT doc_id, CASE WHEN len(ks) = 0 THEN len(ls) - (list_contains(ls, ''))::INT ELSE len(ls) - len(ks) END::BIGINT AS errors, len(ls)::BIGINT AS lines FROM k""",
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+k AS (SELECT doc_id, ls, string_split(coalesce(array_to_string(list_filter(ls, lambda x: NOT starts_with(x, 'The')), chr(10)), ''), chr(10)) AS ks FROM l),
+c AS (SELECT *, {sql.common('ks', 'ls')} AS cs FROM k)
+SELECT doc_id, {sql.distance('ks', 'ls', 'cs')}::BIGINT AS errors, len(ls)::BIGINT AS lines FROM c""",
     "symbol_error_rate": f"""
-WITH w AS (SELECT item_id, string_split(replace({_ASCII.format('text')}, chr(10), ' <b> '), ' ') AS w FROM benchmark)
-SELECT item_id, (len(w) // 7)::BIGINT AS errors, len(w)::BIGINT AS symbols FROM w""",
+WITH w AS (SELECT item_id, {sql.symbols('text')} AS w FROM benchmark),
+k AS (SELECT *, list_filter(w, lambda x, i: i % 7 <> 0) AS p FROM w),
+c AS (SELECT *, {sql.common('p', 'w')} AS cs FROM k)
+SELECT item_id, {sql.distance('p', 'w', 'cs')}::BIGINT AS errors, len(w)::BIGINT AS symbols FROM c""",
     "sequence_edit_distance": f"WITH {_EVENTS} SELECT user_id, {_DIST}::BIGINT AS distance, len(truth)::BIGINT AS length FROM u",
     "sequence_error_rate": f"""
 WITH {_EVENTS}, d AS (SELECT user_id % 5 AS bucket, {_DIST} AS d, len(truth) AS n FROM u)
@@ -116,8 +128,6 @@ SELECT CASE WHEN line = '' THEN 'blank' WHEN starts_with(line, '**') THEN 'heade
     "block_split": """
 WITH b AS (SELECT conv_id, turn, sum((coalesce(role, '') = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS block_no FROM conversations)
 SELECT conv_id, block_no, count(*) AS turns, min(turn) AS first_turn FROM b GROUP BY conv_id, block_no""",
-    "symbol_parse_struct": """
-SELECT p_partkey, string_split(p_type, ' ')[1] AS size, string_split(p_type, ' ')[-1] AS metal, nullif(regexp_extract(p_brand, '(\\d+)', 1), '')::BIGINT AS brand FROM part""",
     "vocab_build": f"WITH w AS (SELECT DISTINCT unnest({_WORDS}) AS token FROM benchmark) SELECT token, row_number() OVER (ORDER BY token) AS id FROM w UNION ALL SELECT '<pad>', 0",
     "vocab_encode_decode": f"""
 WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -136,8 +146,8 @@ SELECT user_id, round(coalesce(compared, 0), 6)::DOUBLE AS compared, round(total
 FROM t LEFT JOIN e USING (user_id)""",
     "max_overlap_hamming": f"""
 WITH {_SPANS},
-x AS (SELECT user_id, sum(duration - best) AS over, sum(duration) AS d1 FROM (SELECT a.user_id, a.span_no, max(a.duration) AS duration, max(coalesce({_OVERLAP}, 0)) AS best FROM sp a LEFT JOIN sq b ON {_MEET} GROUP BY ALL) GROUP BY user_id),
-y AS (SELECT user_id, sum(duration - best) AS under, sum(duration) AS d2 FROM (SELECT a.user_id, a.span_no, max(a.duration) AS duration, max(coalesce({_OVERLAP}, 0)) AS best FROM sq a LEFT JOIN sp b ON {_MEET} GROUP BY ALL) GROUP BY user_id),
+x AS (SELECT user_id, sum(duration - best) AS over, sum(duration) AS d1 FROM (SELECT a.user_id, a.span_no, max(a.duration) AS duration, max(CASE WHEN b.user_id IS NULL THEN 0 ELSE {_OVERLAP} END) AS best FROM sp a LEFT JOIN sq b ON {_MEET} GROUP BY ALL) GROUP BY user_id),
+y AS (SELECT user_id, sum(duration - best) AS under, sum(duration) AS d2 FROM (SELECT a.user_id, a.span_no, max(a.duration) AS duration, max(CASE WHEN b.user_id IS NULL THEN 0 ELSE {_OVERLAP} END) AS best FROM sq a LEFT JOIN sp b ON {_MEET} GROUP BY ALL) GROUP BY user_id),
 z AS (SELECT user_id, coalesce(over, 0) AS over, coalesce(under, 0) AS under, CASE WHEN coalesce(d1, 0) > 0 THEN d1 ELSE coalesce(d2, 0) END AS total FROM x FULL JOIN y USING (user_id))
 SELECT user_id, round(over, 6)::DOUBLE AS over, round(under, 6)::DOUBLE AS under, round(CASE WHEN total > 0 THEN greatest(0, 1 - greatest(over, under) / total) * 100 ELSE 1 END, 6)::DOUBLE AS quality FROM z""",
     "bag_match": f"""
@@ -150,7 +160,18 @@ SELECT user_id, coalesce(matches, 0)::BIGINT AS matches FROM u LEFT JOIN c USING
 WITH {_EVENTS},
 m AS (SELECT user_id, len(list_filter(range(1, least(len(pred), len(truth)) + 1), lambda i: pred[i] = truth[i])) AS m, len(pred) AS p, len(truth) AS t FROM u)
 SELECT user_id, m::BIGINT AS matches, round(m::DOUBLE / p, 6) AS precision, round(m::DOUBLE / t, 6) AS recall, round(CASE WHEN m > 0 THEN 2.0::DOUBLE * m / (p + t) ELSE 0 END, 6) AS f1 FROM m""",
-    "align_trace_counts": f"WITH {_EVENTS} SELECT user_id, {_DIST}::BIGINT AS edit_distance, true AS sound FROM u",
+    "align_trace_counts": f"""
+WITH {_EVENTS}, x AS (SELECT user_id, truth, {sql.alignment('pred', 'truth')} AS a FROM u)
+SELECT user_id, {", ".join(f"{sql.counters('a', 'truth')[k]}::BIGINT AS {n}" for k, n in (("edit_distance", "edit_distance"), ("matches", "n_match"), ("substitutions", "n_substitute"), ("insertions", "n_insert"), ("deletions", "n_delete")))}, true AS sound FROM x""",
+    "lcs_match": f"WITH {_EVENTS} SELECT user_id, {sql.common_subsequence('pred', 'truth')}::BIGINT AS matches FROM u",
+    "windowed_match": f"WITH {_EVENTS} SELECT user_id, {sql.windowed('pred', 'truth')}::BIGINT AS matches FROM u",
+    "significance_report": _significance(),
+    "confusion_labels": f"""
+WITH {_EVENTS}, st AS ({sql.steps('u', 'user_id')}),
+c AS (SELECT 'types' AS level, truth[ti + 1] AS gt, CASE WHEN op = 'd' THEN '<DEL>' ELSE pred[pi + 1] END AS pred, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS model FROM st WHERE op IN ('s', 'd')),
+n AS (SELECT level, gt, pred, model, count(*) AS count FROM c GROUP BY ALL)
+SELECT *, count(*) OVER (PARTITION BY level, gt, pred) > 1 AS also_in_other_model FROM n""",
+    "width_pairs": "SELECT a.s_suppkey, b.s_suppkey AS other FROM supplier a JOIN supplier b ON abs(b.s_acctbal - a.s_acctbal) <= 0.15 * greatest(a.s_acctbal, 1.0)",
     "boundary_distance": f"WITH {_NEAR} SELECT event_id, distance::BIGINT AS distance, n::BIGINT AS position FROM n WHERE NOT b",
     "distance_gradient": f"""
 WITH {_NEAR} SELECT least(distance, 7)::BIGINT AS bucket, count(*) AS n, count_if(event_type = 'purchase')::BIGINT AS errors, round(100.0 * count_if(event_type = 'purchase') / count(*), 6)::DOUBLE AS error_rate FROM n WHERE NOT b GROUP BY 1""",

@@ -27,22 +27,30 @@ def long(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
 
-def ascii_text(c: Column) -> Column:
-    """Only letters, digits, blanks and line breaks of ASCII: what all engines measure alike."""
-    return F.regexp_replace(c, "[^A-Za-z0-9 \n]", "")
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows for costly work over all cores where a small input came in fewer partitions."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page, model, pred_text, gt_text): whole documents and two fixed corruptions of them."""
-    gt = ascii_text(F.coalesce("text", F.lit("")))
-    rows = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), gt.alias("gt_text"))
-    corrupt = F.array(F.struct(F.lit("light").alias("model"), F.replace(F.col("gt_text"), F.lit("th"), F.lit("t")).alias("pred_text")), F.struct(F.lit("heavy").alias("model"), F.replace(F.replace(F.col("gt_text"), F.lit("e"), F.lit("")), F.lit("\n"), F.lit(" ")).alias("pred_text")))
+    rows = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.coalesce("text", F.lit("")).alias("gt_text"))
+    light = F.replace(F.col("gt_text"), F.lit("th"), F.lit("t"))
+    heavy = F.replace(F.replace(F.col("gt_text"), F.lit("e"), F.lit("")), F.lit(", "), F.lit(",\t"))
+    corrupt = F.array(F.struct(F.lit("light").alias("model"), light.alias("pred_text")), F.struct(F.lit("heavy").alias("model"), heavy.alias("pred_text")))
     return rows.select("page", "gt_text", F.inline(corrupt)).select("page", "model", "pred_text", "gt_text")
 
 
+def line_errors(texts: DataFrame, kinds=metrics.KINDS) -> DataFrame:
+    """Errors and symbols of each document and model: whole texts, line by line."""
+    rows = metrics.with_text_errors(spread(metrics.paired_lines(texts, ["page", "model"])), kinds=kinds)
+    return rows.groupBy("page", "model").agg(*(F.sum(f"{k}_{part}").alias(f"{k}_{part}") for k in kinds for part in ("errors", "total")))
+
+
 def model_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Micro and macro error rates of each model: the flagship query."""
-    out = metrics.micro_macro(metrics.with_text_errors(predictions(spark, sf_dir)), ["model"])
+    """Micro and macro error rates of each model over whole documents: the flagship query."""
+    out = metrics.micro_macro(line_errors(predictions(spark, sf_dir)), ["model"])
     return out.select("model", long("units").alias("units"), *(r6(F.col(f"{k}_{m}")).alias(f"{k}_{m}") for k in metrics.KINDS for m in ("micro", "macro")))
 
 
@@ -59,6 +67,10 @@ def user_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumnRenamed("types", "pred").join(other, "user_id")
 
 
+#: Beats of a bucket in which spans meet: some spans of events long.
+SPAN_BUCKET = 50_000.0
+
+
 def user_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of events: ``view`` prolongs the one before it, value is the duration in hundredths."""
     e = t(spark, sf_dir, "events").withColumn("_o", F.struct("ts", "event_id"))
@@ -83,14 +95,14 @@ def model_error_rates(spark, sf_dir):
 
 @query
 def char_error_rate(spark, sf_dir):
-    rows = metrics.with_text_errors(predictions(spark, sf_dir), kinds=("cer",)).where("model = 'light'")
+    rows = line_errors(predictions(spark, sf_dir).where("model = 'light'"), ("cer",))
     return rows.select(F.col("page").alias("doc_id"), long("cer_errors").alias("errors"), long("cer_total").alias("symbols"))
 
 
 @query
 def line_error_rate(spark, sf_dir):
     """Document lines against the same without those that begin with ``The``."""
-    text = ascii_text(F.coalesce("text", F.lit("")))
+    text = F.coalesce("text", F.lit(""))
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~x.startswith("The")), "\n")
     d, n = text_distance(kept, text, "ler")
     rows = t(spark, sf_dir, "documents").select("doc_id", d.alias("errors"), n.alias("lines"))
@@ -100,8 +112,7 @@ def line_error_rate(spark, sf_dir):
 @query
 def symbol_error_rate(spark, sf_dir):
     """Words of benchmark items against the same without every seventh."""
-    words = symbol_tokens(ascii_text(F.col("text")))
-    rows = t(spark, sf_dir, "benchmark").select("item_id", words.alias("w"))
+    rows = t(spark, sf_dir, "benchmark").select("item_id", symbol_tokens(F.col("text")).alias("w"))
     rows = rows.withColumn("p", F.filter("w", lambda x, i: (i + 1) % 7 != 0))
     return rows.select("item_id", long(edit_distance(F.col("p"), F.col("w"))).alias("errors"), long(F.size("w")).alias("symbols"))
 
@@ -150,16 +161,8 @@ def block_split(spark, sf_dir):
     return rows.groupBy("conv_id", "block_no").agg(F.count("*").alias("turns"), F.min("turn").alias("first_turn"))
 
 
-@query
-def symbol_parse_struct(spark, sf_dir):
-    """Types and brands of parts in their fields."""
-    words = F.split("p_type", " ", -1)
-    rows = t(spark, sf_dir, "part").select("p_partkey", F.struct(F.get(words, F.lit(0)).alias("size"), F.element_at(words, -1).alias("metal"), F.nullif(F.regexp_extract("p_brand", r"(\d+)", 1), F.lit("")).cast("long").alias("brand")).alias("s"))
-    return rows.select("p_partkey", "s.size", "s.metal", "s.brand")
-
-
 def benchmark_words(spark, sf_dir):
-    return t(spark, sf_dir, "benchmark").select("item_id", F.split(ascii_text(F.col("text")), "[ \n]+", -1).alias("tokens"))
+    return t(spark, sf_dir, "benchmark").select("item_id", F.split("text", "[ \n]+", -1).alias("tokens"))
 
 
 @query
@@ -192,13 +195,13 @@ def span_islands(spark, sf_dir):
 @query
 def interval_overlap_match(spark, sf_dir):
     truth, pred = span_sides(spark, sf_dir)
-    out = intervals.symbol_recall(truth, pred, "user_id", lambda c: F.when(c != "error", c))
+    out = intervals.symbol_recall(truth, pred, "user_id", lambda c: F.when(c != "error", c), SPAN_BUCKET)
     return out.select("user_id", r6(F.col("compared")).alias("compared"), r6(F.col("total")).alias("total"), long("excluded").alias("excluded"), r6(F.col("csr")).alias("csr"))
 
 
 @query
 def max_overlap_hamming(spark, sf_dir):
-    out = intervals.segmentation_quality(*span_sides(spark, sf_dir), "user_id")
+    out = intervals.segmentation_quality(*span_sides(spark, sf_dir), "user_id", SPAN_BUCKET)
     return out.select("user_id", *(r6(F.col(c)).alias(c) for c in ("over", "under", "quality")))
 
 
@@ -229,11 +232,10 @@ def windowed_match(spark, sf_dir):
 
 @query
 def align_trace_counts(spark, sf_dir):
-    """Steps of the alignments; their cost is the distance that the engine's own function gives."""
+    """Steps of the alignments by kind; their cost is the distance that the engine's own function gives."""
     rows = alignment.aligned_rows(user_pairs(spark, sf_dir), "pred", "truth")
-    out = rows.select("user_id", *alignment.step_counts(F.col("aligned")), edit_distance(F.col("pred"), F.col("truth")).alias("d"), F.size("truth").alias("n"), F.size("pred").alias("m"))
-    sound = (F.col("edit_distance") == F.col("d")) & (F.col("n_match") + F.col("n_substitute") + F.col("n_delete") == F.col("n")) & (F.col("n_match") + F.col("n_substitute") + F.col("n_insert") == F.col("m"))
-    return out.select("user_id", long("edit_distance").alias("edit_distance"), sound.alias("sound"))
+    out = rows.select("user_id", *alignment.step_counts(F.col("aligned")), edit_distance(F.col("pred"), F.col("truth")).alias("d"))
+    return out.select("user_id", *(long(c).alias(c) for c in ("edit_distance", "n_match", "n_substitute", "n_insert", "n_delete")), (F.col("edit_distance") == F.col("d")).alias("sound"))
 
 
 def event_order(spark, sf_dir):
@@ -256,21 +258,26 @@ def distance_gradient(spark, sf_dir):
 
 @query
 def width_band_pool(spark, sf_dir):
-    out = assemble.width_pool(t(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", 0.15)
-    return out.groupBy("s_suppkey").agg(F.count("*").alias("pool"))
+    return assemble.pool_sizes(t(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", 0.15)
 
 
 @query
 def pool_stats(spark, sf_dir):
-    out = assemble.pool_stats(assemble.width_pool(t(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", 0.15), "s_suppkey")
+    out = assemble.pool_stats(assemble.pool_sizes(t(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", 0.15))
     return out.select(long("smallest").alias("smallest"), r6(F.col("median")).alias("median"), r6(F.col("mean")).alias("mean"), long("largest").alias("largest"), r6(F.col("below")).alias("below"))
 
 
+@query
+def width_pairs(spark, sf_dir):
+    """The pairs themselves, as stacks are drawn from them."""
+    return assemble.width_pool(t(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", 0.15)
+
+
 @query
 def iou_dedup_pairs(spark, sf_dir):
     """Events of a user as intervals of their day: overlapping ones."""
     e = t(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_timestamp("ts") / 60.0).alias("low"), (F.unix_timestamp("ts") / 60.0 + 600 + F.col("value")).alias("high"))
-    out = boxes.iou_pairs(e, "user_id", "event_id", "low", "high", 0.3)
+    out = boxes.iou_pairs(e, "user_id", "event_id", "low", "high", 0.3, 2000.0)
     return out.select("user_id", "event_id", "other", r6(F.col("iou")).alias("iou"))
 
 
@@ -309,7 +316,7 @@ def ordered_concat(spark, sf_dir):
 def order_pages(spark, sf_dir):
     """Orders of a customer as prefixes of a page: n is the ordinal."""
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    rows = t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", n.alias("n")).where("n <= 9")
+    rows = t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", n.alias("n"))
     return curriculum.page_maxima(rows, "o_custkey", "n")
 
 
@@ -337,12 +344,8 @@ def curriculum_epoch(spark, sf_dir):
 def union_intersect_except(spark, sf_dir):
     a = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     b = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
-    ops = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.exceptAll(b.distinct()).distinct()}
-    out = None
-    for name, d in ops.items():
-        part = d.agg(F.count("*").alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("total")).select(F.lit(name).alias("op"), "n", "total")
-        out = part if out is None else out.unionByName(part)
-    return out
+    every = spark.range(1).select(F.explode(F.array(*map(F.lit, ("union", "intersect", "except")))).alias("op"))
+    return every.join(compare.key_sets(a, b, "k"), "op", "left").groupBy("op").agg(F.count("k").alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("total"))
 
 
 @query
@@ -352,7 +355,7 @@ def left_anti_missing(spark, sf_dir):
 
 @query
 def left_join_metrics(spark, sf_dir):
-    rows = t(spark, sf_dir, "documents").join(t(spark, sf_dir, "labels"), "doc_id", "left")
+    rows = compare.with_columns_of(t(spark, sf_dir, "documents"), t(spark, sf_dir, "labels"), ["doc_id"])
     return rows.select("doc_id", "n_chars", long("quality").alias("quality"), long("toxic").alias("toxic"))
 
 

@@ -68,6 +68,11 @@ def manifest_rows(lines: DataFrame, with_n: bool = True) -> DataFrame:
     )
 
 
+def distinct_texts(rows: DataFrame, column: str = "gt") -> DataFrame:
+    """(path) of each text once, however many rows name it."""
+    return rows.select(F.col(column).alias("path")).where("path IS NOT NULL").distinct()
+
+
 def positional_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(img, gt): the first two fields between single blanks."""
     parts = F.split("value", " ", -1)
@@ -148,6 +153,28 @@ def png_size(content: Column) -> Column:
     return F.when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", F.struct(number(17).alias("width"), number(21).alias("height")))
 
 
+def jpeg_frame(content: bytes) -> tuple[int, int] | None:
+    """Width and height in the first frame header of JPEG bytes. Segments before it are skipped by their lengths."""
+    at = 2 if content[:2] == b"\xff\xd8" else len(content)
+    while at + 9 <= len(content) and content[at] == 0xFF:
+        mark = content[at + 1]
+        if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(content[at + 7 : at + 9], "big"), int.from_bytes(content[at + 5 : at + 7], "big")
+        at += 1 if mark == 0xFF else 2 + int.from_bytes(content[at + 2 : at + 4], "big")
+    return None
+
+
+def image_size(content: Column) -> Column:
+    """STRUCT<width, height> from the header of PNG or JPEG bytes; null for other bytes. Nothing is decoded."""
+
+    @F.arrow_udf("struct<width:int,height:int>")
+    def run(files: pa.Array) -> pa.Array:
+        sizes = [None if f is None else jpeg_frame(f) for f in files.to_pylist()]
+        return pa.array([None if s is None else {"width": s[0], "height": s[1]} for s in sizes], pa.struct([("width", pa.int32()), ("height", pa.int32())]))
+
+    return F.coalesce(png_size(content), run(content))
+
+
 def checkpoints(files: DataFrame) -> DataFrame:
     """Sorted checkpoint paths of a listing."""
     return files.where(F.col("path").endswith(".ckpt")).select("path").orderBy("path")

@@ -9,6 +9,11 @@ def write_lines(lines: DataFrame, path: str, single: bool = False) -> None:
     (lines.coalesce(1) if single else lines).write.mode("overwrite").text(path)
 
 
+def append_lines(lines: DataFrame, path: str) -> None:
+    """More lines of a split; those that stand there stay. Files of one folder are one split."""
+    lines.write.mode("append").text(path)
+
+
 def write_texts(texts: DataFrame, path: str, by: list[str], text_col: str = "text") -> None:
     """Texts in folders by key."""
     texts.select(*by, F.col(text_col).alias("value")).write.mode("overwrite").partitionBy(*by).text(path)
@@ -28,15 +33,25 @@ def stored_vocabulary(spark, path: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def shown(value) -> str:
+    return "" if value is None else f"{value:.2f}" if isinstance(value, float) else str(value)
+
+
 def markdown(table: DataFrame, title: str = "", most: int = 1000) -> str:
-    """An aggregated table as Markdown; ``(none)`` if it is empty. A report shows at most ``most`` rows."""
-    rows = [[("" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v)) for v in r] for r in table.limit(most).collect()]
-    if not rows:
-        return f"{title}\n\n(none)\n".lstrip()
-    widths = [max(len(x) for x in c) for c in zip(table.columns, *rows)]
-    line = lambda cells: "| " + " | ".join(x.ljust(w) for x, w in zip(cells, widths)) + " |"
-    out = [line(table.columns), "|" + "|".join("-" * (w + 2) for w in widths) + "|", *map(line, rows)]
-    return (f"{title}\n\n" if title else "") + "\n".join(out) + "\n"
+    """An aggregated table as Markdown; ``(none)`` if it is empty. Rows beyond ``most`` are not shown, and the report says so."""
+    found = table.limit(most + 1).collect()
+    columns = []
+    for i, name in enumerate(table.columns):
+        cells = [name, *(shown(r[i]) for r in found[:most])]
+        width = max(map(len, cells))
+        cells.insert(1, "-" * width)
+        columns.append([c + (" " * (width - len(c))) for c in cells])
+    lines = [f"| {' | '.join(row)} |" for row in zip(*columns)] if found else ["(none)"]
+    if found:
+        lines[1] = lines[1].replace(" ", "-")
+    if len(found) > most:
+        lines.append(f"\nOnly the first {most} rows are shown.")
+    return "\n".join(([title, ""] if title else []) + lines) + "\n"
 
 
 def clipped(metric: Column) -> Column:

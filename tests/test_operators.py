@@ -75,7 +75,7 @@ def test_intervals_with_themselves(spark):
     recall = intervals.symbol_recall(spans, spans.where("span_no = 1"), "k").first()
     assert recall.csr == pytest.approx(40.0)
     a = intervals.overlaps(spans, spans, "k").agg(F.sum("overlap")).first()[0]
-    assert a == intervals.bucketed_overlaps(spans, spans, "k", 1.5).agg(F.sum("overlap")).first()[0] == 5.0
+    assert a == intervals.overlaps(spans, spans, "k", 1.5).agg(F.sum("overlap")).first()[0] == 5.0
     assert intervals.interval_report(spans, spans, "k").first().truth_spans == 3
 
 
