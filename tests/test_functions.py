@@ -71,3 +71,17 @@ def test_small_helpers(spark):
     assert one(spark, "x", lambda c: text.from_where(F.array(c, F.lit("=1"), F.lit("z")), lambda v: v.startswith("="))) == ["=1", "z"]
     assert [one(spark, "x", lambda c, v=v: text.half_even(F.lit(v))) for v in (2.5, 3.5)] == [2, 4]
     assert each(spark, ["a/img_7_n2.jpg", "other"], lambda c: text.page_identity(c)["number"]) == [7, None]
+
+
+def test_chord_tokens_follow_the_first_signs(spark):
+    """Goldens: what stands before the first colon, slash and sign decides."""
+    from neumes.functions.tokens import split_chord
+
+    p, e = "<chord-pitch>", "<chord-extension>"
+    cases = {
+        "C": [p + "C", ":", "none"], "C/E": [p + "C/E", ":", "none", "/", p + "E"], "C:maj/E/G": [p + "C", ":", "maj", "/", p + "E"], "A/B-:7": ["A/B", "b", ":", "7", "/", "B", "b"],
+        "C:7(addb9)": [p + "C", ":", "7", "(", "b", e + "add9", ")"], "C:7(9#)": [p + "C", ":", "7", "(", "#", e + "9", ")"], "C:maj7(9,#11)/G": [p + "C", ":", "maj7", "(", e + "9", ",", "#", e + "11", ")", "/", p + "G"],
+        "D-:7": ["D", "b", ":", "7"], "F#:min:x": [p + "F", "#", ":", "min"], ".": ["."], "*v": ["*v"], "C:7()": [p + "C", ":", "7", "(", e, ")"], "G:7/none": [p + "G", ":", "7"],
+    }
+    rows = spark.createDataFrame([(c,) for c in cases], "c string").select("c", split_chord(F.col("c")).alias("t")).collect()
+    assert {r.c: r.t for r in rows} == cases

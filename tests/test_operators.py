@@ -230,3 +230,55 @@ def test_positional_diff_and_composition(spark):
     args = (t(("s", "s", 2), ("s9", "s9", 9)), t(("i", "i", 0)), t(("r", "r", 0)), t(("y", "y", 0)), 9)
     counts = {s: sorted((r.img, r.n) for r in assemble.split_composition(s, *args).collect()) for s in ("train", "val", "test")}
     assert counts == {"train": [("i", 1), ("r", 9), ("s", 2), ("s9", 9), ("y", 9)], "val": [("i", 1), ("r", 9), ("s", 2)], "test": [("r", 9)]}
+
+
+def test_pool_sizes_count_the_band(spark):
+    rng = random.Random(9)
+    widths = [(i, rng.choice([rng.uniform(-50, 3000), 0.5, 0.0, 1.0, 1.1, 700.0])) for i in range(400)]
+    rows = spark.createDataFrame(widths, "i int, w double")
+    want = {i: sum(abs(v - w) <= 0.15 * max(w, 1.0) for _, v in widths) for i, w in widths}
+    for parts in (1, 7, 256):
+        assert {r.i: r.pool for r in assemble.pool_sizes(rows, "i", "w", 0.15, parts).collect()} == want
+
+
+def test_hash_samples_are_the_first_in_hash_order(spark):
+    import hashlib
+
+    rows = [(i, None if i % 7 == 0 else i % 3) for i in range(500)]
+    frame = spark.createDataFrame(rows, "i int, g int")
+    for share, digits in ((0.25, 1), (0.25, 4), (0.001, 2), (1.0, 4)):
+        want = set()
+        for g in (None, 0, 1, 2):
+            own = sorted((i for i, h in rows if h == g), key=lambda i: (hashlib.md5(f"{i}:5".encode()).hexdigest(), i))
+            want |= set(own[: max(1, round(share * len(own)))])
+        out = curriculum.hash_sample(frame, ["g"], "i", share, 5, digits)
+        assert out.columns == frame.columns and {r.i for r in out.collect()} == want
+
+
+def test_split_plan(spark):
+    pools = spark.createDataFrame([(i, j) for i in (1, 2, 3) for j in (1, 2, 3)] + [(9, 9)], "id long, other long")
+    out = assemble.split_plan("val", 2, pools, pools.where("id = 9"), "id", 3, 6, 2).orderBy("position").collect()
+    assert [r.position for r in out] == list(range(16)) and [r.is_synthetic for r in out] == ([False] * 6 + [True] * 2) * 2
+    assert out[0].stem == "stacked_val_2_n2_00000" and out[15].stem == "syn_stacked_val_2_n3_00001" and out[6].members == [9, 9]
+    assert all(len(r.members) == r.n for r in out) and len({r.members[0] for r in out[:6]}) == 4
+
+
+def test_segmentation_counts_spans_without_a_partner(spark):
+    """A span that no other one meets is uncovered."""
+    schema = "k int, span_no long, label string, start_beat double, duration double"
+    truth = spark.createDataFrame([(1, 1, "a", 0.0, 4.0), (1, 2, "b", 4.0, 4.0)], schema)
+    pred = spark.createDataFrame([(1, 1, "a", 0.0, 4.0)], schema)
+    for width in (None, 1.5):
+        out = intervals.segmentation_quality(truth, pred, "k", width).first()
+        assert (out.over, out.under, out.quality) == (4.0, 0.0, 50.0)
+
+
+def test_hotspots_name_both_models(spark):
+    rows = spark.createDataFrame([("p", 0, "a", "b", "c", "sub", "sub"), ("p", 1, "a", "a", "c", "correct", "deleted")], "page string, gt_index int, gt_token string, baseline_pred string, replay_pred string, baseline_label string, replay_label string")
+    assert [r.flag for r in forensics.hotspots(rows, ["page"]).orderBy("gt_index").collect()] == ["B! R!", "R!"]
+
+
+def test_model_evaluation_keeps_failed_pages(spark):
+    rows = spark.createDataFrame([("a", "m", "x y", "x y", None), ("b", "m", None, "x", "failed"), ("c", "n", None, "x", "failed")], "page string, model string, pred_text string, gt_text string, error string")
+    got = {r.model: (r.pages, r.failed, r.cer_micro) for r in metrics.model_evaluation(rows).collect()}
+    assert got == {"m": (2, 1, 0.0), "n": (1, 1, None)}

@@ -39,6 +39,7 @@ def test_csv_and_sinks(spark, tmp_path):
     text = sinks.markdown(rows.where("page = 'b'"), "Pages")
     assert text.splitlines() == ["Pages", "", "| page | ser_x | near  |", "|------|-------|-------|", "| b    | 2.00  | False |"]
     assert sinks.markdown(rows.limit(0)) == "(none)\n"
+    assert sinks.markdown(spark.range(3).selectExpr("id", "'x' AS long_name"), most=2) == "| id | long_name |\n|----|-----------|\n| 0  | x         |\n| 1  | x         |\n\nOnly the first 2 rows are shown.\n"
     sinks.write_lines(rows.select("page"), str(tmp_path / "t"), single=True)
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect()) == ["a", "b"]
     made = []

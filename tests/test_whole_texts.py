@@ -1,12 +1,13 @@
 """Queries over whole texts, against brute force on a small fixture."""
 
-import re
-
 import pytest
+from pyspark.sql import functions as F
 
-from neumes.plans.queries import QUERIES
+from neumes.functions.text import char_distance, symbol_string
+from neumes.operators.metrics import paired_lines
+from neumes.plans import QUERIES
 
-TEXTS = ["the other path " * 30 + "\nThe end, there", "", None, "e", "x" * 230 + " then\nthe seventh thing\n" + "the deep sea " * 9, "no line\nno word\n" * 40]
+TEXTS = ["the other path " * 30 + "\nThe end, there", "", None, "e", "x" * 230 + " then\nthe seventh thing\n" + "the deep sea " * 9, "no line\nno word\n" * 40, "Là-bas, thé épais\t<b> <t>\nпуть, дальний\n\n😀 the, e", "word, " * 300 + "e" * 500]
 
 
 def distance(p, q):
@@ -19,15 +20,21 @@ def distance(p, q):
 
 
 def symbols(text, kind):
+    marked = text.replace("\t", " <t> ")
+    words = marked.split(" ")
     if kind == "cer":
-        return list(text.replace(" ", ""))
-    return text.split("\n") if kind == "ler" else text.replace("\n", " <b> ").split(" ")
+        return [c for w in words for c in ([w] if w in ("<b>", "<t>") else w)]
+    return [text] if kind == "ler" else words
 
 
 def pairs():
+    """Lines of each text with both corruptions: what is measured is each line against its own."""
     for text in TEXTS:
-        gt = re.sub("[^A-Za-z0-9 \n]", "", text or "")
-        yield {"light": gt.replace("th", "t"), "heavy": gt.replace("e", "").replace("\n", " ")}, gt
+        yield [({"light": gt.replace("th", "t"), "heavy": gt.replace("e", "").replace(", ", ",\t")}, gt) for gt in (text or "").split("\n")]
+
+
+def errors(lines, model, kind):
+    return sum(distance(symbols(p[model], kind), symbols(gt, kind)) for p, gt in lines), sum(len(symbols(gt, kind)) for _, gt in lines)
 
 
 @pytest.fixture()
@@ -37,7 +44,7 @@ def folder(spark, tmp_path):
 
 
 def test_character_errors_of_whole_documents(spark, folder):
-    want = {i: (distance(symbols(p["light"], "cer"), symbols(gt, "cer")), len(symbols(gt, "cer"))) for i, (p, gt) in enumerate(pairs())}
+    want = {i: errors(lines, "light", "cer") for i, lines in enumerate(pairs())}
     assert {r.doc_id: (r.errors, r.symbols) for r in QUERIES["char_error_rate"](spark, folder).collect()} == want
 
 
@@ -46,7 +53,23 @@ def test_model_rates_of_whole_documents(spark, folder):
     for model in ("light", "heavy"):
         assert got[model].units == len(TEXTS)
         for kind in ("cer", "ser", "ler"):
-            each = [(distance(symbols(p[model], kind), symbols(gt, kind)), len(symbols(gt, kind))) for p, gt in pairs()]
+            each = [errors(lines, model, kind) for lines in pairs()]
             rates = [100 * d / n for d, n in each if n]
             assert got[model][f"{kind}_micro"] == pytest.approx(100 * sum(d for d, _ in each) / sum(n for _, n in each), abs=1e-5)
             assert got[model][f"{kind}_macro"] == pytest.approx(sum(rates) / len(rates), abs=1e-5)
+
+
+def test_banded_distance_is_the_distance(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab é\t\n", k=rng.randrange(25))) for _ in range(300)]
+    rows = spark.createDataFrame(list(zip(texts, texts[1:] + texts[:1])), "p string, t string")
+    plain = F.levenshtein(symbol_string(F.col("p")), symbol_string(F.col("t")))
+    assert rows.select(char_distance(F.col("p"), F.col("t")).alias("a"), plain.alias("b")).where("a <> b").count() == 0
+
+
+def test_lines_of_uneven_texts(spark):
+    rows = spark.createDataFrame([(1, "a\nb", "a"), (2, None, "x\ny"), (3, "", "")], "page int, pred_text string, gt_text string")
+    got = sorted(tuple(r) for r in paired_lines(rows, ["page"]).collect())
+    assert got == [(1, 0, "a", "a"), (1, 1, "b", ""), (2, 0, "", "x"), (2, 1, "", "y"), (3, 0, "", "")]
