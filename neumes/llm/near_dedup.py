@@ -278,7 +278,7 @@ def within_families(rows: DataFrame, sets: DataFrame, percent: int, block: int)
     one task's work, so no task holds more than two blocks and no pair is shipped.
     """
     spark = rows.sparkSession
-    firsts = rows.groupBy("bucket").agg(F.min("member").alias("first"))
+    firsts = written(rows.groupBy("bucket").agg(F.min("member").alias("first")), "firsts")
     chained = rows.join(firsts, "bucket").where("member > first").select(F.col("first").alias("x"), F.col("member").alias("y")).distinct()
     family = components(chained, None).select(F.col("doc_id").alias("member"), F.col("component").alias("family"))
     members = rows.select("member", "component").distinct().join(family, "member")
@@ -333,7 +333,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = texts.where("doc_id IS NOT NULL")
 
     def star(rows: DataFrame) -> DataFrame:
-        centres = rows.groupBy("bucket").agg(F.min("member").alias("centre"), F.max("member").alias("last")).where("centre < last").select("bucket", "centre")
+        # a table of its own: the engine can then deal the members of a large bucket to several tasks
+        centres = written(rows.groupBy("bucket").agg(F.min("member").alias("centre"), F.max("member").alias("last")).where("centre < last").select("bucket", "centre"), "centres")
         return rows.join(centres, "bucket").where("member > centre").select(F.col("centre").alias("x"), F.col("member").alias("y"), "bucket")
 
     starred = written(star(members), "starred")
@@ -348,12 +349,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = rows.join(labels, F.col("member") == F.col("doc_id"), "left").select("bucket", "member", F.coalesce("component", "member").alias("component"), *(() if caps is None else ("n", "cap")))
         for _ in range(1 if caps is None else 2):
             bounds = () if caps is None else (F.min("n").alias("least"), F.max("cap").alias("most"))
-            sizes = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), *bounds).where("low < high")
+            sizes = written(rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), *bounds).where("low < high"), "sizes")
             rows = rows.join(sizes, "bucket")
             if caps is not None:
                 rows = rows.where(possible(F.col("n"), F.col("cap"), F.col("least"), F.col("most"), percent))
-            rows = rows.drop("low", "high", "least", "most")
-        return written(rows, "open")
+            rows = written(rows.drop("low", "high", "least", "most"), "open")
+        return rows
 
     # members of a bucket are still to be paired with those of another component
     rest = still_open(starred.select("bucket", F.col("y").alias("member")).unionAll(starred.select("bucket", F.col("x").alias("member")).distinct()), None)
