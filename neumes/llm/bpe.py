@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, id_and_text, lean, written
+from .common import bounded, id_and_text, lean, limit_batches, written
 
 #: Longer words are never broadcast; this and ``hot_words`` bound what is.
 HOT_BYTES = 32
@@ -277,6 +277,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     splits or decodes otherwise than ``SUPPORTED`` raises an error.
     """
     spark = docs.sparkSession
+    limit_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = spark.sparkContext.broadcast(supported(f.read()))
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("split"))

@@ -41,6 +41,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def limit_batches(spark: SparkSession, rows: int = 4096, size: int = 4 << 20) -> None:
+    """Lowers the session's bounds of Arrow batches to these, the same for all operators, where they are larger.
+
+    Python code slices what it gets, but only the session bounds what the JVM holds
+    beside it; results are lazy, so the bounds stay.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark._jsparkSession.sessionState().conf()
+        held = now.arrowMaxRecordsPerBatch() if name == "maxRecordsPerBatch" else now.arrowMaxBytesPerBatch()
+        if not 0 < held <= most:
+            spark.conf.set(key, str(most))
+
+
 def pieces(batch: pa.RecordBatch, rows: int, size: int):
     """Slices of a batch with at most so many rows and, but for single larger rows, bytes of text."""
     texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
@@ -60,7 +74,7 @@ def pieces(batch: pa.RecordBatch, rows: int, size: int):
 
 
 def bounded(run, rows: int = 4096, size: int = 16 << 20):
-    """``run`` over batches of bounded rows and bytes, whatever the session's settings, which stay as they are."""
+    """``run`` over batches of bounded rows and bytes, whatever the session's settings."""
 
     def wrapped(batches):
         return run(piece for batch in batches for piece in pieces(batch, rows, size))
@@ -68,6 +82,17 @@ def bounded(run, rows: int = 4096, size: int = 16 << 20):
     return wrapped
 
 
+def in_pieces(run, size: int = 4 << 20):
+    """A function of a text column, run over slices of bounded size; freed memory is given back after each column."""
+
+    def wrapped(texts: pa.Array) -> pa.Array:
+        out = [run(p.column(0)) for p in pieces(pa.record_batch({"text": texts}), 4096, size)]
+        give_back()
+        return pa.concat_arrays(out)
+
+    return wrapped
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator reads; other columns, whatever their names, don't matter.
 
@@ -100,6 +125,13 @@ def utf8(column: pa.Array) -> list:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def lean(run):
     """``run`` over batches, with freed memory given back at its end: idle workers stay small."""
 
@@ -107,10 +139,7 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-            if trim:
-                trim(0)
+            give_back()
 
     return wrapped
 

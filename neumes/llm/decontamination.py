@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, id_and_text, word_hashes, written
+from .common import bounded, id_and_text, in_pieces, lean, limit_batches, word_hashes, written
 
 SPANS = "array<struct<start:long,end:long>>"
 #: Bytes of words: 0-9, a-z and all beyond ASCII, with A-Z lower-cased; others stand between words.
@@ -174,7 +174,7 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, window: int, s
 def tokens_of(block: Block, rows: DataFrame) -> dict:
     """The block's prefix tokens, rarest by the documents of the corpus that hold them."""
     frequency = {n: np.zeros(len(known), np.int64) for n, known in block.known.items()}
-    counted = rows.mapInArrow(bounded(shingle_frequencies(block)), "n int, k long, docs long").groupBy("n", "k").agg(F.sum("docs").alias("docs"))
+    counted = rows.mapInArrow(lean(bounded(shingle_frequencies(block), size=4 << 20)), "n int, k long, docs long").groupBy("n", "k").agg(F.sum("docs").alias("docs"))
     for r in counted.collect():  # at most a row for each shingle of the block
         frequency[r.n][r.k] = r.docs
     return prefixes(block, frequency)
@@ -190,12 +190,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     count once. An empty table gives no rows, an empty benchmark no hits. Other
     columns are not read.
     """
+    limit_batches(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col).withColumn("row_id", F.lit(0).cast("long"))
     blocks, made = blocks_of(benchmark, item_col, item_text_col, window, shingle, block_words)
     schema = f"doc_id long, row_id long, n_words long, spans {SPANS}, items array<string>"
     if blocks > 1:
         rows = written(rows.withColumn("row_id", F.monotonically_increasing_id()), "documents")
-    found = [rows.mapInArrow(bounded(hits(block, tokens_of(block, rows))), schema) for block in made]
+    found = [rows.mapInArrow(lean(bounded(hits(block, tokens_of(block, rows)), size=4 << 20)), schema) for block in made]
     out = found[0]
     if blocks > 1:
         for other in found[1:]:
@@ -227,11 +228,12 @@ def is_clean(judge):
         batch = pa.record_batch({"doc_id": none, "text": texts, "row_id": none})
         return pa.array([not s for out in judge([batch]) for s in out.column("spans").to_pylist()], pa.bool_())
 
-    return clean
+    return in_pieces(clean)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3, block_words: int = 1_000_000) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no window of any item; judged where they are read."""
+    limit_batches(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
     out = docs
     for block in blocks_of(benchmark, item_col, item_text_col, window, shingle, block_words)[1]:

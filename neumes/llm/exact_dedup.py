@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import id_and_text, limit_batches, written
 
 
 def misra_gries(pairs, counters: int) -> dict:
@@ -71,6 +71,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are ranked as they come, and exactly one row of each group is kept. An
     empty table gives no rows. Other columns of ``docs`` are not read.
     """
+    limit_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     digests = written(
         id_and_text(docs, id_col, text_col).select("doc_id", F.char_length(text).cast("long").alias("n_chars"), F.unhex(F.sha2(bare(text), 256)).alias("digest"), F.monotonically_increasing_id().alias("row_id")),

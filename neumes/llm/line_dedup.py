@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, id_and_text, shuffle_partitions, utf8, written
+from .common import bounded, id_and_text, limit_batches, shuffle_partitions, utf8, written
 from .perfect_hash import LineIndex
 
 
@@ -142,6 +142,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives no rows. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
+    limit_batches(spark)
     rows = id_and_text(docs, id_col, text_col)
     lines = rows.mapInArrow(bounded(count_lines(least)), "a long, b long, n long, first long, last long")
     # rows that repeat a doc_id are one document

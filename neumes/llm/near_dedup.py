@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, id_and_text, shuffle_partitions, written
+from .common import bounded, id_and_text, lean, limit_batches, shuffle_partitions, written
 
 #: Odd multipliers: of the words of a shingle, of the two permutations, of the bands.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -171,7 +171,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, per_task: int) ->
     partners = dealt.join(sets, dealt.y == sets.doc_id).select("x", "salt", F.lit(1).alias("kind"), "y", "items")
     centres = salts.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).join(sets, F.col("x") == sets.doc_id).select("x", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("y"), "items")
     together = centres.unionAll(partners).repartition(shuffle_partitions(spark), "x", "salt").sortWithinPartitions("x", "salt", "kind")
-    return written(together.mapInArrow(bounded(linked(percent)), "x long, y long").distinct(), "links")
+    return written(together.mapInArrow(lean(bounded(linked(percent))), "x long, y long").distinct(), "links")
 
 
 def items_of(batches):
@@ -185,7 +185,7 @@ def items_of(batches):
 def shareable(sets: DataFrame, members: DataFrame) -> DataFrame:
     """(member, n, cap): the size of a member's set, and how many of its shingles some other member holds too."""
     own = sets.join(members.select(F.col("member").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    unique = own.mapInArrow(bounded(items_of), "item long, doc_id long").groupBy("item").agg(F.count("*").alias("holders"), F.min("doc_id").alias("doc_id")).where("holders = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
+    unique = own.mapInArrow(lean(bounded(items_of)), "item long, doc_id long").groupBy("item").agg(F.count("*").alias("holders"), F.min("doc_id").alias("doc_id")).where("holders = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
     sizes = own.groupBy("doc_id").agg(F.min(F.octet_length("items") / 8).cast("long").alias("n"), F.max(F.octet_length("items") / 8).cast("long").alias("most"))
     return sizes.join(unique, "doc_id", "left").select(F.col("doc_id").alias("member"), "n", F.when(F.col("n") == F.col("most"), F.col("n") - F.coalesce("own", F.lit(0))).otherwise(F.col("most")).alias("cap"))
 
@@ -288,7 +288,7 @@ def within_families(rows: DataFrame, sets: DataFrame, percent: int, block: int)
     keyed = dealt.withColumn("other", other).select("family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "member", "block", "component")
     full = keyed.join(sets, F.col("member") == F.col("doc_id")).select("family", "p", "q", "member", "block", "component", "items")
     together = full.repartition(shuffle_partitions(spark), "family", "p", "q").sortWithinPartitions("family", "p", "q")
-    return written(together.mapInArrow(bounded(joining(percent)), "x long, y long"), "joins")
+    return written(together.mapInArrow(lean(bounded(joining(percent))), "x long, y long"), "joins")
 
 
 def components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -326,8 +326,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no rows. Other columns of ``docs`` are not read. Shingles are compared by hashes
     of 64 bits.
     """
+    limit_batches(docs.sparkSession)
     texts = id_and_text(docs, id_col, text_col)
-    signs = written(texts.mapInArrow(bounded(signed(size, bands, rows)), "doc_id long, n long, a long, b long, buckets array<long>"), "signatures")
+    signs = written(texts.mapInArrow(lean(bounded(signed(size, bands, rows), size=4 << 20)), "doc_id long, n long, a long, b long, buckets array<long>"), "signatures")
     classes = written(signs.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("holder"), F.min_by("buckets", "doc_id").alias("buckets")), "classes")
     members = classes.select(F.explode("buckets").alias("bucket"), F.col("holder").alias("member"))
     texts = texts.where("doc_id IS NOT NULL")
@@ -339,7 +340,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     starred = written(star(members), "starred")
     needed = starred.select(F.col("x").alias("doc_id")).unionAll(starred.select(F.col("y").alias("doc_id"))).distinct()
-    sets = written(texts.join(needed, "doc_id", "left_semi").mapInArrow(bounded(set_rows(size)), "doc_id long, items binary"), "sets")
+    sets = written(texts.join(needed, "doc_id", "left_semi").mapInArrow(lean(bounded(set_rows(size), size=4 << 20)), "doc_id long, items binary"), "sets")
     # first one centre for each member: most members of a large group are linked by then
     links = verified(starred.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), sets, percent, per_task)
     labels = components(links, None)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fold_of, id_and_text, utf8, written
+from .common import bounded, fold_of, id_and_text, in_pieces, lean, limit_batches, utf8, written
 
 #: Code points below 128 by kind: 1 upper, 2 lower, 3 digit, 4 space, 5 sentence marks, 6 other marks; bytes of longer characters count as lower.
 KINDS = np.array([1 if 65 <= c <= 90 else 2 if 97 <= c <= 122 or c >= 128 else 3 if 48 <= c <= 57 else 4 if c in b" \t\n\r\x0b\x0c" else 5 if c in b".,;:'\"?-()" else 6 for c in range(256)], np.uint8)
@@ -146,7 +146,7 @@ def fit_quality(labelled: DataFrame, alpha: float = 0.1, beta: float = 0.02, wid
 
 def with_statistics(texts: DataFrame) -> DataFrame:
     """(doc_id, x) of (doc_id, text)."""
-    return texts.mapInArrow(bounded(statistics_rows), "doc_id long, x array<double>")
+    return texts.mapInArrow(lean(bounded(statistics_rows, size=4 << 20)), "doc_id long, x array<double>")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, **fit) -> DataFrame:
@@ -157,6 +157,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Rows without doc_id are scored and not held out; repeated rows are each
     scored. An empty table gives no rows. Other columns are not read.
     """
+    limit_batches(docs.sparkSession)
     stats = written(with_statistics(id_and_text(docs, id_col, text_col)), "statistics")
     model = fit_quality(stats.join(training_labels(labels, label_col), "doc_id"), **fit)
 
@@ -172,11 +173,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def score_column(model: Discriminant, text: Column) -> Column:
     """The score of a text column, for filters that keep all other columns."""
 
-    @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         return pa.array(model.scores(all_statistics(utf8(texts))))
 
-    return score(text)
+    return F.arrow_udf(in_pieces(score), "double")(text)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, most_broadcast: int = 1_000_000, **fit) -> DataFrame:
@@ -186,10 +186,11 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     counted, are sent to the texts, and statistics are made of labelled texts only;
     beyond that, statistics of all texts are joined to the labels.
     """
+    limit_batches(docs.sparkSession)
     texts, known = id_and_text(docs, id_col, text_col), training_labels(labels, label_col)
     if known.limit(most_broadcast + 1).count() <= most_broadcast:
         held = texts.join(F.broadcast(known), "doc_id")
-        labelled = held.select("text", "y").mapInArrow(bounded(labelled_statistics), "x array<double>, y long")
+        labelled = held.select("text", "y").mapInArrow(lean(bounded(labelled_statistics, size=4 << 20)), "x array<double>, y long")
     else:
         labelled = with_statistics(texts).join(known, "doc_id")
     return docs.where(score_column(fit_quality(labelled, **fit), docs[text_col].cast("string")) >= threshold)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, id_and_text, utf8
+from .common import bounded, id_and_text, limit_batches, utf8
 
 ALL = ("all",)
 #: More alternatives than this end a literal: the query stays small.
@@ -225,6 +225,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     folding know ASCII only. Null counts as empty, and such documents have no findings. Repeated rows are each scanned. An empty table gives no rows. Other
     columns of ``docs`` are not read.
     """
+    limit_batches(docs.sparkSession)
     schema = "doc_id long, findings array<struct<kind:string,start:long,end:long,value:string>>"
     return id_and_text(docs, id_col, text_col).mapInArrow(bounded(findings(rules), size=4 << 20), schema)
 

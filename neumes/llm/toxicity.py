@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fold_of, id_and_text, written
+from .common import bounded, fold_of, id_and_text, limit_batches, written
 
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: The history of a first word.
@@ -333,6 +333,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Other columns are not read.
     """
     spark = docs.sparkSession
+    limit_batches(spark)
     texts = id_and_text(docs, id_col, text_col)
     sample, sizes = training_rows(texts, labels, label_col, most_rows, most_words)
     model = fit(sample.where("part > 0").select("text", "y"), shared_counts(texts), **fitting)
