@@ -1,20 +1,5 @@
 """Folders for what queries write and read back."""
 
-import tempfile
-import uuid
+from neumes.sources.tables import scratch
 
-from pyspark.sql import SparkSession
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); in local mode a temporary one will do."""
-    context = spark.sparkContext
-    top = context.getConf().get("spark.checkpoint.dir")
-    if not top:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        top = tempfile.gettempdir()
-    path = f"{top.rstrip('/')}/neumes-{context.applicationId}/{name}-{uuid.uuid4().hex}"
-    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+__all__ = ["scratch"]
