@@ -7,10 +7,13 @@ from .bpe import bpe_encode
 from .common import table
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
+from .html_text import html_text
 from .license_scan import license_scan, normal_words, standard_templates
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .quality import quality_scores
+from .quantiles import click_counts, price_counts, quantile_report
 from .secrets import BASE_RULES, MORE_RULES, secret_scan, span_text
 from .toxicity import toxicity_scores
 from .url_filter import url_filter
@@ -88,6 +91,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(table(spark, sf_dir, "pages"))
+
+
+def op12_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = click_counts(table(spark, sf_dir, "clicks")).unionByName(price_counts(table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "items")))
+    return quantile_report(counts)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -99,6 +115,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
     "op10_license_scan": op10_license_scan,
+    "op11_html_text": op11_html_text,
+    "op12_quantiles": op12_quantiles,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -221,4 +240,17 @@ SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS ke
     "op5_secret_scan": _secret_sql(),
     "op9_url_filter": _list_sql(),
     "op10_license_scan": _license_sql(),
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS a, v.vec_id AS b, a.label = v.label AS same, list_sum(list_transform(range(1, len(v.x) + 1), lambda k: a.x[k] * v.x[k]))::BIGINT AS score
+  FROM v AS a JOIN v ON a.vec_id % 50 = 0 AND a.vec_id <> v.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (
+  SELECT p.a, p.b AS positive, p.score AS positive_score, s.b AS negative, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)::INTEGER AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT a AS anchor_id, positive AS positive_id, rank, negative AS negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
 }
