@@ -1,7 +1,8 @@
-"""Symbols of transcriptions and distances between symbol sequences, as Columns.
+"""Symbols of transcriptions and distances between token arrays, as Columns.
 
-Tokens of a pair of sequences are numbered within the row and written as one
-character each, so that Spark's own ``levenshtein`` measures token distance.
+Tokens of a pair of arrays are numbered within the row and written as one
+character each, so that Spark's own ``levenshtein`` measures token distance. Whole
+texts are measured by ``functions.distance``.
 """
 
 from pyspark.sql import Column
@@ -65,46 +66,6 @@ def edit_distance(left: Column, right: Column) -> Column:
     return let(left, lambda p: let(right, lambda q: measured(p, q)))
 
 
-def symbol_string(text: Column) -> Column:
-    """The characters of ``char_tokens``, break and tab symbols as one character each."""
-    text = marked(text)
-    for symbol, sign in ((BREAK, "\u0001"), (TAB, "\u0002")):
-        text = F.regexp_replace(text, f"(?<=^| ){symbol}(?= |$)", sign)
-    return F.replace(text, F.lit(" "), F.lit(""))
-
-
-def char_distance(left: Column, right: Column) -> Column:
-    """Levenshtein's distance of the symbols of two texts, within a band where one is known.
-
-    Texts of as many words are at most as far apart as their words one by one and all
-    their break symbols. If that equals the difference of their lengths it is the
-    distance; else it bounds how far from the diagonal the table is filled.
-    """
-    words = lambda x: F.filter(symbol_tokens(x), lambda w: ~w.isin("", BREAK, TAB))
-    side = lambda x: F.struct(symbol_string(x).alias("text"), words(x).alias("words"), F.size(F.filter(symbol_tokens(x), lambda w: w.isin(BREAK, TAB))).alias("breaks"))
-
-    def bounded_by(a: Column, b: Column, most: Column) -> Column:
-        apart = F.abs(F.length(a["text"]) - F.length(b["text"]))
-        return F.when(most == apart, most).otherwise(F.call_function("levenshtein", a["text"], b["text"], most))
-
-    def measured(a: Column, b: Column) -> Column:
-        each = F.aggregate(F.zip_with(a["words"], b["words"], lambda p, q: F.when(p == q, 0).otherwise(F.levenshtein(p, q))), F.lit(0), lambda n, d: n + d)
-        most = F.when(F.size(a["words"]) == F.size(b["words"]), each + a["breaks"] + b["breaks"]).otherwise(F.greatest(F.length(a["text"]), F.length(b["text"])))
-        return let(most.cast("int"), lambda m: bounded_by(a, b, m))
-
-    return let(side(left), lambda a: let(side(right), lambda b: measured(a, b)))
-
-
-def text_distance(left: Column, right: Column, kind: str) -> tuple[Column, Column]:
-    """(distance, symbols of ``right``) by kind: cer, ser or ler."""
-    if kind == "cer":  # characters need no numbering
-        errors, total = char_distance(left, right).cast("int"), F.length(symbol_string(right))
-    else:
-        tokens = {"ser": symbol_tokens, "ler": line_tokens}[kind]
-        errors, total = edit_distance(tokens(left), tokens(right)), F.size(tokens(right))
-    return F.when(left == right, 0).otherwise(errors), total  # equal texts are not compared symbol by symbol
-
-
 def rate(errors: Column, total: Column, empty: float | None = None) -> Column:
     """100 * errors / total; ``empty`` (or null) where the total is 0."""
     share = F.try_divide(100.0 * errors, total)
@@ -112,9 +73,17 @@ def rate(errors: Column, total: Column, empty: float | None = None) -> Column:
 
 
 def bag_matches(left: Column, right: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    count = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    return F.aggregate(F.array_distinct(left), F.lit(0), lambda n, x: n + F.least(count(left, x), count(right, x)))
+    """Size of the multiset intersection of two arrays of strings, nulls aside: one fold over both, sorted together."""
+    side = lambda a, k: F.transform(F.filter(a, lambda x: x.isNotNull()), lambda x: F.struct(x.alias("x"), F.lit(k).alias("right")))
+    met = lambda s: s["total"] + F.least(s["l"], s["r"])
+
+    def step(s: Column, e: Column) -> Column:
+        same, r = s["x"].eqNullSafe(e["x"]), e["right"]
+        state = lambda n, l, m: F.struct(e["x"].alias("x"), l.alias("l"), m.alias("r"), n.alias("total"))
+        return F.when(same, state(s["total"], s["l"] + 1 - r, s["r"] + r)).otherwise(state(met(s), 1 - r, r))
+
+    none = F.struct(F.lit(None).cast("string").alias("x"), F.lit(0).alias("l"), F.lit(0).alias("r"), F.lit(0).alias("total"))
+    return F.aggregate(F.sort_array(F.concat(side(left, 0), side(right, 1))), none, step, met)
 
 
 def position_matches(left: Column, right: Column) -> Column:

@@ -4,29 +4,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chords import parse_chord
-from ..functions.text import bag_matches, edit_distance, position_matches, precision_recall_f1, rate, text_distance
+from ..functions.distance import text_errors
+from ..functions.text import bag_matches, edit_distance, position_matches, precision_recall_f1, rate
 from .alignment import alignment, chord_alignment, common_subsequence, windowed_matches
 
 KINDS = ("cer", "ser", "ler")
 
 
 def with_text_errors(pairs: DataFrame, pred: str = "pred_text", truth: str = "gt_text", kinds=KINDS) -> DataFrame:
-    """Adds <kind>_errors and <kind>_total for each kind of symbol."""
-    columns = {}
-    for kind in kinds:
-        columns[f"{kind}_errors"], columns[f"{kind}_total"] = text_distance(F.col(pred), F.col(truth), kind)
-    return pairs.withColumns(columns)
-
-
-def paired_lines(texts: DataFrame, keys: list[str], pred: str = "pred_text", truth: str = "gt_text") -> DataFrame:
-    """(keys, line_no, pred, truth): lines of both texts by number; where one side has fewer, the other's line meets an empty one.
-
-    Long texts are so measured whole at a cost that is square in a line only.
-    """
-    lines = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), "\n", -1)
-    both = F.arrays_zip(lines(pred).alias("pred"), lines(truth).alias("truth"))
-    rows = texts.select(*keys, F.posexplode(both).alias("line_no", "z"))
-    return rows.select(*keys, "line_no", F.coalesce("z.pred", F.lit("")).alias(pred), F.coalesce("z.truth", F.lit("")).alias(truth))
+    """Adds <kind>_errors and <kind>_total for each kind of symbol, of whole texts; nulls where a text is null."""
+    found = pairs.withColumn("_errors", text_errors(F.col(pred), F.col(truth), kinds))
+    names = [f"{k}_{part}" for k in kinds for part in ("errors", "total")]
+    return found.withColumns({n: F.col("_errors")[n] for n in names}).drop("_errors")
 
 
 def with_token_errors(pairs: DataFrame, pred: str, truth: str, name: str) -> DataFrame:

@@ -2,21 +2,6 @@
 
 from . import sql
 
-_PRED = """
-g AS (SELECT doc_id AS page, unnest(string_split(coalesce(text, ''), chr(10))) AS gt FROM documents),
-p AS (
-  SELECT page, gt, 'light' AS model, replace(gt, 'th', 't') AS pred FROM g
-  UNION ALL SELECT page, gt, 'heavy', replace(replace(gt, 'e', ''), ', ', ',' || chr(9)) FROM g)"""
-
-
-def _line_errors(kinds: tuple[str, ...]) -> str:
-    """(page, model, <kind>_d, <kind>_n): errors and symbols of each document and model, summed over its lines."""
-    lists = "".join(f", {sql.SYMBOLS[k]('pred')} AS {k}_p, {sql.SYMBOLS[k]('gt')} AS {k}_t" for k in kinds)
-    shared = "".join(f", {sql.common(f'{k}_p', f'{k}_t')} AS {k}_c" for k in kinds)
-    sums = ", ".join(f"sum({sql.distance(f'{k}_p', f'{k}_t', f'{k}_c')}) AS {k}_d, sum(len({k}_t)) AS {k}_n" for k in kinds)
-    return f"{_PRED}, w AS (SELECT *{lists} FROM p), v AS (SELECT *{shared} FROM w), m AS (SELECT page, model, {sums} FROM v GROUP BY page, model)"
-
-
 _EVENTS = """
 s AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS types FROM events GROUP BY user_id),
 u AS (SELECT a.user_id, a.types AS pred, b.types AS truth FROM s a JOIN s b ON b.user_id = a.user_id + 1)"""
@@ -80,11 +65,6 @@ m AS (
     m.stop OR (m.at_final AND e.v >= m.best AND m.no_improve + 1 >= {patience2})
   FROM m JOIN e ON e.run_id = m.run_id AND e.epoch = m.epoch + 1)"""
 
-def _model_rates() -> str:
-    rates = ", ".join(f"round(100.0 * sum({k}_d) / sum({k}_n), 6)::DOUBLE AS {k}_micro, round(avg(CASE WHEN {k}_n > 0 THEN 100.0::DOUBLE * {k}_d / {k}_n END), 6) AS {k}_macro" for k in sql.SYMBOLS)
-    return f"WITH {_line_errors(tuple(sql.SYMBOLS))} SELECT model, count(*) AS units, {rates} FROM m GROUP BY model"
-
-
 def _significance() -> str:
     """One-sided p-values: by all sign patterns up to 50 pairs without ties, else by the normal limit."""
     z = "(w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0)"
@@ -100,9 +80,10 @@ SELECT metric, 'other' AS model, n, wins, ties, losses, round(p_raw, 6)::DOUBLE
 
 
 ORACLES = {
-    "model_error_rates": _model_rates(),
     "scan_project_filter": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 6) AS net FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R'",
-    "char_error_rate": f"WITH {_line_errors(('cer',))} SELECT page AS doc_id, cer_d::BIGINT AS errors, cer_n::BIGINT AS symbols FROM m WHERE model = 'light'",
+    "char_error_rate": f"""
+SELECT doc_id, (len({sql.characters("coalesce(text, '')")}) - len({sql.characters("replace(coalesce(text, ''), 'th', 't')")}))::BIGINT AS errors,
+       len({sql.characters("coalesce(text, '')")})::BIGINT AS symbols FROM documents""",
     "line_error_rate": f"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 k AS (SELECT doc_id, ls, string_split(coalesce(array_to_string(list_filter(ls, lambda x: NOT starts_with(x, 'The')), chr(10)), ''), chr(10)) AS ks FROM l),

@@ -1,10 +1,14 @@
 """Queries over whole texts, against brute force on a small fixture."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from neumes.functions.text import char_distance, symbol_string
-from neumes.operators.metrics import paired_lines
+from neumes.functions import distance as whole
+from neumes.functions.text import bag_matches
+from neumes.operators.metrics import with_text_errors
 from neumes.plans import QUERIES
 
 TEXTS = ["the other path " * 30 + "\nThe end, there", "", None, "e", "x" * 230 + " then\nthe seventh thing\n" + "the deep sea " * 9, "no line\nno word\n" * 40, "Là-bas, thé épais\t<b> <t>\nпуть, дальний\n\n😀 the, e", "word, " * 300 + "e" * 500]
@@ -20,21 +24,23 @@ def distance(p, q):
 
 
 def symbols(text, kind):
-    marked = text.replace("\t", " <t> ")
-    words = marked.split(" ")
-    if kind == "cer":
-        return [c for w in words for c in ([w] if w in ("<b>", "<t>") else w)]
-    return [text] if kind == "ler" else words
+    if kind == "ler":
+        return text.replace("\t", " <t> ").split("\n")
+    words = text.replace("\n", " <b> ").replace("\t", " <t> ").split(" ")
+    return words if kind == "ser" else [c for w in words for c in ([w] if w in ("<b>", "<t>") else w)]
 
 
-def pairs():
-    """Lines of each text with both corruptions: what is measured is each line against its own."""
-    for text in TEXTS:
-        yield [({"light": gt.replace("th", "t"), "heavy": gt.replace("e", "").replace(", ", ",\t")}, gt) for gt in (text or "").split("\n")]
+def corrupted(text, model):
+    """What the queries make of a text: the heavy one loses and repeats lines."""
+    if model == "light":
+        return text.replace("th", "t")
+    lines = [x for i, line in enumerate(text.split("\n")) for x in [line] * (0 if i % 17 == 3 else 2 if i % 23 == 5 else 1)]
+    return "\n".join(lines).replace("e", "").replace(", ", ",\t")
 
 
-def errors(lines, model, kind):
-    return sum(distance(symbols(p[model], kind), symbols(gt, kind)) for p, gt in lines), sum(len(symbols(gt, kind)) for _, gt in lines)
+def errors(text, model, kind):
+    truth = symbols(text, kind)
+    return distance(symbols(corrupted(text, model), kind), truth), len(truth)
 
 
 @pytest.fixture()
@@ -44,7 +50,7 @@ def folder(spark, tmp_path):
 
 
 def test_character_errors_of_whole_documents(spark, folder):
-    want = {i: errors(lines, "light", "cer") for i, lines in enumerate(pairs())}
+    want = {i: errors(x or "", "light", "cer") for i, x in enumerate(TEXTS)}
     assert {r.doc_id: (r.errors, r.symbols) for r in QUERIES["char_error_rate"](spark, folder).collect()} == want
 
 
@@ -53,23 +59,55 @@ def test_model_rates_of_whole_documents(spark, folder):
     for model in ("light", "heavy"):
         assert got[model].units == len(TEXTS)
         for kind in ("cer", "ser", "ler"):
-            each = [errors(lines, model, kind) for lines in pairs()]
+            each = [errors(x or "", model, kind) for x in TEXTS]
             rates = [100 * d / n for d, n in each if n]
             assert got[model][f"{kind}_micro"] == pytest.approx(100 * sum(d for d, _ in each) / sum(n for _, n in each), abs=1e-5)
             assert got[model][f"{kind}_macro"] == pytest.approx(sum(rates) / len(rates), abs=1e-5)
 
 
-def test_banded_distance_is_the_distance(spark):
-    import random
-
-    rng = random.Random(4)
-    texts = ["".join(rng.choices("ab é\t\n", k=rng.randrange(25))) for _ in range(300)]
-    rows = spark.createDataFrame(list(zip(texts, texts[1:] + texts[:1])), "p string, t string")
-    plain = F.levenshtein(symbol_string(F.col("p")), symbol_string(F.col("t")))
-    assert rows.select(char_distance(F.col("p"), F.col("t")).alias("a"), plain.alias("b")).where("a <> b").count() == 0
+def changed(rng, text, alphabet):
+    """Some pieces of a text lost, put in or exchanged."""
+    out = list(text)
+    for _ in range(rng.randrange(12)):
+        at, n = rng.randrange(len(out) + 1), rng.randrange(6)
+        out[at : at + rng.choice((0, n))] = rng.choices(alphabet, k=rng.choice((0, n)))
+    return "".join(out)
 
 
-def test_lines_of_uneven_texts(spark):
-    rows = spark.createDataFrame([(1, "a\nb", "a"), (2, None, "x\ny"), (3, "", "")], "page int, pred_text string, gt_text string")
-    got = sorted(tuple(r) for r in paired_lines(rows, ["page"]).collect())
-    assert got == [(1, 0, "a", "a"), (1, 1, "b", ""), (2, 0, "", "x"), (2, 1, "", "y"), (3, 0, "", "")]
+def test_distance_equals_the_table():
+    rng = random.Random(4)
+    for k in range(1500):
+        alphabet = ("ab", "abc é\t\n", "a")[k % 3]
+        a = "".join(rng.choices(alphabet, k=rng.choice((0, 1, 3, 20, 120))))
+        b = changed(rng, a, alphabet) if k % 4 else "".join(rng.choices(alphabet, k=rng.randrange(60)))
+        assert whole.distance(a, b) == whole.distance(list(b), list(a)) == distance(a, b)
+
+
+def test_a_band_never_underestimates():
+    rng = random.Random(5)
+    for _ in range(400):
+        a, b = sorted(("".join(rng.choices("abc", k=rng.randrange(1, 40))) for _ in range(2)), key=len)
+        true = distance(a, b)
+        for below in range(len(a) + 1):
+            found = whole._within_band(a, b, below)
+            assert found >= true and (found == true or true > len(b) - len(a) + 2 * below + 1)
+
+
+def test_a_lost_line_is_lost_once(spark):
+    lines = [f"line {k} of a text\twith a tab" for k in range(3000)]
+    rows = [(1, "\n".join(lines[:5] + lines[6:]), "\n".join(lines)), (2, "\n".join(lines[:5] + ["new"] + lines[5:]), "\n".join(lines)), (3, None, "x"), (4, "", ""), (5, "a\nb", "a b")]
+    got = {r.page: r for r in with_text_errors(spark.createDataFrame(rows, "page int, pred_text string, gt_text string")).collect()}
+    assert got[1].ler_errors == 1 and got[1].ler_total == 3000
+    assert got[1].ser_errors == len(symbols(lines[5], "ser")) + 1 and got[1].cer_errors == len(symbols(lines[5], "cer")) + 1
+    assert (got[2].ler_errors, got[2].ser_errors, got[2].cer_errors) == (1, 2, 4)
+    assert got[3].cer_errors is None and got[3].ler_total is None
+    assert [got[4][f"{k}_{p}"] for k in ("cer", "ser", "ler") for p in ("errors", "total")] == [0, 0, 0, 1, 0, 1]
+    assert (got[5].cer_errors, got[5].ser_errors, got[5].ler_errors) == (1, 1, 2)
+
+
+def test_bags(spark):
+    rng = random.Random(6)
+    rows = [([rng.choice("abcd") if rng.random() > 0.1 else None for _ in range(rng.randrange(9))], rng.choices("abc", k=rng.randrange(9))) for _ in range(60)]
+    df = spark.createDataFrame([*rows, ([], []), (["x"] * 5000, ["x"] * 4000)], "a array<string>, b array<string>")
+    count = lambda x: Counter(y for y in x if y is not None)
+    assert all(r.n == sum((count(r.a) & count(r.b)).values()) for r in df.select("a", "b", bag_matches(F.col("a"), F.col("b")).alias("n")).collect())
