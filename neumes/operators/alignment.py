@@ -5,6 +5,8 @@ here needs a traceback or a greedy choice: alignment, longest common subsequence
 windowed matches. Pairs are independent, so any partitioning of rows will do.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,39 +22,59 @@ def numbered(left: list, right: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array([number(t, 2 * i) for i, t in enumerate(left)], np.int64), np.array([number(t, 2 * i + 1) for i, t in enumerate(right)], np.int64)
 
 
-def distance_table(pred: np.ndarray, truth: np.ndarray) -> np.ndarray:
-    """All prefix distances; rows follow ``pred``. A row is one running minimum."""
-    n = len(truth)
-    table = np.empty((len(pred) + 1, n + 1), np.int32)
-    table[0] = ramp = np.arange(n + 1, dtype=np.int32)
-    for i, token in enumerate(pred, 1):
-        above = table[i - 1]
-        best = np.empty(n + 1, np.int32)
+def distance_rows(pred: np.ndarray, truth: np.ndarray, above: np.ndarray, first: int):
+    """The rows of prefix distances below ``above``, for tokens of ``pred`` from number ``first``; a row is one running minimum."""
+    ramp = np.arange(len(truth) + 1, dtype=np.int32)
+    for i, token in enumerate(pred, first + 1):
+        best = np.empty(len(truth) + 1, np.int32)
         best[0] = i
         np.minimum(above[:-1] + (truth != token), above[1:] + 1, out=best[1:])
-        table[i] = np.minimum.accumulate(best - ramp) + ramp
-    return table
+        above = np.minimum.accumulate(best - ramp) + ramp
+        yield above
+
+
+#: Entries of the table of distances that are held at once where it is smaller; else some rows.
+TABLE = 1 << 20
 
 
 def steps(pred: list, truth: list) -> list[tuple[str, int | None, int | None]]:
-    """(op, truth index, pred index) from the front; of equal costs match, substitute, insert, delete in turn."""
+    """(op, truth index, pred index) from the front; of equal costs match, substitute, insert, delete in turn.
+
+    The way back reads the table of distances from its end. Of a large table only
+    every so many rows are kept; the rows between two of them are made again when
+    the way gets there, up to its column only. So two sequences of n tokens take
+    memory for 2 n sqrt(n) distances, and the way is the same as in the whole table.
+    """
     p, t = numbered(pred, truth)
-    table = distance_table(p, t)
+    if np.array_equal(p, t):
+        return [("match", k, k) for k in range(len(p))]
+    every = len(p) + 1 if (len(p) + 1) * (len(t) + 1) <= TABLE else math.isqrt(len(p)) + 1
+    kept = [np.arange(len(t) + 1, dtype=np.int32)]
+    if every <= len(p):
+        for i, row in enumerate(distance_rows(p, t, kept[0], 0), 1):
+            if i % every == 0:
+                kept.append(row)
     i, j, out = len(p), len(t), []
-    while i or j:
-        here = table[i, j]
-        if i and j and p[i - 1] == t[j - 1] and here == table[i - 1, j - 1]:
-            op, i, j = "match", i - 1, j - 1
-            out.append((op, j, i))
-        elif i and j and here == table[i - 1, j - 1] + 1:
-            op, i, j = "substitute", i - 1, j - 1
-            out.append((op, j, i))
-        elif i and here == table[i - 1, j] + 1:
-            i -= 1
-            out.append(("insert", None, i))
-        else:
-            j -= 1
-            out.append(("delete", j, None))
+    for block in range(len(kept) - 1, -1, -1):
+        low = block * every
+        if i < low or (i == low and block):
+            continue  # the block ends where it begins
+        table = [kept[block][: j + 1]]
+        table += distance_rows(p[low:i], t[:j], table[0], low)
+        while i > low or (j and not block):
+            here = table[i - low][j]
+            if i > low and j and p[i - 1] == t[j - 1] and here == table[i - low - 1][j - 1]:
+                i, j = i - 1, j - 1
+                out.append(("match", j, i))
+            elif i > low and j and here == table[i - low - 1][j - 1] + 1:
+                i, j = i - 1, j - 1
+                out.append(("substitute", j, i))
+            elif i > low and here == table[i - low - 1][j] + 1:
+                i -= 1
+                out.append(("insert", None, i))
+            else:
+                j -= 1
+                out.append(("delete", j, None))
     return out[::-1]
 
 
