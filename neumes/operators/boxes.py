@@ -1,10 +1,11 @@
 """Boxes of staves on a page: duplicates, gaps, crop boundaries."""
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BOX = "page_id long, box_id long, x1 int, y1 int, x2 int, y2 int"
+from ..functions.text import let
+
+_CORNERS = ("x1", "y1", "x2", "y2")
 
 
 def iou_pairs(boxes: DataFrame, page: str, box: str, low: str, high: str, least: float, width: float | None = None) -> DataFrame:
@@ -25,67 +26,104 @@ def iou_pairs(boxes: DataFrame, page: str, box: str, low: str, high: str, least:
     return met.withColumn("iou", F.try_divide(both, hull)).where(F.col("iou") >= least).select(page, box, "other", "iou")
 
 
-def kept_boxes(rows: list[dict], least: float) -> list[dict]:
-    """Of boxes in the order of their centres, one of each set that overlaps an earlier one: the narrowest."""
+def _extent_iou(a: Column, b: Column) -> Column:
+    both = F.greatest(F.lit(0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]))
+    hull = F.greatest(a["y2"], b["y2"]) - F.least(a["y1"], b["y1"])
+    return F.when(hull > 0, both / hull).otherwise(0.0)
 
-    def iou(a, b):
-        both = max(0, min(a["y2"], b["y2"]) - max(a["y1"], b["y1"]))
-        hull = max(a["y2"], b["y2"]) - min(a["y1"], b["y1"])
-        return both / hull if hull > 0 else 0.0
 
-    rest = sorted(rows, key=lambda r: ((r["y1"] + r["y2"]) / 2, r["box_id"]))
-    out = []
-    while rest:
-        head = rest[0]
-        same = [r for r in rest if r is head or iou(head, r) >= least]  # against the first one, not the narrowest so far
-        out.append(min(same, key=lambda r: r["x2"] - r["x1"]))
-        rest = [r for r in rest if all(r is not s for s in same)]
-    return out
+def page_arrays(boxes: DataFrame) -> DataFrame:
+    """(page_id, boxes): the boxes of a page as one array in the order of their centres. A page has some dozens of boxes at most."""
+    center = (F.col("y1") + F.col("y2")) / 2.0
+    parts = F.struct(center.alias("y_center"), "box_id", "x1", "y1", "x2", "y2")
+    return boxes.groupBy("page_id").agg(F.array_sort(F.collect_list(parts)).alias("boxes"))
 
 
-def merge_duplicates(boxes: DataFrame, least: float = 0.6) -> DataFrame:
-    """Boxes of each page without duplicates. A page has some dozens of boxes at most."""
+def without_duplicates(boxes: Column, least: float = 0.6) -> Column:
+    """Of boxes in order, one of each set that overlaps its first one: the narrowest, the earlier of equal ones.
+
+    A fold over the array: each box joins the first set that it overlaps, or begins one.
+    """
+    width = lambda b: b["x2"] - b["x1"]
 
-    def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(kept_boxes(table.to_pylist(), least), table.schema)
+    def step(sets: Column, box: Column) -> Column:
+        at = F.array_position(F.transform(sets, lambda s: _extent_iou(s["first"], box) >= least), True)
+        joined = F.transform(sets, lambda s, i: F.when((i + 1 == at) & (width(box) < width(s["best"])), F.struct(s["first"].alias("first"), box.alias("best"))).otherwise(s))
+        return F.when(at > 0, joined).otherwise(F.concat(sets, F.array(F.struct(box.alias("first"), box.alias("best")))))
 
-    return boxes.select("page_id", "box_id", "x1", "y1", "x2", "y2").groupBy("page_id").applyInArrow(run, BOX)
+    none = F.filter(F.transform(boxes, lambda b: F.struct(b.alias("first"), b.alias("best"))), lambda b: F.lit(False))
+    kept = F.aggregate(boxes, none, step)
+    # sets may come to stand in another order by their best boxes
+    placed = F.array_sort(F.transform(kept, lambda s, i: F.struct(s["best"]["y_center"].alias("y_center"), i.alias("place"), s["best"].alias("box"))))
+    return F.transform(placed, lambda s: s["box"])
 
 
-def interpolate_gaps(points: DataFrame, page: str, order: str, position: str, factor: float = 1.8, least: int = 3) -> DataFrame:
-    """(page, position, inserted): positions with evenly spaced ones added where a gap exceeds ``factor`` medians.
+def _median(values: Column) -> Column:
+    """The median of a non-empty array of numbers; of two in the middle, their mean."""
+    return let(F.array_sort(values), lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2.0)
 
-    A gap of d gets max(1, round(d / median) - 1) of them; pages with fewer than
-    ``least`` positions stay as they are.
+
+def with_missing(boxes: Column, factor: float = 1.8, least: int = 3) -> Column:
+    """Boxes in order, with boxes put in where the upper left corners of neighbours are more than ``factor`` medians apart.
+
+    Distances are those of the corners in two dimensions. A distance of d gets
+    max(1, round(d / median) - 1) boxes of median width and height, evenly spaced, with
+    coordinates cut to whole numbers; they have ``inserted`` and no box_id. Fewer than
+    ``least`` boxes stay as they are.
     """
-    w = Window.partitionBy(page).orderBy(order)
-    rows = points.select(page, order, F.col(position).cast("double").alias("_p")).withColumns({"_q": F.lag("_p").over(w), "_n": F.count("*").over(Window.partitionBy(page))})
-    rows = rows.withColumn("_d", F.abs(F.col("_p") - F.col("_q")))
-    medians = rows.groupBy(page).agg(F.median("_d").alias("_m"))
-    rows = rows.join(medians, page)
-    wide = rows.where((F.col("_n") >= least) & (F.col("_m") > 0) & (F.col("_d") > factor * F.col("_m")))
-    k = F.greatest(F.lit(1), F.bround(F.col("_d") / F.col("_m"), 0).cast("int") - 1)
-    added = wide.withColumn("_k", k).withColumn("_i", F.explode(F.sequence(F.lit(1), "_k")))
-    added = added.select(page, (F.col("_q") + (F.col("_p") - F.col("_q")) * F.col("_i") / (F.col("_k") + 1)).alias("position"), F.lit(True).alias("inserted"))
-    return rows.select(page, F.col("_p").alias("position"), F.lit(False).alias("inserted")).unionByName(added)
+    n = F.size(boxes)
+    own = F.transform(boxes, lambda b, i: F.struct(b["y_center"].alias("y_center"), i.alias("gap"), F.lit(0).alias("k"), b["box_id"].alias("box_id"), *(b[c].alias(c) for c in _CORNERS), F.lit(False).alias("inserted")))
+    pairs = F.transform(F.slice(boxes, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda b, i: F.struct(F.get(boxes, i).alias("a"), b.alias("b"), i.alias("gap")))
+    apart = lambda p: F.sqrt(F.pow((p["b"]["x1"] - p["a"]["x1"]).cast("double"), 2.0) + F.pow((p["b"]["y1"] - p["a"]["y1"]).cast("double"), 2.0))
+    size = F.struct(
+        _median(F.transform(pairs, apart)).alias("apart"), _median(F.transform(boxes, lambda b: b["x2"] - b["x1"])).cast("int").alias("width"), _median(F.transform(boxes, lambda b: b["y2"] - b["y1"])).cast("int").alias("height")
+    )
+
+    def between(p: Column, m: Column) -> Column:
+        missing = F.greatest(F.lit(1), F.bround(apart(p) / m["apart"], 0).cast("int") - 1)
+
+        def put(k: Column) -> Column:
+            at = lambda c: (p["a"][c] + k / (missing + 1) * (p["b"][c] - p["a"][c])).cast("int")
+            x, y = at("x1"), at("y1")
+            corners = (x.alias("x1"), y.alias("y1"), (x + m["width"]).alias("x2"), (y + m["height"]).alias("y2"))
+            return F.struct(((y + y + m["height"]) / 2.0).alias("y_center"), p["gap"].alias("gap"), k.alias("k"), F.lit(None).cast("long").alias("box_id"), *corners, F.lit(True).alias("inserted"))
+
+        return F.when(apart(p) > factor * m["apart"], F.transform(F.sequence(F.lit(1), missing), put))
+
+    made = let(size, lambda m: F.when(m["apart"] > 0, F.flatten(F.filter(F.transform(pairs, lambda p: between(p, m)), lambda x: x.isNotNull()))))
+    return F.array_sort(F.when(n >= least, F.concat(own, F.coalesce(made, F.filter(own, lambda b: F.lit(False))))).otherwise(own))
+
+
+def merge_duplicates(boxes: DataFrame, least: float = 0.6) -> DataFrame:
+    """(page_id, box_id, x1, y1, x2, y2): boxes of each page without duplicates."""
+    kept = page_arrays(boxes).select("page_id", F.inline(without_duplicates(F.col("boxes"), least)))
+    return kept.select("page_id", "box_id", *_CORNERS)
+
+
+def interpolate_boxes(boxes: DataFrame, factor: float = 1.8, least: int = 3) -> DataFrame:
+    """(page_id, system_no, box_id, x1, y1, x2, y2, inserted) of boxes of one column, missing ones put in."""
+    filled = page_arrays(boxes).select("page_id", F.posexplode(with_missing(F.col("boxes"), factor, least)).alias("_i", "b"))
+    return filled.select("page_id", (F.col("_i") + 1).alias("system_no"), "b.box_id", *(f"b.{c}" for c in _CORNERS), "b.inserted")
 
 
 def boundaries(boxes: DataFrame, page: str, order: str, top: str, bottom: str, height: str, above: float = 0.75, below: float = 0.25, alone: float = 0.4) -> DataFrame:
-    """Adds crop_top and crop_bottom: gaps between boxes are dealt above:below, ends take the mean gap's share.
+    """Adds crop_top and crop_bottom: of the gap between two boxes the upper one gets ``below``, cut to a whole number, the lower one the rest.
 
-    A single box takes ``alone`` of its own height; all is cut to the page and to
-    whole numbers.
+    The first box takes ``above`` and the last one ``below`` of the mean gap, within the
+    page; a single box has ``alone`` of its own height for a gap.
     """
     w = Window.partitionBy(page).orderBy(order)
-    rows = boxes.withColumns({"_b": F.lag(bottom).over(w), "_t": F.lead(top).over(w), "_n": F.count("*").over(Window.partitionBy(page))})
+    rows = boxes.withColumns({"_b": F.lag(bottom).over(w), "_t": F.lead(top).over(w)})
     rows = rows.withColumns({"_up": F.col(top) - F.col("_b"), "_down": F.col("_t") - F.col(bottom)})
-    mean = F.avg("_up").over(Window.partitionBy(page))
-    own = alone * (F.col(bottom) - F.col(top))
-    spare = F.when(F.col("_n") == 1, own).otherwise(mean)
-    up = F.when(F.col("_n") == 1, own).otherwise(above * F.coalesce("_up", spare))
-    down = F.when(F.col("_n") == 1, own).otherwise(below * F.coalesce("_down", spare))
-    rows = rows.withColumns({"crop_top": F.greatest(F.lit(0), (F.col(top) - up).cast("int")), "crop_bottom": F.least(F.col(height), (F.col(bottom) + down).cast("int"))})
-    return rows.drop("_b", "_t", "_n", "_up", "_down")
+    mean = F.coalesce(F.avg("_up").over(Window.partitionBy(page)), alone * (F.col(bottom) - F.col(top)))
+    whole = lambda x: x.cast("int")
+    first = F.greatest(F.lit(0), F.col(top) - whole(above * F.col("_mean")))
+    last = F.least(F.col(height), F.col(bottom) + whole(below * F.col("_mean")))
+    rows = rows.withColumn("_mean", mean).withColumns({
+        "crop_top": F.when(F.col("_b").isNull(), first).otherwise(F.col("_b") + whole(below * F.col("_up"))).cast("int"),
+        "crop_bottom": F.when(F.col("_t").isNull(), last).otherwise(F.col(bottom) + whole(below * F.col("_down"))).cast("int"),
+    })
+    return rows.drop("_b", "_t", "_mean", "_up", "_down")
 
 
 def staves(detections: DataFrame, wanted: str = "staff") -> DataFrame:
@@ -103,14 +141,18 @@ def page_skew(angles: DataFrame, page: str, angle: str, most: float = 15.0, leas
     return angles.groupBy(page).agg(m.alias("_m")).select(page, F.when(F.abs("_m") < least, 0.0).otherwise(F.coalesce("_m", F.lit(0.0))).alias("skew"))
 
 
-def segment_staves(detections: DataFrame, wanted: str = "staff", least: float = 0.6) -> DataFrame:
-    """(page_id, box_id, x1, y1, x2, y2, y_center, system_no, crop_top, crop_bottom) of the systems of each page.
+def segment_staves(detections: DataFrame, wanted: str = "staff", least: float = 0.6, factor: float = 1.8) -> DataFrame:
+    """(page_id, system_no, box_id, x1, y1, x2, y2, y_center, inserted, crop_top, crop_bottom) of the systems of each page.
 
     Of (page_id, box_id, class, x1, y1, x2, y2, image_height): boxes of the wanted class
-    without duplicates, in the order of their centres, with the rows to crop. Gaps are
-    filled by ``interpolate_gaps``, which works on positions.
+    without duplicates, in the order of their centres, with boxes for systems that were
+    missed, and the rows to crop. One shuffle, by page.
     """
-    found = staves(detections, wanted).select("page_id", "box_id", "y_center", "image_height", "x1", "y1", "x2", "y2")
-    kept = merge_duplicates(found, least).join(found.select("page_id", "box_id", "y_center", "image_height"), ["page_id", "box_id"])
-    ordered = kept.withColumn("system_no", F.row_number().over(Window.partitionBy("page_id").orderBy("y_center", "box_id")))
-    return boundaries(ordered, "page_id", "system_no", "y1", "y2", "image_height").drop("image_height")
+    found = detections.where(F.col("class") == wanted)
+    center = (F.col("y1") + F.col("y2")) / 2.0
+    parts = F.struct(center.alias("y_center"), "box_id", *_CORNERS)
+    pages = found.groupBy("page_id").agg(F.array_sort(F.collect_list(parts)).alias("boxes"), F.max("image_height").alias("image_height"))
+    pages = pages.withColumn("boxes", without_duplicates(F.col("boxes"), least)).withColumn("boxes", with_missing(F.col("boxes"), factor))
+    rows = pages.select("page_id", "image_height", F.posexplode("boxes").alias("_i", "b"))
+    rows = rows.select("page_id", (F.col("_i") + 1).alias("system_no"), "b.box_id", *(f"b.{c}" for c in _CORNERS), "b.y_center", "b.inserted", "image_height")
+    return boundaries(rows, "page_id", "system_no", "y1", "y2", "image_height").drop("image_height")

@@ -163,19 +163,12 @@ WITH e AS (SELECT user_id, event_id, floor(epoch(ts)) / 60.0 AS low, floor(epoch
 j AS (SELECT a.user_id, a.event_id, b.event_id AS other, greatest(0, least(a.high, b.high) - greatest(a.low, b.low)) / (greatest(a.high, b.high) - least(a.low, b.low)) AS iou
       FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.low < b.high AND b.low < a.high)
 SELECT user_id, event_id, other, round(iou, 6)::DOUBLE AS iou FROM j WHERE iou >= 0.3""",
-    "gap_interpolate": """
-WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber::DOUBLE AS p FROM lineitem WHERE l_linenumber = 1 OR (l_linenumber + l_orderkey) % 3 <> 0),
-g AS (SELECT *, p - lag(p) OVER w AS d, lag(p) OVER w AS q, count(*) OVER (PARTITION BY l_orderkey) AS n FROM p WINDOW w AS (PARTITION BY l_orderkey ORDER BY p)),
-m AS (SELECT l_orderkey, median(d) AS m FROM g GROUP BY l_orderkey),
-w AS (SELECT g.*, greatest(1, round_even(d / m, 0) - 1)::INT AS k FROM g JOIN m USING (l_orderkey) WHERE n >= 3 AND m > 0 AND d > 1.8 * m)
-SELECT l_orderkey, p AS position, false AS inserted FROM p
-UNION ALL SELECT l_orderkey, round(q + d * i / (k + 1), 6), true FROM (SELECT *, unnest(range(1, k + 1)) AS i FROM w)""",
     "gap_boundaries": """
 WITH d AS (SELECT o_custkey, o_orderkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS t FROM orders),
-g AS (SELECT *, t - (lag(t) OVER w + 1) AS up, lead(t) OVER w - (t + 1) AS down, count(*) OVER (PARTITION BY o_custkey) AS n FROM d WINDOW w AS (PARTITION BY o_custkey ORDER BY t, o_orderkey)),
-a AS (SELECT *, avg(up) OVER (PARTITION BY o_custkey) AS mean FROM g)
-SELECT o_orderkey, greatest(0, trunc(t - CASE WHEN n = 1 THEN 0.4 ELSE 0.75 * coalesce(up, mean) END))::BIGINT AS crop_top,
-       least(1000000, trunc(t + 1 + CASE WHEN n = 1 THEN 0.4 ELSE 0.25 * coalesce(down, mean) END))::BIGINT AS crop_bottom FROM a""",
+g AS (SELECT *, lag(t) OVER w + 1 AS b, t - (lag(t) OVER w + 1) AS up, lead(t) OVER w - (t + 1) AS down FROM d WINDOW w AS (PARTITION BY o_custkey ORDER BY t, o_orderkey)),
+a AS (SELECT *, coalesce(avg(up) OVER (PARTITION BY o_custkey), 0.4) AS mean FROM g)
+SELECT o_orderkey, CASE WHEN b IS NULL THEN greatest(0, t - trunc(0.75 * mean)) ELSE b + trunc(0.25 * up) END::BIGINT AS crop_top,
+       CASE WHEN down IS NULL THEN least(1000000, t + 1 + trunc(0.25 * mean)) ELSE t + 1 + trunc(0.25 * down) END::BIGINT AS crop_bottom FROM a""",
     "prefix_fanout": """
 WITH r AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS place, count(*) OVER (PARTITION BY l_orderkey) AS total FROM lineitem),
 n AS (SELECT *, unnest(CASE WHEN l_orderkey % 10 = 0 THEN [total] ELSE range(place, least(total, 5) + 1) END) AS n FROM r)

@@ -279,14 +279,6 @@ def iou_dedup_pairs(spark, sf_dir):
     return out.select("user_id", "event_id", "other", r6(F.col("iou")).alias("iou"))
 
 
-@query
-def gap_interpolate(spark, sf_dir):
-    """Line numbers of orders without every third line but the first, put back by interpolation."""
-    rows = t(spark, sf_dir, "lineitem").where("l_linenumber = 1 OR (l_linenumber + l_orderkey) % 3 <> 0").select("l_orderkey", "l_linenumber").distinct()
-    out = boxes.interpolate_gaps(rows, "l_orderkey", "l_linenumber", "l_linenumber")
-    return out.select("l_orderkey", r6(F.col("position")).alias("position"), "inserted")
-
-
 @query
 def gap_boundaries(spark, sf_dir):
     """Days between orders of a customer, dealt to both sides."""

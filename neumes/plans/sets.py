@@ -91,15 +91,43 @@ def merged_boxes(spark, sf_dir):
     return out.select("page_id", "box_id", *(long(c).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
+def _filled(boxes: str) -> str:
+    """``boxes`` with their order i, and those put in between corners that are far apart."""
+    return f"""
+{_BOXES},
+kp AS (SELECT bx.*, pos FROM (SELECT page, unnest(kept).id AS id, generate_subscripts(kept, 1) AS pos FROM bg) JOIN bx USING (page, id)),
+co AS ({boxes}),
+cd AS (SELECT *, lead(x1) OVER w AS nx, lead(y1) OVER w AS ny, count(*) OVER (PARTITION BY page) AS n FROM co WINDOW w AS (PARTITION BY page ORDER BY i)),
+ce AS (SELECT *, sqrt(((nx - x1) * (nx - x1) + (ny - y1) * (ny - y1))::DOUBLE) AS apart FROM cd),
+cm AS (SELECT page, median(apart) AS m, trunc(median(x2 - x1))::BIGINT AS mw, trunc(median(y2 - y1))::BIGINT AS mh FROM ce GROUP BY page),
+cv AS (SELECT ce.*, mw, mh, greatest(1, round_even(apart / m, 0) - 1)::INTEGER AS missing FROM ce JOIN cm USING (page) WHERE n >= 3 AND m > 0 AND apart > 1.8::DOUBLE * m),
+cw AS (SELECT page, i, k, trunc(x1 + k::DOUBLE / (missing + 1) * (nx - x1))::BIGINT AS x1, trunc(y1 + k::DOUBLE / (missing + 1) * (ny - y1))::BIGINT AS y1, mw, mh FROM (SELECT *, unnest(range(1, missing + 1)) AS k FROM cv)),
+cf AS (
+  SELECT page, id, i, 0 AS k, x1::BIGINT AS x1, y1::BIGINT AS y1, x2::BIGINT AS x2, y2::BIGINT AS y2, false AS inserted FROM co
+  UNION ALL SELECT page, NULL, i, k, x1, y1, x1 + mw, y1 + mh, true FROM cw),
+cs AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY (y1 + y2) / 2.0, i, k) AS system_no FROM cf)"""
+
+
+@both("gap_interpolate", f"""
+WITH {_filled("SELECT *, row_number() OVER (PARTITION BY page ORDER BY (y1 + y2) / 2.0, id) AS i FROM bx WHERE class = 'staff'")}
+SELECT page AS page_id, system_no, id AS box_id, x1, y1, x2, y2, inserted FROM cs""")
+def gap_interpolate(spark, sf_dir):
+    """Boxes of a page, duplicates and all, with boxes put in where corners are far apart."""
+    out = boxes.interpolate_boxes(boxes.staves(detections(spark, sf_dir)))
+    return out.select("page_id", long("system_no").alias("system_no"), "box_id", *(long(c).alias(c) for c in ("x1", "y1", "x2", "y2")), "inserted")
+
+
 @both("segmented_staves", f"""
-WITH {_BOXES}, o AS (SELECT *, row_number() OVER w AS system_no, y1 - lag(y2) OVER w AS up, lead(y1) OVER w - y2 AS down, count(*) OVER (PARTITION BY page) AS n FROM kb WINDOW w AS (PARTITION BY page ORDER BY (y1 + y2) / 2.0, id)),
-a AS (SELECT *, avg(up) OVER (PARTITION BY page) AS mean FROM o)
-SELECT page AS page_id, id AS box_id, system_no, ((y1 + y2) / 2.0)::DOUBLE AS y_center, greatest(0, trunc(y1 - CASE WHEN n = 1 THEN 0.4 * (y2 - y1) ELSE 0.75 * coalesce(up, mean) END))::BIGINT AS crop_top,
-       least(1000, trunc(y2 + CASE WHEN n = 1 THEN 0.4 * (y2 - y1) ELSE 0.25 * coalesce(down, mean) END))::BIGINT AS crop_bottom FROM a""")
+WITH {_filled("SELECT *, row_number() OVER (PARTITION BY page ORDER BY (y1 + y2) / 2.0, pos) AS i FROM kp")},
+o AS (SELECT *, lag(y2) OVER w AS b, y1 - lag(y2) OVER w AS up, lead(y1) OVER w - y2 AS down FROM cs WINDOW w AS (PARTITION BY page ORDER BY system_no)),
+a AS (SELECT *, coalesce(avg(up) OVER (PARTITION BY page), 0.4 * (y2 - y1)) AS mean FROM o)
+SELECT page AS page_id, id AS box_id, system_no, ((y1 + y2) / 2.0)::DOUBLE AS y_center, inserted,
+       CASE WHEN b IS NULL THEN greatest(0, y1 - trunc(0.75 * mean)) ELSE b + trunc(0.25 * up) END::BIGINT AS crop_top,
+       CASE WHEN down IS NULL THEN least(1000, y2 + trunc(0.25 * mean)) ELSE y2 + trunc(0.25 * down) END::BIGINT AS crop_bottom FROM a""")
 def segmented_staves(spark, sf_dir):
-    """From detections to the rows to crop: class, duplicates, order, boundaries."""
+    """From detections to the rows to crop: class, duplicates, order, missed systems, boundaries."""
     out = boxes.segment_staves(detections(spark, sf_dir))
-    return out.select("page_id", "box_id", long("system_no").alias("system_no"), "y_center", long("crop_top").alias("crop_top"), long("crop_bottom").alias("crop_bottom"))
+    return out.select("page_id", "box_id", long("system_no").alias("system_no"), "y_center", "inserted", long("crop_top").alias("crop_top"), long("crop_bottom").alias("crop_bottom"))
 
 
 @both("page_skews", "WITH m AS (SELECT user_id, median(value - 12) FILTER (abs(value - 12) <= 15) AS m FROM events GROUP BY user_id) SELECT user_id, round(CASE WHEN abs(m) < 0.5 THEN 0 ELSE coalesce(m, 0) END, 6)::DOUBLE AS skew FROM m")

@@ -142,15 +142,83 @@ def test_curriculum(spark):
     assert curriculum.online_epoch(spark, 20, 3, 0.25).groupBy("n").count().orderBy("n").collect() == [(1, 5), (2, 5), (3, 20)]
 
 
-def test_boxes(spark):
-    two = [{"box_id": 1, "x1": 0, "x2": 100, "y1": 0, "y2": 10}, {"box_id": 2, "x1": 0, "x2": 80, "y1": 1, "y2": 10}, {"box_id": 3, "x1": 0, "x2": 90, "y1": 30, "y2": 40}]
-    assert [b["box_id"] for b in boxes.kept_boxes(two, 0.6)] == [2, 3] and boxes.kept_boxes([], 0.6) == []
-    rows = spark.createDataFrame([(1, b["box_id"], b["x1"], b["y1"], b["x2"], b["y2"]) for b in two], boxes.BOX)
-    assert sorted(r.box_id for r in boxes.merge_duplicates(rows).collect()) == [2, 3]
-    points = spark.createDataFrame([(1, i, float(p)) for i, p in enumerate([0, 10, 20, 50])], "page int, i int, p double")
-    assert sorted(r.position for r in boxes.interpolate_gaps(points, "page", "i", "p").collect()) == [0, 10, 20, 30, 40, 50]
-    b = boxes.boundaries(rows.where("box_id <> 1").withColumn("h", F.lit(50)), "page_id", "y1", "y1", "y2", "h").orderBy("y1").collect()
-    assert [(r.crop_top, r.crop_bottom) for r in b] == [(0, 15), (15, 45)]
+BOX = "page_id long, box_id long, x1 int, y1 int, x2 int, y2 int"
+
+
+def plain_boxes(rows, factor=1.8, least=0.6):
+    """Boxes (id, x1, y1, x2, y2) of a page by the rule: duplicates, then missing ones; (id or None, x1, y1, x2, y2)."""
+    import statistics
+
+    def iou(a, b):
+        hull = max(a[4], b[4]) - min(a[2], b[2])
+        return max(0, min(a[4], b[4]) - max(a[2], b[2])) / hull if hull > 0 else 0.0
+
+    center = lambda b: (b[2] + b[4]) / 2
+    rest, used, keep = sorted(rows, key=lambda b: (center(b), b[0])), set(), []
+    for i, head in enumerate(rest):
+        if i in used:
+            continue
+        best = i
+        for j in range(i + 1, len(rest)):
+            if j not in used and iou(head, rest[j]) >= least:
+                narrower = rest[j][3] - rest[j][1] < rest[best][3] - rest[best][1]
+                used.add(best if narrower else j)
+                best = j if narrower else best
+        keep.append(rest[best])
+        used.add(best)
+    keep.sort(key=center)
+    if len(keep) < 3:
+        return keep, keep
+    apart = [((b[1] - a[1]) ** 2 + (b[2] - a[2]) ** 2) ** 0.5 for a, b in zip(keep, keep[1:])]
+    m, w, h = statistics.median(apart), int(statistics.median(b[3] - b[1] for b in keep)), int(statistics.median(b[4] - b[2] for b in keep))
+    out = [keep[0]]
+    for a, b, d in zip(keep, keep[1:], apart):
+        if m > 0 and d > factor * m:
+            n = max(1, round(d / m) - 1)
+            for k in range(1, n + 1):
+                x, y = int(a[1] + k / (n + 1) * (b[1] - a[1])), int(a[2] + k / (n + 1) * (b[2] - a[2]))
+                out.append((None, x, y, x + w, y + h))
+        out.append(b)
+    return keep, sorted(out, key=center)
+
+
+def plain_crops(found, height):
+    n, out = len(found), []
+    gaps = [b[2] - a[4] for a, b in zip(found, found[1:])]
+    mean = sum(gaps) / len(gaps) if gaps else (found[0][4] - found[0][2]) * 0.4
+    for i, b in enumerate(found):
+        top = max(0, b[2] - int(mean * 0.75)) if i == 0 else found[i - 1][4] + int((b[2] - found[i - 1][4]) * 0.25)
+        bottom = min(height, b[4] + int(mean * 0.25)) if i == n - 1 else b[4] + int((found[i + 1][2] - b[4]) * 0.25)
+        out.append((top, bottom))
+    return out
+
+
+def test_boxes_of_pages(spark):
+    """Duplicates, missed systems, overlapping neighbours, single boxes and equal centres, by the plain rule."""
+    rng, pages = random.Random(9), {}
+    for page in range(150):
+        y, own = rng.randrange(40), []
+        for k in range(rng.choice((1, 2, 3, 5, 9))):
+            h = rng.randrange(40, 70)
+            own.append((len(own), x := rng.randrange(-5, 60), y, x + rng.randrange(400, 500), y + h))
+            if rng.random() < 0.3:
+                own.append((len(own), x, y + rng.choice((0, 2, -2)), x + rng.randrange(300, 500), y + h + rng.choice((0, -2, 2))))
+            y += rng.choice((100, 103, 110, 45, 230, 320))
+        pages[page] = own
+    rows = spark.createDataFrame([(p, *b) for p, own in pages.items() for b in own], BOX).withColumns({"class": F.lit("staff"), "image_height": F.lit(1500)})
+    noise = rows.where("box_id = 0").withColumns({"class": F.lit("title"), "box_id": F.lit(99).cast("long")})
+    kept, filled, cut = {}, {}, {}
+    for r in boxes.merge_duplicates(rows).collect():
+        kept.setdefault(r.page_id, set()).add(r.box_id)
+    for r in boxes.segment_staves(rows.union(noise)).orderBy("page_id", "system_no").collect():
+        filled.setdefault(r.page_id, []).append((r.box_id, r.x1, r.y1, r.x2, r.y2))
+        cut.setdefault(r.page_id, []).append((r.crop_top, r.crop_bottom))
+        assert r.inserted == (r.box_id is None) and r.y_center == (r.y1 + r.y2) / 2
+    for page, own in pages.items():
+        want_kept, want = plain_boxes(own)
+        assert kept[page] == {b[0] for b in want_kept}
+        assert filled[page] == want and cut[page] == plain_crops(want, 1500)
+    assert boxes.segment_staves(noise).count() == 0
 
 
 GOLDEN = [25, 19, 18, 18, 19, 18.5, 17, 18, 18]
