@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import MARKER
 from ..functions.text import strings
 from .notation import is_terminator, without_header, without_terminator
+from .positions import positions
 
 END = "*-\t*-"
 
@@ -137,43 +138,90 @@ def pool_stats(sizes: DataFrame, few: int = 5, size: str = "pool") -> DataFrame:
     return sizes.agg(F.min(n).alias("smallest"), F.median(n).alias("median"), F.avg(n).alias("mean"), F.max(n).alias("largest"), (100.0 * F.count_if(n < few) / F.count("*")).alias("below"))
 
 
-def stack_plan(pools: DataFrame, id_col: str, ns: list[int], samples: int, seed: int) -> DataFrame:
-    """(n, sample, members): stacks of n items, an anchor and n - 1 draws from its pool, by hashes.
+def _hash_order(id_col: str, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
+
+
+#: Widths are compared with this much room, so that a tolerance that is reached exactly counts.
+ROOM = 1.0 + 1e-12
+
+
+def stack_plan(items: DataFrame, id_col: str, width: str, ns: list[int], samples: int, seed: int, tolerance: float = 0.15) -> DataFrame:
+    """(n, sample, members): stacks of n items, an anchor and n - 1 draws from those near in width, by hashes.
 
     Anchors are the first ``samples`` items in hash order, and again from the first where
-    there are fewer; only their pools, arrays of the items near in width, are gathered. A
-    pool of fewer than n items is drawn from all the same.
+    there are fewer. An anchor's pool holds the items whose widths differ by at most
+    ``tolerance`` times its own, itself included; a pool of fewer than n items is
+    replaced by all items. Pools are never made: items are numbered in the order of
+    their widths, together with both ends of the anchors' bands, so that a pool is an
+    interval of ranks and a draw is a rank in it. Items without a width take no part.
     """
-    order = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
-    first = pools.select(id_col).distinct().orderBy(order, id_col).limit(samples)  # at most ``samples`` rows from here on
-    place = F.row_number().over(Window.orderBy(order, id_col))
-    anchors = first.withColumns({"_i": place, "_all": F.count("*").over(Window.partitionBy())})
-    members = pools.join(F.broadcast(anchors), id_col).groupBy(id_col, "_i", "_all").agg(F.array_sort(F.collect_list("other")).alias("pool"))
-    plan = members.select("*", F.explode(F.array(*map(F.lit, ns))).alias("n")).withColumn("sample", F.explode(F.sequence(F.col("_i") - 1, F.lit(samples - 1), F.col("_all"))))
+    valid = items.where(F.col(width).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(width).cast("double").alias("_w"))
+    order = _hash_order("_id", seed)
+    anchors = valid.withColumn("_o", order).orderBy("_o", "_id").limit(samples)  # at most ``samples`` rows, a parameter, from here on
+    reach = tolerance * ROOM * F.greatest(F.col("_w"), F.lit(1.0))
+    ends = F.array(F.struct((F.col("_w") - reach).alias("_at"), F.lit(0).alias("_kind")), F.struct((F.col("_w") + reach).alias("_at"), F.lit(2).alias("_kind")))
+    # below an end of a band stand the items of smaller widths, and at its upper end those of equal widths too
+    places = valid.select("_id", F.col("_w").alias("_at"), F.lit(1).alias("_kind"), F.lit(1).alias("_one")).unionByName(anchors.select("_id", F.inline(ends), F.lit(0).alias("_one")))
+    ranked = positions(places, [], ["_at", "_kind", "_id"], ["_one"])
+    known = ranked.where("_kind = 1").select(F.col("upto__one").alias("_rank"), F.col("_id").alias("member"))
+    band = ranked.where("_kind <> 1").groupBy("_id").agg(F.min("upto__one").alias("_low"), F.max("upto__one").alias("_high"), F.max("total__one").alias("_every"))
+    w = Window.orderBy(order, "_id")
+    few = band.withColumns({"_i": F.row_number().over(w), "_all": F.count("*").over(Window.partitionBy())})
+    plan = few.select("*", F.explode(F.array(*map(F.lit, ns))).alias("n")).withColumn("sample", F.explode(F.sequence(F.col("_i") - 1, F.lit(samples - 1), F.col("_all"))))
+    small = F.col("_high") - F.col("_low") < F.col("n")
+    plan = plan.withColumns({"_low": F.when(small, 0).otherwise(F.col("_low")), "_high": F.when(small, F.col("_every")).otherwise(F.col("_high"))})
     # draws by md5, which other engines have too
-    number = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.col("n").cast("string"), F.col("sample").cast("string"), k.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
-    draw = lambda k: F.get("pool", F.pmod(number(k), F.size("pool")).cast("int"))
-    drawn = F.when(F.col("n") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))), draw)).otherwise(F.array().cast("array<long>"))
-    return plan.select("n", F.col("sample").cast("int").alias("sample"), F.concat(F.array(F.col(id_col).cast("long")), drawn).alias("members"))
-
-
-def split_plan(split: str, fold: int, real: DataFrame, synthetic: DataFrame | None, id_col: str, max_n: int, n_real: int, n_synthetic: int, seed: int = 42) -> DataFrame:
+    number = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", F.col("_id").cast("string"), F.col("n").cast("string"), F.col("sample").cast("string"), k.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    draws = plan.select("n", "sample", "_id", "_low", "_high", F.explode(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1)))).alias("k")).where("k < n")
+    draws = draws.withColumn("_rank", F.col("_low") + 1 + F.pmod(number(F.col("k")), F.col("_high") - F.col("_low")))
+    drawn = known.join(F.broadcast(draws), "_rank")  # samples times the sum of ns at most
+    members = F.transform(F.array_sort(F.collect_list(F.struct("k", "member"))), lambda x: x["member"])
+    full = drawn.groupBy("n", "sample", "_id").agg(members.alias("_rest"))
+    alone = plan.where("n = 1").select("n", "sample", "_id", F.array().cast("array<bigint>").alias("_rest"))
+    out = full.unionByName(alone)
+    return out.select("n", F.col("sample").cast("int").alias("sample"), F.concat(F.array("_id"), "_rest").alias("members"))
+
+
+def split_plan(
+    split: str, fold: int, real: DataFrame, synthetic: DataFrame | None, id_col: str, width: str, max_n: int, n_real: int, n_synthetic: int,
+    seed: int = 42, tolerance: float = 0.15, folder: str = "stacks",
+) -> DataFrame:
     """(position, stem, img, gt, n, members, is_synthetic): the stacked samples of a split for n = 2 to ``max_n``.
 
-    ``real`` and ``synthetic`` are pools (id, other). Of each n the real samples come
-    before the synthetic ones; position is the order of the split file.
+    ``real`` and ``synthetic`` are items (id, width). Of each n the real samples come
+    before the synthetic ones; position is the order of the split file. Images and
+    texts are named below ``folder``.
     """
     ns = list(range(2, max_n + 1))
     parts = [(real, n_real, False, "stacked")] + ([(synthetic, n_synthetic, True, "syn_stacked")] if synthetic is not None and n_synthetic > 0 else [])
     out = None
-    for pools, samples, made, prefix in parts:
+    for items, samples, made, prefix in parts:
         before = F.lit(n_real if made else 0)
-        rows = stack_plan(pools, id_col, ns, samples, seed)
+        rows = stack_plan(items, id_col, width, ns, samples, seed, tolerance)
         stem = F.format_string(f"{prefix}_{split}_{fold}_n%d_%05d", "n", "sample")
         position = (F.col("n") - 2) * (n_real + (n_synthetic if len(parts) > 1 else 0)) + before + F.col("sample")
         rows = rows.select(position.cast("long").alias("position"), stem.alias("stem"), "n", "members", F.lit(made).alias("is_synthetic"))
         out = rows if out is None else out.unionByName(rows)
-    return out.select("position", "stem", F.concat(F.lit("jazzmus_stacked/jpg/"), "stem", F.lit(".jpg")).alias("img"), F.concat(F.lit("jazzmus_stacked/gt/"), "stem", F.lit(".txt")).alias("gt"), "n", "members", "is_synthetic")
+    return out.select("position", "stem", F.concat(F.lit(f"{folder}/jpg/"), "stem", F.lit(".jpg")).alias("img"), F.concat(F.lit(f"{folder}/gt/"), "stem", F.lit(".txt")).alias("gt"), "n", "members", "is_synthetic")
+
+
+def stacked_texts(plan: DataFrame, systems: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``plan`` with the text of each stack: members meet their systems, and are put together in the order of the plan.
+
+    A member that is drawn twice stands twice; one without a text counts as empty.
+    """
+    members = plan.select("stem", F.posexplode("members").alias("_k", "_id"))
+    known = systems.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    lines = lambda t: F.split(F.regexp_replace(t, r"\n\z", ""), "\n", -1)
+    parts = F.array_sort(F.collect_list(F.struct("_k", "_text")))
+    whole = members.join(known, "_id", "left").withColumn("_text", F.coalesce("_text", F.lit(""))).groupBy("stem").agg(parts.alias("_parts"))
+    return plan.join(whole.select("stem", stacked_page(F.transform("_parts", lambda p: lines(p["_text"]))).alias("text")), "stem")
+
+
+def with_stacks_of(current: DataFrame, added: DataFrame, n: int) -> DataFrame:
+    """(img, gt, n): a validation split with its stacks of n systems replaced by those of ``added``, a plan."""
+    return replaced(current.select("img", "gt", "n"), "n", n, added.where(F.col("n") == n).select("img", "gt", F.col("n").cast(current.schema["n"].dataType).alias("n")))
 
 
 def size_stats(images: DataFrame, width: str = "width", height: str = "height", headroom: float = 1.1) -> DataFrame:

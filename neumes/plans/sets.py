@@ -8,7 +8,7 @@ from ..operators import assemble, boxes, compare, curriculum, forensics, metrics
 from ..sources import scans, sinks
 from .files import scratch
 from .oracles import _EVENTS, _PAGES, ORACLES
-from .pages import _NOTES, _measured, _texts, both, both_texts, page_texts, predicted_rows
+from .pages import _END, _HEAD, _NOTES, _measured, _texts, both, both_texts, page_texts, predicted_rows
 from .pages import note_rows as notes
 from .queries import long, order_pages, r6, t, user_sequences
 
@@ -216,26 +216,68 @@ def split_composition(spark, sf_dir):
     return out.groupBy("split", "n").agg(F.count("*").alias("samples"), images.alias("images")).select("split", long("n").alias("n"), "samples", "images")
 
 
-def _plan(table: str, key: str, width: str, prefix: str, samples: int, before: int, both_samples: int) -> str:
+def _plan(items: str, prefix: str, samples: int, before: int, both_samples: int) -> str:
+    """Rows of a plan as far as the members; ``items``: rows of (id, w)."""
     drawn = "list_sum(list_transform(range(1, 9), lambda i: (strpos('0123456789abcdef', md5(concat_ws(':', id, n, sample, k, 42))[i]) - 1) * (16 ** (8 - i))::BIGINT))::BIGINT"
+    reach = f"{0.15 * assemble.ROOM!r}::DOUBLE * greatest(w, 1.0)"
     return f"""
-SELECT (n - 2) * {both_samples} + {before} + sample AS position, '{prefix}_train_0_n' || n || '_' || lpad(sample::VARCHAR, 5, '0') AS stem, n, [id] || list_transform(range(1, n), lambda k: pool[1 + {drawn} % len(pool)]) AS members, {str(before > 0).lower()} AS is_synthetic
-FROM (SELECT id, i, every, list(other ORDER BY other) AS pool FROM (SELECT {key} AS id, row_number() OVER (ORDER BY md5({key} || ':42'), {key}) AS i, least(count(*) OVER (), {samples}) AS every FROM {table} QUALIFY i <= {samples}) a
-      JOIN (SELECT a.{key} AS id, b.{key} AS other FROM {table} a JOIN {table} b ON abs(b.{width} - a.{width}) <= 0.15 * greatest(a.{width}, 1.0)) USING (id) GROUP BY ALL)
-JOIN (SELECT unnest(range(0, {samples})) AS sample) ON sample % every = i - 1 CROSS JOIN (SELECT unnest([2, 3, 4]) AS n)"""
+SELECT (n - 2) * {both_samples} + {before} + sample AS position, '{prefix}_train_0_n' || n || '_' || lpad(sample::VARCHAR, 5, '0') AS stem, n, [any_value(id)] || list(member ORDER BY k) AS members, {str(before > 0).lower()} AS is_synthetic
+FROM (SELECT *, CASE WHEN high - low < n THEN 1 + {drawn} % every ELSE low + 1 + {drawn} % (high - low) END AS rank
+      FROM (SELECT *, row_number() OVER (ORDER BY md5(id || ':42'), id) AS i, least(count(*) OVER (), {samples}) AS kept, count(*) OVER () AS every,
+                   (SELECT count(*) FROM ({items}) o WHERE o.w < x.w - {reach.replace('(w,', '(x.w,')}) AS low, (SELECT count(*) FROM ({items}) o WHERE o.w <= x.w + {reach.replace('(w,', '(x.w,')}) AS high
+            FROM ({items}) x QUALIFY i <= {samples})
+      JOIN (SELECT unnest(range(0, {samples})) AS sample) ON sample % kept = i - 1 CROSS JOIN (SELECT unnest([2, 3, 4]) AS n) CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) WHERE k < n)
+JOIN (SELECT id AS member, row_number() OVER (ORDER BY w, id) AS rank FROM ({items})) USING (rank) GROUP BY n, sample"""
+
+
+_SUPPLIERS, _PARTS = "SELECT s_suppkey AS id, s_acctbal AS w FROM supplier", "SELECT p_partkey AS id, p_size::DOUBLE AS w FROM part"
 
 
 @both("split_plan", f"""
-WITH x AS ({_plan('supplier', 's_suppkey', 's_acctbal', 'stacked', 40, 0, 65)} UNION ALL {_plan('part', 'p_partkey', 'p_size', 'syn_stacked', 25, 40, 65)})
-SELECT position::BIGINT AS position, stem, 'jazzmus_stacked/jpg/' || stem || '.jpg' AS img, 'jazzmus_stacked/gt/' || stem || '.txt' AS gt, n::BIGINT AS n, array_to_string(members, ',') AS members, is_synthetic FROM x""")
+WITH x AS ({_plan(_SUPPLIERS, 'stacked', 40, 0, 65)} UNION ALL {_plan(_PARTS, 'syn_stacked', 25, 40, 65)})
+SELECT position::BIGINT AS position, stem, 'stacks/jpg/' || stem || '.jpg' AS img, 'stacks/gt/' || stem || '.txt' AS gt, n::BIGINT AS n, array_to_string(members, ',') AS members, is_synthetic FROM x""")
 def split_plan(spark, sf_dir):
-    """Stacked samples of a split: real before synthetic ones for each n, with stems and members."""
-    real = assemble.width_pool(t(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "id"), "id", "s_acctbal", 0.15)
-    made = assemble.width_pool(t(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id").withColumn("p_size", F.col("p_size").cast("double")), "id", "p_size", 0.15)
-    out = assemble.split_plan("train", 0, real, made, "id", 4, 40, 25)
+    """Stacked samples of a split: real before synthetic ones for each n, with stems and members.
+
+    Many suppliers have so few others near in width that all are drawn from.
+    """
+    real = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("w"))
+    made = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("w"))
+    out = assemble.split_plan("train", 0, real, made, "id", "w", 4, 40, 25)
     return out.select("position", "stem", "img", "gt", long("n").alias("n"), F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), "is_synthetic")
 
 
+_PAGE_WIDTHS = "SELECT l_orderkey AS id, (l_orderkey % 977 + 40)::DOUBLE AS w FROM lineitem GROUP BY ALL"
+
+
+def page_stacks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The plan of stacks of pages, as if each were a system, and the pages' texts."""
+    texts = page_texts(notes(spark, sf_dir)).withColumnRenamed("page", "id")
+    items = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id")).distinct().withColumn("w", F.col("id") % 977 + 40)
+    return assemble.split_plan("train", 0, items, None, "id", "w", 4, 300, 0), texts
+
+
+@both("stacked_split", f"""
+WITH {_NOTES}, x AS ({_plan(_PAGE_WIDTHS, 'stacked', 300, 0, 300)}),
+b AS (SELECT page, string_agg(CASE WHEN k % 3 = 1 THEN '=' || sys || chr(9) || '=' || sys || chr(10) ELSE '' END || kern || chr(9) || chord, chr(10) ORDER BY k) AS body FROM nt GROUP BY page),
+m AS (SELECT stem, n, unnest(members) AS page, generate_subscripts(members, 1) AS pos FROM x)
+SELECT stem, n::BIGINT AS n, md5({_HEAD} || string_agg(body, chr(10) || '!!linebreak:original' || chr(10) ORDER BY pos) || {_END}) AS text_md5 FROM m JOIN b USING (page) GROUP BY stem, n""")
+def stacked_split(spark, sf_dir):
+    """The texts of stacks: later members without header, all but the last without terminator."""
+    out = assemble.stacked_texts(*page_stacks(spark, sf_dir), "id", "text")
+    return out.select("stem", long("n").alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@both("validation_stacks", f"""
+WITH x AS ({_plan(_PAGE_WIDTHS, 'stacked', 300, 0, 300)}), c AS (SELECT 'img/' || o_orderkey AS img, 'gt/' || o_orderkey AS gt, o_orderkey % 9 AS n FROM orders)
+SELECT img, gt, n::BIGINT AS n FROM c WHERE n <> 3 UNION ALL SELECT 'stacks/jpg/' || stem || '.jpg', 'stacks/gt/' || stem || '.txt', n FROM x WHERE n = 3""")
+def validation_stacks(spark, sf_dir):
+    """A validation split whose stacks of three are made anew."""
+    name = lambda folder: F.concat(F.lit(f"{folder}/"), F.col("o_orderkey").cast("string")).alias(folder)
+    current = t(spark, sf_dir, "orders").select(name("img"), name("gt"), (F.col("o_orderkey") % 9).alias("n"))
+    return assemble.with_stacks_of(current, page_stacks(spark, sf_dir)[0], 3)
+
+
 # --- curriculum
 
 

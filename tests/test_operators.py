@@ -324,11 +324,50 @@ def test_hash_samples_are_the_first_in_hash_order(spark):
 
 
 def test_split_plan(spark):
-    pools = spark.createDataFrame([(i, j) for i in (1, 2, 3) for j in (1, 2, 3)] + [(9, 9)], "id long, other long")
-    out = assemble.split_plan("val", 2, pools, pools.where("id = 9"), "id", 3, 6, 2).orderBy("position").collect()
+    items = spark.createDataFrame([(1, 100.0), (2, 110.0), (3, 115.0), (4, None)], "id long, w double")
+    out = assemble.split_plan("val", 2, items, spark.createDataFrame([(9, 5)], "id long, w int"), "id", "w", 3, 6, 2).orderBy("position").collect()
     assert [r.position for r in out] == list(range(16)) and [r.is_synthetic for r in out] == ([False] * 6 + [True] * 2) * 2
-    assert out[0].stem == "stacked_val_2_n2_00000" and out[15].stem == "syn_stacked_val_2_n3_00001" and out[6].members == [9, 9]
-    assert all(len(r.members) == r.n for r in out) and len({r.members[0] for r in out[:6]}) == 4
+    assert out[0].stem == "stacked_val_2_n2_00000" and out[0].img == "stacks/jpg/stacked_val_2_n2_00000.jpg" and out[15].stem == "syn_stacked_val_2_n3_00001" and out[6].members == [9, 9]
+    assert all(len(r.members) == r.n for r in out) and {r.members[0] for r in out[:6]} == {1, 2, 3}
+
+
+def test_draws_stay_near_in_width_but_for_small_pools(spark):
+    """Members differ by the tolerance at most; an anchor with fewer than n near ones draws from all."""
+    rng = random.Random(3)
+    widths = {i: float(rng.choice((rng.randrange(200, 260), 60 * 2**i % 100_000))) for i in range(80)} | {100: 20.0, 101: 23.0, 102: 1_000_000.0}
+    plan = assemble.stack_plan(spark.createDataFrame(list(widths.items()), "i long, w double"), "i", "w", [1, 2, 4], 200, 5).collect()
+    assert len(plan) == 600
+    far = 0
+    for r in plan:
+        anchor = widths[r.members[0]]
+        near = [i for i, w in widths.items() if abs(w - anchor) / max(anchor, 1.0) <= 0.15]
+        if len(near) >= r.n:
+            assert set(r.members) <= set(near)
+        else:
+            far += any(m not in near for m in r.members)
+    assert far and any(101 in r.members for r in plan if r.members[0] == 100 and r.n == 2)
+    assert len({m for r in plan for m in r.members}) > 70
+
+
+def test_plans_make_no_pairs(spark):
+    items = spark.range(1000).selectExpr("id", "cast(id % 300 as double) as w")
+    text = assemble.stack_plan(items, "id", "w", [2, 3], 10, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_stacks_of_texts(spark):
+    head, mark = "**kern\t**mxhm\n*clefG2\t*\n", "!!linebreak:original\n"
+    texts = spark.createDataFrame([(1, head + "=1\t=1\n4c\tC\n" + mark + "=2\t=2\n4d\t.\n*-\t*-\n"), (2, head + "=7\t=7\n4e\tG:7\n*-\t*-"), (3, None)], "id long, text string")
+    plan = spark.createDataFrame([("a", [1, 2]), ("b", [2, 2, 1]), ("c", [2])], "stem string, members array<long>")
+    got = {r.stem: r.text for r in assemble.stacked_texts(plan, texts, "id", "text").collect()}
+    one, two = "=1\t=1\n4c\tC\n=2\t=2\n4d\t.\n", "=7\t=7\n4e\tG:7\n"
+    assert got == {"a": head + one + mark + two + "*-\t*-", "b": head + two + mark + two + mark + one + "*-\t*-", "c": head + two + "*-\t*-"}
+
+
+def test_a_split_gets_new_stacks_of_one_size(spark):
+    current = spark.createDataFrame([("a", "x", 8), ("b", "y", 9), ("c", "z", 9)], "img string, gt string, n int")
+    new = spark.createDataFrame([("d", "w", 9), ("e", "v", 3)], "img string, gt string, n long")
+    assert sorted(tuple(r) for r in assemble.with_stacks_of(current, new, 9).collect()) == [("a", "x", 8), ("d", "w", 9)]
 
 
 def test_segmentation_counts_spans_without_a_partner(spark):
