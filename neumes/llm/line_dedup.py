@@ -156,10 +156,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the remainder of an unsigned number, as numpy takes it
     shard = F.pmod(F.pmod(F.shiftrightunsigned("a", 1), F.lit(shards)) * 2 + F.col("a").bitwiseAND(1), F.lit(shards)).cast("int").alias("shard")
     schema = "shard int, kind int, index binary, a long, b long, doc_id long"
-    index = written(counted.select(shard, "a", "b", "n", "first").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(build_shards, schema), "line-index")
+    index = written(counted.select(shard, "a", "b", "n", "first").repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(build_shards, schema), "line-index")
     drops = (
         index.unionAll(rows.mapInArrow(bounded(probes(least, shards, set(hot))), schema))
-        .repartition(shards, "shard")
+        .repartitionById(shards, "shard")
         .sortWithinPartitions("shard", "kind")
         .mapInArrow(answer, "doc_id long, line binary")
         .groupBy("doc_id")
