@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stars
+from .positions import positions
 
 
 def long_form(wide: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -34,8 +35,8 @@ def signed_ranks(pairs: DataFrame, by: list[str], base: str, other: str) -> Data
     """(by, n, w_plus, w_minus): rank sums of the absolute differences, zeros left out, ties at their mean rank."""
     d = pairs.withColumn("_d", F.col(base) - F.col(other)).where("_d <> 0").withColumn("_a", F.abs("_d"))
     tied = d.groupBy(*by, "_a").agg(F.count("*").alias("_n"), F.count_if(F.col("_d") > 0).alias("_p"))
-    before = Window.partitionBy(*by).orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = tied.withColumn("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2.0)
+    counted = positions(tied, by, ["_a"], ["_n"])  # one metric may hold all differences: ranges of it are counted apart
+    ranked = counted.withColumn("_r", F.col("upto__n") - F.col("_n") + (F.col("_n") + 1) / 2.0)
     return ranked.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum(F.col("_r") * F.col("_p")).alias("w_plus"), F.sum(F.col("_r") * (F.col("_n") - F.col("_p"))).alias("w_minus"), F.sum(F.pow(F.col("_n").cast("double"), 3) - F.col("_n")).alias("tie_term"))
 
 
@@ -148,15 +149,16 @@ def positional_diff(left: DataFrame, right: DataFrame, by: list[str], order: str
     Rows of another n are not compared further; sizes of an unread image are null.
     Also told is how many rows each group has on either side.
     """
-    w = Window.partitionBy(*by).orderBy(order)
-    side = lambda d, p: d.select(*by, (F.row_number().over(w) - 1).alias("row"), *(F.col(c).alias(f"{p}_{c}") for c in ("n", "text", "width", "height")))
+    numbered = lambda d: positions(d.select(*by, order, "n", "text", "width", "height"), by, [order])
+    side = lambda d, p: numbered(d).select(*by, (F.col("position") - 1).alias("row"), *(F.col(c).alias(f"{p}_{c}") for c in ("n", "text", "width", "height")))
     both = side(left, "l").join(side(right, "r"), [*by, "row"])
     same = lambda c: F.col(f"l_{c}").eqNullSafe(F.col(f"r_{c}"))
     unread = F.col("l_width").isNull() | F.col("r_width").isNull()
     n = F.when(~same("n"), F.array(F.lit("n"))).otherwise(F.array_compact(F.array(F.when(~same("text"), F.lit("text")), F.when(unread, F.lit("unreadable")).when(~(same("width") & same("height")), F.lit("shape")))))
     found = both.select(*by, "row", F.explode(n).alias("kind"))
     place = F.row_number().over(Window.partitionBy(*by, "kind").orderBy("row"))
-    return found.withColumns({"place": place, "mismatches": F.count("*").over(Window.partitionBy(*by, "kind"))}).where(F.col("place") <= shown).drop("place")
+    first = found.withColumn("place", place).where(F.col("place") <= shown).drop("place")  # each task sends its first ones only
+    return first.join(found.groupBy(*by, "kind").agg(F.count("*").alias("mismatches")), [*by, "kind"])
 
 
 def size_mismatches(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:

@@ -3,17 +3,19 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .positions import positions
+
 PAD = "<pad>"
 
 
 def build(tokens: DataFrame, token_col: str = "tokens") -> DataFrame:
     """(token, id): distinct tokens numbered from 1 in lexicographic order, with <pad> as 0.
 
-    The order needs one sorted pass over the distinct tokens; a vocabulary of
-    notation has some hundreds.
+    Numbers come from ranges of the sorted tokens, so that a vocabulary of any size is
+    numbered by many tasks.
     """
     words = tokens.select(F.explode(token_col).alias("token")).where("token IS NOT NULL").distinct()
-    numbered = words.where(F.col("token") != PAD).withColumn("id", F.row_number().over(Window.orderBy("token")).cast("long"))
+    numbered = positions(words.where(F.col("token") != PAD), [], ["token"]).select("token", F.col("position").alias("id"))
     return numbered.unionByName(words.sparkSession.createDataFrame([(PAD, 0)], "token string, id long"))
 
 
@@ -35,9 +37,8 @@ def padded(ids: Column, length: Column, pad: int = 0) -> Column:
 
 
 def batches(samples: DataFrame, order: str, size: int, ids_col: str = "ids", by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds batch_id, and pads ids to the longest of their batch."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    rows = samples.withColumn("batch_id", F.floor((n - 1) / size))
+    """Adds batch_id, and pads ids to the longest of their batch. Samples are numbered by ranges, so one group takes many tasks."""
+    rows = positions(samples, by, [order]).withColumn("batch_id", F.floor((F.col("position") - 1) / size)).drop("position", "group_rows")
     return rows.withColumn("padded", padded(F.col(ids_col), F.max(F.size(ids_col)).over(Window.partitionBy(*by, "batch_id"))))
 
 
