@@ -43,9 +43,10 @@ def batches(samples: DataFrame, order: str, size: int, ids_col: str = "ids", by:
 
 
 def with_noise(ids: Column, key: Column, vocabulary_size: int, share: float = 0.2, seed: int = 42, pad: int = 0) -> Column:
-    """Ids with a share of them, but for the first and padding, replaced by a uniform one; from hashes, so repeatable."""
-    draw = lambda i, salt: F.pmod(F.xxhash64(key, i, F.lit(seed), F.lit(salt)), F.lit(1_000_000))
-    return F.transform(ids, lambda x, i: F.when((i > 0) & (x != pad) & (draw(i, "u") < int(share * 1_000_000)), F.pmod(F.xxhash64(key, i, F.lit(seed), F.lit("v")), F.lit(vocabulary_size))).otherwise(x))
+    """Ids with a share of them, but for the first and padding, replaced by a uniform one; from hashes, so repeatable in any engine."""
+    drawn = lambda i, salt: F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), i.cast("string"), F.lit(str(seed)), F.lit(salt))), 1, 8), 16, 10).cast("long")
+    noisy = lambda x, i: (i > 0) & (x != pad) & (drawn(i, "u") % 1_000_000 < int(share * 1_000_000))
+    return F.transform(ids, lambda x, i: F.when(noisy(x, i), drawn(i, "v") % vocabulary_size).otherwise(x))
 
 
 def longest(samples: DataFrame, token_col: str = "tokens", headroom: float = 1.1) -> DataFrame:

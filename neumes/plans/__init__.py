@@ -1,6 +1,6 @@
 """The operators bound to tables, and the same results in SQL: all queries with those that register theirs beside them."""
 
-from . import pages, sets  # noqa: F401
+from . import pages, sets, stores  # noqa: F401
 from .oracles import ORACLES
 from .queries import QUERIES
 

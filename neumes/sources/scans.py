@@ -1,12 +1,10 @@
 """Scans with fixed schemas. All go through Spark's readers, so any file system will do."""
 
-import ast
-import json
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.literals import literal
 from ..functions.text import page_number
 
 SYSTEMS = "array<struct<idx:int,bounding_box:struct<fromX:int,toX:int,fromY:int,toY:int>,kern:string>>"
@@ -14,23 +12,10 @@ ANNOTATION = "struct<systems:array<struct<bounding_box:struct<fromX:int,toX:int,
 VALUES = "page string, model string, metric string, value double"
 
 
-def as_json(text: str | None) -> str | None:
-    """A Python literal as JSON; null for what is neither."""
-    try:
-        return None if text is None else json.dumps(ast.literal_eval(text))
-    except (ValueError, SyntaxError):
-        return None
-
-
 def annotations(spark: SparkSession, path: str, page_col: str = "page_id", column: str = "annotation") -> DataFrame:
-    """(page_id, systems) of a Parquet table whose annotation is a JSON or Python literal. Images are not read."""
-
-    @F.arrow_udf("string")
-    def decode(texts: pa.Array) -> pa.Array:
-        return pa.array([as_json(t) for t in texts.to_pylist()], pa.string())
-
+    """(page_id, systems) of a Parquet table whose annotation is a JSON or Python literal; null where it is neither. Images are not read."""
     rows = spark.read.parquet(path).select(F.col(page_col).alias("page_id"), F.col(column).alias("_a"))
-    parsed = rows.withColumn("_s", F.from_json(decode(F.col("_a")), ANNOTATION)["systems"])
+    parsed = rows.withColumn("_s", F.try_variant_get(literal(F.col("_a")), "$", ANNOTATION)["systems"])
     systems = F.transform("_s", lambda s, i: F.struct(i.alias("idx"), s["bounding_box"].alias("bounding_box"), s["**kern"].alias("kern")))
     return parsed.select("page_id", systems.cast(SYSTEMS).alias("systems"))
 

@@ -60,3 +60,53 @@ def test_image_sizes(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.valid) for r in scans.images(spark, str(tmp_path)).collect()}
     assert got == {"ok.png": (3, 2, True), "bad.png": (128, 128, False)}
     assert spark.createDataFrame([(bytearray(png),)], "x binary").select(scans.png_size(F.col("x")).alias("s")).first().s == (3, 2)
+
+
+def test_split_files_as_a_source(spark, tmp_path):
+    from neumes.sources import files
+
+    files.register(spark)
+    (tmp_path / "splits").mkdir()
+    (tmp_path / "splits" / "train_0.txt").write_text("a.jpg  a.txt 3\nshort\n\nb_SYN.jpg b.txt x\nc.jpg c.txt 12")
+    (tmp_path / "splits" / "train_1.txt").write_text("d.jpg d.txt 1\n")
+    (tmp_path / "splits" / "val_0.txt").mkdir()
+    (tmp_path / "splits" / "val_0.txt" / "part-0").write_text("e.jpg e.txt 2\n")
+    (tmp_path / "splits" / "val_0.txt" / "_SUCCESS").write_text("")
+    (tmp_path / "splits" / "notes.md").write_text("x y 1\n")
+    rows = spark.read.format("neumes_splits").load(str(tmp_path / "splits"))
+    assert sorted(tuple(r) for r in rows.collect()) == [
+        ("a.jpg", "a.txt", 3, "train", 0, False), ("b_SYN.jpg", "b.txt", None, "train", 0, True), ("c.jpg", "c.txt", 12, "train", 0, False), ("d.jpg", "d.txt", 1, "train", 1, False), ("e.jpg", "e.txt", 2, "val", 0, False),
+    ]
+    assert [r.img for r in rows.where("split = 'train' AND fold = 1").collect()] == ["d.jpg"]
+    assert sorted(r.img for r in rows.where("split IN ('val', 'test') AND n > 1").collect()) == ["e.jpg"]
+    assert rows.where("split = 'none'").count() == 0
+    assert spark.read.format("neumes_splits").option("with_n", "false").load(str(tmp_path / "splits" / "train_0.txt")).where("n IS NULL").count() == 3
+
+
+def test_filters_choose_files(tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+    from neumes.sources.files import SplitReader
+
+    for name in ("train_0.txt", "train_1.txt", "val_0.txt"):
+        (tmp_path / name).write_text("a b 1\n" * 10)
+    reader = SplitReader({"path": str(tmp_path), "bytes": "1"})
+    rest = [GreaterThan(("n",), 3), EqualTo(("n",), 4)]
+    assert list(reader.pushFilters([EqualTo(("split",), "train"), rest[0], In(("fold",), (0, 7)), rest[1]])) == rest
+    assert [p.paths for p in reader.partitions()] == [(f"{tmp_path}/train_0.txt",)]
+    assert len(SplitReader({"path": str(tmp_path), "bytes": "1"}).partitions()) == 3 and len(SplitReader({"path": str(tmp_path)}).partitions()) == 1
+
+
+def test_named_texts(spark, tmp_path):
+    from neumes.sources import files
+
+    files.register(spark)
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("p1__gt.kern", "a\nb\n"), ("sub/p2__gt.kern", "é"), ("p1__base.kern", None)], "name string, text string")
+    rows.write.format("neumes_texts").mode("append").save(path)
+    read = spark.read.format("neumes_texts")
+    assert sorted((r.name, r.text) for r in read.load(path).collect()) == [("p1__base.kern", ""), ("p1__gt.kern", "a\nb\n"), ("p2__gt.kern", "é")]
+    assert [r.text for r in read.option("pattern", r"([^/]+)__gt\.kern$").load(path).where("name = 'p2'").collect()] == ["é"]
+    assert {r.page: (r.gt, r.base) for r in scans.predictions(spark, path, ["base"]).collect()}["p1"][0] == "a\nb\n"
+    rows.limit(1).write.format("neumes_texts").mode("overwrite").save(path)
+    assert sorted(p.name for p in (tmp_path / "t").rglob("*") if p.is_file()) == ["p1__gt.kern"]
