@@ -89,10 +89,42 @@ def extremes(pages: DataFrame, delta: str, tie: str, k: int) -> DataFrame:
     return best.unionByName(worst)
 
 
-def hotspots(positions: DataFrame, keys: list[str]) -> DataFrame:
-    """Positions with a flag for each model that is wrong: B! and R!."""
+def hotspots(positions: DataFrame, keys: list[str], breaks: DataFrame | None = None) -> DataFrame:
+    """(keys, gt_index, kind, gt_token, baseline_pred, replay_pred, flag): the listing of a page.
+
+    Rows of kind token have what both models made of it, <DEL> where it is lost, and a
+    flag for each model that is wrong: B! and R!. Rows of kind break, one before the
+    token that begins a system, come of ``breaks`` (keys, gt_index); a break behind the
+    last token has none. Rows go by (gt_index, kind), breaks first.
+    """
     b, r = F.col("baseline_label") != "correct", F.col("replay_label") != "correct"
-    return positions.withColumn("flag", F.concat_ws(" ", F.when(b, "B!"), F.when(r, "R!"))).select(*keys, "gt_index", "gt_token", "baseline_pred", "replay_pred", "flag")
+    made = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(DELETED)).alias(c)
+    tokens = positions.select(*keys, "gt_index", F.lit("token").alias("kind"), "gt_token", made("baseline_pred"), made("replay_pred"), F.concat_ws(" ", F.when(b, "B!"), F.when(r, "R!")).alias("flag"))
+    if breaks is None:
+        return tokens
+    starts = breaks.join(positions.select(*keys, "gt_index"), [*keys, "gt_index"], "left_semi")
+    none = F.lit(None).cast("string")
+    return tokens.unionByName(starts.select(*keys, "gt_index", F.lit("break").alias("kind"), none.alias("gt_token"), none.alias("baseline_pred"), none.alias("replay_pred"), F.lit("").alias("flag")))
+
+
+#: Width of the columns of a level's listing.
+WIDTHS = {"chord": 14, "kern": 18}
+
+
+def hotspot_texts(listing: DataFrame, page: str = "page") -> DataFrame:
+    """(page, text): listings of both levels as text, below each other; a page's rows in one ordered merge."""
+    line = lambda width: F.format_string(f"%4d %-{width}s %-{width}s %-{width}s  %s", "gt_index", "gt_token", "baseline_pred", "replay_pred", "flag")
+    shown = F.when(F.col("kind") == "break", "  " + "-" * 60 + "  --- linebreak ---")
+    for level, width in WIDTHS.items():
+        shown = shown.when(F.col("level") == level, line(width))
+    rows = listing.groupBy(page, "level").agg(F.array_sort(F.collect_list(F.struct("gt_index", "kind", shown.alias("x")))).alias("rows"))
+    pages = rows.groupBy(page).agg(F.map_from_entries(F.collect_list(F.struct("level", "rows"))).alias("of"))
+    head = lambda w: "%4s %-{0}s %-{0}s %-{0}s  flags".format(w) % ("idx", "GT", "baseline", "replay")
+    lines = lambda level: F.coalesce(F.transform(F.try_element_at("of", F.lit(level)), lambda r: r["x"]), F.array().cast("array<string>"))
+    parts = [F.array(F.concat(F.lit("=== "), F.col(page).cast("string"), F.lit(" ===")), F.lit(""))]
+    for level, width in WIDTHS.items():
+        parts += [F.array(F.lit(f"{level.upper()} STREAM"), F.lit(head(width))), lines(level), *([F.array(F.lit(""))] if level == "chord" else [])]
+    return pages.select(page, F.concat(F.array_join(F.concat(*parts), "\n"), F.lit("\n")).alias("text"))
 
 
 def page_streams(texts: DataFrame, page: str, truth: str, models: dict[str, str]) -> DataFrame:

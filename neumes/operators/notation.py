@@ -131,10 +131,19 @@ def spine_tokens(text: Column, spine: str = "**kern") -> Column:
 def token_streams(texts: DataFrame, id_col: str = "page_id", text_col: str = "text", marker: str = "!!linebreak") -> DataFrame:
     """(page_id, level, position, token, distance) of chord and kern tokens, with the distance to the nearest system break.
 
-    Dots, bars and comment fields are no tokens; a break after the last token counts.
+    A break after the last token counts.
     """
     from .forensics import boundary_distance
 
+    flat = tokens_and_breaks(texts, id_col, text_col, marker)
+    return boundary_distance(flat, ["page_id", "level"], "line_no", F.col("is_break")).select("page_id", "level", "position", "token", "distance")
+
+
+def tokens_and_breaks(texts: DataFrame, id_col: str = "page_id", text_col: str = "text", marker: str = "!!linebreak") -> DataFrame:
+    """(page_id, level, line_no, is_break, token): both streams of a page, chord and kern, with its breaks in their places.
+
+    Dots, bars and comment fields are no tokens.
+    """
     rows = texts.select(F.col(id_col).alias("page_id"), clean_lines(F.col(text_col)).alias("lines"))
     rows = rows.select("page_id", header_place(F.col("lines"), "**kern").alias("kern"), header_place(F.col("lines"), "**mxhm").alias("chord"), F.posexplode("lines").alias("line_no", "line"))
     rows = rows.withColumn("is_break", strip(F.col("line")).startswith(marker)).where((strip(F.col("line")) != "") & ~strip(F.col("line")).startswith("*"))
@@ -144,7 +153,14 @@ def token_streams(texts: DataFrame, id_col: str = "page_id", text_col: str = "te
     token = strip(F.get(F.split("line", "\t", -1), F.col("at") - 1))
     flat = flat.withColumn("token", F.when(~F.col("is_break"), token))
     real = F.coalesce((F.col("token") != "") & ~F.col("token").rlike("^[=!]") & ((F.col("level") == "kern") | (F.col("token") != ".")), F.lit(False))
-    return boundary_distance(flat.where(F.col("is_break") | real), ["page_id", "level"], "line_no", F.col("is_break")).select("page_id", "level", "position", "token", "distance")
+    return flat.where(F.col("is_break") | real).select("page_id", "level", "line_no", "is_break", "token")
+
+
+def system_breaks(texts: DataFrame, id_col: str = "page_id", text_col: str = "text", levels: tuple[str, ...] = ("chord",)) -> DataFrame:
+    """(page_id, level, gt_index): before which token of a level a system begins; several breaks at one place count once."""
+    flat = tokens_and_breaks(texts, id_col, text_col).where(F.col("level").isin(*levels))
+    before = F.sum((~F.col("is_break")).cast("int")).over(Window.partitionBy("page_id", "level").orderBy("line_no"))
+    return flat.withColumn("gt_index", before.cast("int")).where("is_break").select("page_id", "level", "gt_index").distinct()
 
 
 def without_dots(text: Column) -> Column:

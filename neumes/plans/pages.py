@@ -274,14 +274,17 @@ def note_parse(spark, sf_dir):
     return rows.select("page", long("k").alias("k"), "n.rest", "n.duration", "n.dots", "n.pitch", "n.accidental", "n.beams", r6(chords.beats(F.col("kern"))).alias("beats"))
 
 
-@both("token_distances", f"""
-WITH {_NOTES}, e AS (
+#: Tokens of both levels (dd) with the tokens before them (n) and the distance to the nearest break.
+_TOKEN_DISTANCES = """
+ee AS (
   SELECT page, level, k * 2 AS o, false AS b, CASE WHEN level = 'kern' THEN kern ELSE chord END AS token FROM (SELECT *, unnest(['kern', 'chord']) AS level FROM nt)
   UNION ALL SELECT page, unnest(['kern', 'chord']), k * 2 - 1, true, NULL FROM nt WHERE k % 3 = 1 AND k > 1),
-c AS (SELECT *, coalesce(sum((NOT b)::INT) OVER (PARTITION BY page, level ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM e WHERE b OR level = 'kern' OR token <> '.'),
-d AS (SELECT *, coalesce(least(n - last_value(CASE WHEN b THEN n END IGNORE NULLS) OVER (PARTITION BY page, level ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-                               first_value(CASE WHEN b THEN n END IGNORE NULLS) OVER (PARTITION BY page, level ORDER BY o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - n - 1), 1000000000) AS distance FROM c)
-SELECT page, level, n::BIGINT AS position, token, distance::BIGINT AS distance FROM d WHERE NOT b""")
+cc AS (SELECT *, coalesce(sum((NOT b)::INT) OVER (PARTITION BY page, level ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM ee WHERE b OR level = 'kern' OR token <> '.'),
+dd AS (SELECT *, coalesce(least(n - last_value(CASE WHEN b THEN n END IGNORE NULLS) OVER (PARTITION BY page, level ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                                first_value(CASE WHEN b THEN n END IGNORE NULLS) OVER (PARTITION BY page, level ORDER BY o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - n - 1), 1000000000) AS distance FROM cc)"""
+
+
+@both("token_distances", f"WITH {_NOTES}, {_TOKEN_DISTANCES} SELECT page, level, n::BIGINT AS position, token, distance::BIGINT AS distance FROM dd WHERE NOT b")
 def token_distances(spark, sf_dir):
     """Tokens of both levels with their distance to the nearest system break."""
     out = notation.token_streams(truth_texts(spark, sf_dir), "page")
@@ -569,7 +572,6 @@ def _labels(rows: str, name: str) -> str:
   WHERE op <> 'i')"""
 
 
-_TOKEN_DISTANCES = ORACLES["token_distances"].split("WITH " + _NOTES + ", ")[1].replace("SELECT page, level, n::BIGINT AS position, token, distance::BIGINT AS distance FROM d WHERE NOT b", "").replace("\nd AS", "\ndd AS").replace("e AS (\n", "ee AS (\n", 1).replace("\nc AS", "\ncc AS").replace("FROM e ", "FROM ee ").replace("FROM c)", "FROM cc)")
 _FORENSICS = f"""
 {_NOTES}, {_SYMBOLS}, {_NOTE_PARTS}, {_labels('n1', 'lb')}, {_labels('n2', 'lr')}, {_TOKEN_DISTANCES},
 ps AS (
@@ -637,9 +639,37 @@ def unique_confusions(spark, sf_dir):
     return forensics.top_by_count(rows, ["level", "model"], 5, ["gt", "pred"]).withColumn("place", long("place"))
 
 
-@both("hotspots", f"WITH {_FORENSICS} SELECT page, level, gt_index::BIGINT AS gt_index, gt_token, baseline_pred, replay_pred, concat_ws(' ', CASE WHEN baseline_label <> 'correct' THEN 'B!' END, CASE WHEN replay_label <> 'correct' THEN 'R!' END) AS flag FROM po")
+_HOTSPOTS = f"""
+{_FORENSICS},
+hs AS (
+  SELECT page, level, gt_index::BIGINT AS gt_index, 'token' AS kind, gt_token, coalesce(nullif(baseline_pred, ''), '<DEL>') AS baseline_pred, coalesce(nullif(replay_pred, ''), '<DEL>') AS replay_pred,
+         concat_ws(' ', CASE WHEN baseline_label <> 'correct' THEN 'B!' END, CASE WHEN replay_label <> 'correct' THEN 'R!' END) AS flag FROM po
+  UNION ALL
+  SELECT DISTINCT po.page, po.level, gt_index::BIGINT, 'break', NULL, NULL, NULL, '' FROM po JOIN dd ON dd.page = po.page AND dd.level = po.level AND dd.b AND dd.n = po.gt_index WHERE po.level = 'chord')"""
+
+
+def hotspot_rows(spark, sf_dir) -> DataFrame:
+    texts = both_texts(spark, sf_dir, ("baseline", "replay"))
+    breaks = notation.system_breaks(texts, "page", "gt_text").withColumnRenamed("page_id", "page")
+    return forensics.hotspots(forensics.process_pages(texts), ["page", "level"], breaks)
+
+
+@both("hotspots", f"WITH {_HOTSPOTS} SELECT * FROM hs")
 def hotspots(spark, sf_dir):
-    return forensics.hotspots(positions(spark, sf_dir), ["page", "level"]).withColumn("gt_index", long("gt_index"))
+    """The listing of each page: tokens with what both models made of them, and where systems begin."""
+    return hotspot_rows(spark, sf_dir).withColumn("gt_index", long("gt_index"))
+
+
+def _listing(level: str, width: int) -> str:
+    row = f"CASE WHEN kind = 'break' THEN '  ' || repeat('-', 60) || '  --- linebreak ---' ELSE printf('%4d %-{width}s %-{width}s %-{width}s  %s', gt_index, gt_token, baseline_pred, replay_pred, flag) END"
+    head = f"printf('%4s %-{width}s %-{width}s %-{width}s  flags', 'idx', 'GT', 'baseline', 'replay')"
+    return f"'{level.upper()} STREAM' || chr(10) || {head} || chr(10) || coalesce(string_agg({row} || chr(10), '' ORDER BY gt_index, kind) FILTER (level = '{level}'), '')"
+
+
+@both("hotspot_texts", f"WITH {_HOTSPOTS} SELECT page, md5('=== ' || page || ' ===' || chr(10) || chr(10) || {_listing('chord', 14)} || chr(10) || {_listing('kern', 18)}) AS text_md5 FROM hs GROUP BY page")
+def hotspot_texts(spark, sf_dir):
+    """The listings as text."""
+    return forensics.hotspot_texts(hotspot_rows(spark, sf_dir)).select("page", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @both("insertions", f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from neumes.functions.text import edit_distance
 from neumes.operators import alignment, assemble, boxes, compare, curriculum, forensics, intervals, metrics, notation, vocabulary
-from neumes.streaming.stages import Rules, stage_stream, stage_trace, trace
+from neumes.streaming.stages import Rules, stage_trace, trace
 
 PAGE = "**kern\t**mxhm\n*clefG2\t*\n*M4/4\t*\n=1\t=1\n4c\tC:maj7\n4d\t.\n2e\tG:7\n!!linebreak:original\n=2\t=2\n4.f\tD-:min7\n8g\t.\n2r\t.\n*-\t*-"
 
@@ -233,17 +233,6 @@ def test_stage_machine(spark):
     assert [r.stage for r in stage_trace(rows, RULES).orderBy("epoch").collect()] == [s[2] for s in steps]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = spark.createDataFrame([(r, i, v + k) for k, r in enumerate("ab") for i, v in enumerate(map(float, GOLDEN), 1)], "run_id string, epoch int, val_ser double")
-    for low in (1, 5):
-        rows.where(f"epoch >= {low} AND epoch < {low + (4 if low == 1 else 9)}").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    q = stage_stream(stream, RULES).writeStream.format("memory").queryName("stages").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    key = lambda d: sorted((r.run_id, r.epoch, r.stage, r.below, r.stop) for r in d.collect())
-    assert key(spark.table("stages")) == key(stage_trace(rows, RULES))
-
-
 def test_vocabulary(spark):
     rows = spark.createDataFrame([(1, ["b", "a", "b"]), (2, ["c"])], "i int, tokens array<string>")
     words = vocabulary.build(rows.where("i = 1"))
@@ -380,9 +369,20 @@ def test_segmentation_counts_spans_without_a_partner(spark):
         assert (out.over, out.under, out.quality) == (4.0, 0.0, 50.0)
 
 
-def test_hotspots_name_both_models(spark):
-    rows = spark.createDataFrame([("p", 0, "a", "b", "c", "sub", "sub"), ("p", 1, "a", "a", "c", "correct", "deleted")], "page string, gt_index int, gt_token string, baseline_pred string, replay_pred string, baseline_label string, replay_label string")
-    assert [r.flag for r in forensics.hotspots(rows, ["page"]).orderBy("gt_index").collect()] == ["B! R!", "R!"]
+def test_hotspots_list_lost_tokens_and_breaks(spark):
+    base, replay = PAGE.replace("G:7", "G:9"), PAGE.replace("4d\t.\n2e\tG:7\n", "")
+    texts = spark.createDataFrame([("p", PAGE, base, replay)], "page string, gt_text string, baseline_text string, replay_text string")
+    breaks = notation.system_breaks(texts, "page", "gt_text").withColumnRenamed("page_id", "page")
+    assert [tuple(r) for r in breaks.collect()] == [("p", "chord", 2)]
+    out = forensics.hotspots(forensics.process_pages(texts), ["page", "level"], breaks)
+    rows = sorted((r.level, r.gt_index, r.kind, r.gt_token or "", r.baseline_pred or "", r.replay_pred or "", r.flag) for r in out.collect())
+    assert rows == [
+        ("chord", 0, "token", "C:maj7", "C:maj7", "C:maj7", ""), ("chord", 1, "token", "G:7", "G:9", "<DEL>", "B! R!"), ("chord", 2, "break", "", "", "", ""), ("chord", 2, "token", "D-:min7", "D-:min7", "D-:min7", ""),
+        ("kern", 0, "token", "4c", "4c", "4c", ""), ("kern", 1, "token", "4d", "4d", "<DEL>", "R!"), ("kern", 2, "token", "2e", "2e", "<DEL>", "R!"), ("kern", 3, "token", "4.f", "4.f", "4.f", ""), ("kern", 4, "token", "8g", "8g", "8g", ""), ("kern", 5, "token", "2r", "2r", "2r", ""),
+    ]
+    text = forensics.hotspot_texts(out).first().text.split("\n")
+    assert text[:4] == ["=== p ===", "", "CHORD STREAM", " idx GT             baseline       replay          flags"] and text[4] == "   0 C:maj7         C:maj7         C:maj7          "
+    assert text[6] == "  " + "-" * 60 + "  --- linebreak ---" and text[8:10] == ["", "KERN STREAM"] and text[12] == "   1 4d                 4d                 <DEL>               R!" and text[-1] == ""
 
 
 def test_model_evaluation_keeps_failed_pages(spark):
