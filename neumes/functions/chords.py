@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strings, strip
+from .text import let, strings, strip
 
 #: What is no chord; the quality prefixes in the order of their tests; sevenths.
 NO_CHORD = ("", ".", "*", "N.C.", "NC", "N.C", "rest")
@@ -106,19 +106,25 @@ def note_parts(token: Column) -> Column:
 
 def chord_error(truth: Column, pred: Column) -> Column:
     """What differs between two chord tokens: correct, deleted, sub_root, sub_qual, sub_ext or sub_total."""
-    a, b = parse_chord(truth), parse_chord(pred)
     value = lambda c: F.coalesce(c, F.lit(""))
-    return (
-        F.when(pred.isNull(), "deleted").when(truth == pred, "correct").when(~a["is_valid"] | ~b["is_valid"], "sub_total").when(~a["root"].eqNullSafe(b["root"]), "sub_root")
-        .when(value(a["quality"]) != value(b["quality"]), "sub_qual").when(value(a["extension"]) != value(b["extension"]), "sub_ext").otherwise("sub_total")
-    )
+
+    def kind(a: Column, b: Column) -> Column:
+        return (
+            F.when(~a["is_valid"] | ~b["is_valid"], "sub_total").when(~a["root"].eqNullSafe(b["root"]), "sub_root")
+            .when(value(a["quality"]) != value(b["quality"]), "sub_qual").when(value(a["extension"]) != value(b["extension"]), "sub_ext").otherwise("sub_total")
+        )
+
+    # each side is parsed once: written out in every branch, the code would be too long to compile
+    parsed = let(parse_chord(truth), lambda a: let(parse_chord(pred), lambda b: kind(a, b)))
+    return F.when(pred.isNull(), "deleted").when(truth == pred, "correct").otherwise(parsed)
 
 
 def note_error(truth: Column, pred: Column) -> Column:
     """What differs between two note tokens, by the first part that does."""
-    a, b = note_parts(truth), note_parts(pred)
-    return (
-        F.when(pred.isNull(), "deleted").when(truth == pred, "correct").when(a["rest"] != b["rest"], "sub_rest").when(a["pitch"] != b["pitch"], "sub_pitch")
+    kind = lambda a, b: (
+        F.when(a["rest"] != b["rest"], "sub_rest").when(a["pitch"] != b["pitch"], "sub_pitch")
         .when((a["duration"] != b["duration"]) | (a["dots"] != b["dots"]), "sub_duration").when(a["accidental"] != b["accidental"], "sub_accidental")
         .when(a["beams"] != b["beams"], "sub_articulation").otherwise("sub_other")
     )
+    parsed = let(note_parts(truth), lambda a: let(note_parts(pred), lambda b: kind(a, b)))
+    return F.when(pred.isNull(), "deleted").when(truth == pred, "correct").otherwise(parsed)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import MARKER
 from ..functions.text import strings
-from .notation import is_terminator, without_header, without_terminator
+from .notation import is_terminator, music_block, without_header, without_terminator
 from .positions import positions
 
 END = "*-\t*-"
@@ -47,6 +47,36 @@ def prefix_page(blocks: Column, n: Column) -> Column:
     return F.when(F.size(blocks) >= n, page_of_blocks(F.slice(blocks, F.lit(1), n))).otherwise(F.array_join(F.flatten(short), "\n"))
 
 
+def page_of_systems(texts: Column) -> Column:
+    """The text of a page of systems that each have a text of their own (ARRAY<text>), with header and breaks around the music."""
+    return page_of_blocks(F.transform(texts, lambda t, i: music_block(t, i == 0)))
+
+
+#: Why an entry of a split gives no prefixes, in the order of the tests.
+SKIPS = ("image not found", "no page number", "page not annotated", "no systems", "image unreadable")
+
+
+def with_skip_reason(entries: DataFrame, files: DataFrame, pages: DataFrame, image: str = "img", crops: bool = True) -> DataFrame:
+    """Entries with page_no, systems (how many) and skipped: why there are no prefixes of it, null where there are.
+
+    ``files`` (path, readable) are the images that exist; ``pages`` (page_no, systems)
+    the annotated pages. Only crops need the image to be readable. Both are looked up by
+    joins; an entry that several reasons hold for has the first.
+    """
+    number = F.nullif(F.regexp_extract(image, r"img_(\d+)\.jpg$", 1), F.lit("")).cast("long")
+    found = entries.withColumn("page_no", number).join(files.select(F.col("path").alias(image), F.lit(True).alias("_there"), F.col("readable").alias("_ok")), image, "left")
+    found = found.join(pages.select("page_no", F.col("systems").cast("int").alias("systems"), F.lit(True).alias("_known")), "page_no", "left")
+    bad = [F.col("_there").isNull(), F.col("page_no").isNull(), F.col("_known").isNull(), F.coalesce("systems", F.lit(0)) == 0, F.lit(crops) & ~F.coalesce("_ok", F.lit(True))]
+    reason = F.coalesce(*(F.when(b, name) for b, name in zip(bad, SKIPS)))
+    return found.withColumn("skipped", reason).drop("_there", "_known", "_ok")
+
+
+def skip_counts(entries: DataFrame, most: int, crops: bool = True) -> DataFrame:
+    """(skipped, entries, prefixes): how many entries each reason holds for, and, without one, how many prefixes there are."""
+    made = F.when(F.col("skipped").isNull(), F.least("systems", F.lit(most)) if crops else F.lit(1)).otherwise(0)
+    return entries.groupBy("skipped").agg(F.count("*").alias("entries"), F.sum(made).alias("prefixes"))
+
+
 def stacked_page(systems: Column) -> Column:
     """Systems of different pages as one: later ones from their first bar on, all but the last without terminator."""
     n = F.size(systems)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strings, strip
+from ..functions.text import let, strings, strip
 from ..functions.tokens import MARKER
 
 
@@ -156,6 +156,21 @@ def tokens_and_breaks(texts: DataFrame, id_col: str = "page_id", text_col: str =
     return flat.where(F.col("is_break") | real).select("page_id", "level", "line_no", "is_break", "token")
 
 
+def music_block(text: Column, first: Column) -> Column:
+    """ARRAY<line> of the music of a system's own text: of the first one all before its first break, header too; of others what lies between the first two breaks.
+
+    Blank lines are left out; a later system without a break has no music.
+    """
+
+    def cut(lines: Column) -> Column:
+        breaks = F.filter(F.transform(lines, lambda x, i: F.when(strip(x) == MARKER, i)), lambda i: i.isNotNull())
+        begin = F.when(first, 0).otherwise(F.coalesce(F.get(breaks, F.lit(0)) + 1, F.size(lines)))
+        end = F.coalesce(F.get(breaks, F.when(first, 0).otherwise(1)), F.size(lines))
+        return F.slice(lines, (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
+
+    return let(F.filter(F.split(text, "\n", -1), lambda x: strip(x) != ""), cut)
+
+
 def system_breaks(texts: DataFrame, id_col: str = "page_id", text_col: str = "text", levels: tuple[str, ...] = ("chord",)) -> DataFrame:
     """(page_id, level, gt_index): before which token of a level a system begins; several breaks at one place count once."""
     flat = tokens_and_breaks(texts, id_col, text_col).where(F.col("level").isin(*levels))

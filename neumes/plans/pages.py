@@ -712,6 +712,17 @@ def assembled_pages(spark, sf_dir):
     return rows.select("page", md5(assemble.prefix_page(b, F.lit(2)), "prefix_md5"), md5(assemble.page_of_blocks(b), "whole_md5"), md5(assemble.stacked_page(b), "stacked_md5"), md5(assemble.recognised_page(texts), "recognised_md5"))
 
 
+@both("system_pages", f"WITH {_NOTES}, {_BLOCKS} SELECT page, md5(string_agg(x, {_LINK} ORDER BY sys) || {_END}) AS text_md5 FROM bl GROUP BY page")
+def system_pages(spark, sf_dir):
+    """Pages put together of systems that each have a text of their own: a header, breaks around the music, a terminator."""
+    rows = page_blocks(spark, sf_dir)
+    last = F.size("blocks") - 1
+    music = lambda b: F.filter(b, lambda x: ~x.startswith("*"))
+    lines = lambda b, i: F.when(i == 0, F.concat(F.filter(b, lambda x: ~x.startswith("*-")), F.array(F.lit(MARK.strip())))).otherwise(F.concat(F.array(F.lit("**kern\t**mxhm"), F.lit("*clefG2\t*"), F.lit(MARK.strip()), F.lit(" ")), music(b), F.when(i < last, F.array(F.lit(MARK.strip()))).otherwise(F.array().cast("array<string>"))))
+    own = F.transform("blocks", lambda b, i: F.array_join(lines(b, i), "\n"))
+    return rows.select("page", F.md5(assemble.page_of_systems(own).cast("binary")).alias("text_md5"))
+
+
 @both("stacked_tokens", f"""
 WITH {_NOTES}, tk AS (SELECT page, k, sys, CASE WHEN k % 3 = 1 THEN '=' || sys || ' <t> =' || sys || ' <n> ' ELSE '' END || replace(kern, 'X', '') || ' <t> ' || chord || ' <n>' AS x FROM nt)
 SELECT page, '<bos> **kern <t> **mxhm <n> *clefG2 <t> * <n> ' || string_agg(CASE WHEN k % 3 = 1 AND k > 1 THEN '<linebreak> ' ELSE '' END || x, ' ' ORDER BY k) || ' *- <t> *- <n> <eos>' AS tokens FROM tk GROUP BY page""")

@@ -3,13 +3,14 @@
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import vocabulary
+from ..operators import assemble, metrics, vocabulary
 from ..sources import files, scans, sinks
 from ..sources.tables import scratch
-from .oracles import _EVENTS
-from .pages import _NOTES, both
+from ..streaming import stages
+from .oracles import _EVENTS, ORACLES
+from .pages import _NOTES, _RECORDS, both, both_texts
 from .pages import note_rows as notes
-from .queries import long, t, user_sequences
+from .queries import SCORES, long, r6, score_rows, t, user_sequences
 
 _SPLITS = ("train", "val", "test")
 _SPLIT_ROWS = f"""
@@ -138,3 +139,48 @@ def noisy_ids(spark, sf_dir):
     rows = user_sequences(spark, sf_dir).select("user_id", number.alias("ids"))
     noisy = vocabulary.with_noise(F.col("ids"), F.col("user_id"), 5)
     return rows.select("user_id", F.array_join(F.transform(noisy, lambda x: x.cast("string")), " ").alias("ids"))
+
+
+_ENTRY = "CASE WHEN o_orderkey % 13 = 0 THEN 'jpg/page_' || o_orderkey || '.jpg' ELSE 'jpg/img_' || o_custkey || '.jpg' END"
+
+
+@both("prefix_skips", f"""
+WITH e AS (SELECT {_ENTRY} AS img, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS page_no FROM orders),
+f AS (SELECT DISTINCT {_ENTRY} AS img, o_custkey % 19 <> 0 AS readable FROM orders WHERE o_custkey % 17 <> 0),
+p AS (SELECT c_custkey AS page_no, c_nationkey % 6 AS systems FROM customer WHERE c_custkey % 23 <> 0),
+x AS (
+  SELECT coalesce(systems, 0) AS systems, CASE WHEN f.img IS NULL THEN 'image not found' WHEN e.page_no IS NULL THEN 'no page number' WHEN p.page_no IS NULL THEN 'page not annotated' WHEN systems = 0 THEN 'no systems' WHEN NOT readable THEN 'image unreadable' END AS skipped
+  FROM e LEFT JOIN f USING (img) LEFT JOIN p ON p.page_no = e.page_no)
+SELECT skipped, count(*) AS entries, sum(CASE WHEN skipped IS NULL THEN least(systems, 4) ELSE 0 END)::BIGINT AS prefixes FROM x GROUP BY skipped""")
+def prefix_skips(spark, sf_dir):
+    """Entries of a split that give no prefixes, by the reason, and how many prefixes the others give."""
+    key = F.col("o_orderkey")
+    img = F.concat(F.when(key % 13 == 0, F.concat(F.lit("jpg/page_"), key.cast("string"))).otherwise(F.concat(F.lit("jpg/img_"), F.col("o_custkey").cast("string"))), F.lit(".jpg"))
+    orders = t(spark, sf_dir, "orders").select(img.alias("img"), "o_custkey")
+    images = orders.where("o_custkey % 17 <> 0").select(F.col("img").alias("path"), (F.col("o_custkey") % 19 != 0).alias("readable")).distinct()
+    annotated = t(spark, sf_dir, "customer").where("c_custkey % 23 <> 0").select(F.col("c_custkey").alias("page_no"), (F.col("c_nationkey") % 6).alias("systems"))
+    out = assemble.skip_counts(assemble.with_skip_reason(orders.select("img"), images, annotated), 4)
+    return out.select("skipped", "entries", long("prefixes").alias("prefixes"))
+
+
+@both("logged_metrics", f"WITH {_RECORDS} SELECT metric, count(*) AS records, (count(*) - count(value))::BIGINT AS missing, round(avg(least(value, 100)), 6)::DOUBLE AS mean FROM rc GROUP BY metric")
+def logged_metrics(spark, sf_dir):
+    """Records of pages written, with the means of each metric from the same pass."""
+    rows = metrics.page_records(both_texts(spark, sf_dir), ["page"], "baseline_text", "gt_text")
+    names = [*metrics.KINDS, *(f"kern_{k}" for k in metrics.KINDS), "chord_ser", "root_ser"]
+    return sinks.write_logged(rows, scratch(spark, "records"), names).withColumn("mean", r6(F.col("mean")))
+
+
+@both("stage_stream", ORACLES["stage_machine"])
+def stage_stream(spark, sf_dir):
+    """The stage machine over a stream of files in which scores come in no order: as over the whole table."""
+    root = scratch(spark, "scores")
+    scores = score_rows(spark, sf_dir)
+    for part in range(3):  # files of one micro-batch each
+        scores.where(F.pmod(F.xxhash64("run_id", "epoch"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    out = stages.stage_stream(stream, SCORES).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/log").trigger(availableNow=True)
+    out.start().awaitTermination()
+    best = F.when(F.col("best") < 1e300, F.col("best"))
+    rows = spark.read.parquet(f"{root}/out")
+    return rows.select("run_id", long("epoch").alias("epoch"), *(long(c).alias(c) for c in ("stage", "below", "no_improve")), r6(best).alias("best"), "at_final", "stop")

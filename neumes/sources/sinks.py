@@ -1,6 +1,6 @@
 """Writers of results. Large results stay in many files; single files are asked for."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,19 @@ def markdown(table: DataFrame, title: str = "", most: int = 1000) -> str:
 
 def clipped(metric: Column) -> Column:
     return F.least(metric, F.lit(100.0))
+
+
+def write_logged(records: DataFrame, path: str, metrics: list[str], metric: str = "metric", value: str = "value") -> DataFrame:
+    """Writes (metric, value, ...) as Parquet and returns what the log says of it: (metric, records, missing, mean), a row for each of ``metrics``.
+
+    Means leave null and NaN out and are of values clipped at 100. They are collected
+    while the rows are written: one pass, however many metrics.
+    """
+    seen, v = Observation(), F.col(value)
+    there = v.isNotNull() & ~F.isnan(v)
+    named = [(m, F.col(metric) == m) for m in metrics]
+    parts = [c for i, (_, own) in enumerate(named) for c in (F.count_if(own).alias(f"n{i}"), F.count_if(own & there).alias(f"k{i}"), F.avg(F.when(own & there, clipped(v))).alias(f"m{i}"))]
+    records.observe(seen, *parts).write.mode("overwrite").parquet(path)
+    got = seen.get
+    rows = [(m, got[f"n{i}"], got[f"n{i}"] - got[f"k{i}"], got[f"m{i}"]) for i, m in enumerate(metrics)]
+    return records.sparkSession.createDataFrame(rows, "metric string, records long, missing long, mean double")
