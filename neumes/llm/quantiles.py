@@ -9,8 +9,8 @@ so that a summary never has fewer buckets than ``least`` while there are values.
 
 Summaries merge without the rows. Both ends of a bucket are values that occur, so
 each holds a row at least; the other rows of a bucket are spread evenly between
-its ends, and where buckets of several summaries overlap, their densities add up.
-The points and gaps that result are packed again in the same way. A rank read from
+its ends. Where buckets of several summaries overlap, the rows up to each of their
+ends add up, and the points and gaps that result are packed again in the same way. A rank read from
 the merged summary is off by one partly covered bucket of each part and one packed
 bucket at most: less than 2/600 + 2/500 of the rows and one row, below 1 %.
 
@@ -77,20 +77,13 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.groupBy("stream", "grp", "batch", "x").agg(F.sum("rows").alias("rows"))
 
 
-def _packed(before: Column, rows: Column, total: Column, place: Column, places: Column, cells: int, least: int) -> list[Column]:
-    """The bucket of a value: whether it is heavy, its cell, its slice of the distinct values.
-
-    A heavy value moves the rows below by a cell at least, so that no cell is met
-    again behind it.
-    """
-    heavy = (rows * cells >= total).alias("heavy")
-    return [heavy, F.floor(before * cells / total).cast("int").alias("cell"), F.floor(place * least / places).cast("int").alias("slice")]
-
-
 def summaries(ranked: DataFrame, keys: Sequence[str], cells: int = 600, least: int = 20) -> DataFrame:
     """keys, low, high, rows, and exactly known: before (rows below low), total, top (rows of high).
 
     ``ranked`` has the distinct values x of each group with rows and their positions.
+    The bucket of a value is named by whether it is heavy, its cell and its slice of the
+    distinct values; a heavy value moves the rows below by a cell at least, so that no
+    cell is met again behind it.
     """
     before = F.col("upto_rows") - F.col("rows")
     # whole numbers are divided as such: no rounding moves a value to another bucket
@@ -104,41 +97,44 @@ def summaries(ranked: DataFrame, keys: Sequence[str], cells: int = 600, least: i
     return packed.select(*keys, "low", "high", "rows", "before", "total", "top")
 
 
-def merged(parts: DataFrame, keys: Sequence[str], cells: int = 500, least: int = 20) -> DataFrame:
-    """keys, low, high, rows, before, total: the summary of all summaries of a key.
+def _rows_upto(bucket: Column, x: Column) -> Column:
+    """Rows of a part up to x, by its last bucket that begins at x or before; none if there is no such bucket.
 
-    Reads nothing but low, high and rows of ``parts``. Counts between points are
-    estimates, kept whole by rounding running sums. A key has as many rows here as its
-    summaries have buckets, however many rows they stand for.
+    Both ends of a bucket hold a row; those between are spread evenly, in whole rows.
     """
-    low, high, rows = F.col("low"), F.col("high"), F.col("rows")
-    inner = high - low - 1
-    spread = F.when(inner > 0, (rows - 2) / inner).otherwise(F.lit(0.0))
-    at = lambda x, mass, more: F.struct(x.alias("x"), mass.cast("long").alias("mass"), more.cast("double").alias("more"))
-    # an end holds one row; without values between the ends the rest is the upper one's
-    events = F.when(low == high, F.array(at(low, rows, F.lit(0.0)))).otherwise(
-        F.array(at(low, F.lit(1), spread), at(high, F.when(inner > 0, F.lit(1)).otherwise(rows - 1), -spread))
-    )
-    points = parts.select(*keys, F.inline(events))
+    low, high, rows, before = (bucket[c] for c in ("low", "high", "rows", "before"))
+    between = F.floor((rows - 2) * ((x - low) / (high - low)))
+    return F.when(bucket.isNull(), 0).when(x >= high, before + rows).when(x < low, before).otherwise(before + 1 + between)
+
+
+def merged(parts: DataFrame, keys: Sequence[str], part: str = "batch", numbers: Sequence[int] = tuple(range(BATCHES)), cells: int = 500, least: int = 20) -> DataFrame:
+    """keys, low, high, rows, before, total: the summary of the summaries of a key's parts, which are named by ``numbers``.
+
+    Reads nothing but the buckets of ``parts``. At each end of a bucket the rows up to it
+    are the sum over the parts of what their buckets there have, in whole numbers, so
+    that no rounding gathers; these points and the gaps between them are packed again.
+    A key has as many rows here as its summaries have bucket ends, however many rows
+    they stand for.
+    """
+    bucket = F.struct("low", "high", "rows", "before")
+    ends = F.array(F.struct(F.col("low").alias("x"), bucket.alias("bucket")), F.struct(F.col("high").alias("x"), F.lit(None).alias("bucket")))
     group = Window.partitionBy(*keys)
-    swept = group.orderBy("x", "more", "mass")
-    here = Window.partitionBy(*keys, "x").orderBy("more", "mass").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    dense = points.withColumns({"dense": F.sum("more").over(swept), "begun": F.sum(F.greatest("more", F.lit(0.0))).over(here), "next": F.lead("x").over(swept), "mass": F.sum("mass").over(here)})
-    last = dense.filter(F.col("next").isNull() | (F.col("next") > F.col("x")))
-    through = F.col("dense") - F.col("begun")  # of buckets that reach beyond a point to both sides
-    last = last.withColumn("mass", F.col("mass") + F.when(through > 1e-9, through).otherwise(F.lit(0.0)))
-    gap = F.when((F.col("dense") > 1e-9) & (F.col("next") - F.col("x") > 1), F.col("dense") * (F.col("next") - F.col("x") - 1)).otherwise(F.lit(0.0))
-    last = last.withColumns({"gap": gap, "place": F.row_number().over(group.orderBy("x")) - 1, "places": F.count("*").over(group)})
-    cell = lambda lo, hi, mass: F.struct(lo.alias("low"), hi.alias("high"), mass.cast("double").alias("mass"))
-    both = F.array(cell(F.col("x"), F.col("x"), F.col("mass")), cell(F.col("x") + 1, F.col("next") - 1, F.col("gap")))
-    spans = last.select(*keys, "place", "places", F.inline(F.filter(both, lambda c: c["mass"] > 0)))
-    upto = F.sum("mass").over(group.orderBy("low"))
-    spans = spans.withColumns({"upto": upto, "whole": F.sum("mass").over(group)})
-    heavy, at_cell, part = _packed(F.col("upto") - F.col("mass"), F.col("mass"), F.col("whole"), F.col("place"), F.col("places"), cells, least)
-    packed = spans.select(*keys, "low", "high", (F.col("upto") - F.col("mass")).alias("before"), "whole", heavy, at_cell, part)
-    packed = packed.groupBy(*keys, "cell", "slice", "heavy").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.floor(F.min("before") + 0.5).alias("before"), F.floor(F.max("whole") + 0.5).alias("total"))
-    packed = packed.withColumn("rows", F.coalesce(F.lead("before").over(group.orderBy("low")), F.col("total")) - F.col("before"))
-    return packed.filter("rows > 0").select(*keys, "low", "high", "rows", "before", "total")
+    met = parts.select(*keys, part, F.inline(ends))
+    met = met.withColumns({f"_{k}": F.last(F.when(F.col(part) == n, F.col("bucket")), True).over(group.orderBy("x")) for k, n in enumerate(numbers)})
+    upto = lambda x: sum((_rows_upto(F.col(f"_{k}"), x) for k in range(len(numbers))), F.lit(0)).cast("long")
+    points = met.select(*keys, "x", upto(F.col("x")).alias("upto"), upto(F.col("x") - 1).alias("below"))
+    points = points.groupBy(*keys, "x").agg(F.max("upto").alias("upto"), F.max("below").alias("below"))
+    ordered = group.orderBy("x")
+    points = points.withColumns({"next": F.lead("x").over(ordered), "then": F.lead("below").over(ordered), "place": F.row_number().over(ordered) - 1, "places": F.count("*").over(group), "total": F.max("upto").over(group)})
+    span = lambda low, high, before, rows: F.struct(low.alias("low"), high.alias("high"), before.alias("before"), rows.alias("rows"))
+    both = F.array(span(F.col("x"), F.col("x"), F.col("below"), F.col("upto") - F.col("below")), span(F.col("x") + 1, F.col("next") - 1, F.col("upto"), F.col("then") - F.col("upto")))
+    spans = points.select(*keys, "place", "places", "total", F.inline(F.filter(both, lambda c: c["rows"] > 0)))
+    packed = spans.select(
+        *keys, "low", "high", "rows", "before", "total", (F.col("rows") * cells >= F.col("total")).alias("heavy"),
+        F.expr(f"cast(before * {cells} div total as int)").alias("cell"), F.expr(f"cast(place * {least} div places as int)").alias("slice"),
+    )
+    packed = packed.groupBy(*keys, "cell", "slice", "heavy").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("rows").alias("rows"), F.min("before").alias("before"), F.max("total").alias("total"))
+    return packed.select(*keys, "low", "high", "rows", "before", "total")
 
 
 def steps_within(before: Column, upto: Column, total: Column, steps: int) -> Column:
