@@ -41,12 +41,13 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    """All but the distances of whole texts, for which SQL takes the square of their lengths; test_whole_texts.py has a plain table for it."""
+    assert set(QUERIES) - set(ORACLES) == {"model_error_rates"} and set(ORACLES) <= set(QUERIES)
 
 
 def test_types_are_those_of_the_sql(spark, duck):
     kinds = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
-    for name in sorted(QUERIES):
+    for name in sorted(ORACLES):
         ours = {f.name: kinds.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in QUERIES[name](spark, SF).schema.fields}
         assert ours == {r[0]: r[1] for r in duck.execute("DESCRIBE " + ORACLES[name]).fetchall()}, name
 
@@ -57,7 +58,7 @@ def test_entry_without_the_training_data_part(missing):
     code = f"import sys; sys.modules['{missing}'] = None; import __spark_entry__ as e; print(len([q for q in e.queries() if not q.startswith('op') and q != 'pipeline']), sum(q.startswith('op') for q in e.queries()))"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     plain, ops = map(int, subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split())
-    assert plain == len(QUERIES) and ops in ((0, 10) if missing == "corpus_pipeline" else (0,))
+    assert plain == len(QUERIES) and ops in ((0, 13) if missing == "corpus_pipeline" else (0,))
 
 
 def test_entry(spark):
