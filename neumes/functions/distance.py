@@ -1,12 +1,13 @@
 """Levenshtein distance of whole texts by character, word or line, in Arrow batches.
 
 A column of the table of distances is kept as two whole numbers, one bit for each
-row, and only for the rows within a band around the diagonal (Myers; Hyyrö for the
-sliding band). The band is widened until the distance that it gives proves that no
-better path leaves it. So a text of n symbols and d errors costs n steps on numbers
+row (Myers), and in long texts only for the rows within a band around the diagonal
+(Hyyrö). The band is widened until the distance that it gives proves that no better
+path leaves it. So a text of n symbols and d errors costs n steps on numbers
 of about d bits, whether errors shift all that follows or not, and memory is linear.
 """
 
+from collections import Counter
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -44,6 +45,36 @@ def _contains_in_order(small: Sequence, large: Sequence) -> bool:
     return all(x in rest for x in small)
 
 
+#: Columns of up to so many rows are kept whole: their numbers cost less than a band's upkeep.
+WHOLE = 3000
+
+
+def _whole(a: Sequence, b: Sequence) -> int:
+    """Distance by whole columns of the table."""
+    place: dict = {}
+    for at, x in enumerate(a):
+        place[x] = place.get(x, 0) | (1 << at)
+    mask, top, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    vp, vn, seen = mask, 0, place.get
+    for y in b:
+        x = seen(y, 0)
+        d0 = ((((x & vp) + vp) ^ vp) | x | vn) & mask
+        hp, hn = vn | (mask ^ (d0 | vp)), d0 & vp
+        if hp & top:
+            score += 1
+        elif hn & top:
+            score -= 1
+        hp = ((hp << 1) | 1) & mask
+        vp, vn = ((hn << 1) & mask) | (mask ^ (d0 | hp)), hp & d0
+    return score
+
+
+def _at_least(a: Sequence, b: Sequence) -> int:
+    """No distance is smaller: symbols that one side has more of."""
+    left, right = Counter(a), Counter(b)
+    return max((left - right).total(), (right - left).total())
+
+
 def _within_band(a: Sequence, b: Sequence, below: int) -> int:
     """Distance along paths that stay at most ``below`` rows below the diagonal, below <= len(a) <= len(b); never too small.
 
@@ -88,14 +119,16 @@ def distance(a: Sequence, b: Sequence) -> int:
         a, b = b, a
     if not a or _contains_in_order(a, b):
         return len(b) - len(a)
-    below = 15 + len(b) // 64
+    if len(a) <= WHOLE:
+        return _whole(a, b)
+    below = 16 + len(b) // 64 + (5 * _at_least(a, b) // 4 - (len(b) - len(a))) // 2
     while True:
-        below = min(below, len(a))
+        below = min(max(below, 16), len(a))
         found = _within_band(a, b, below)
         # a path that leaves the band goes ``below`` + 1 rows down and comes back
         if below == len(a) or found <= len(b) - len(a) + 2 * below + 1:
             return found
-        below *= 3
+        below *= 2
 
 
 def text_errors(pred: Column, truth: Column, kinds: Sequence[str]) -> Column:

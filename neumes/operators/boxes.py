@@ -152,7 +152,7 @@ def segment_staves(detections: DataFrame, wanted: str = "staff", least: float =
     center = (F.col("y1") + F.col("y2")) / 2.0
     parts = F.struct(center.alias("y_center"), "box_id", *_CORNERS)
     pages = found.groupBy("page_id").agg(F.array_sort(F.collect_list(parts)).alias("boxes"), F.max("image_height").alias("image_height"))
-    pages = pages.withColumn("boxes", without_duplicates(F.col("boxes"), least)).withColumn("boxes", with_missing(F.col("boxes"), factor))
+    pages = pages.withColumn("boxes", let(without_duplicates(F.col("boxes"), least), lambda b: with_missing(b, factor)))
     rows = pages.select("page_id", "image_height", F.posexplode("boxes").alias("_i", "b"))
     rows = rows.select("page_id", (F.col("_i") + 1).alias("system_no"), "b.box_id", *(f"b.{c}" for c in _CORNERS), "b.y_center", "b.inserted", "image_height")
     return boundaries(rows, "page_id", "system_no", "y1", "y2", "image_height").drop("image_height")

@@ -74,7 +74,10 @@ def changed(rng, text, alphabet):
     return "".join(out)
 
 
-def test_distance_equals_the_table():
+@pytest.mark.parametrize("most", [0, 3000])
+def test_distance_equals_the_table(monkeypatch, most):
+    """By bands and by whole columns."""
+    monkeypatch.setattr(whole, "WHOLE", most)
     rng = random.Random(4)
     for k in range(1500):
         alphabet = ("ab", "abc é\t\n", "a")[k % 3]
