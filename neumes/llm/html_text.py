@@ -196,7 +196,9 @@ def blocks(page: str) -> list[Part]:
             above = above.up
         attrs = _attributes(match["attrs"])
         words = tuple(w.lower() for w in _WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
-        element = Element(name, f"{top.path}/{name}{''.join('.' + w for w in words)}", top, words=words)
+        # numbers of some length count blocks of one kind, short ones tell kinds apart
+        names = re.sub(r"\d{3,}", "", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower().split()
+        element = Element(name, f"{top.path}/{name}{''.join('.' + n for n in names)}", top, words=words)
         element.dropped = top.dropped or _dropped(name, attrs, words, top)
         element.in_article = top.in_article or name in ("article", "main")
         top = element
