@@ -69,10 +69,11 @@ class Element:
 
 @dataclass
 class Part:
-    """A block of text below its element."""
+    """A block of text below its element; how many letters and digits it has, and how many of them in links."""
 
     above: Element
     text: str
+    letters: int = 0
     linked: int = 0
 
 
@@ -100,6 +101,10 @@ def _attributes(text: str) -> dict:
     return out
 
 
+def _letters(text: str) -> int:
+    return sum(map(str.isalnum, text))
+
+
 def blocks(page: str) -> list[Part]:
     """The blocks of a page in their order, those of left-out elements not among them."""
     root = Element("", "", None)
@@ -110,7 +115,7 @@ def blocks(page: str) -> list[Part]:
         if text:
             whole = " ".join("".join(text).split())
             if whole and not top.dropped:
-                out.append(Part(top, whole, min(linked, len(whole))))
+                out.append(Part(top, whole, _letters(whole), linked))
         text, linked, breaks = [], 0, 0
 
     def add(raw: str) -> None:
@@ -120,7 +125,7 @@ def blocks(page: str) -> list[Part]:
             text.append(known)
             if not known.isspace():
                 breaks = 0
-                linked += len(" ".join(known.split())) if in_link else 0
+                linked += _letters(known) if in_link else 0
 
     at, end = 0, len(page)
     while at < end:
@@ -253,7 +258,7 @@ def main_parts(parts: list[Part], share: float = 0.5) -> list[Part]:
         if outside <= 4 * max(most, 1):
             return _without_links(chosen, fused, bar)
     if not content:
-        return [p for p in parts if 2 * p.linked <= len(p.text)]
+        return [p for p in parts if 2 * p.linked <= p.letters]
     common = _lineage(content[0].above)
     for p in content:
         own = _lineage(p.above)
@@ -285,7 +290,7 @@ def main_parts(parts: list[Part], share: float = 0.5) -> list[Part]:
 
 def _without_links(parts: list[Part], fused: dict[str, float], bar: float) -> list[Part]:
     """Without blocks of lists and divisions that are all links, on paths that aren't content."""
-    return [p for p in parts if not (p.linked >= 0.9 * len(p.text) and p.above.tag in ("li", "div", "td", "ul", "nav", "section") and fused[p.above.path] <= bar)]
+    return [p for p in parts if not (p.linked >= 0.9 * p.letters and p.above.tag in ("li", "div", "td", "ul", "nav", "section") and fused[p.above.path] <= bar)]
 
 
 def main_text(page: str | None) -> str:

@@ -24,7 +24,7 @@ LAYOUTS = {
     "open tags": f"""<html><body><nav><ul>{LINKS}</ul></nav><article>{BODY.replace('</p>', '').replace('</li>', '')}""",
     "many comments": f"""<body><div class="story">{BODY}</div><div id="comments">{COMMENTS * 12}</div>""",
     "hidden": f"""<body><div style="display: none"><p>{S[11]} {S[12]}</p></div><article>{BODY}<p hidden>{S[13]}</p><template><p>{S[14]}</p></template></article>""",
-    "telling classes by numbers": f"""<div class=x1><a href=/>a</a> <a href=/b>b</a></div><div class=x2>{BODY}</div><div class=x3><p>{S[7]}</p></div><div class=x4>{COMMENTS.replace("class='comment'", "class=x5")}</div>""",
+    "telling classes by numbers": f"""<div class=x1><a href=/>a</a> <a href=/b>b</a></div><div class=x2>{BODY}</div><div class=x3><p>{S[7]}</p></div><div class=x4>{COMMENTS.split("</div>")[0].replace("class='comment'", "class=x5")}</div></div>""",
     "roles": f"""<div role=banner><p>{S[8]}</p></div><div role=navigation><ul>{LINKS}</ul></div><div role=main>{BODY}<form><p>{S[9]}</p></form></div><div role=contentinfo><p>{S[7]}</p></div>""",
     "header of the article": f"""<header><p>{S[8]}</p></header><article><header>{BODY[: BODY.index('<p>')]}</header>{BODY[BODY.index('<p>') :]}<section class=reader-comments>{COMMENTS}</section><div class=related-posts><ul>{TEASERS}</ul></div></article>""",
     "quotes": f"""<body><div title="a > b" class='story'>{BODY}</div><!-- <p>{S[15]}</p> --><div class=share><p>Share, please.</p></div>""",
