@@ -90,7 +90,7 @@ class SplitReader(_Reader):
                 for line in _lines(stream):
                     parts = line.split()
                     if len(parts) >= least:
-                        n = int(parts[2]) if least == 3 and re.fullmatch(r"[+-]?\d{1,9}", parts[2]) else None
+                        n = int(parts[2]) if least == 3 and re.match(r"[+-]?\d{1,9}\Z", parts[2]) else None
                         yield parts[0], parts[1], n, name["split"], name["fold"], "syn" in parts[0].lower()
 
 

@@ -80,7 +80,7 @@ def test_library_does_not_need_the_training_data_part():
 def test_plans_stay_on_the_jvm(spark):
     """No Python on the hot paths that Columns express; width bands and overlaps are equi-joins."""
     plan = lambda n: QUERIES[n](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    for name in ("model_error_rates", "char_error_rate", "spine_extract", "span_islands", "interval_overlap_match", "boundary_distance", "replay_sample", "stage_eligibility"):
+    for name in ("segmented_staves", "annotation_decode", "spine_extract", "span_islands", "interval_overlap_match", "boundary_distance", "replay_sample", "stage_eligibility"):
         assert "Python" not in plan(name) and "Arrow" not in plan(name), name
     for name in ("width_band_pool", "width_pairs", "interval_overlap_match", "iou_dedup_pairs"):
         assert "NestedLoop" not in plan(name) and "Cartesian" not in plan(name), name
