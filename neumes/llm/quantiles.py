@@ -116,19 +116,40 @@ def merged(parts: DataFrame, keys: Sequence[str], part: str = "batch", numbers:
     A key has as many rows here as its summaries have bucket ends, however many rows
     they stand for.
     """
-    bucket = F.struct("low", "high", "rows", "before")
-    ends = F.array(F.struct(F.col("low").alias("x"), bucket.alias("bucket")), F.struct(F.col("high").alias("x"), F.lit(None).alias("bucket")))
     group = Window.partitionBy(*keys)
-    met = parts.select(*keys, part, F.inline(ends))
-    met = met.withColumns({f"_{k}": F.last(F.when(F.col(part) == n, F.col("bucket")), True).over(group.orderBy("x")) for k, n in enumerate(numbers)})
+    marked = parts.select(*keys, part, "low", "high", "rows", "before").withColumn("wide", F.max(F.col("low") < F.col("high")).over(group))
+    single = _single_points(marked.filter(~F.col("wide")), keys)
+    spread = _spread_points(marked.filter("wide"), keys, part, numbers)
+    return _repacked(single, keys, cells, least).unionByName(_repacked(spread, keys, cells, least))
+
+
+def _single_points(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, x, upto, below: rows up to and below each value, of keys whose buckets all hold one value."""
+    points = parts.groupBy(*keys, F.col("low").alias("x")).agg(F.sum("rows").alias("rows"))
+    points = points.withColumn("upto", F.sum("rows").over(Window.partitionBy(*keys).orderBy("x")))
+    return points.select(*keys, "x", "upto", (F.col("upto") - F.col("rows")).alias("below"))
+
+
+def _spread_points(parts: DataFrame, keys: Sequence[str], part: str, numbers: Sequence[int]) -> DataFrame:
+    """As ``_single_points``, at the ends of buckets of any kind: of each part the last bucket that begins there or before tells its rows."""
+    bucket = F.struct("low", "high", "rows", "before")
+    first, last = F.struct(F.col("low").alias("x"), bucket.alias("bucket")), F.struct(F.col("high").alias("x"), F.lit(None).alias("bucket"))
+    met = parts.select(*keys, part, F.inline(F.when(F.col("low") < F.col("high"), F.array(first, last)).otherwise(F.array(first))))
+    ordered = Window.partitionBy(*keys).orderBy("x")
+    met = met.withColumns({f"_{k}": F.last(F.when(F.col(part) == n, F.col("bucket")), True).over(ordered) for k, n in enumerate(numbers)})
     upto = lambda x: sum((_rows_upto(F.col(f"_{k}"), x) for k in range(len(numbers))), F.lit(0)).cast("long")
     points = met.select(*keys, "x", upto(F.col("x")).alias("upto"), upto(F.col("x") - 1).alias("below"))
-    points = points.groupBy(*keys, "x").agg(F.max("upto").alias("upto"), F.max("below").alias("below"))
+    return points.groupBy(*keys, "x").agg(F.max("upto").alias("upto"), F.max("below").alias("below"))
+
+
+def _repacked(points: DataFrame, keys: Sequence[str], cells: int, least: int) -> DataFrame:
+    """Points, and the gaps between them that hold rows, packed into buckets."""
+    group = Window.partitionBy(*keys)
     ordered = group.orderBy("x")
     points = points.withColumns({"next": F.lead("x").over(ordered), "then": F.lead("below").over(ordered), "place": F.row_number().over(ordered) - 1, "places": F.count("*").over(group), "total": F.max("upto").over(group)})
     span = lambda low, high, before, rows: F.struct(low.alias("low"), high.alias("high"), before.alias("before"), rows.alias("rows"))
-    both = F.array(span(F.col("x"), F.col("x"), F.col("below"), F.col("upto") - F.col("below")), span(F.col("x") + 1, F.col("next") - 1, F.col("upto"), F.col("then") - F.col("upto")))
-    spans = points.select(*keys, "place", "places", "total", F.inline(F.filter(both, lambda c: c["rows"] > 0)))
+    own, gap = span(F.col("x"), F.col("x"), F.col("below"), F.col("upto") - F.col("below")), span(F.col("x") + 1, F.col("next") - 1, F.col("upto"), F.col("then") - F.col("upto"))
+    spans = points.select(*keys, "place", "places", "total", F.inline(F.when(F.col("then") > F.col("upto"), F.array(own, gap)).otherwise(F.array(own))))
     packed = spans.select(
         *keys, "low", "high", "rows", "before", "total", (F.col("rows") * cells >= F.col("total")).alias("heavy"),
         F.expr(f"cast(before * {cells} div total as int)").alias("cell"), F.expr(f"cast(place * {least} div places as int)").alias("slice"),
