@@ -116,10 +116,10 @@ def merged(parts: DataFrame, keys: Sequence[str], part: str = "batch", numbers:
     A key has as many rows here as its summaries have bucket ends, however many rows
     they stand for.
     """
-    group = Window.partitionBy(*keys)
-    marked = parts.select(*keys, part, "low", "high", "rows", "before").withColumn("wide", F.max(F.col("low") < F.col("high")).over(group))
-    single = _single_points(marked.filter(~F.col("wide")), keys)
-    spread = _spread_points(marked.filter("wide"), keys, part, numbers)
+    # few keys have so many rows that a bucket holds several values; the others take a shorter way
+    wide = written(parts.filter(F.col("low") < F.col("high")).select(*keys).distinct(), "wide-groups")
+    single = _single_points(parts.join(wide, list(keys), "left_anti"), keys)
+    spread = _spread_points(parts.join(wide, list(keys), "left_semi"), keys, part, numbers)
     return _repacked(single, keys, cells, least).unionByName(_repacked(spread, keys, cells, least))
 
 
