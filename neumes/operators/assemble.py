@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import MARKER
-from ..functions.text import strings
-from .notation import is_terminator, music_block, without_header, without_terminator
+from ..functions.text import let, strings
+from .notation import is_marked, is_terminator, music_block, without_header, without_terminator
 from .positions import positions
 
 END = "*-\t*-"
@@ -34,11 +34,10 @@ def page_of_blocks(blocks: Column) -> Column:
 
     The last one gets a terminator if it has no line that is one and not blank.
     """
-    n = F.size(blocks)
     inner = lambda b: F.filter(b, lambda x: ~is_terminator(x))
     ended = lambda b: F.exists(b, lambda x: is_terminator(x) & (x != ""))
-    parts = F.transform(blocks, lambda b, i: F.when(i < n - 1, F.concat(inner(b), F.array(F.lit(MARKER)))).when(ended(b), b).otherwise(F.concat(F.filter(b, lambda x: x != ""), F.array(F.lit(END)))))
-    return F.array_join(F.flatten(parts), "\n")
+    parts = lambda bs: F.transform(bs, lambda b, i: F.when(i < F.size(bs) - 1, F.concat(inner(b), F.array(F.lit(MARKER)))).when(ended(b), b).otherwise(F.concat(F.filter(b, lambda x: x != ""), F.array(F.lit(END)))))
+    return F.array_join(F.flatten(let(blocks, parts)), "\n")
 
 
 def prefix_page(blocks: Column, n: Column) -> Column:
@@ -93,21 +92,23 @@ def recognised_page(systems: Column) -> Column:
     interpretations and comments before the first other line. A terminator closes
     a page of several systems; a single system stays as it is.
     """
-    lines = F.transform(systems, lambda s: F.filter(F.split(s, "\n", -1), lambda x: ~F.contains(x, F.lit("b:none"))))
 
     def later(s: Column) -> Column:
         body = F.filter(s, lambda x: ~x.startswith("**") & ~x.startswith("*-") & (x != ""))
-        begins = F.array_position(F.transform(body, lambda x: ~x.rlike("^[*!]")), True)
-        return F.filter(body, lambda x, i: ((begins > 0) & (i >= begins - 1)) | ~x.rlike("^[*!]"))
+        begins = lambda b: F.array_position(F.transform(b, lambda x: ~is_marked(x, "*!")), True)
+        return let(body, lambda b: let(begins(b), lambda at: F.filter(b, lambda x, i: ((at > 0) & (i >= at - 1)) | ~is_marked(x, "*!"))))
+
+    def whole(lines: Column) -> Column:
+        first = F.filter(F.get(lines, F.lit(0)), lambda x: ~x.startswith("*-") & (x != ""))
+        rest = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda s: F.concat(F.array(F.lit(MARKER)), later(s)))
+        return F.when(F.size(lines) == 1, F.array_join(F.get(lines, F.lit(0)), "\n")).when(F.size(lines) > 1, F.array_join(F.concat(first, F.flatten(rest), F.array(F.lit(END))), "\n"))
 
-    first = F.filter(F.get(lines, F.lit(0)), lambda x: ~x.startswith("*-") & (x != ""))
-    rest = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda s: F.concat(F.array(F.lit(MARKER)), later(s)))
-    return F.when(F.size(lines) == 1, F.array_join(F.get(lines, F.lit(0)), "\n")).when(F.size(lines) > 1, F.array_join(F.concat(first, F.flatten(rest), F.array(F.lit(END))), "\n"))
+    return let(F.transform(systems, lambda s: F.filter(F.split(s, "\n", -1), lambda x: ~F.contains(x, F.lit("b:none")))), whole)
 
 
 def ordered_concat(rows: DataFrame, key: str, order: str, value: str, between: str) -> DataFrame:
     """(key, text): values of a key in their order."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
+    parts = F.sort_array(F.collect_list(F.struct(order, value)))[value]
     return rows.groupBy(key).agg(F.array_join(parts, between).alias("text"), F.count("*").alias("parts"))
 
 

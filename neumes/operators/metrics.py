@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions.chords import parse_chord
 from ..functions.distance import text_errors
-from ..functions.text import bag_matches, edit_distance, position_matches, precision_recall_f1, rate
-from .alignment import alignment, chord_alignment, common_subsequence, windowed_matches
+from ..functions.text import bag_matches, edit_distance, let, position_matches, precision_recall_f1, rate
+from .alignment import alignment_counts, common_subsequence, windowed_matches
 
 KINDS = ("cer", "ser", "ler")
 
@@ -50,16 +50,16 @@ def spine_report(texts: DataFrame, keys: list[str], pred: str = "pred_text", tru
 
     A spine that the prediction lacks counts as empty.
     """
-    from .notation import spines
-
-    def side(column: str, name: str) -> DataFrame:
-        found = spines(texts.select(F.struct(*keys).alias("_id"), F.col(column).alias("_x")), "_id", "_x")
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "\n")
-        return found.groupBy("page_id", "spine").agg(joined.alias(name)).select(*(F.col(f"page_id.{k}").alias(k) for k in keys), "spine", name)
-
-    pairs = side(truth, "_t").where("_t <> ''").join(side(pred, "_p"), [*keys, "spine"], "left").withColumn("_p", F.coalesce("_p", F.lit("")))
-    whole = texts.select(*keys, F.lit("OVERALL").alias("spine"), F.col(truth).alias("_t"), F.col(pred).alias("_p"))
-    rows = with_text_errors(pairs.select(*keys, "spine", "_t", "_p").unionByName(whole), "_p", "_t", kinds)
+    from .notation import spine_columns
+
+    joined = lambda c: F.array_join(c["tokens"], "\n")
+    of = lambda spine: F.coalesce(joined(F.get(F.filter("_ps", lambda c: c["spine"] == spine), F.lit(0))), F.lit(""))
+    pair = lambda spine, t, p: F.struct(spine.alias("spine"), t.alias("_t"), p.alias("_p"))
+    each = F.filter(F.transform("_ts", lambda c: pair(c["spine"], joined(c), of(c["spine"]))), lambda x: x["_t"] != "")
+    # a page's spines meet on its row: no join
+    rows = texts.withColumns({"_ts": F.coalesce(spine_columns(F.col(truth)), F.array().cast("array<struct<spine:string,tokens:array<string>>>")), "_ps": spine_columns(F.col(pred))})
+    rows = rows.select(*keys, F.inline(F.concat(each, F.array(pair(F.lit("OVERALL"), F.col(truth), F.col(pred))))))
+    rows = with_text_errors(rows, "_p", "_t", kinds)
     return rows.select(*keys, "spine", *(rate(F.col(f"{k}_errors"), F.col(f"{k}_total"), 100).alias(k) for k in kinds))
 
 
@@ -105,9 +105,22 @@ def part_accuracy(positions: DataFrame, part: str, by: list[str], top: int = 5)
 
     Missing qualities count as dom, missing extensions as none.
     """
-    name = F.lit("dom" if part == "quality" else "none")
-    value = lambda side: F.coalesce(F.nullif(F.col(f"{side}.{part}"), F.lit("")), name)
-    same_root = positions.where(F.col("pred.root") == F.col("truth.root")).select(*by, "pos", value("truth").alias("t"), value("pred").alias("p"))
+    return part_accuracies(positions, (part,), by, top).drop("part")
+
+
+#: What stands for a part that is missing.
+MISSING = {"quality": "dom", "extension": "none"}
+
+
+def part_value(chord: Column, part: str) -> Column:
+    return F.coalesce(F.nullif(chord[part], F.lit("")), F.lit(MISSING[part]))
+
+
+def part_accuracies(positions: DataFrame, parts: tuple[str, ...], by: list[str], top: int = 5) -> DataFrame:
+    """``part_accuracy`` of several parts, from one pass over the places; ``part`` tells which."""
+    one = lambda part: F.struct(F.lit(part).alias("part"), part_value(F.col("truth"), part).alias("t"), part_value(F.col("pred"), part).alias("p"))
+    same_root = positions.where(F.col("pred.root") == F.col("truth.root")).select(*by, "pos", F.inline(F.array(*map(one, parts))))
+    by = ["part", *by]
     counted = same_root.groupBy(*by, "t", "p").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     wrong = F.filter(F.collect_list(F.when(F.col("t") != F.col("p"), F.struct((-F.col("n")).alias("order"), "first", "t", "p", "n"))), lambda x: x.isNotNull())
     out = counted.groupBy(*by).agg(F.sum("n").alias("compared"), F.coalesce(F.sum(F.when(F.col("t") == F.col("p"), F.col("n"))), F.lit(0)).alias("equal"), F.slice(F.array_sort(wrong), 1, top).alias("errors"))
@@ -134,14 +147,21 @@ def count_analysis(pairs: DataFrame, pred: str, truth: str, shown: int = 20) ->
 def chord_metric_bundle(pairs: DataFrame, pred: str, truth: str, id_col: str = "page") -> DataFrame:
     """All chord scores of each page, one row: counts, four root scores, quality, extension and full-chord scores."""
     rows = count_analysis(root_scores(pairs, pred, truth), pred, truth).withColumnRenamed(id_col, "page")
-    places = position_pairs(pairs, pred, truth, id_col)
-    parts = [part_accuracy(places, p, ["page"]).select("page", F.col("accuracy").alias(f"{p}_accuracy"), F.col("compared").alias(f"{p}_compared")) for p in ("quality", "extension")]
+    # places that both sequences have are compared on the page's row; the longer one's rest meets nulls
+    short = lambda c: F.transform(c, lambda t: let(parse_chord(t), lambda x: F.struct(x["root"].alias("root"), x["quality"].alias("quality"), x["extension"].alias("extension"))))
+    same = lambda p, t, part: F.coalesce(part_value(p, part) == part_value(t, part), F.lit(False))
+    equal = lambda p, t: F.struct(same(p, t, "quality").alias("quality"), same(p, t, "extension").alias("extension"), (p["quality"].eqNullSafe(t["quality"]) & p["extension"].eqNullSafe(t["extension"])).alias("full"))
+    places = F.array_compact(F.zip_with(short(pred), short(truth), lambda p, t: F.when(p["root"] == t["root"], equal(p, t))))
     real = lambda c: F.size(F.array_compact(roots(F.col(c))))
-    full = full_chord_scores(places, pairs.select(F.col(id_col).alias("page"), real(pred).alias("n_pred"), real(truth).alias("n_truth")), ["page"]).select("page", *(F.col(c).alias(f"full_{c}") for c in ("matches", "precision", "recall", "f1")))
-    out = rows.join(full, "page", "left")
-    for p in parts:
-        out = out.join(p, "page", "left")
-    return out.fillna(0.0, ["quality_accuracy", "extension_accuracy"]).fillna(0, ["quality_compared", "extension_compared"])
+    rows = rows.withColumns({"_places": places, "_np": real(pred), "_nt": real(truth)})
+    compared = F.size("_places").cast("long")
+    hits = lambda part: F.size(F.filter("_places", lambda x: x[part])).cast("long")
+    rows = rows.withColumn("full_matches", hits("full"))
+    p, r, f = precision_recall_f1(F.col("full_matches"), F.col("_np"), F.col("_nt"))
+    rows = rows.withColumns({"full_precision": p, "full_recall": r, "full_f1": f})
+    for part in MISSING:
+        rows = rows.withColumns({f"{part}_accuracy": rate(hits(part), compared, 0), f"{part}_compared": compared})
+    return rows.drop("_places", "_np", "_nt")
 
 
 def page_chord_metrics(pairs: DataFrame, pred: str, truth: str) -> DataFrame:
@@ -150,10 +170,13 @@ def page_chord_metrics(pairs: DataFrame, pred: str, truth: str) -> DataFrame:
     no_dots = lambda c: F.filter(c, lambda t: t != ".")
     views = {"token": (F.col(pred), F.col(truth)), "chord": (no_dots(F.col(pred)), no_dots(F.col(truth))), "root": (F.array_compact(roots(F.col(pred))), F.array_compact(roots(F.col(truth))))}
     for name, (p, t) in views.items():
-        rows = rows.withColumns({"_p": p, "_t": t}).withColumn("_a", alignment(F.col("_p"), F.col("_t")))
-        rows = rows.withColumns({f"{name}_alignment": chord_alignment(F.col("_p"), F.col("_t"), F.col("_a")), f"{name}_total": F.size("_t")}).drop("_p", "_t", "_a")
+        rows = rows.withColumns({f"_{name}_p": p, f"_{name}_t": t})
+    # all functions of a page in one pass through Python
+    rows = rows.withColumns({f"{name}_alignment": alignment_counts(F.col(f"_{name}_p"), F.col(f"_{name}_t")) for name in views})
+    for name in views:
+        rows = rows.withColumn(f"{name}_total", F.size(f"_{name}_t"))
         rows = rows.withColumn(f"{name}_ser", rate(F.col(f"{name}_alignment.edit_distance"), F.col(f"{name}_total"), 100))
-    return rows
+    return rows.drop(*(f"_{name}_{side}" for name in views for side in "pt"))
 
 
 def pooled_chord_metrics(pages: DataFrame, by: list[str]) -> DataFrame:
@@ -183,18 +206,18 @@ def page_records(pairs: DataFrame, keys: list[str], pred: str = "pred_text", tru
     Where a chord spine is missing or empty, chord rates are ``missing``; null
     leaves them out of means.
     """
-    from .notation import chord_tokens, first_spine_text, spines
+    from .notation import chord_tokens, first_spine_text, spine_text
 
     rows = pairs.select(*keys, F.col(pred).alias("_p"), F.col(truth).alias("_t"))
-    rows = rows.withColumns({"_pk": first_spine_text(F.col("_p")), "_tk": first_spine_text(F.col("_t"))})
-    whole, kern = with_text_errors(rows, "_p", "_t"), with_text_errors(rows, "_pk", "_tk")
-    wide = lambda d, prefix: d.select(*keys, *(rate(F.col(f"{k}_errors"), F.col(f"{k}_total")).alias(f"{prefix}{k}") for k in KINDS))
-    side = lambda c, name: spines(rows.select(F.struct(*keys).alias("_id"), c), "_id", c).where("spine = '**mxhm'").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "\n").alias(name)).select(*(F.col(f"page_id.{k}").alias(k) for k in keys), name)
-    chords = rows.select(*keys).join(side("_p", "_pc"), keys, "left").join(side("_t", "_tc"), keys, "left")
-    tokens = lambda c: chord_tokens(F.coalesce(c, F.lit("")))
-    scored = page_chord_metrics(chords.withColumns({"_pt": tokens("_pc"), "_tt": tokens("_tc")}), "_pt", "_tt")
+    tokens = lambda c: chord_tokens(F.coalesce(spine_text(F.col(c), "**mxhm"), F.lit("")))
+    made = {"_pk": first_spine_text(F.col("_p")), "_tk": first_spine_text(F.col("_t")), "_pt": tokens("_p"), "_tt": tokens("_t")}
+    # a generator of one row keeps these expressions apart from the functions that use them several times
+    rows = rows.select(*keys, "_p", "_t", F.inline_outer(F.array(F.struct(*(c.alias(n) for n, c in made.items())))))
+    rows = rows.withColumns({"_whole": text_errors(F.col("_p"), F.col("_t"), KINDS), "_kern": text_errors(F.col("_pk"), F.col("_tk"), KINDS)})
+    rates = [rate(F.col(of)[f"{k}_errors"], F.col(of)[f"{k}_total"]).alias(f"{prefix}{k}") for of, prefix in (("_whole", ""), ("_kern", "kern_")) for k in KINDS]
+    scored = page_chord_metrics(rows.select(*keys, "_pt", "_tt", *rates), "_pt", "_tt")
     there = (F.size("_pt") > 0) & (F.size("_tt") > 0)
     value = lambda c: F.when(there | F.lit(missing is not None), F.when(F.size("_tt") > 0, F.col(c)).otherwise(F.lit(missing)))
-    scored = scored.select(*keys, value("chord_ser").alias("chord_ser"), value("root_ser").alias("root_ser"))
-    out = wide(whole, "").join(wide(kern, "kern_"), keys).join(scored, keys)
-    return out.unpivot(keys, [c for c in out.columns if c not in keys], "metric", "value")
+    out = scored.select(*keys, *KINDS, *(f"kern_{k}" for k in KINDS), value("chord_ser").alias("chord_ser"), value("root_ser").alias("root_ser"))
+    records = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in out.columns if c not in keys))
+    return out.select(*keys, F.inline(records))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import compare, forensics, metrics, notation
+from .operators import compare, forensics, metrics
 from .sources import files, scans, sinks
 
 
@@ -45,8 +45,7 @@ def listings(pages: DataFrame, models: list[str]) -> DataFrame:
     """(name, text): the listing of each page of two models, as files are named."""
     whole = both(pages, models)
     found = forensics.process_pages(whole, "page", "gt", dict(zip(("baseline", "replay"), models)))
-    breaks = notation.system_breaks(whole, "page", "gt").withColumnRenamed("page_id", "page")
-    texts = forensics.hotspot_texts(forensics.hotspots(found, ["page", "level"], breaks))
+    texts = forensics.hotspot_texts(forensics.hotspots(found, ["page", "level"], begins=F.col("begins") & (F.col("level") == "chord")))
     return texts.select(F.concat("page", F.lit("_diff.txt")).alias("name"), "text")
 
 

@@ -114,3 +114,77 @@ def test_bags(spark):
     df = spark.createDataFrame([*rows, ([], []), (["x"] * 5000, ["x"] * 4000)], "a array<string>, b array<string>")
     count = lambda x: Counter(y for y in x if y is not None)
     assert all(r.n == sum((count(r.a) & count(r.b)).values()) for r in df.select("a", "b", bag_matches(F.col("a"), F.col("b")).alias("n")).collect())
+
+
+def _page(n: int, lost: int = 0) -> str:
+    """A page of n notes with chords, three to a system; every ``lost``-th note is missing."""
+    rows = [f"{'!!linebreak:original' + chr(10) if k and k % 3 == 0 else ''}{'=' + str(k) + chr(9) + '=' + str(k) + chr(10) if k % 3 == 0 else ''}{4 if k % 5 else 8}c\t{'CDE'[k % 3]}:maj" for k in range(n) if not lost or k % lost]
+    return "**kern\t**mxhm\n*clefG2\t*\n" + "\n".join(rows) + "\n*-\t*-"
+
+
+def test_long_pages_take_time_by_their_lines(spark):
+    """Spines, systems, tokens and breaks of a page of 20,000 lines: nothing is looked up anew for each line."""
+    import time
+
+    from neumes.functions import tokens
+    from neumes.operators import notation
+
+    page = spark.createDataFrame([("p", _page(15_000))], "page_id string, text string")
+    x = F.col("text")
+    begin = time.monotonic()
+    row = page.select(
+        F.size(notation.spine_tokens(x)).alias("notes"), F.size(notation.chord_tokens(notation.chord_column(x))).alias("chords"), F.length(notation.first_spine_text(x)).alias("first"),
+        F.size(notation.system_lines(x)).alias("systems"), F.size(tokens.token_lines(tokens.tokenize(x, "word"))).alias("lines"),
+    ).first()
+    assert (row.notes, row.chords, row.systems, row.lines) == (15_000, 15_000, 5_000, 20_003)
+    assert notation.token_streams(page).where("distance = 0").count() == 2 * 9_998
+    assert time.monotonic() - begin < 60
+
+
+def test_positions_of_pages_are_found_without_a_join(spark):
+    """Labels and breaks stay on the page's row: the plan has neither a join nor a shuffle."""
+    from neumes.operators import forensics
+
+    texts = spark.createDataFrame([(1, _page(7), _page(7, 3), _page(7, 4))], "page int, gt_text string, baseline_text string, replay_text string")
+    out = forensics.process_pages(texts)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    rows = {(r.level, r.gt_index): r for r in out.collect()}
+    assert len(rows) == 14 and {i for (level, i), r in rows.items() if r.begins} == {3, 6}
+    assert [rows["kern", i].lb_dist for i in range(7)] == [2, 1, 0, 0, 1, 0, 0]
+    assert rows["kern", 0].baseline_label == "deleted" and rows["chord", 1].outcome == "both_correct"
+
+
+def test_page_scores_without_a_join(spark):
+    """Records, chord scores and spine rates of a page come from one row of it."""
+    from neumes.operators import metrics
+
+    texts = spark.createDataFrame([(1, _page(7, 3), _page(7)), (2, _page(4), _page(4)), (3, "", _page(2))], "page int, p string, t string")
+    records = metrics.page_records(texts, ["page"], "p", "t")
+    assert "Join" not in records._jdf.queryExecution().executedPlan().toString()
+    found = {(r.page, r.metric): r.value for r in records.collect()}
+    assert len(found) == 24 and found[2, "cer"] == found[2, "chord_ser"] == 0 and found[3, "chord_ser"] == 100
+    assert round(found[1, "chord_ser"], 6) == round(300 / 7, 6)
+    spines = metrics.spine_report(texts, ["page"], "p", "t")
+    assert "Join" not in spines._jdf.queryExecution().executedPlan().toString()
+    assert {(r.spine, r.ler) for r in spines.where("page = 3").collect()} >= {("**kern", 100.0), ("**mxhm", 100.0)}
+
+
+def test_short_alignments_are_those_of_the_table():
+    """Lists of numbers take the same way, ties included, as whole tables do; nulls equal nothing."""
+    import random
+
+    import pyarrow as pa
+
+    from neumes.operators import alignment
+
+    draw = random.Random(5)
+    for _ in range(300):
+        p, t = ([draw.randrange(3) for _ in range(draw.randrange(9))] for _ in "ab")
+        assert alignment.short_steps(p, t) == alignment.steps(p, t)
+        assert alignment.common_length(p, t) == alignment.common_length([*p, *[7] * 40], [*t, *[8] * 40])
+    lists = [["a", None, "b"], [], None], [["b", None], ["a"], ["a", "a"]]
+    (sign, pairs) = alignment.coded(*(pa.array(x, pa.list_(pa.string())) for x in lists), "b")
+    pairs = list(pairs)
+    assert pairs[0][0][2] == pairs[0][1][0] == sign and pairs[0][0][1] != pairs[0][1][1]
+    assert [list(map(len, x)) for x in pairs] == [[3, 2], [0, 1], [0, 2]]
