@@ -127,22 +127,52 @@ def scaled_size(width: Column, height: Column, target: Column) -> Column:
     return F.struct(w.alias("width"), target.alias("height"))
 
 
-def width_pool(items: DataFrame, id_col: str, width: str, tolerance: float, by: tuple[str, ...] = ()) -> DataFrame:
+#: Buckets are so much wider than bands that rounding leaves no pair two buckets apart.
+SLACK = 1.0 + 1e-9
+
+
+def width_pool(items: DataFrame, id_col: str, width: str, tolerance: float, by: tuple[str, ...] = (), shares: int = 32) -> DataFrame:
     """(id, other): items whose width differs by at most ``tolerance`` times the first one's, itself included.
 
     Items meet in buckets, so that only near ones are compared: of the logarithm above 1,
     and of ``tolerance`` below, where it is measured against 1. All pairs are the result;
-    ``pool_sizes`` counts them without making them.
+    ``pool_sizes`` counts them without making them. The items of a bucket are dealt to
+    ``shares`` and each share meets the bucket by itself, so that few buckets take many tasks.
     """
-    step = log1p(tolerance)
+    step = log1p(tolerance) * SLACK
     w = F.col(width)
-    bucket = F.when(w > 1.0, F.floor(F.log(F.greatest(w, F.lit(1.0))) / step)).otherwise(F.floor((w - 1.0) / tolerance))
-    a = items.select(*by, F.col(id_col), w.alias("_w"), F.explode(F.array(bucket - 2, bucket - 1, bucket, bucket + 1)).alias("_k"))
-    b = items.select(*by, F.col(id_col).alias("other"), w.alias("_v"), bucket.alias("_k"))
-    near = a.join(b, [*by, "_k"]).where(F.abs(F.col("_v") - F.col("_w")) <= tolerance * F.greatest(F.col("_w"), F.lit(1.0)))
+    bucket = F.when(w > 1.0, F.floor(F.log(F.greatest(w, F.lit(1.0))) / step)).otherwise(F.floor((w - 1.0) / (tolerance * SLACK)))
+    keys = [*by, "_k", "_s"]
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = items.select(*by, F.col(id_col), w.alias("_w"), F.explode(F.array(bucket - 2, bucket - 1, bucket, bucket + 1)).alias("_k")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    b = items.select(*by, F.col(id_col).alias("other"), w.alias("_v"), bucket.alias("_k"), F.pmod(F.xxhash64(id_col), F.lit(shares)).cast("int").alias("_s"))
+    # pairs are many where rows are few: neither a broadcast side nor merged partitions may leave all of them to one task
+    near = a.repartition(tasks, *keys).join(b.repartition(tasks, *keys).hint("shuffle_hash"), keys).where(F.abs(F.col("_v") - F.col("_w")) <= tolerance * F.greatest(F.col("_w"), F.lit(1.0)))
     return near.select(*by, id_col, "other")
 
 
+#: Halvings after which the end of a band lies between doubles that no widths are between.
+HALVINGS = 100
+
+
+def band_end(w: Column, tolerance: float, side: int) -> Column:
+    """The last double on one side (-1 or 1) whose difference from ``w``, as it is computed, is within ``tolerance`` times ``w``, 1 at least.
+
+    The sum of ``w`` and that distance may be rounded past it or short of it. The test
+    only ever fails farther out, so the end is found by halving around the sum.
+    """
+    reach = tolerance * F.greatest(w, F.lit(1.0))
+    room = (F.abs(w) + reach) * 1e-12
+    within = lambda v: F.abs(v - w) <= reach
+
+    def half(s: Column, _: Column) -> Column:
+        middle = (s["a"] + s["b"]) / 2.0
+        return F.when(within(middle), F.struct(middle.alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), middle.alias("b")))
+
+    end = w + side * reach
+    return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct((end - side * room).alias("a"), (end + side * room).alias("b")), half)["a"]
+
+
 def pool_sizes(items: DataFrame, id_col: str, width: str, tolerance: float, parts: int = 256) -> DataFrame:
     """(id, pool): how many items each one's pool has, by running counts over sorted widths.
 
@@ -153,8 +183,7 @@ def pool_sizes(items: DataFrame, id_col: str, width: str, tolerance: float, part
     cuts = widths.approxQuantile("_w", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []  # at most ``parts`` numbers
     part = lambda x: F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>"), lambda c: c <= x))
     # at each place first the counts below it, then its own widths, then the counts up to it
-    reach = tolerance * F.greatest(F.col("_w"), F.lit(1.0))
-    asked = F.array(*(F.struct(x.alias("at"), F.lit(k).alias("kind"), c.alias("n")) for x, k, c in ((F.col("_w") - reach, 0, F.lit(0)), (F.col("_w"), 1, F.col("_c")), (F.col("_w") + reach, 2, F.lit(0)))))
+    asked = F.array(*(F.struct(x.alias("at"), F.lit(k).alias("kind"), c.alias("n")) for x, k, c in ((band_end(F.col("_w"), tolerance, -1), 0, F.lit(0)), (F.col("_w"), 1, F.col("_c")), (band_end(F.col("_w"), tolerance, 1), 2, F.lit(0)))))
     places = widths.select("_w", F.inline(asked)).withColumn("part", part(F.col("at")))
     before = places.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each part
     running = F.sum("n").over(Window.partitionBy("part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
