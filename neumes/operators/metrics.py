@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chords import parse_chord
+from ..functions.chords import chord_root, parse_chord
 from ..functions.distance import text_errors
 from ..functions.text import bag_matches, edit_distance, let, position_matches, precision_recall_f1, rate
 from .alignment import alignment_counts, common_subsequence, windowed_matches
@@ -74,7 +74,7 @@ def model_evaluation(predictions: DataFrame, kinds=KINDS) -> DataFrame:
 
 
 def roots(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: parse_chord(t)["root"])
+    return F.transform(tokens, chord_root)
 
 
 def root_scores(pairs: DataFrame, pred: str, truth: str, reach: int = 3) -> DataFrame:
