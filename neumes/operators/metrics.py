@@ -3,7 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chords import chord_root, parse_chord
+from ..functions.batches import chord_list, first_spine
+from ..functions.batches import roots as batch_roots
+from ..functions.chords import parse_chord
 from ..functions.distance import text_errors
 from ..functions.text import bag_matches, edit_distance, let, position_matches, precision_recall_f1, rate
 from .alignment import alignment_counts, common_subsequence, windowed_matches
@@ -74,7 +76,7 @@ def model_evaluation(predictions: DataFrame, kinds=KINDS) -> DataFrame:
 
 
 def roots(tokens: Column) -> Column:
-    return F.transform(tokens, chord_root)
+    return batch_roots(tokens)
 
 
 def root_scores(pairs: DataFrame, pred: str, truth: str, reach: int = 3) -> DataFrame:
@@ -206,13 +208,9 @@ def page_records(pairs: DataFrame, keys: list[str], pred: str = "pred_text", tru
     Where a chord spine is missing or empty, chord rates are ``missing``; null
     leaves them out of means.
     """
-    from .notation import chord_tokens, first_spine_text, spine_text
-
     rows = pairs.select(*keys, F.col(pred).alias("_p"), F.col(truth).alias("_t"))
-    tokens = lambda c: chord_tokens(F.coalesce(spine_text(F.col(c), "**mxhm"), F.lit("")))
-    made = {"_pk": first_spine_text(F.col("_p")), "_tk": first_spine_text(F.col("_t")), "_pt": tokens("_p"), "_tt": tokens("_t")}
-    # a generator of one row keeps these expressions apart from the functions that use them several times
-    rows = rows.select(*keys, "_p", "_t", F.inline_outer(F.array(F.struct(*(c.alias(n) for n, c in made.items())))))
+    made = {"_pk": first_spine(F.col("_p")), "_tk": first_spine(F.col("_t")), "_pt": chord_list(F.col("_p")), "_tt": chord_list(F.col("_t"))}
+    rows = rows.withColumns(made)
     rows = rows.withColumns({"_whole": text_errors(F.col("_p"), F.col("_t"), KINDS), "_kern": text_errors(F.col("_pk"), F.col("_tk"), KINDS)})
     rates = [rate(F.col(of)[f"{k}_errors"], F.col(of)[f"{k}_total"]).alias(f"{prefix}{k}") for of, prefix in (("_whole", ""), ("_kern", "kern_")) for k in KINDS]
     scored = page_chord_metrics(rows.select(*keys, "_pt", "_tt", *rates), "_pt", "_tt")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from neumes.functions import batches
+from neumes.functions.chords import chord_root
 from neumes.functions.text import strip
 from neumes.operators import alignment, notation
 from neumes.plans import QUERIES
@@ -74,3 +75,34 @@ def test_lines_are_cut_by_batches(spark, name):
     """No function goes through the lines of one page after another."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan.replace("split(lambda", "").split("ArrowEvalPython")[-1], name
+
+
+
+def test_first_spines_and_roots_of_odd_texts(spark):
+    rows = spark.createDataFrame(list(enumerate(odd_texts())), "id long, text string")
+    found = rows.select("text", notation.first_spine_text(F.col("text")).alias("want"), batches.first_spine(F.col("text")).alias("got"), notation.chord_tokens(F.coalesce(notation.spine_text(F.col("text"), "**mxhm"), F.lit(""))).alias("tokens"), batches.chord_list(F.col("text")).alias("list"), notation.spine_tokens(F.col("text")).alias("kern"), batches.note_list(F.col("text")).alias("notes")).collect()
+    for r in found:
+        assert (r.got, r.list, r.notes) == (r.want, r.tokens, r.kern), repr(r.text)
+    signs = ["C", "C:maj", " g# :min/B", "Bb", "b-:7", "BB:7", "", ".", "N.C.", " NC ", "H:maj", ":maj", "/G", "#", "eb#", "　f:6", "é:7", None]
+    got = spark.createDataFrame([(signs,), (None,), ([],)], "t array<string>").select(F.transform("t", chord_root).alias("want"), batches.roots(F.col("t")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+@pytest.mark.parametrize("name", ["page_records", "spine_rates"])
+def test_texts_of_pages_are_cut_by_batches(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "btrim(" not in plan, name
+
+
+def test_models_are_evaluated_in_one_pass(spark):
+    """Texts of both models come of one pass over the notes: lineitem is read once for each of both sides of the result's join."""
+    assert QUERIES["model_evaluation"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Window [row_number()") <= 2
+
+
+def test_characters_without_signs_are_those_of_the_words():
+    from neumes.functions.distance import symbols
+
+    for text in ["", " ", "a b", "a\tb\nc  d", "\n\n\t", "é 😀\n", "x<b>y", "a <t> b\n"]:
+        words = text.replace("\n", " <b> ").replace("\t", " <t> ").split(" ")
+        want = [c for w in words for c in ([w] if w in ("<b>", "<t>") else w)]
+        assert [{"\U0010fffe": "<b>", "\U0010ffff": "<t>"}.get(c, c) for c in symbols(text, "cer")] == want
