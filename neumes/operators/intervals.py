@@ -58,14 +58,17 @@ def symbol_recall(truth: DataFrame, pred: DataFrame, key: str, mapping=lambda c:
 
 def vocabulary_recalls(truth: DataFrame, pred: DataFrame, key: str, width: float | None = None) -> DataFrame:
     """(key, vocabulary, csr) for each chord vocabulary; spans are joined once."""
-    labels = lambda c: let(parse_chord(c), lambda p: F.array(*(F.struct(F.lit(n).alias("v"), f(p).alias("x")) for n, f in VOCABULARIES.items())))
-    flat = truth.select(key, "duration", F.inline(labels(F.col("label"))))
-    totals = flat.groupBy(key, "v").agg(F.coalesce(F.sum(F.when(F.col("x").isNotNull(), F.col("duration"))), F.lit(0.0)).alias("total"))
-    met = overlaps(truth, pred, key, width).select(key, "overlap", labels(F.col("label")).alias("a"), labels(F.col("other_label")).alias("b"))
-    pairs = met.select(key, "overlap", F.inline(F.zip_with("a", "b", lambda a, b: F.struct(a["v"].alias("v"), (a["x"] == b["x"]).alias("same")))))
-    equal = pairs.groupBy(key, "v").agg(F.sum(F.when(F.col("same"), F.col("overlap")).otherwise(0.0)).alias("compared"))
-    out = totals.join(equal, [key, "v"], "left")
-    return out.select(key, F.col("v").alias("vocabulary"), rate(F.coalesce("compared", F.lit(0.0)), F.col("total"), 0).alias("csr"))
+    names = list(VOCABULARIES)
+    # a label is read where its span is made: pairs carry an array of what it stands for in each vocabulary (fields of a struct would each be read anew)
+    mapped = lambda d: d.withColumn("label", let(parse_chord(F.col("label")), lambda p: F.array(*(f(p) for f in VOCABULARIES.values()))))
+    left, right = mapped(truth), mapped(pred)
+    total = lambda n: F.coalesce(F.sum(F.when(F.get("label", F.lit(names.index(n))).isNotNull(), F.col("duration"))), F.lit(0.0)).alias(f"total_{n}")
+    totals = left.groupBy(key).agg(*map(total, names))
+    compared = lambda n: F.sum(F.when(F.get("label", F.lit(names.index(n))) == F.get("other_label", F.lit(names.index(n))), F.col("overlap")).otherwise(0.0)).alias(f"same_{n}")
+    equal = overlaps(left, right, key, width).groupBy(key).agg(*map(compared, names))
+    # one row a key until the vocabularies are told apart
+    rows = F.array(*(F.struct(F.lit(n).alias("vocabulary"), rate(F.coalesce(f"same_{n}", F.lit(0.0)), F.col(f"total_{n}"), 0).alias("csr")) for n in names))
+    return totals.join(equal, key, "left").select(key, F.inline(rows))
 
 
 def directional_hamming(left: DataFrame, right: DataFrame, key: str, width: float | None = None) -> DataFrame:

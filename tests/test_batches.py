@@ -106,3 +106,8 @@ def test_characters_without_signs_are_those_of_the_words():
         words = text.replace("\n", " <b> ").replace("\t", " <t> ").split(" ")
         want = [c for w in words for c in ([w] if w in ("<b>", "<t>") else w)]
         assert [{"\U0010fffe": "<b>", "\U0010ffff": "<t>"}.get(c, c) for c in symbols(text, "cer")] == want
+
+
+def test_pairs_of_spans_carry_labels_that_were_read_before(spark):
+    """Labels are not read anew for each pair of spans and vocabulary, nor pairs dealt to vocabularies before they are summed up."""
+    assert "zip_with" not in QUERIES["vocabulary_csr"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
