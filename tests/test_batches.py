@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from neumes.functions import batches
+from neumes.functions import batches, tokens
 from neumes.functions.chords import chord_root
 from neumes.functions.text import strip
 from neumes.operators import alignment, notation
@@ -111,3 +111,30 @@ def test_characters_without_signs_are_those_of_the_words():
 def test_pairs_of_spans_carry_labels_that_were_read_before(spark):
     """Labels are not read anew for each pair of spans and vocabulary, nor pairs dealt to vocabularies before they are summed up."""
     assert "zip_with" not in QUERIES["vocabulary_csr"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+FIELDS = ["", ".", "*", "*v", "4.cc#X", "8d 音😀", "C:maj7(9,#11)/G", "D-:7", "C", "A/B-:7", "C:7(addb9)", "C:7(9#)(b5)", "G:7/none", "C:7()", "::x/", "#-b", "=3", "a=b", "!LO:x", "*Ix", "*F:2", " 5", "7XX", "N.C."]
+
+
+def token_texts(n=400):
+    draw = random.Random(5)
+    line = lambda: "\t".join(draw.choices(FIELDS, k=draw.choice([1, 2, 2, 2, 3])))
+    some = lambda: [draw.choice([line(), line(), line(), "!!linebreak:original", "!!linebreak:original", "X", "!!pagebreak:x", "**kern\t**mxhm"]) for _ in range(draw.randint(0, 9))]
+    ends = ["", "\n", "\r", "\n\n", " ", "\n!!linebreak:original\r", "\n!!linebreak:original"]
+    return [None, "", "\n", "!!linebreak:original", *("\n".join(some()) + draw.choice(ends) for _ in range(n))]
+
+
+def test_tokens_of_all_levels_are_those_of_the_rules(spark):
+    rows = spark.createDataFrame(list(enumerate(token_texts())), "id long, text string")
+    x, levels = F.col("text"), ("word", "character", "medium")
+    want = [F.array_join(tokens.tokenize(x, n), " ").alias(n) for n in levels] + [F.array_join(tokens.page_tokens(x, "medium"), " ").alias("page")]
+    got = rows.select("text", F.struct(*want).alias("w"), batches.token_texts(x).alias("g"), *(tokens.tokenize(x, n).alias(f"w_{n}") for n in levels), *(batches.tokenize(x, n).alias(f"g_{n}") for n in levels)).collect()
+    for r in got:
+        assert r.g == r.w, repr(r.text)
+        for n in levels:
+            assert r[f"g_{n}"] == r[f"w_{n}"], (n, repr(r.text))
+
+
+def test_levels_and_round_trips_of_pages_are_cut_by_batches(spark):
+    for name in ("token_levels", "token_round_trip"):
+        assert "ArrowEvalPython" in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString(), name
