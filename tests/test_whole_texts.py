@@ -188,3 +188,32 @@ def test_short_alignments_are_those_of_the_table():
     pairs = list(pairs)
     assert pairs[0][0][2] == pairs[0][1][0] == sign and pairs[0][0][1] != pairs[0][1][1]
     assert [list(map(len, x)) for x in pairs] == [[3, 2], [0, 1], [0, 2]]
+
+
+def test_distances_side_by_side_are_those_of_single_pairs():
+    draw = random.Random(11)
+    pairs = [("", ""), ("", "a" * 99), ("ab" * 40, "ab" * 40), ("\ud800a" * 60, "b\ud800" * 70)]
+    for _ in range(300):
+        letters = draw.choice(["ab", "abcdefghij", "abcdefghijklmnopqrstuvwxyz é😀"])
+        b = "".join(draw.choices(letters, k=draw.choice([40, 50, 63, 64, 65, 128, 129, 300, 700])))
+        lost = draw.choice([0.02, 0.1, 0.4])
+        a = "".join(draw.choice(letters) if draw.random() < 0.1 else c for c in b if draw.random() > lost) + "".join(draw.choices(letters, k=draw.choice([0, 5, 90])))
+        a = draw.choice([a, b[len(b) // 3 :] + b[: len(b) // 3], a + b])
+        a, b = draw.choice([(a, b), (b, a), (list(a), list(b))])
+        pairs.append((a, b))
+    want = [whole.distance(a, b) for a, b in pairs]
+    assert whole.distances(iter(pairs)) == want
+    coded = [(whole._coded(*sorted(p, key=len)), w) for p, w in zip(pairs, want) if p[0] and p[1]]
+    assert whole._side_by_side([c for c, _ in coded], [len(c[0]) for c, _ in coded]) == [w for _, w in coded]
+    narrow = [min(16, len(c[0])) for c, _ in coded]
+    found = whole._side_by_side([c for c, _ in coded], narrow)
+    assert all(w <= f <= whole._within_band(c[0].tolist(), c[1].tolist(), low) for f, low, (c, w) in zip(found, narrow, coded))
+
+
+def test_long_texts_wait_to_be_measured_together(monkeypatch):
+    """Pairs held and measured in several turns keep their keys."""
+    monkeypatch.setattr(whole, "HELD", 3000)
+    draw = random.Random(2)
+    texts = ["".join(draw.choices("abcdef", k=400)) for _ in range(60)]
+    pairs = [(x, y.replace("a", "")) for x, y in zip(texts, texts[1:])]
+    assert whole.distances(pairs) == [whole.distance(x, y) for x, y in pairs]
