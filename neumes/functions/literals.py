@@ -7,11 +7,16 @@ quotes and escapes, the rest JSON's names and brackets. Nothing is evaluated.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 _STRING = r"'(?:[^'\\\n]|\\[\s\S])*+'" + "|" + r'"(?:[^"\\\n]|\\[\s\S])*+"'
 _PIECES = rf"""({_STRING}|[^'"]++)"""
 #: An escape with its digits, a quote or control character, or anything else up to the next of these.
 _UNITS = r"""(\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\[0-7]{1,3}|\\[\s\S]|["\x00-\x1F]|[^\\"\x00-\x1F]++)"""
 
+#: What the short way does not read: control characters, and escapes that JSON has not.
+_RARE = r"""[\x00-\x1F]|\\[^nrtbf\\'"]"""
+
 
 def _hex4(code: Column) -> Column:
     return F.concat(F.lit("\\u"), F.lpad(F.hex(code), 4, "0"))
@@ -58,9 +63,29 @@ def literal_json(text: Column) -> Column:
     prefixed and triple-quoted strings, sets, complex numbers and single values in
     brackets; what comes of them may be no JSON, which ``literal`` gives null for.
     """
-    pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(1))
-    json = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^['\"]"), _string(p)).otherwise(_between(p))), "")
-    return F.when(F.length(F.array_join(pieces, "")) == F.length(text), json)
+    return let(text, lambda whole: let(F.regexp_extract_all(whole, F.lit(_PIECES), F.lit(1)), lambda pieces: F.when(F.length(F.array_join(pieces, "")) == F.length(whole), F.when(whole.rlike(_RARE), _by_pieces(pieces)).otherwise(_at_once(pieces)))))
+
+
+def _is_string(piece: Column) -> Column:
+    return F.substring(piece, 1, 1).isin("'", '"')
+
+
+def _by_pieces(pieces: Column) -> Column:
+    return F.array_join(F.transform(pieces, lambda p: F.when(_is_string(p), _string(p)).otherwise(_between(p))), "")
+
+
+def _at_once(pieces: Column) -> Column:
+    """As ``_by_pieces`` without rare signs: what stands between strings is read in one go, with a NUL for each string, which no rule takes for a part of anything."""
+    between = _between(F.array_join(F.transform(pieces, lambda p: F.when(_is_string(p), "\0").otherwise(p)), ""))
+    strings = F.concat(F.transform(F.filter(pieces, _is_string), _common_string), F.array(F.lit("")))
+    return F.array_join(F.zip_with(F.split(between, "\0", -1), strings, lambda b, s: F.concat(b, s)), "")
+
+
+def _common_string(piece: Column) -> Column:
+    """As ``_string`` where all escapes are JSON's, or those of quotes."""
+    inner = F.substring(piece, F.lit(2), F.length(piece) - 2)
+    bare = F.when(F.contains(inner, F.lit("\\")), F.regexp_replace(inner, r"""(\\[^'"])|\\(['"])""", "$1$2")).otherwise(inner)
+    return F.concat(F.lit('"'), F.replace(bare, F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
 def literal(text: Column) -> Column:

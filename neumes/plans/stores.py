@@ -122,7 +122,8 @@ def annotation_decode(spark, sf_dir):
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sys", one.alias("x")))), lambda x: x["x"]), ", ")
     path = scratch(spark, "annotations")
     systems.groupBy(F.col("page").alias("page_id")).agg(F.concat(F.lit("{'systems': ["), parts, F.lit("], 'seen': True}")).alias("annotation")).write.parquet(path)
-    rows = scans.annotations(spark, path).select("page_id", F.inline("systems"))
+    # an inner one would read each annotation again to filter pages without systems before
+    rows = scans.annotations(spark, path).select("page_id", F.inline_outer("systems")).where("idx IS NOT NULL")
     return rows.select("page_id", long("idx").alias("idx"), long("bounding_box.fromX").alias("from_x"), long("bounding_box.toY").alias("to_y"), F.md5(F.col("kern").cast("binary")).alias("kern_md5"))
 
 

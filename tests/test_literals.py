@@ -66,3 +66,25 @@ def test_no_literals(spark, text):
 
 def test_nulls(spark):
     assert spark.createDataFrame([(None,)], "t string").select(literal_json(F.col("t")), literal(F.col("t"))).first() == (None, None)
+
+
+def test_the_short_way_gives_what_the_pieces_give(spark):
+    """Texts without rare signs are read at once, and as piece by piece."""
+    from neumes.functions import literals
+
+    rng = random.Random(9)
+    parts = ["'a'", "'it\\'s'", '"say \\"x\\""', "'\"'", "'\\\\'", "'\\\\\\'\"'", "'\\n\\t'", "None", "True", "xNone", "(1, )", "{1: 'a', }", "-2 :", ".5", "5.", "1.5", ", ]", ",}", " : ", "[", "]", "{", "}", ", ", "''", "'$1\\\\n'", "é音😀", "'é'", "\\n", "\\x41", "'\\x41'", "\n", "\0", "'\0'", "\\", "'"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(1500)]
+    pieces = F.regexp_extract_all("t", F.lit(literals._PIECES), F.lit(1))
+    slow = F.when(F.length(F.array_join(pieces, "")) == F.length("t"), literals._by_pieces(pieces))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", slow.alias("want"), literal_json(F.col("t")).alias("got"), F.col("t").rlike(literals._RARE).alias("rare")).collect()
+    assert all(r.want == r.got for r in rows), [r for r in rows if r.want != r.got][:3]
+    assert sum(not r.rare and r.got is not None for r in rows) > 100
+
+
+def test_annotations_are_read_once(spark):
+    """No filter before the systems are unfolded reads the annotation as well."""
+    from neumes.plans import QUERIES
+
+    plan = QUERIES["annotation_decode"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get") == 1
