@@ -138,3 +138,12 @@ def test_tokens_of_all_levels_are_those_of_the_rules(spark):
 def test_levels_and_round_trips_of_pages_are_cut_by_batches(spark):
     for name in ("token_levels", "token_round_trip"):
         assert "ArrowEvalPython" in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_spines_of_odd_texts(spark):
+    texts = [*odd_texts(), "**a\t**a\t**b\n1\t2\t3\n4", "**b\t**a\n**a\t**c\n1\t2\n3", "**a\t x\t**\n\n1\t2\t3\n!c\t1\n <eos>\n<eos>5\t6"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for r in rows.select("text", notation.spine_columns(F.col("text")).alias("want"), batches.spines(F.col("text")).alias("got")).collect():
+        assert r.got == r.want, repr(r.text)
+    ordered = lambda f: sorted(map(tuple, f(rows, "id").collect()))
+    assert ordered(notation.batch_spines) == ordered(notation.spines)
