@@ -147,3 +147,9 @@ def test_spines_of_odd_texts(spark):
         assert r.got == r.want, repr(r.text)
     ordered = lambda f: sorted(map(tuple, f(rows, "id").collect()))
     assert ordered(notation.batch_spines) == ordered(notation.spines)
+
+
+def test_blocks_of_pages_are_cut_once(spark):
+    for name, function in (("system_pages", "inline"), ("spine_tokens_long", "ArrowEvalPython")):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert function in plan, name
