@@ -153,3 +153,18 @@ def test_blocks_of_pages_are_cut_once(spark):
     for name, function in (("system_pages", "inline"), ("spine_tokens_long", "ArrowEvalPython")):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert function in plan, name
+
+
+def test_words_go_back_to_the_text_of_the_rules(spark):
+    odd = ["a<t>b\t<n>c", "<s>\t<\tt>", "<chord-pitch>C<chord-ex<chord-pitch>tension>9\t=12=3 =x4", "a<linebreak>b\n=7\t=07", "=\t==5\n\n=٣", "<<t>n>\t<"]
+    rows = spark.createDataFrame(list(enumerate([*token_texts(), *odd])), "id long, text string")
+    w = tokens.tokenize(F.col("text"), "word")
+    bars = F.array_join(F.transform(F.filter(w, lambda x: x.startswith("=")), tokens.without_bar_numbers), " ")
+    for r in rows.select("text", F.struct(tokens.detokenize(w).alias("text"), bars.alias("bars")).alias("want"), batches.word_round_trip(F.col("text")).alias("got")).collect():
+        want = None if r.text is None else r.want
+        assert (r.got.text, r.got.bars) == ((None, None) if want is None else (want.text, want.bars)), repr(r.text)
+
+
+def test_round_trips_make_no_lists_of_words_and_shuffle_notes_once(spark):
+    plan = QUERIES["token_round_trip"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == 1 and "transform(" not in plan and plan.count("ArrowEvalPython") == 1
