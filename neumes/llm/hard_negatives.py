@@ -3,7 +3,11 @@
 Vectors become whole numbers. A codebook for each pair of components, fitted on a
 bounded sample, turns a vector into one byte a pair; beside the codes stands the
 norm of what each code leaves over. Rows are packed into blocks of some thousand.
-Anchors, in blocks of their own, meet every block of rows once in each of two passes:
+Anchors, in blocks of their own, meet every block of rows once in each of two passes.
+For that, rows are dealt to shares and anchors to groups of bounded size; a task has a
+share and a group: it holds the group's anchors and takes the share's blocks one by one.
+So anchors are copied once a share, rows once a group, by a shuffle and never by way of
+the driver. The passes look for
 
 1. positives: the best rows of an anchor's label;
 2. negatives: for each positive, the best rows of other labels within a window of scores.
@@ -11,9 +15,10 @@ Anchors, in blocks of their own, meet every block of rows once in each of two pa
 In a block, tables of products of the anchor with the code words give a score for
 each row, which is off by no more than sum |anchor part| * |left over part| (Cauchy-
 Schwarz in each pair). A row whose upper bound is below the lower bounds of as many
-sure rows as are wanted, or whose bounds miss the window, can't be among those asked
-for; all others are scored exactly, in whole numbers. So the codebook, and the sample
-that it was fitted on, decide how many rows are scored twice but never the result.
+sure rows as are wanted, or below as many scores met before, or whose bounds miss the
+window, can't be among those asked for; all others are scored exactly, in whole numbers.
+So the codebook, and the sample that it was fitted on, decide how many rows are scored
+twice but never the result.
 """
 
 import math
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import limit_batches, written
+from .common import lean, limit_batches, written
 
 #: Components beyond this would overflow exact scores.
 LARGEST = 1 << 22
@@ -111,86 +116,114 @@ class Block:
         self.codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, pairs)
         self.left = np.frombuffer(row["left"], np.float32).reshape(-1, pairs).astype(np.float64)
 
-    def bounds(self, anchors: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, anchors: np.ndarray, book: np.ndarray, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of the scores, (anchors, rows)."""
-        near, off = np.zeros((len(self.ids), len(anchors))), np.zeros((len(anchors), len(book)))
+        near, off = np.empty((len(anchors), len(self.ids))), np.empty((len(anchors), len(book)))
+        tables = []  # for each pair the products of all anchors, a row for each word
         for s, words in enumerate(book):
             part = anchors[:, s * _PAIR : s * _PAIR + _PAIR].astype(np.float64)
-            near += np.take(words @ part.T, self.codes[:, s], axis=0)  # the look-up table of all anchors, a row for each word
+            tables.append(words @ part.T)
             off[:, s] = np.sqrt((part * part).sum(1))
-        slack = off @ self.left.T
-        slack += 1e-9 * (off @ (self.left + np.sqrt((book * book).sum(2)).max(1)).T) + 1e-6  # rounding of the sums
-        near = near.T
+        for at in range(0, len(self.ids), tile):  # sums of a tile stay in the processor's cache
+            codes = self.codes[at : at + tile]
+            sums, looked = np.zeros((len(codes), len(anchors))), np.empty((len(codes), len(anchors)))
+            for s, products in enumerate(tables):
+                np.take(products, codes[:, s], axis=0, out=looked, mode="clip")
+                sums += looked
+            near[:, at : at + tile] = sums.T
+        slack = (1 + 1e-9) * (off @ self.left.T)
+        slack += 1e-9 * (off @ np.sqrt((book * book).sum(2)).max(1))[:, None] + 1e-6  # rounding of the sums
         return near - slack, near + slack
 
 
-def _best(block: Block, anchor: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray, most: int, window: tuple[int, int] | None = None):
-    """Places and exact scores of the first ``most`` of ``rows``, by score and then id, inside (50, 95)-scaled window bounds if any."""
-    if window is not None:
-        least, largest = window  # 100 * score has to lie between
-        rows = rows[(100 * high[rows] >= least) & (100 * low[rows] <= largest)]
-        sure = rows[(100 * low[rows] >= least) & (100 * high[rows] <= largest)]
-    else:
-        sure = rows
-    if len(sure) > most:
-        bar = np.partition(low[sure], len(sure) - most)[len(sure) - most]
-        rows = rows[high[rows] >= bar]
-    scores = block.vectors[rows] @ anchor
-    if window is not None:
-        inside = (100 * scores >= least) & (100 * scores <= largest)
-        rows, scores = rows[inside], scores[inside]
-    first = np.lexsort((block.ids[rows], -scores))[:most]
-    return rows[first], scores[first]
-
-
-def _positives(book: np.ndarray, width: int, most: int):
-    """For each pair of an anchor block and a block: the best rows of each anchor's label."""
+_NONE = np.iinfo(np.int64).min
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row, width)
-                anchors = np.frombuffer(row["a_vectors"], np.int32).reshape(-1, width).astype(np.int64)
-                ids, labels = np.frombuffer(row["a_ids"], np.int64), np.frombuffer(row["a_labels"], np.int64)
-                low, high = block.bounds(anchors, book)
-                of = {x: np.flatnonzero(block.labels == x) for x in set(labels.tolist())}
-                out = []
-                for k in range(len(ids)):
-                    rows = of[int(labels[k])]
-                    rows, scores = _best(block, anchors[k], rows[block.ids[rows] != ids[k]], low[k], high[k], most)
-                    out += [(int(ids[k]), int(i), int(s)) for i, s in zip(block.ids[rows], scores)]
-                yield pa.record_batch([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=["anchor_id", "positive_id", "positive_score"])
 
-    return run
+class Asked:
+    """A block of anchors, and for each question about them the first ``most`` rows so far, by score and then id.
 
+    A question is a place of an anchor and the least and the largest score that count. Without
+    ``percents``, there is one for each anchor, about other rows of its label; with them, one for
+    each different positive score of an anchor, about rows of other labels within these of it.
+    """
 
-def _negatives(book: np.ndarray, width: int, most: int, low_share: int, high_share: int):
-    """For each pair of an anchor block and a block: the best rows of other labels in the window of each positive."""
+    def __init__(self, row: dict, width: int, most: int, percents: tuple[int, int] | None):
+        self.ids, self.labels = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["labels"], np.int64)
+        self.vectors = np.frombuffer(row["vectors"], np.int32).reshape(-1, width)
+        self.same, self.positives, asked = percents is None, [], {}
+        if self.same:
+            asked = {(k, _NONE, -_NONE - 1): k for k in range(len(self.ids))}
+        else:
+            for k, found in enumerate(row["positives"]):
+                for place, p in enumerate(found):
+                    least, largest = -(-percents[0] * p["score"] // 100), percents[1] * p["score"] // 100
+                    if least <= largest:  # below zero no score is between
+                        self.positives.append((k, place, p["id"], p["score"], asked.setdefault((k, least, largest), len(asked))))
+            self.positives = np.array(self.positives, np.int64).reshape(-1, 5)
+        self.of, self.least, self.largest = np.array(list(asked), np.int64).reshape(-1, 3).T
+        self.found, self.scores = np.zeros((len(asked), most), np.int64), np.full((len(asked), most), _NONE)
+        self.count = np.zeros(len(asked), np.int64)
+
+    def meet(self, block: Block, book: np.ndarray) -> None:
+        """Takes the rows of a block into account."""
+        anchors, most = self.vectors.astype(np.int64), self.scores.shape[1]
+        low, high = block.bounds(anchors, book)
+        for q, (k, least, largest) in enumerate(zip(self.of, self.least, self.largest)):
+            may = high[k] >= max(least, self.scores[q, -1])
+            if not self.same:
+                may &= low[k] <= largest
+            rows = np.flatnonzero(may)
+            rows = rows[(block.labels[rows] == self.labels[k]) == self.same]
+            rows = rows[block.ids[rows] != self.ids[k]]
+            sure = rows if self.same else rows[(low[k, rows] >= least) & (high[k, rows] <= largest)]
+            if len(sure) > most:
+                bar = np.partition(low[k, sure], len(sure) - most)[len(sure) - most]
+                rows = rows[high[k, rows] >= bar]
+            if not len(rows):
+                continue
+            scores = block.vectors[rows] @ anchors[k]
+            inside = (scores >= least) & (scores <= largest)
+            n = self.count[q]
+            ids, scores = np.concatenate([self.found[q, :n], block.ids[rows[inside]]]), np.concatenate([self.scores[q, :n], scores[inside]])
+            first = np.lexsort((ids, -scores))[:most]
+            self.count[q] = n = len(first)
+            self.found[q, :n], self.scores[q, :n] = ids[first], scores[first]
+
+    def answers(self) -> list[np.ndarray]:
+        """Columns: of positives the anchor's id, id and score; of negatives the anchor's id, the positive's place, id and score, id and score."""
+        there = np.arange(self.scores.shape[1]) < self.count[:, None]
+        if self.same:
+            q, n = np.nonzero(there)
+            return [self.ids[self.of[q]], self.found[q, n], self.scores[q, n]]
+        k, place, ids, scores, q = self.positives.T
+        p, n = np.nonzero(there[q])
+        return [self.ids[k[p]], place[p], ids[p], scores[p], self.found[q[p], n], self.scores[q[p], n]]
+
+
+def _meeting(book: np.ndarray, width: int, most: int, names: list[str], percents: tuple[int, int] | None = None):
+    """Of each cell, whose blocks of anchors come before those of rows, the first ``most`` rows for each question."""
 
     def run(batches):
+        cell, asked = None, []
+
+        def ended():
+            for a in asked:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in a.answers()], names=names)
+
         for batch in batches:
             for row in batch.to_pylist():
-                block = Block(row, width)
-                anchors = np.frombuffer(row["a_vectors"], np.int32).reshape(-1, width).astype(np.int64)
-                ids, labels = np.frombuffer(row["a_ids"], np.int64), np.frombuffer(row["a_labels"], np.int64)
-                positives = row["positives"]
-                low, high = block.bounds(anchors, book)
-                other = {x: np.flatnonzero(block.labels != x) for x in set(labels.tolist())}
-                out = []
-                for k in range(len(ids)):
-                    found: dict = {}
-                    for place, p in enumerate(positives[k]):
-                        window = (low_share * p["score"], high_share * p["score"])
-                        if window[0] > window[1]:
-                            continue  # below zero no score is between
-                        if window not in found:
-                            found[window] = _best(block, anchors[k], other[int(labels[k])], low[k], high[k], most, window)
-                        rows, scores = found[window]
-                        out += [(int(ids[k]), place, p["id"], p["score"], int(i), int(s)) for i, s in zip(block.ids[rows], scores)]
-                names = ["anchor_id", "place", "positive_id", "positive_score", "negative_id", "negative_score"]
-                yield pa.record_batch([pa.array([r[c] for r in out], pa.int64()) for c in range(6)], names=names)
+                if row["cell"] != cell:
+                    yield from ended()
+                    cell, asked = row["cell"], []
+                if row["slot"] is None:
+                    asked.append(Asked(row, width, most, percents))
+                else:
+                    block = Block(row, width)
+                    for a in asked:
+                        a.meet(block, book)
+        yield from ended()
 
-    return run
+    return lean(run)
 
 
 def _anchor_blocks(anchors: DataFrame, blocks: int, width: int, *more: str) -> DataFrame:
@@ -209,21 +242,22 @@ def _anchor_blocks(anchors: DataFrame, blocks: int, width: int, *more: str) -> D
                 vectors = _matrix(part("x"), width).astype(np.int32).tobytes()
                 columns = [np.asarray(part("vec_id")).tobytes(), np.asarray(part("label")).tobytes(), vectors]
                 yield pa.record_batch([batch.column(0)[k : k + 1], *(pa.array([c], pa.binary()) for c in columns), *(pa.array([part(f).to_pylist()], pa.list_(part(f).type)) for f in more)],
-                                      names=["block", "a_ids", "a_labels", "a_vectors", *more])
+                                      names=["block", "ids", "labels", "vectors", *more])
 
     kinds = "".join(f", {f} array<{anchors.schema[f].dataType.simpleString()}>" for f in more)
-    return lists.mapInArrow(run, f"block long, a_ids binary, a_labels binary, a_vectors binary{kinds}")
+    return lists.mapInArrow(run, f"block long, ids binary, labels binary, vectors binary{kinds}")
 
 
 def hard_negatives(
     rows: DataFrame, anchors_of: int = 50, positives: int = 5, negatives: int = 3, low_share: int = 50, high_share: int = 95,
-    block_rows: int = 4096, block_anchors: int = 256, sample: int = 4096, scale: int = 256, relabel_every: int = 7, labels: int = 10,
+    block_rows: int = 4096, block_anchors: int = 256, group_bytes: int = 32 << 20, sample: int = 4096, scale: int = 256, relabel_every: int = 7, labels: int = 10,
 ) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
     Anchors are the rows whose id ``anchors_of`` divides: a stated query set, which in
-    blocks meets all rows in blocks. ``sample`` bounds the rows on which the codebook is
-    fitted; every row is indexed. An anchor without another row of its label, or whose
+    blocks meets all rows in blocks; a task holds some ``group_bytes`` of them and of
+    what they have met. ``sample`` bounds the rows on which the codebook is fitted; every
+    row is indexed. An anchor without another row of its label, or whose
     windows are empty, has no rows; ties go to the smaller vec_id; equal vectors are
     rows of their own. ``whole_vectors`` says which rows take part. Empty tables give
     an empty result.
@@ -241,17 +275,28 @@ def hard_negatives(
     packed = written(slotted.select("slot", "vec_id", "label", "x").groupBy("slot").applyInArrow(_packer(book, width), _PACKED), "blocks")
     anchors = known.filter(F.col("vec_id") % anchors_of == 0)
 
-    def met(anchor_blocks: DataFrame) -> DataFrame:
-        """Each block of anchors at each block of rows: as many rows as pairs of blocks."""
-        return anchor_blocks.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).join(packed, "slot").drop("block", "slot")
+    held = block_anchors * (4 * width + positives * (80 + 16 * negatives))  # bytes of a block of anchors
+    groups = math.ceil(blocks / max(1, group_bytes // held))
+    shares = min(slots, max(16, 4 * spark.sparkContext.defaultParallelism))
+    cell = lambda share, group: (share * groups + group).cast("int").alias("cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    near = met(_anchor_blocks(anchors, blocks, width)).mapInArrow(_positives(book, width, positives), "anchor_id long, positive_id long, positive_score long")
+    def met(anchor_blocks: DataFrame) -> DataFrame:
+        """A cell for each share of the rows and group of anchors: first its blocks of anchors, without slot, then its blocks of rows."""
+        asking = anchor_blocks.withColumn("share", every(shares)).withColumn("cell", cell(F.col("share"), F.pmod("block", F.lit(groups)))).drop("block", "share")
+        there = packed.withColumn("group", every(groups)).withColumn("cell", cell(F.pmod("slot", F.lit(shares)), F.col("group"))).drop("group")
+        together = there.unionByName(asking, allowMissingColumns=True).repartitionById(shares * groups, "cell")
+        return together.sortWithinPartitions("cell", F.asc_nulls_first("slot"))
+
+    names = ["anchor_id", "positive_id", "positive_score"]
+    near = met(_anchor_blocks(anchors, blocks, width)).mapInArrow(_meeting(book, width, positives, names), "anchor_id long, positive_id long, positive_score long")
     ranked = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     near = near.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= positives)
     lists = near.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("place", F.col("positive_id").alias("id"), F.col("positive_score").alias("score")))).alias("positives"))
-    asked = written(anchors.join(lists, F.col("vec_id") == F.col("anchor_id")).drop("anchor_id"), "anchors")
+    asked = written(anchors.join(lists.hint("merge"), F.col("vec_id") == F.col("anchor_id")).drop("anchor_id"), "anchors")
     schema = "anchor_id long, place long, positive_id long, positive_score long, negative_id long, negative_score long"
-    far = met(_anchor_blocks(asked, blocks, width, "positives")).mapInArrow(_negatives(book, width, negatives, low_share, high_share), schema)
+    names = [x.split()[0] for x in schema.split(", ")]
+    far = met(_anchor_blocks(asked, blocks, width, "positives")).mapInArrow(_meeting(book, width, negatives, names, (low_share, high_share)), schema)
     ranked = Window.partitionBy("anchor_id", "place").orderBy(F.desc("negative_score"), "negative_id")
     far = far.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= negatives)
     return far.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+import neumes.llm.hard_negatives as module
 from neumes.llm.hard_negatives import Block, _packer, fit_codebook, hard_negatives, whole_vectors
 
 
@@ -82,3 +83,23 @@ def test_bounds_hold_and_prune():
 def test_labels_move_and_one_row_stays_of_each_id(spark):
     rows = table(spark, [(7, 9, [0.5]), (8, 9, [0.999]), (8, 9, [-0.001]), (9, 3, None)])
     assert sorted((r.vec_id, r.label, r.x) for r in whole_vectors(rows).collect()) == [(7, 0, [128]), (8, 9, [-1])]
+
+
+def test_copies_of_anchors_never_pass_the_driver(spark, monkeypatch):
+    """Joins that Spark deems small enough to broadcast held a copy of every anchor for each block of rows."""
+    made, write = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: (made.append(df), write(df, name))[1])
+    rows = [(i, i % 3, [0.1 * (i % 7), 0.5, -0.2 * (i % 5)]) for i in range(300)]
+    out = hard_negatives(table(spark, rows), anchors_of=5, block_rows=16, block_anchors=8)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (*made, out)]
+    assert len(plans) == 4 and not [p for p in plans if "Broadcast" in p]
+    assert result(out) == plain(rows, 5)
+
+
+@pytest.mark.parametrize("group_bytes", [1, 12000])
+def test_groups_of_anchors(spark, group_bytes):
+    """Anchors in more than one group, with questions that several blocks answer."""
+    rng = np.random.default_rng(1)
+    rows = [(i, int(rng.integers(3)), [float(x) for x in np.round(np.abs(rng.normal(size=6)), 1)]) for i in range(400)]
+    got = result(hard_negatives(table(spark, rows), anchors_of=10, block_rows=30, block_anchors=8, group_bytes=group_bytes))
+    assert got == plain(rows, 10) and got
